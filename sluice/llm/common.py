@@ -28,9 +28,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("key_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key_text")]
 
 
-def same_key(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Null-safe equality on all of `names`."""
-    return functools.reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
+def join_by(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
+    """Join on `names`, where null equals null; they come from the left."""
+    other = right.select(*(F.col(c).alias(f"right_{c}" if c in names else c) for c in right.columns))
+    on = functools.reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names))
+    return left.join(other, on, how).drop(*(f"right_{n}" for n in names))
 
 
 @functools.cache
