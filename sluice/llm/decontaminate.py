@@ -125,12 +125,12 @@ WITH doc AS (
   SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS size, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS t
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM item WHERE len(w) > 0)
 ), place AS (
-  SELECT doc_id, at, size, array_to_string(w[at:at + size - 1], ' ') AS t
-  FROM (SELECT doc_id, w, s.size AS size, unnest(range(1, len(w) - s.size + 2)) AS at FROM doc, (SELECT DISTINCT size FROM win) AS s)
+  SELECT doc_id, pos, size, array_to_string(w[pos:pos + size - 1], ' ') AS t
+  FROM (SELECT doc_id, w, s.size AS size, unnest(range(1, len(w) - s.size + 2)) AS pos FROM doc, (SELECT DISTINCT size FROM win) AS s)
 ), hit AS (
-  SELECT p.doc_id, p.at, p.size, i.item_id FROM place p JOIN win i ON p.size = i.size AND p.t = i.t
+  SELECT p.doc_id, p.pos, p.size, i.item_id FROM place p JOIN win i ON p.size = i.size AND p.t = i.t
 ), covered AS (
-  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(at, at + size)) AS k FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS k FROM hit) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
 )
