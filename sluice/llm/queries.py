@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, line_dedup, quality_model, quality_rules, url_filter
+from sluice.llm import bpe, decontaminate, line_dedup, minhash, quality_model, quality_rules, url_filter
 from sluice.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_bpe_codec, op5_quality_classifier, op6_line_dedup, op9_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op9_url_filter, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
