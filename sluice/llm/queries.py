@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, line_dedup, minhash, quality_model, quality_rules, url_filter
+from sluice.llm import bpe, decontaminate, line_dedup, minhash, quality_model, quality_rules, substrings, url_filter
 from sluice.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,8 +57,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op9_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op9_url_filter, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontaminate.ORACLE}
