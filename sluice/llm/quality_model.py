@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, join_by, row_key
 from sluice.llm.quality_rules import text_stats
 
 #: Documents whose score is at least this are predicted to be good.
@@ -149,15 +149,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of `docs` (doc_id, text; other columns are ignored).
-
-    Learns from `labels` (doc_id, quality) of rows that aren't held out, at most
-    `max_rows` of them; the lowest of several labels of an id counts, null labels
-    and ids are left out. Scores see the text only: equal texts score alike, null
-    and empty texts score as texts without words. Without labels all score 0.5.
-    """
-    stats = cut(text_stats(docs).select("doc_id", *(v.alias(k) for k, v in features().items())), "quality-features")
+def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """As `quality_model`, with key_text."""
+    stats = cut(text_stats(docs).select("doc_id", "key_text", *(v.alias(k) for k, v in features().items())), "quality-features")
     names = list(features())
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     train = stats.where(~held_out()).join(label, "doc_id").orderBy(F.xxhash64("doc_id"), *names).limit(max_rows).toPandas()
@@ -167,5 +161,22 @@ def quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
     def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(np.round(model.score(np.column_stack(columns).astype(float)), 9))
 
-    out = stats.select("doc_id", held_out().alias("held_out"), score(*names).alias("score"))
+    out = stats.select("doc_id", "key_text", held_out().alias("held_out"), score(*names).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of `docs` (doc_id, text; other columns are ignored).
+
+    Learns from `labels` (doc_id, quality) of rows that aren't held out, at most
+    `max_rows` of them; the lowest of several labels of an id counts, null labels
+    and ids are left out. Scores see the text only: equal texts score alike, null
+    and empty texts score as texts without words. Without labels all score 0.5.
+    """
+    return scores(docs, labels, max_rows, threshold).drop("key_text")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are predicted to be good, with all columns."""
+    bad = scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("key_id"), "key_text").distinct()
+    return join_by(docs.select(F.struct("*").alias("row"), *row_key()), cut(bad, "quality-rejected"), ["key_id", "key_text"], "left_anti").select("row.*")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, words
+from sluice.llm.common import cut, row_key, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -33,19 +33,19 @@ MIN_FALSE_PRAISE = 0.8
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules look at, one row per row of `docs`; null texts count as empty.
+    """doc_id, key_text (see row_key) and the counts that the rules look at, one row per row of `docs`; null texts count as empty.
 
     A 3-word window is repeated if its words occur as a window elsewhere in the
     text. Windows are sorted by hash within the row, and neighbours compared by
     their words, so nothing is shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("t"), words(text).alias("w"))
+    base = docs.select("doc_id", row_key()[1], text.alias("t"), words(text).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("w")
     gram = F.slice(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.greatest(n - 2, F.lit(0)))
     counted = base.select(
-        "doc_id", "w", n.alias("n"), lines.alias("l"), gram.alias("g"),
+        "doc_id", "key_text", "w", n.alias("n"), lines.alias("l"), gram.alias("g"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).alias("n_symbols"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).alias("n_upper"),
@@ -70,7 +70,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
     )
     long = lambda c: F.col(c).cast("long").alias(c)
     return placed.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), long("word_chars"), long("n_symbols"),
+        "doc_id", "key_text", F.col("n").cast("long").alias("n_words"), long("word_chars"), long("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
