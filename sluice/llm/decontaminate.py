@@ -1,10 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Only built-in Spark functions. Documents are cut into words once. Each window
-of test words is anchored at its rarest term, by document frequency over the
-whole corpus; only postings of anchors are stored, as positions by term and
-document. They meet the windows filed under that term, shifted by the anchor's
-offset; the second rarest term is tried next, and what is left is compared word
+Only built-in Spark functions. Documents are cut into words once. By document
+frequency over the whole corpus each window of test words picks its three
+rarest terms; postings (term, document, position) are stored for those terms
+only. The rarest term's postings, shifted by its offset, give the places where
+a window may start; a place stays if the postings of the second and third
+rarest terms hold the positions that it asks for. What is left is compared word
 by word.
 """
 
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from sluice.llm.common import cut, join_by, row_key, small_side
 
 WINDOW = 10
-#: How far the second rarest term may be from its place for a proximity match.
-SLOP = 2
 BROADCAST_ROWS = 200_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,89 +30,95 @@ def terms(text: Column) -> Column:
 
 
 def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows of `items` (item_id, text): words `w`, and the item_ids that have them."""
+    """Distinct windows of `items` (item_id, text): `window` (number), `w` (words) and the item_ids that have it, with their number."""
     w = items.select("item_id", terms(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("w")).groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    each = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("w"))
+    return each.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(F.xxhash64("w").alias("window"), "w", "items", F.xxhash64("items").alias("item_set"))
 
 
 def anchored(windows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Windows filed under their rarest term: `term`, and `filed`, the windows with the anchor's and the second rarest term's offset.
+    """Windows under the number of their rarest `term`: its offset `at`, and numbers and relative places of the next two (t2, d2, t3, d3).
 
     A window with a term that no document has can't occur and is left out.
     """
-    each = windows.select("w", "item_set", F.posexplode("w").alias("at", "term"))
-    ranked = each.join(frequency, "term", "left").groupBy("w", "item_set").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at"))).alias("by_df")
+    ranked = windows.select("window", F.posexplode("w").alias("at", "term")).join(frequency, "term", "left").groupBy("window").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at"))).alias("all")
     )
-    second = F.get(F.filter("by_df", lambda x: x["term"] != F.get("by_df", 0)["term"]), 0)
-    filed = ranked.where(F.get("by_df", 0)["df"] > 0).select(
-        F.get("by_df", 0)["term"].alias("term"),
-        F.struct(F.get("by_df", 0)["at"].alias("at"), F.coalesce(second["at"], F.get("by_df", 0)["at"]).alias("at2"), "w", "item_set").alias("filed"),
+    one = ranked.select("window", F.filter("all", lambda x, i: (i == 0) | (x["term"] != F.get("all", i - 1)["term"])).alias("one"))
+    a = F.get("one", 0)
+    b = F.coalesce(F.get("one", 1), a)
+    c = F.coalesce(F.get("one", 2), b)
+    number = lambda x: F.xxhash64(x["term"])
+    return one.where(a["df"] > 0).select(
+        "window", number(a).alias("term"), a["at"].alias("at"), number(b).alias("t2"), (b["at"] - a["at"]).alias("d2"), number(c).alias("t3"), (c["at"] - a["at"]).alias("d3")
     )
-    return filed.groupBy("term").agg(F.collect_list("filed").alias("filed"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def _holding(places: DataFrame, postings: DataFrame, term: str, pos: str) -> DataFrame:
+    """The `places` for which the postings have the term in column `term` at the position in column `pos`."""
+    other = postings.select(F.col("key_id").alias("k"), F.col("key_text").alias("t"), F.col("term").alias("other"), F.col("pos").alias("other_pos"))
+    on = F.col("key_id").eqNullSafe(F.col("k")) & (F.col("key_text") == F.col("t")) & (F.col(term) == F.col("other")) & (F.col(pos) == F.col("other_pos"))
+    return places.join(other, on, "left_semi")
+
+
+def positional_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words of each row as one string, the filed windows, and the postings of their terms, all stored."""
+    texts = cut(docs.select(*row_key(), F.array_join(terms(F.col("text")), " ").alias("words")), "terms")
+    vocabulary = cut(windows.select(F.explode("w").alias("term")).distinct(), "test-terms")
+    each = texts.where("words <> ''").select(F.explode(F.array_distinct(F.split("words", " "))).alias("term"))
+    frequency = cut(each.join(small_side(vocabulary, BROADCAST_ROWS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "test-term-df")
+    filed = cut(anchored(windows, frequency), "test-anchors")
+    wanted = cut(filed.select(F.explode(F.array("term", "t2", "t3")).alias("term")).distinct(), "anchor-terms")
+    placed = texts.where("words <> ''").select("key_id", "key_text", F.posexplode(F.split("words", " ")).alias("pos", "word")).select("key_id", "key_text", "pos", F.xxhash64("word").alias("term"))
+    return texts, filed, cut(placed.join(small_side(wanted, BROADCAST_ROWS), "term", "left_semi").distinct(), "postings")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
     """`docs` with what they share with test `items` (item_id, text).
 
     n_words; n_hit, the words inside any occurrence of a test window; items,
     the ids of items with occurring windows (none: empty); hits, those places as
-    `at` (first word, from 0) and `size`; n_near, windows whose two rarest terms
-    are near each other though the phrase doesn't occur there. An item with
-    fewer words than `size` is one window; null and empty texts and items have
-    no words, items without id are left out. Equal rows get equal results; an
-    empty table on either side gives no hits. Columns of `docs` with the names
-    of the results are replaced.
+    `at` (first word, from 0) and `size`. With `slop` also n_near, the number
+    of windows whose two rarest terms are at most `slop` words off their
+    distance though the phrase isn't there. An item with fewer words than
+    `size` is one window; null and empty texts and items have no words, items
+    without id are left out. Equal rows get equal results; an empty table on
+    either side gives no hits. Columns of `docs` with the names of the results
+    are replaced.
     """
     own = docs.drop("n_words", "n_hit", "items", "hits", "n_near")
-    words = cut(own.select(*row_key(), terms(F.col("text")).alias("words")), "terms")
-    windows = cut(test_windows(items.where(F.col("item_id").isNotNull()), size).withColumn("item_set", F.xxhash64("items")), "test-windows")
-    sets = windows.groupBy("item_set").agg(F.first("items").alias("items"))
-    vocabulary = cut(windows.select(F.explode("w").alias("term")).distinct(), "test-terms")
-    frequency = cut(words.select(F.explode(F.array_distinct("words")).alias("term")).join(small_side(vocabulary, BROADCAST_ROWS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "test-term-df")
-    index = cut(anchored(windows, frequency), "test-anchors")
-    anchors = small_side(cut(index.select("term"), "anchor-terms"), BROADCAST_ROWS)
-    postings = words.select("key_id", "key_text", F.posexplode("words").alias("pos", "term")).join(anchors, "term", "left_semi")
-    postings = postings.groupBy("key_id", "key_text", "term").agg(F.collect_set("pos").alias("positions"))
-    filed = postings.join(small_side(index, BROADCAST_ROWS), "term").groupBy("key_id", "key_text").agg(F.collect_list(F.struct("positions", "filed")).alias("met"))
-    both = join_by(words, filed, ["key_id", "key_text"], "inner")
-
-    word = lambda i: F.get("words", i)
-
-    def tried(m: Column, fits) -> Column:
-        return F.flatten(F.transform(m["filed"], lambda f: F.transform(F.filter(m["positions"], lambda p: fits(f, p - f["at"])), lambda p: F.struct((p - f["at"]).alias("at"), f["w"].alias("w"), f["item_set"].alias("item_set")))))
-
-    def exact(f: Column, start: Column) -> Column:
-        return (start >= 0) & (word(start + f["at2"]) == F.get(f["w"], f["at2"])) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size(f["w"])) == f["w"])
-
-    def near(f: Column, start: Column) -> Column:
-        return F.array_contains(F.slice("words", F.greatest(start + f["at2"] - slop, F.lit(0)) + 1, 2 * slop + 1), F.get(f["w"], f["at2"]))
-
-    found = both.select(
-        "key_id", "key_text",
-        F.array_distinct(F.flatten(F.transform("met", lambda m: tried(m, exact)))).alias("hits"),
-        F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(tried(m, near), lambda h: h["w"])))).alias("near"),
-    ).where((F.size("hits") > 0) | (F.size("near") > 0))
-    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), F.size(h["w"]).alias("size")))))
-    marked = found.select(
-        "key_id", "key_text", spans.alias("spans"), F.array_distinct(F.transform("hits", lambda h: h["item_set"])).alias("item_sets"),
-        F.size(F.array_except("near", F.transform("hits", lambda h: h["w"]))).cast("long").alias("n_near"),
-    ).dropDuplicates(["key_id", "key_text"])
-    marked = cut(marked, "hits")
+    key = ["key_id", "key_text"]
+    windows = cut(test_windows(items.where(F.col("item_id").isNotNull()), size), "test-windows")
+    texts, filed, postings = positional_index(own, windows)
+    begun = postings.join(small_side(filed, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0")
+    both = _holding(begun.withColumn("p2", F.col("pos") + F.col("d2")), postings, "t2", "p2")
+    all3 = _holding(both.withColumn("p3", F.col("pos") + F.col("d3")), postings, "t3", "p3")
+    phrase = F.struct("start", F.array_join("w", " ").alias("words"), F.size("w").alias("size"), "item_set", "window")
+    maybe = cut(all3.join(small_side(windows, BROADCAST_ROWS), "window").groupBy(*key).agg(F.collect_set(phrase).alias("maybe")), "places")
+    met = join_by(join_by(texts, small_side(maybe.select(*key), BROADCAST_ROWS), key, "left_semi"), maybe, key, "inner").withColumn("w", F.split("words", " "))
+    hits = F.filter("maybe", lambda h: F.array_join(F.slice("w", h["start"] + 1, h["size"]), " ") == h["words"])
+    found = met.select(*key, F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("at"), h["size"].alias("size"), h["item_set"].alias("item_set"), h["window"].alias("window")))).alias("hits")).where(F.size("hits") > 0)
+    found = cut(found, "hits").dropDuplicates(key)
     covered = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(s["at"] + s["size"] - F.greatest(s["at"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["at"] + s["size"]).alias("to")),
     )["n"]
-    named = marked.select("key_id", "key_text", F.explode("item_sets").alias("item_set")).join(sets, "item_set").groupBy("key_id", "key_text").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    result = join_by(marked.select("key_id", "key_text", "spans", covered.cast("long").alias("n_hit"), "n_near"), named, ["key_id", "key_text"])
+    sets = windows.groupBy("item_set").agg(F.first("items").alias("items"))
+    named = found.select(*key, F.explode(F.array_distinct(F.col("hits.item_set"))).alias("item_set")).join(sets, "item_set").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    spans = F.array_distinct(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"))))
+    result = join_by(found.select(*key, spans.alias("hits"), covered.cast("long").alias("n_hit")), named, key)
     packed = own.select(F.struct("*").alias("row"), *row_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long").alias("n_words"))
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return join_by(packed, result, ["key_id", "key_text"]).select(
-        "row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        none("items", items.schema["item_id"].dataType.simpleString().join(("array<", ">"))), F.coalesce("spans", F.array().cast("array<struct<at:int,size:int>>")).alias("hits"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-    )
+    out = join_by(packed, result, key)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    columns = ["row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", items.schema["item_id"].dataType.simpleString()), none("hits", "struct<at:int,size:int>")]
+    if slop is None:
+        return out.select(*columns)
+    off = begun.withColumn("p2", F.explode(F.array(*(F.col("pos") + F.col("d2") + k for k in range(-slop, slop + 1)))))
+    exact = found.select(*key, F.explode("hits.window").alias("window"))
+    near = _holding(off, postings, "t2", "p2").select(*key, "window").distinct()
+    near = join_by(near, exact, [*key, "window"], "left_anti").groupBy(*key).agg(F.count("*").alias("n_near"))
+    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 ORACLE = rf"""
