@@ -53,6 +53,11 @@ class Words:
         run = np.append(np.uint64(0), np.cumsum(buf * _powers(_ODD, len(buf)), dtype=np.uint64))
         return mix((run[self.end] - run[self.start]) * _powers(_ODD_INVERSE, len(buf) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
 
+    def ranges(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from each `start` to before each `end`."""
+        run = np.append(np.uint64(0), np.cumsum(mix(hashes + np.uint64(1)) * _powers(_ODD, len(hashes)), dtype=np.uint64))
+        return mix((run[end] - run[start]) * _powers(_ODD_INVERSE, len(hashes) + 1)[start] + (end - start).astype(np.uint64))
+
     def sequences(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the `size` words from each word on, and whether they are of one text."""
         n = len(hashes)

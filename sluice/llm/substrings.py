@@ -2,10 +2,10 @@
 
 Consecutive windows whose smallest m-word hash (the minimiser) is at the same
 place form a run. Equal windows have equal minimisers, so a run whose minimiser
-no other run has holds no repeated window and is left out. The other runs
-travel as one packed string each; equal strings are counted before they meet
-the others of their minimiser's bucket, where the windows are sorted and counted
-by their words. A minimiser with very many different strings (the edge of a
+no other run has holds no repeated window and is left out. Of the others equal runs
+(by minimiser and a hash of their words) are counted first; then one of each
+travels as a packed string to its minimiser's bucket, where the windows are
+sorted and counted by their words. A minimiser with very many different strings (the edge of a
 passage that is everywhere) has its windows counted one by one instead, which
 deals them out evenly.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, join_by, row_key, words
+from sluice.llm.common import cut, join_by, row_key, small_side, words
 from sluice.llm.hashing import Words, blocks, mix
 
 WINDOW = 35
@@ -28,14 +28,17 @@ MINIMISER = 8
 #: Strings in a bucket on average, and strings of one minimiser above which its windows are dealt out one by one.
 BUCKET_ROWS = 4000
 MANY = 4000
+#: Tables of up to this many keys are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def runs(texts: list[str | None], window: int = WINDOW, m: int = MINIMISER) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of runs: number of the text, first word, number of windows, minimiser."""
+    """Blocks of runs: number of the text, first word, number of windows, minimiser, hash of the words."""
     span = window - m + 1
     for at, block in blocks(texts):
         w = Words(block)
-        gram, _ = w.sequences(m, w.hashes())
+        hashes = w.hashes()
+        gram, _ = w.sequences(m, hashes)
         n = len(gram) - window + 1
         if n <= 0:
             continue
@@ -55,42 +58,42 @@ def runs(texts: list[str | None], window: int = WINDOW, m: int = MINIMISER) -> I
             continue
         count = np.add.reduceat(whole.astype(np.int64), first)
         doc = w.doc[first]
-        yield at + doc, (first - w.first[doc]).astype(np.int32), count.astype(np.int32), value[first].view(np.int64)
+        yield at + doc, (first - w.first[doc]).astype(np.int32), count.astype(np.int32), value[first].view(np.int64), w.ranges(hashes, first, first + count + window - 1).view(np.int64)
 
 
 def run_table(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """Runs of all rows: row key, `start` (word, from 0), `n` windows, `minimiser`."""
+    """Runs of all rows: row key, `start` (word, from 0), `n` windows, `minimiser`, `content` (hash of the words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, start, n, least in runs(batch.column(2).to_pylist(), window, m):
+            for doc, *columns in runs(batch.column(2).to_pylist(), window, m):
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(n), pa.array(least)], names=["key_id", "key_text", "start", "n", "minimiser"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns)], names=["key_id", "key_text", "start", "n", "minimiser", "content"])
 
-    return docs.select(*row_key(), "text").mapInArrow(found, f"key_id {kind}, key_text long, start int, n int, minimiser long")
+    return docs.select(*row_key(), "text").mapInArrow(found, f"key_id {kind}, key_text long, start int, n int, minimiser long, content long")
 
 
 def packed_runs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The words of the `wanted` runs (row key, start, n, minimiser) of each row, joined by spaces."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = wanted.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("start", "n", "minimiser")).alias("runs"))
-    both = join_by(docs.select(*row_key(), "text"), listed, ["key_id", "key_text"], "inner")
+    """`wanted` runs (row key, start, n, minimiser, content, times) with their words, joined by spaces; more than once if rows are."""
+    listed = cut(wanted.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "n", "minimiser", "content", "times")).alias("runs")), "substring-wanted")
+    some = join_by(docs.select(*row_key(), "text"), small_side(listed.select("key_id", "key_text"), BROADCAST_ROWS), ["key_id", "key_text"], "left_semi")
+    both = join_by(some, listed, ["key_id", "key_text"], "inner")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                w = Words([batch.column(2)[k].as_py() or ""])
+                w = Words([batch.column(0)[k].as_py() or ""])
                 plain = b" ".join(w.data[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True))
                 ends = np.cumsum(w.end - w.start + 1)
                 begins = np.append(0, ends)
-                listed = batch.column(3)[k].values.flatten()
-                start, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in listed[:2])
-                text = pa.array([plain[a:b] for a, b in zip(begins[start].tolist(), (ends[start + n + window - 2] - 1).tolist(), strict=True)], pa.binary()).cast(pa.string())
-                row = pa.array(np.full(len(start), k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *listed, text], names=["key_id", "key_text", "start", "n", "minimiser", "packed"])
+                start, n, *others = batch.column(1)[k].values.flatten()
+                at = start.to_numpy(zero_copy_only=False).astype(np.int64)
+                to = at + n.to_numpy(zero_copy_only=False) + window - 2
+                text = pa.array([plain[a:b] for a, b in zip(begins[at].tolist(), (ends[to] - 1).tolist(), strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*others, text], names=["minimiser", "content", "times", "packed"])
 
-    return both.mapInArrow(packed, f"key_id {kind}, key_text long, start int, n int, minimiser long, packed string")
+    return both.select("text", "runs").mapInArrow(packed, "minimiser long, content long, times long, packed string")
 
 
 def _merged(at: list[int], window: int) -> list[int]:
@@ -106,6 +109,7 @@ def _merged(at: list[int], window: int) -> list[int]:
 
 def _bucket(window: int):
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["minimiser", "content"]).reset_index(drop=True)
         texts, of, at = [], [], []
         for k, packed in enumerate(pdf["packed"]):
             raw = packed.encode()
@@ -126,27 +130,26 @@ def _bucket(window: int):
                 for x in order[i:j]:
                     found[of[x]].append(at[x])
             i = j
-        out = pdf[["minimiser", "packed"]].assign(spans=[_merged(sorted(x), window) for x in found])
+        out = pdf[["minimiser", "content"]].assign(spans=[_merged(sorted(x), window) for x in found])
         return out[out["spans"].map(len) > 0]
 
     return counted
 
 
 def repeated(strings: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`spans` (from, to, ...) of words in windows that occur twice or more, for each string (minimiser, packed, times) that has any."""
+    """`spans` (from, to, ...) of words in windows that occur twice or more, for each string (minimiser, content, packed, times) that has any."""
     per = strings.groupBy("minimiser").agg(F.count("*").alias("different"))
-    crowded = cut(per.where(F.col("different") > MANY), "substring-crowded")
+    crowded = cut(per.where(F.col("different") > MANY).select("minimiser"), "substring-crowded")
     usual = strings.join(crowded, "minimiser", "left_anti")
     buckets = max(1, strings.count() // BUCKET_ROWS)
-    plain = usual.withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets))).groupBy("bucket").applyInPandas(_bucket(window), "minimiser long, packed string, spans array<int>")
+    plain = usual.withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets))).groupBy("bucket").applyInPandas(_bucket(window), "minimiser long, content long, spans array<int>")
     if crowded.isEmpty():
         return plain
-    w = F.split("packed", " ")
-    each = strings.join(crowded, "minimiser", "left_semi").withColumn("w", w)
+    some = strings.join(crowded, "minimiser", "left_semi").dropDuplicates(["minimiser", "content"]).withColumn("w", F.split("packed", " "))
     places = F.sequence(F.lit(0), F.size("w") - window)
-    each = cut(each.select("minimiser", "packed", "times", F.posexplode(F.transform(places, lambda i: F.array_join(F.slice("w", i + 1, window), " "))).alias("at", "window")), "substring-windows")
+    each = cut(some.select("minimiser", "content", "times", F.posexplode(F.transform(places, lambda i: F.array_join(F.slice("w", i + 1, window), " "))).alias("at", "window")), "substring-windows")
     twice = each.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    spans = each.join(twice, "window", "left_semi").groupBy("minimiser", "packed").agg(F.flatten(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.array(a, a + window))).alias("spans"))
+    spans = each.join(twice, "window", "left_semi").groupBy("minimiser", "content").agg(F.flatten(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.array(a, a + window))).alias("spans"))
     return plain.unionByName(spans)
 
 
@@ -167,15 +170,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     replaced; an empty table gives an empty table.
     """
     own = docs.drop("n_words", "n_removed", "kept")
+    key = ["key_id", "key_text"]
     found = cut(run_table(own, window), "substring-runs")
-    shared = found.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser")
-    strings = cut(packed_runs(own, found.join(shared, "minimiser", "left_semi"), window), "substring-strings")
-    counted = cut(strings.groupBy("minimiser", "packed").agg(F.count("*").alias("times")), "substring-counts")
-    spans = cut(repeated(counted, window), "substring-spans")
-    places = strings.join(spans, ["minimiser", "packed"]).select("key_id", "key_text", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    gone = places.groupBy("key_id", "key_text").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    packed = own.select(F.struct("*").alias("row"), *row_key(), words(F.col("text")).alias("w"))
-    both = join_by(packed, gone, ["key_id", "key_text"]).withColumn("left", F.when(F.col("spans").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("w") - 1), _places("spans"))))
+    shared = cut(found.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser"), "substring-shared")
+    some = cut(found.join(small_side(shared, BROADCAST_ROWS), "minimiser", "left_semi"), "substring-some")
+    first = some.groupBy("minimiser", "content").agg(F.count("*").alias("times"), F.min(F.struct(*key, "start", "n")).alias("first"))
+    strings = cut(packed_runs(own, first.select("first.*", "minimiser", "content", "times"), window), "substring-strings")
+    spans = cut(repeated(strings, window), "substring-spans")
+    places = some.join(spans, ["minimiser", "content"]).select(*key, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
+    gone = places.groupBy(*key).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    both = join_by(own.select(F.struct("*").alias("row"), "text", *row_key()), gone, key).withColumn("w", words(F.col("text")))
+    both = both.withColumn("left", F.when(F.col("spans").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("w") - 1), _places("spans"))))
     kept = F.when(F.col("left").isNull(), F.array_join("w", " ")).otherwise(F.array_join(F.transform("left", lambda i: F.get("w", i)), " "))
     n = F.size("w").cast("long")
     return both.select("row.*", n.alias("n_words"), F.coalesce(n - F.size("left"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
