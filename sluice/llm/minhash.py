@@ -9,9 +9,12 @@ point with a probability equal to their weighted Jaccard similarity. Points come
 in order of time, so a process stops once it is later than every slot.
 
 Signatures are banded. In each bucket everyone is compared with one pivot, never
-all with all: members of the pivot's class need no more comparing. Rounds with
-other pivots follow where a bucket still holds several classes, and a last round
-compares whatever pairs of different classes have not met.
+all with all: members of the pivot's class need no more comparing. The pivot is
+the member that meets most others, so the centre of a group of edited copies.
+Rounds with other pivots follow where a bucket still holds several classes. What
+is left is pruned exactly: shingles that no candidate of another class has bound the
+similarity that a document can reach. Only pairs of different classes that pass
+the bounds are compared in the last round, block by block.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
-from sluice.llm.common import cut, join_by, row_key, words
+from sluice.llm.common import cut, join_by, row_key, small_side, words
 from sluice.llm.hashing import Words, blocks, mix
 
 SHINGLE = 5
@@ -36,6 +39,10 @@ BANDS, ROWS = 25, 5
 PIVOT_ROUNDS = 4
 #: A pivot's shingles are sent along with at most about this many partners.
 PARTNERS = 256
+#: Members and queries in a block of the last round.
+MEMBERS, QUERIES = 1024, 64
+#: Tables of up to this many rows of numbers are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _LEVELS = 31
 
 
@@ -100,13 +107,14 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        finger = batch.column(0)
-        for at, block in blocks(batch.column(1).to_pylist()):
+        for at, block in blocks(batch.column("text").to_pylist()):
             w = Words(block)
-            found = band_hashes(signatures(*bags(w, len(block)), len(block)))
-            some = np.flatnonzero(np.diff(w.first) > 0)
-            rows = pa.array(np.repeat(at + some, BANDS))
-            yield pa.RecordBatch.from_arrays([finger.take(rows), pa.array(found[some].ravel())], names=["fp", "bucket"])
+            some = np.diff(w.first) > 0
+            bands = band_hashes(signatures(*bags(w, len(block)), len(block)))[some]
+            cuts = pa.array(np.append(0, np.cumsum(some * BANDS)).astype(np.int32))
+            part = batch.slice(at, len(block))
+            lists = pa.ListArray.from_arrays(cuts, pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key_id", "key_text", "fp")), lists], names=["key_id", "key_text", "fp", "bands"])
 
 
 @F.pandas_udf(BinaryType())
@@ -142,17 +150,19 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The `pairs` (a, b) of fingerprints whose bags overlap enough; a's bag is dealt to groups of its partners."""
+    """The `pairs` (a, b; a table) of documents whose bags overlap enough; a's bag is dealt to groups of its partners."""
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("n"))
-    left = split.join(held.select(F.col("fp").alias("a"), F.col("bag").alias("bag_a")), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    right = pairs.join(split, "a").withColumn("part", F.pmod(F.hash("b"), F.col("n"))).drop("n").join(held.select(F.col("fp").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return right.join(left.drop("n"), ["a", "part"]).where(overlap("bag_a", "bag_b") >= THRESHOLD).select("a", "b")
+    dealt = small_side(cut(pairs.join(split, "a").select("a", "b", F.pmod(F.hash("b"), F.col("n")).alias("part")), "near-dealt"), BROADCAST_ROWS)
+    parts = small_side(cut(split.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")), "near-parts"), BROADCAST_ROWS)
+    left = held.select(F.col("doc").alias("a"), F.col("bag").alias("bag_a")).join(parts, "a")
+    right = held.select(F.col("doc").alias("b"), F.col("bag").alias("bag_b")).join(dealt, "b")
+    return right.join(left, ["a", "part"]).where(overlap("bag_a", "bag_b") >= THRESHOLD).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Lowest member `low` of the connected component of each node of `edges` (a, b)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both, "near-edges")
+    both = cut(edges.where("a <> b").distinct(), "near-edges")
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "near-labels")
     while True:
         # the lowest label next door, then the label of that label: paths halve
@@ -165,38 +175,117 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def tokens(bag: pd.Series) -> pd.Series:
+    """A bag as a list of numbers."""
+    return pd.Series([np.frombuffer(x, np.int64) for x in bag])
+
+
+def bounded(entries: DataFrame, held: DataFrame) -> DataFrame:
+    """Of the open `entries` (bucket, doc, low) those that may still be linked across classes, with `size` and `most`.
+
+    If no document of another class holds u of its n shingles, it overlaps those
+    by n - u at most. A similarity of t takes an overlap of t / (1 + t) times both
+    sizes, so the other's size is at most `most`, (n - (1 + t) u) / t.
+    """
+    own = cut(entries.select("doc", "low").distinct().join(held, "doc").select("doc", "low", F.expr("octet_length(bag) div 8").alias("size"), tokens("bag").alias("token")), "near-tokens")
+    each = cut(own.select("doc", "low", F.explode("token").alias("token")), "near-token")
+    mixed = each.groupBy("token").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("token")
+    shared = each.join(mixed, "token").groupBy("doc").agg(F.count("*").alias("shared"))
+    lonely = F.col("size") - F.coalesce("shared", F.lit(0))
+    cap = F.floor((F.col("size") - (1 + THRESHOLD) * lonely) / THRESHOLD + 1e-6)
+    known = entries.join(own.join(shared, "doc", "left").select("doc", "size", cap.alias("most")), "doc")
+    least = known.groupBy("bucket").agg(F.min("size").alias("least"))
+    return known.join(least, "bucket").where("most >= least").drop("least")
+
+
+def _links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of different classes, a of `left` and b of `right`, whose bags overlap enough: counts of common tokens by matrix products."""
+    ys = [np.frombuffer(x, np.uint64) for x in right["bag"]]
+    xs = [np.frombuffer(x, np.uint64) for x in left["bag"]]
+    known = np.unique(np.concatenate(ys)) if ys else np.zeros(0, np.uint64)
+    found: list[tuple[int, int]] = []
+    if not len(known) or not xs:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    have = np.zeros((len(known), len(ys)), np.float32)
+    for k, y in enumerate(ys):
+        have[np.searchsorted(known, y), k] = 1
+    n_y, low_y, doc_y = np.array([len(y) for y in ys]), right["low"].to_numpy(), right["doc"].to_numpy()
+    step = max(1, 4_000_000 // len(known))
+    for i in range(0, len(xs), step):
+        part = xs[i : i + step]
+        mine = np.zeros((len(part), len(known)), np.float32)
+        for k, x in enumerate(part):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            mine[k, at[known[at] == x]] = 1
+        common = mine @ have
+        n_x = np.array([len(x) for x in part])[:, None]
+        near = (common >= THRESHOLD * (n_x + n_y[None, :] - common) - 1e-4) & (left["low"].to_numpy()[i : i + step, None] != low_y[None, :])
+        found += [(int(left["doc"].iloc[i + r]), int(doc_y[c])) for r, c in zip(*np.nonzero(near), strict=True)]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def block_links(rest: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of different classes within the buckets of `rest` (bucket, doc, low).
+
+    The members outside a bucket's largest class are its queries: in blocks they
+    meet all members, in blocks too, so no pairs are listed but those linked.
+    """
+    sizes = rest.groupBy("bucket", "low").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("low", F.struct("n", "low")).alias("major"), F.max("n").alias("of_major"))
+    blocks_of = sizes.select("bucket", "major", F.ceil(F.col("n") / MEMBERS).cast("int").alias("xs"), F.ceil((F.col("n") - F.col("of_major")) / QUERIES).cast("int").alias("ys"))
+    every = cut(rest.select("bucket", "doc", "low").join(blocks_of, "bucket"), "near-blocks")
+    place = lambda n: F.pmod(F.hash("doc"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    bags_ = held.select("doc", "bag")
+    left = every.select("bucket", "doc", "low", place("xs").alias("x"), all_of("ys").alias("y")).join(bags_, "doc")
+    right = every.where("low <> major").select("bucket", "doc", "low", place("ys").alias("y"), all_of("xs").alias("x")).join(bags_, "doc")
+    key = ["bucket", "x", "y"]
+    left, right = (d.select(*(F.col(c).alias(f"{side}{c}") for c in (*key, "doc", "low", "bag"))).toDF(*key, "doc", "low", "bag") for side, d in (("l", left), ("r", right)))
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_links, "a long, b long")
+    return pairs.distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each row (doc_id, key_text, fp) with its class: `low`, the lowest fingerprint of the class."""
-    joined = F.array_join(words(F.col("text")), " ")
-    prints = cut(docs.select(F.col("doc_id").alias("key_id"), row_key()[1], F.md5(joined).alias("fp")), "near-prints")
-    found = docs.select(F.md5(joined).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_banded, "fp string, bucket long")
-    entries = cut(found.distinct(), "near-bands")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    live = cut(entries.join(shared, "bucket"), "near-buckets")
-    wanted = live.select("fp").distinct()
-    texts = docs.select(F.md5(joined).alias("fp"), "text").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
-    held = cut(texts.select("fp", bag("text").alias("bag")), "near-bags")
-    label = wanted.withColumn("low", F.col("fp"))
+    """Class of each row: row key, `doc`, a number for each distinct word sequence, and `class`, the lowest number of its class."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select(*row_key(), F.unhex(F.md5(F.array_join(words(F.col("text")), " "))).alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
+    banded = cut(keyed.mapInArrow(_banded, f"key_id {kind}, key_text long, fp binary, bands array<long>"), "near-bands")
+    # the lowest row key of equal texts lends its text
+    first = F.struct(F.col("key_id").isNull().alias("none"), "key_id", "key_text")
+    distinct = banded.groupBy("fp").agg(F.min(first).alias("lead"))
+    number = cut(distinct.select("fp", "lead.key_id", "lead.key_text", F.monotonically_increasing_id().alias("doc")), "near-numbers")
+    prints = cut(banded.select("key_id", "key_text", "fp").join(number.select("fp", "doc"), "fp").select("key_id", "key_text", "doc"), "near-prints")
+    entries = join_by(banded.select("key_id", "key_text", "bands"), number.select("key_id", "key_text", "doc"), ["key_id", "key_text"], "inner")
+    entries = cut(entries.select("doc", F.explode("bands").alias("bucket")), "near-entries")
+    shared = cut(entries.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("bucket"), "near-shared")
+    live = cut(entries.join(small_side(shared, BROADCAST_ROWS), "bucket", "left_semi").distinct(), "near-buckets")
+    size = live.groupBy("bucket").agg(F.count("*").alias("met"))
+    central = cut(live.join(size, "bucket").groupBy("doc").agg(F.sum("met").alias("met")), "near-central")
+    lead = cut(number.join(central.select("doc"), "doc").select("doc", "key_id", "key_text"), "near-leads")
+    held = join_by(docs.select(*row_key(), "text"), small_side(lead, BROADCAST_ROWS), ["key_id", "key_text"], "inner").select("doc", "text")
+    held = cut(held.dropDuplicates(["doc"]).select("doc", bag("text").alias("bag")), "near-bags")
+    label = central.select("doc", "met", F.col("doc").alias("low"))
     for k in range(PIVOT_ROUNDS + 1):
-        known = live.join(label, "fp")
-        open_ = known.groupBy("bucket").agg(F.min("low").alias("a"), F.max("low").alias("z"), F.min("fp").alias("pivot"), F.min_by("low", "fp").alias("pivot_low")).where("a <> z")
-        if k < PIVOT_ROUNDS:
-            met = cut(known.join(open_.drop("a", "z"), "bucket"), "near-open")
-            pairs = met.where("low <> pivot_low").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
-        else:
-            met = cut(known.join(open_.select("bucket"), "bucket"), "near-rest")
-            other = met.select("bucket", F.col("fp").alias("b"), F.col("low").alias("low_b"))
-            pairs = met.join(other, "bucket").where("fp < b and low <> low_b").select(F.col("fp").alias("a"), "b")
+        known = live.join(label, "doc")
+        order = F.struct(-F.col("met"), F.col("doc"))
+        open_ = known.groupBy("bucket").agg(F.min("low").alias("a"), F.max("low").alias("z"), F.min(F.struct(order.alias("o"), "low")).alias("p")).where("a <> z")
+        met = cut(known.join(open_.select("bucket", F.col("p.o.doc").alias("pivot"), F.col("p.low").alias("pivot_low")), "bucket"), "near-open")
         if met.isEmpty():
             break
-        links = cut(verified(cut(pairs.distinct(), "near-pairs"), held), "near-links")
+        if k < PIVOT_ROUNDS:
+            pairs = cut(met.where("low <> pivot_low").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "near-pairs")
+            links = cut(verified(pairs, held), "near-links")
+        else:
+            rest = bounded(met.select("bucket", "doc", "low"), held)
+            mixed = rest.groupBy("bucket").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("bucket")
+            links = cut(block_links(cut(rest.join(mixed, "bucket"), "near-rest"), held), "near-links")
         # classes linked by a pair become one
-        of = lambda c: label.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
+        of = lambda c: label.select(F.col("doc").alias(c), F.col("low").alias(f"low_{c}"))
         merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
         merged = merged.select(F.col("a").alias("low"), F.col("low").alias("into"))
-        label = cut(label.join(merged, "low", "left").select("fp", F.coalesce("into", "low").alias("low")), "near-classes")
-        live = met.where("fp <> pivot").select("bucket", "fp") if k < PIVOT_ROUNDS else live
-    return prints.join(label, "fp", "left").select("key_id", "key_text", "fp", F.coalesce("low", "fp").alias("class"))
+        label = cut(label.join(merged, "low", "left").select("doc", "met", F.coalesce("into", "low").alias("low")), "near-classes")
+        live = met.where("doc <> pivot").select("bucket", "doc")
+    return prints.join(label, "doc", "left").select("key_id", "key_text", "doc", F.coalesce("low", "doc").alias("class"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
