@@ -119,6 +119,27 @@ def apply_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(decide.apply_review(decided, answers, "doc_id"))
 
 
+@query(sql.REPRESENTATIVE)
+def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _classified(spark, sf_dir)
+    return decide.representative(found, decide.select_category(found, "doc_id"), "doc_id").select("doc_id", "profile_id", "decision", "reason")
+
+
+@query(sql.HARD)
+def hard_reject_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, lexicon = a.profiles(spark)
+    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id")
+    return _flat(match.hard_reject_hits(found, lexicon, "doc_id"))
+
+
+@query()
+def review_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests about the profiles that want a review."""
+    texts = a.table(spark, sf_dir, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("text"))
+    asked = _classified(spark, sf_dir).where("decision = 'review'").join(texts, "doc_id").withColumn("prompt", review.review_prompt(F.col("text")))
+    return asked.select("doc_id", "profile_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 @query()
 def arbitration_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = a.table(spark, sf_dir, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("text"))
@@ -300,6 +321,30 @@ def advance_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.advance_private(posts, attempts, a.guard_log(spark, sf_dir))
 
 
+@query(sql.GUARD_RESULTS)
+def guard_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of labels, some odd, some of a profile that isn't there."""
+    said = F.when(F.col("toxic") == 1, '{"decision": "do_not_notify"}').when(F.col("quality") == 1, '{"decision": "notify"}').otherwise('{"decision": 1}')
+    tries = a.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_uuid"), F.when(F.col("doc_id") % 5 == 0, "gone").otherwise("english").alias("profile_id"), said.alias("raw"), F.lit(None).cast("string").alias("error"))
+    return review.guard_results(tries, a.profiles(spark)[0]).select("job_uuid", "guard_decision")
+
+
+@query(sql.REVIEWS)
+def validate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of events, some of them spoilt."""
+    k = F.col("event_id") % 6
+    skills = F.when(k == 1, "[1]").when(k == 2, '"a"').otherwise(F.concat(F.lit('["'), F.col("event_type"), F.lit('"]')))
+    raw = F.concat(F.lit('{"decision": "'), F.when(k == 3, "maybe").when(F.col("value") > 10, "accept").otherwise("reject"), F.lit('", "confidence": '), F.col("value").cast("string"), F.lit(', "project_type": "p", "primary_deliverable": "d", "reason": "", "skills_detected": '), skills, F.lit("}"))
+    answer = review.validate_review(raw)
+    return a.events(spark, sf_dir).select("event_id", answer["decision"].alias("decision"), F.round(answer["confidence"], 6).alias("confidence"), F.array_join(answer["skills"], ", ").alias("skills"))
+
+
+@query(sql.INCOMPLETE)
+def incomplete_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("string")).when(F.col("o_orderpriority").startswith("5"), "").when(F.col("o_orderpriority").startswith("1"), "Complete").otherwise("Pending")
+    return review.incomplete_jobs(a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_uuid"), status.alias("notification_status"))).select("job_uuid")
+
+
 @query(sql.ARBITRATIONS)
 def validate_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made of events, some of them spoilt."""
@@ -365,6 +410,12 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_counts(**{k: a.table(spark, sf_dir, t) for k, t in (("jobs", "documents"), ("queue", "orders"), ("guard", "labels"))})
 
 
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def lookup_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = a.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return audit.lookup_jobs(a.table(spark, sf_dir, "orders"), wanted, "o_custkey").select("o_orderkey", "o_orderstatus")
+
+
 @query("""SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1""")
 def last_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.last_job(a.events(spark, sf_dir).select("event_id", "event_type"), "event_id")

@@ -180,3 +180,20 @@ s AS (SELECT m.doc_id, '🚀 <b>New Text &amp; more Opportunity</b>' || chr(10)
   || chr(10) || chr(10) || '{_RULE}' || chr(10) || '🏷 <b>Tags</b>' || chr(10) || '#' || lang || ' #twowords' AS t, FROM m JOIN documents USING (doc_id))
 SELECT doc_id, sha256(CASE WHEN length(t) > 4000 THEN concat(u, repeat('</b>', greatest(((length(u) - length(replace(u, '<b>', ''))) // 3 - (length(u) - length(replace(u, '</b>', ''))) // 4)::INTEGER, 0)), '...') ELSE t END) AS message_sha256
 FROM (SELECT *, CASE WHEN strpos(reverse(w), '<') > 0 AND (strpos(reverse(w), '>') = 0 OR strpos(reverse(w), '<') < strpos(reverse(w), '>')) THEN {strip("left(w, length(w) - strpos(reverse(w), '<'))")} ELSE w END AS u FROM (SELECT *, {strip('left(t, 3997)')} AS w FROM s))"""
+
+REPRESENTATIVE = f"""WITH {PICKED} SELECT p.doc_id, r.profile_id, r.decision, r.reason FROM picked p JOIN results r ON r.doc_id = p.doc_id AND r.profile_id = coalesce(p.selected, p.first_candidate, '{next(iter(PROSE))}')"""
+
+
+def _hard(profile: str) -> str:
+    words = sorted((k for group in PROSE[profile]["hard_reject"]["hard"].values() for k in group), key=lambda k: (-len(k), k))
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(n, ' {k} ') THEN '{k}' END" for k in words) + "], lambda x: x IS NOT NULL), ', ')"
+
+
+HARD = f"""WITH {JOBS}, {SPACED} SELECT * FROM ({' UNION ALL '.join(f"SELECT doc_id, '{p}' AS profile_id, {_hard(p)} AS hard_reject_matches FROM spaced" for p in PROSE)}) WHERE hard_reject_matches <> ''"""
+
+GUARD_RESULTS = """SELECT doc_id AS job_uuid, CASE WHEN doc_id % 5 = 0 OR quality + toxic = 0 THEN 'error' WHEN toxic = 1 THEN 'do_not_notify' ELSE 'notify' END AS guard_decision FROM labels"""
+
+REVIEWS = """SELECT event_id, CASE WHEN ok THEN CASE WHEN value > 10 THEN 'accept' ELSE 'reject' END END AS decision, CASE WHEN ok THEN round(value, 6) END AS confidence, CASE WHEN ok THEN event_type END AS skills
+FROM (SELECT *, event_id % 6 NOT IN (1, 2, 3) AND value BETWEEN 0 AND 100 AS ok FROM events)"""
+
+INCOMPLETE = """SELECT o_orderkey AS job_uuid FROM orders WHERE o_orderstatus NOT IN ('F') AND o_orderpriority NOT LIKE '5%' AND o_orderpriority NOT LIKE '1%'"""
