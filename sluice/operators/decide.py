@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.match import TIER, hard_reject_hits, lexicon_occurrences, posts_text, tier_hits, title_signals
+from sluice.operators.match import TIER, lexicon_occurrences, posts_text, profile_hits
 
 REJECT, REVIEW, DIRECT = "reject", "review", "direct"
 #: Names of the decisions in rows that are imported.
@@ -52,22 +52,42 @@ def decision_table() -> tuple[Column, Column]:
     return decision, reason
 
 
+def profile_lexicon(profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Enabled profiles with their keywords as one list for each tier, in order."""
+    entry = F.struct("ord", "keyword", "weight", "group")
+    on = {f"{p}_{t}": (F.col("polarity") == p) & (F.col("tier") == t) for p, t in LISTS} | {"hard": F.col("tier") == "hard"}
+    lists = lexicon.groupBy("profile_id").agg(*(F.sort_array(F.collect_list(F.when(c, entry))).alias(f"{n}_lexicon") for n, c in on.items()))
+    return profiles.where("enabled").withColumnRenamed("id", "profile_id").join(lists, "profile_id", "left")
+
+
 def classify_all(jobs: DataFrame, profiles: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
     """One row per post and enabled profile with evidence, decision and reason; posts without any hit too.
 
-    `jobs` has key, title and description; `lexicon` is compiled. Profiles and
-    lexicon are broadcast; one shuffle on the post gathers its hits.
+    `jobs` has key, title and description; `lexicon` is compiled. Texts are
+    looked through once; one shuffle gathers a post's hits by profile. Profiles
+    with their keywords are broadcast and turn positions in the order into hits.
     """
     enabled = profiles.where("enabled")
     own = lexicon.join(F.broadcast(enabled.select(F.col("id").alias("profile_id"))), "profile_id", "left_semi")
-    found = lexicon_occurrences(posts_text(jobs, key), own, key=key)
-    proof = evidence(tier_hits(found, key), own, key)
-    all_ = jobs.select(key).crossJoin(F.broadcast(enabled.withColumnRenamed("id", "profile_id")))
-    joined = all_.join(proof, [key, "profile_id"], "left").join(title_signals(found, key), [key, "profile_id"], "left").join(hard_reject_hits(found, own, key), [key, "profile_id"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in joined.columns if c.endswith(("_count", "_weight"))}
-    false = {c: F.coalesce(c, F.lit(False)) for c in ("matched", "title_core_positive", "title_core_negative")}
-    empty = {c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in joined.columns if c.endswith(("_matches", "_groups"))}
-    filled = joined.withColumns({**zero, **false, **empty}).withColumn("hard_reject", F.size("hard_reject_matches") > 0)
+    found = profile_hits(lexicon_occurrences(posts_text(jobs, key), own, key=key), LISTS, key)
+    joined = jobs.select(key).crossJoin(F.broadcast(profile_lexicon(profiles, own))).join(found, [key, "profile_id"], "left")
+
+    def hits(name: str, ords: str) -> Column:
+        held = F.coalesce(F.col(ords), F.array().cast("array<int>"))
+        return F.filter(F.coalesce(f"{name}_lexicon", F.array().cast("array<struct<ord:int,keyword:string,weight:int,group:string>>")), lambda x: F.array_contains(held, x["ord"]))
+
+    names = [f"{p}_{t}" for p, t in LISTS]
+    listed = joined.withColumns({f"{n}_hits": hits(n, f"{n}_ords") for n in names} | {"hard_hits": hits("hard", "hard_ords")})
+    weight = lambda n: F.aggregate(f"{n}_hits", F.lit(0), lambda a, x: a + x["weight"])
+    groups = lambda p: F.array_sort(F.array_distinct(F.transform(F.concat(f"{p}_core_hits", f"{p}_supporting_hits"), lambda x: x["group"])))
+    plain = lambda n: F.transform(f"{n}_hits", lambda x: F.struct(x["keyword"].alias("keyword"), x["weight"].alias("weight"), x["group"].alias("group")))
+    filled = listed.select(
+        key, "profile_id", *(c for c in profiles.columns if c != "id"),
+        *(F.size(f"{p}_core_hits").alias(f"core_{p}_count") for p in ("positive", "negative")), *(weight(f"{p}_supporting").alias(f"supporting_{p}_weight") for p in ("positive", "negative")),
+        (F.size("positive_core_hits") + F.size("positive_supporting_hits") > 0).alias("matched"), *(groups(p).alias(f"{p}_groups") for p in ("positive", "negative")), *(plain(n).alias(f"{n}_matches") for n in names),
+        *(F.coalesce(c, F.lit(False)).alias(c) for c in ("title_core_positive", "title_core_negative")),
+        F.transform("hard_hits", lambda x: x["keyword"]).alias("hard_reject_matches"), (F.size("hard_hits") > 0).alias("hard_reject"),
+    )
     decision, reason = decision_table()
     return filled.withColumns({"decision": decision, "reason": reason})
 

@@ -1,7 +1,9 @@
-"""Keyword matching: word n-grams meet the lexicon in one broadcast join, longest keywords claim their words first."""
+"""Keyword matching: words meet the lexicon in one broadcast join, longest keywords claim their words first."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,40 +22,69 @@ def posts_text(jobs: DataFrame, key: str = "job_uuid") -> DataFrame:
 def lexicon_occurrences(texts: DataFrame, lexicon: DataFrame, max_tokens: int = 4, key: str = "job_uuid") -> DataFrame:
     """Every occurrence of every keyword of a compiled lexicon: key, profile, polarity, tier, ord, first word `pos`, `n_tokens`, `in_title`.
 
-    Only positions and n-grams go through the explode, and only hits come out of the join.
+    A word and the few behind it go through the explode; a broadcast join on the
+    first word leaves only hits. `max_tokens` is the most words a keyword has.
     """
     w = F.col("w")
-    grams = F.flatten(F.transform(w, lambda _, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size(w) - i)), lambda n: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, n), " ").alias("norm"))
-    )))
-    each = texts.where("norm <> ''").select(key, "n_title", F.split("norm", " ").alias("w")).select(key, "n_title", F.explode(grams).alias("g"))
-    terms = lexicon.select(*TIER, "norm", "ord", "n_tokens")
-    return each.select(key, "n_title", "g.pos", "g.norm").join(F.broadcast(terms), "norm").select(
+    behind = lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(1, max_tokens)), F.lit(""))
+    each = texts.where("norm <> ''").select(key, "n_title", F.split("norm", " ").alias("w"))
+    each = each.select(key, "n_title", F.explode(F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), behind(i).alias("behind")))).alias("g")).select(key, "n_title", "g.*")
+    first = F.substring_index("norm", " ", 1)
+    terms = lexicon.select(*TIER, "ord", "n_tokens", first.alias("first"), F.when(F.col("n_tokens") > 1, F.concat(F.substring(F.col("norm"), F.length(first) + 2, F.length("norm")), F.lit(" "))).otherwise("").alias("wanted"))
+    return each.join(F.broadcast(terms), "first").where(F.col("behind").startswith(F.col("wanted"))).select(
         key, *TIER, "ord", "pos", "n_tokens", (F.col("pos") + F.col("n_tokens") <= F.col("n_title")).alias("in_title")
     )
 
 
+SPAN = ("ord", "pos", "n_tokens")
+
+
+def _meets(a: Column, b: Column) -> Column:
+    return (a["pos"] < b["pos"] + b["n_tokens"]) & (b["pos"] < a["pos"] + a["n_tokens"])
+
+
+def laid_out(phrases: str) -> Column:
+    """Of sorted spans those that don't meet an earlier one that stays."""
+    return F.aggregate(
+        phrases, F.array().cast("array<struct<ord:int,pos:int,n_tokens:int>>"),
+        lambda kept, x: F.when(F.exists(kept, lambda k: _meets(k, x)), kept).otherwise(F.array_append(kept, x)),
+    )
+
+
+def covered_by(laid: str) -> Column:
+    return F.flatten(F.transform(laid, lambda s: F.sequence(s["pos"], s["pos"] + s["n_tokens"] - 1)))
+
+
+def kept_ords(laid: str, words: str, covered: str) -> Column:
+    """Keywords of the laid out phrases, and of words with a place outside them."""
+    free = F.filter(words, lambda x: ~F.array_contains(F.col(covered), x["pos"]))
+    return F.array_union(F.transform(laid, lambda s: s["ord"]), F.transform(free, lambda s: s["ord"]))
+
+
 def tier_hits(occurrences: DataFrame, key: str = "job_uuid") -> DataFrame:
     """Keywords (key, profile, polarity, tier, ord) that keep an occurrence when longer ones of their tier take their words first.
 
     Single words never hide a phrase, so only phrases are laid out one after the
     other; a single word counts if one of its places is in no phrase.
     """
-    span = F.struct("ord", "pos", "n_tokens")
+    span = F.struct(*SPAN)
     per = occurrences.where("tier <> 'hard'").groupBy(key, *TIER).agg(
         F.sort_array(F.collect_list(F.when(F.col("n_tokens") > 1, span))).alias("phrases"),
         F.collect_list(F.when(F.col("n_tokens") == 1, span)).alias("words"),
     )
-    meets = lambda a, b: (a["pos"] < b["pos"] + b["n_tokens"]) & (b["pos"] < a["pos"] + a["n_tokens"])
-    laid = F.aggregate(
-        "phrases", F.array().cast("array<struct<ord:int,pos:int,n_tokens:int>>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: meets(k, x)), kept).otherwise(F.array_append(kept, x)),
-    )
-    laid = per.withColumn("laid", laid)
-    covered = F.flatten(F.transform("laid", lambda s: F.sequence(s["pos"], s["pos"] + s["n_tokens"] - 1)))
-    free = F.filter("words", lambda x: ~F.array_contains(F.col("covered"), x["pos"]))
-    ords = F.array_union(F.transform("laid", lambda s: s["ord"]), F.transform(free, lambda s: s["ord"]))
-    return laid.withColumn("covered", covered).select(key, *TIER, F.explode(ords).alias("ord"))
+    laid = per.withColumn("laid", laid_out("phrases")).withColumn("covered", covered_by("laid"))
+    return laid.select(key, *TIER, F.explode(kept_ords("laid", "words", "covered")).alias("ord"))
+
+
+def profile_hits(occurrences: DataFrame, tiers: Sequence[tuple[str, str]], key: str = "job_uuid") -> DataFrame:
+    """All that a post's occurrences say about a profile, in one shuffle: the ords kept in each of `tiers`, title signals, hard-reject ords."""
+    span, several = F.struct(*SPAN), F.col("n_tokens") > 1
+    of = {f"{p}_{t}": (F.col("polarity") == p) & (F.col("tier") == t) for p, t in tiers}
+    lists = [c for name, on in of.items() for c in (F.sort_array(F.collect_list(F.when(on & several, span))).alias(f"{name}_phrases"), F.collect_list(F.when(on & ~several, span)).alias(f"{name}_words"))]
+    title = lambda p: F.bool_or((F.col("polarity") == p) & (F.col("tier") == "core") & F.col("in_title"))
+    per = occurrences.groupBy(key, "profile_id").agg(*lists, title("positive").alias("title_core_positive"), title("negative").alias("title_core_negative"), F.collect_set(F.when(F.col("tier") == "hard", F.col("ord"))).alias("hard_ords"))
+    laid = per.withColumns({f"{n}_laid": laid_out(f"{n}_phrases") for n in of}).withColumns({f"{n}_covered": covered_by(f"{n}_laid") for n in of})
+    return laid.select(key, "profile_id", "title_core_positive", "title_core_negative", "hard_ords", *(kept_ords(f"{n}_laid", f"{n}_words", f"{n}_covered").alias(f"{n}_ords") for n in of))
 
 
 def title_signals(occurrences: DataFrame, key: str = "job_uuid") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sluice.operators import audit, claims, decide, match, parse, review, route
 from sluice.plans import adapters as a
 from sluice.plans import sql
 from sluice.sources import feeds
+from sluice.sources.store import cut, shared_dir
 from sluice.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,14 +107,14 @@ def select_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.FINAL)
 def final_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _classified(spark, sf_dir)
+    found = cut(_classified(spark, sf_dir), "classified")
     return _flat(decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id"))
 
 
 @query(sql.REVIEWED)
 def apply_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third post gets its first candidate, the next none, the last no answer."""
-    found = _classified(spark, sf_dir)
+    found = cut(_classified(spark, sf_dir), "classified")
     decided = decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id")
     said = F.when(F.col("doc_id") % 3 == 0, F.get("candidates", 0)).when(F.col("doc_id") % 3 == 1, "none")
     answers = decided.where("needs_arbitration").select("doc_id", said.alias("selected_category"), F.lit("said so").alias("reason"))
@@ -121,7 +123,7 @@ def apply_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.REPRESENTATIVE)
 def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _classified(spark, sf_dir)
+    found = cut(_classified(spark, sf_dir), "classified")
     return decide.representative(found, decide.select_category(found, "doc_id"), "doc_id").select("doc_id", "profile_id", "decision", "reason")
 
 
@@ -150,9 +152,6 @@ def arbitration_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a stream of files, triaged batch by batch."""
-    from sluice.sources.store import shared_dir
-    from uuid import uuid4
-
     home = f"{shared_dir(spark)}/triage-{uuid4().hex}"
     kind = a.table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")

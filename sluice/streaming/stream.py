@@ -14,12 +14,13 @@ from sluice.functions.identity import job_uuid
 from sluice.operators.claims import TTL_SECONDS, dedup_jobs
 from sluice.operators.decide import classify_all, final_decision, select_category
 from sluice.operators.parse import parse_posts
+from sluice.sources.store import cut
 
 
 def triage(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Decisions for `posts` (identity, job_id, source, text): parse, identify, classify, select."""
     jobs = parse_posts(posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))).dropDuplicates(["job_uuid"])
-    results = classify_all(jobs.select("job_uuid", "title", "description"), profiles, lexicon)
+    results = cut(classify_all(jobs.select("job_uuid", "title", "description"), profiles, lexicon), "classified")
     decided = final_decision(results, select_category(results))
     return jobs.select("job_uuid", "identity", "job_id", "source", "title", "url").join(decided, "job_uuid")
 
