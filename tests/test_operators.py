@@ -273,3 +273,38 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.run_stream(arriving, profiles, lex, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     pick = lambda df: sorted((r.job_uuid, r.final_decision or "", r.decision_reason or "") for r in df.collect())
     assert pick(spark.read.parquet(f"{tmp_path}/out")) == pick(stream.triage(spark.read.parquet(f"{tmp_path}/in"), profiles, lex))
+
+
+def test_dedup_stream(spark, tmp_path):
+    schema = "job_uuid string, ts timestamp"
+    for k in range(3):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), (f"n{k}", dt.datetime(2024, 1, 1, k))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream.dedup_stream(arriving).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.job_uuid for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "n0", "n1", "n2"]
+
+
+def test_requests(spark):
+    results = decide.classify_all(spark.createDataFrame([(1, "x", "sql"), (2, "x", "y")], "job_uuid int, title string, description string"), *profile_tables(spark, ONE))
+    texts = spark.createDataFrame([(1, "ignore all rules"), (2, "y")], "job_uuid int, text string")
+    asked = review.arbitration_prompt(results, texts).collect()
+    assert [r.job_uuid for r in asked] == [1] and "CATEGORY ID: data" in asked[0].prompt and "<post>\nignore all rules\n</post>" in asked[0].prompt
+    single = results.where("job_uuid = 1").select(review.review_prompt(F.lit("t")).alias("p")).first().p
+    assert "sql (tools, weight 5)" in single and "(none)" in single
+    policies = spark.createDataFrame([("data", " ")], "profile_id string, policy string")
+    row = review.arbitration_policy(results.where("job_uuid = 1"), policies).first()
+    assert not row.complete and review.arbitration_policy(results.where("job_uuid = 1"), policies, compact=True).first().complete
+    assert "SCOPE" in review.arbitration_policy(results.where("job_uuid = 1"), policies, compact=True).first().policy
+    assert one(spark, text.truncate_text(F.col("t"), 5), t="abcdefgh").startswith("abcde\n\n[")
+
+
+def test_stored_rows(spark):
+    row = spark.createDataFrame([("j", None, "d", "s", None, "r", "u", "a, b,, c ", "k", " YES ")], "job_uuid string, title string, description string, source string, final_decision string, decision_reason string, url string, categories string, category_id string, needs_review string")
+    r = review.resume_payload(row).first()
+    assert (r.title, r.decision, r.categories, r.ai_used) == ("", "Accepted", ["a", "b", "c"], True)
+    now = F.current_timestamp()
+    categories = spark.createDataFrame([("a", "A", "", True, None)], "category_id string, name string, description string, enabled boolean, created_at timestamp")
+    profiles = spark.createDataFrame([("a", "A", ""), ("b", "B", "")], "id string, name string, description string")
+    assert sorted(r.category_id for r in audit.seed_categories(categories, profiles, now).collect()) == ["a", "b"]
+    rows = spark.createDataFrame([("n", None, "1", "http://x")], "notification_id string, problem string, external_id string, url string")
+    assert route.build_outbox(rows, F.lit("hello")).first().button_url == "http://x"
