@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a probability of (1 - 0.8^5)^25, 5 in 100,000.
 BANDS, ROWS = 25, 5
 #: Rounds with one pivot a bucket before the pairs that are left.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 #: A pivot's shingles are sent along with at most about this many partners.
 PARTNERS = 256
 #: Members and queries in a block of the last round.
@@ -152,8 +152,10 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The `pairs` (a, b; a table) of documents whose bags overlap enough; a's bag is dealt to groups of its partners."""
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("n"))
-    dealt = small_side(cut(pairs.join(split, "a").select("a", "b", F.pmod(F.hash("b"), F.col("n")).alias("part")), "near-dealt"), BROADCAST_ROWS)
-    parts = small_side(cut(split.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")), "near-parts"), BROADCAST_ROWS)
+    dealt = pairs.join(split, "a").select("a", "b", F.pmod(F.hash("b"), F.col("n")).alias("part"))
+    parts = split.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    if pairs.count() <= BROADCAST_ROWS:
+        dealt, parts = F.broadcast(dealt), F.broadcast(parts)
     left = held.select(F.col("doc").alias("a"), F.col("bag").alias("bag_a")).join(parts, "a")
     right = held.select(F.col("doc").alias("b"), F.col("bag").alias("bag_b")).join(dealt, "b")
     return right.join(left, ["a", "part"]).where(overlap("bag_a", "bag_b") >= THRESHOLD).select("a", "b")
@@ -161,8 +163,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Lowest member `low` of the connected component of each node of `edges` (a, b)."""
-    both = cut(edges.where("a <> b").distinct(), "near-edges")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "near-edges")
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "near-labels")
     while True:
         # the lowest label next door, then the label of that label: paths halve
@@ -279,12 +280,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
             rest = bounded(met.select("bucket", "doc", "low"), held)
             mixed = rest.groupBy("bucket").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("bucket")
             links = cut(block_links(cut(rest.join(mixed, "bucket"), "near-rest"), held), "near-links")
+        live = met.where("doc <> pivot").select("bucket", "doc")
+        if links.isEmpty():
+            continue
         # classes linked by a pair become one
         of = lambda c: label.select(F.col("doc").alias(c), F.col("low").alias(f"low_{c}"))
         merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
         merged = merged.select(F.col("a").alias("low"), F.col("low").alias("into"))
         label = cut(label.join(merged, "low", "left").select("doc", "met", F.coalesce("into", "low").alias("low")), "near-classes")
-        live = met.where("doc <> pivot").select("bucket", "doc")
     return prints.join(label, "doc", "left").select("key_id", "key_text", "doc", F.coalesce("low", "doc").alias("class"))
 
 
