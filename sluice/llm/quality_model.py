@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, join_by, row_key
+from sluice.llm.common import cut, join_by, lowest_hashes, row_key
 from sluice.llm.quality_rules import text_stats
 
 #: Documents whose score is at least this are predicted to be good.
@@ -154,7 +154,8 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, t
     stats = cut(text_stats(docs).select("doc_id", "key_text", *(v.alias(k) for k, v in features().items())), "quality-features")
     names = list(features())
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    train = stats.where(~held_out()).join(label, "doc_id").orderBy(F.xxhash64("doc_id"), *names).limit(max_rows).toPandas()
+    labelled = cut(stats.where(~held_out()).join(label, "doc_id"), "quality-labelled")
+    train = lowest_hashes(labelled, max_rows, "doc_id", *names).toPandas()
     model = fit(train[names].to_numpy(float), (train["quality"] > 0).to_numpy(float))
 
     @F.pandas_udf("double")
