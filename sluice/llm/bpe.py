@@ -132,7 +132,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for block in _blocks(texts):
+        for block in text_blocks(texts):
             cut = [self.pieces(t) for t in block]
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
@@ -151,7 +151,7 @@ class Codec:
         return b"".join(map(self.v["bytes"].__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def text_blocks(texts: list[str]) -> Iterator[list[str]]:
     block, chars = [], 0
     for t in texts:
         block.append(t)

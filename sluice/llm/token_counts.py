@@ -29,21 +29,28 @@ CONTEXT = 4
 _NEXT = regex.compile(bpe.PATTERN)
 
 
-def leaves(codec: bpe.Codec, text: str) -> tuple[list[int], list[int]]:
-    """Characters and tokens of each block of a text."""
-    pieces = codec.pieces(text)
+def leaves(codec: bpe.Codec, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Characters and tokens of each block, text by text; the new words of all texts are encoded together."""
+    cut_ = [codec.pieces(t) for t in texts]
     special = {i: len(t) for t, i in codec.v["special"].items()}
-    codec.learn({p for p in pieces if isinstance(p, str)})
-    size = [special[p] if p in special else len(p) for p in pieces]
-    count = [1 if p in special else len(codec.known[p]) // 4 for p in pieces]
-    at = range(0, len(pieces), BLOCK)
-    return [sum(size[i : i + BLOCK]) for i in at], [sum(count[i : i + BLOCK]) for i in at]
+    codec.learn(set().union(*cut_) - special.keys())
+    out = []
+    for pieces in cut_:
+        try:
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            count = np.fromiter(map(len, map(codec.known.__getitem__, pieces)), np.int64, len(pieces)) // 4
+        except (TypeError, KeyError):  # special tokens are numbers
+            size = np.array([special[p] if p in special else len(p) for p in pieces], np.int64)
+            count = np.array([1 if p in special else len(codec.known[p]) // 4 for p in pieces], np.int64)
+        at = np.arange(0, len(pieces), BLOCK)
+        out.append((np.add.reduceat(size, at), np.add.reduceat(count, at)) if len(pieces) else (size, count))
+    return out
 
 
 class Tree:
     """Sums over leaves, level by level; `total` is the root."""
 
-    def __init__(self, leaf: list[int]) -> None:
+    def __init__(self, leaf: list[int] | np.ndarray) -> None:
         self.levels = [np.array(leaf, np.int64)]
         while len(self.levels[-1]) > 1:
             self.levels.append(np.add.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), FAN)))
@@ -66,7 +73,7 @@ class Tree:
         del self.levels[k + 1 :]
 
 
-def recount(codec: bpe.Codec, text: str, chars: list[int], tokens: list[int], edits: list[tuple[int, int, str]]) -> tuple[str, Tree, int]:
+def recount(codec: bpe.Codec, text: str, chars: list[int] | np.ndarray, tokens: list[int] | np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[str, Tree, int]:
     """The edited text, its tree, and how many pre-tokens were encoded anew. Edits are (start, end, new text) in order, apart from each other."""
     parts, last = [], 0
     for a, b, new in edits:
@@ -74,7 +81,7 @@ def recount(codec: bpe.Codec, text: str, chars: list[int], tokens: list[int], ed
         last = b
     now = "".join([*parts, text[last:]])
     if codec.special and (codec.special.search(text) or codec.special.search(now)):  # special tokens cut the text before the pattern does
-        tree = Tree(leaves(codec, now)[1])
+        tree = Tree(leaves(codec, [now])[0][1])
         return now, tree, len(codec.pieces(now))
     starts = np.append(0, np.cumsum(chars, dtype=np.int64)).tolist()
     tree, changed = Tree(tokens), []
@@ -121,15 +128,14 @@ def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(shared)
         for batch in batches:
-            chars, tokens = [], []
-            for t in batch.column(2):
+            found = []
+            for block in bpe.text_blocks([t or "" for t in batch.column(2).to_pylist()]):
                 if len(codec.known) > bpe.CACHE_WORDS:
                     codec.known.clear()
-                c, k = leaves(codec, t.as_py() or "")
-                chars.append(c)
-                tokens.append(k)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chars, kind), pa.array(tokens, kind)], names=["key_id", "key_text", "chars", "tokens"])
+                found += leaves(codec, block)
+            at = pa.array(np.append(0, np.cumsum([len(c) for c, _ in found])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]).astype(np.int32))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["key_id", "key_text", "chars", "tokens"])
 
     keyed = docs.select(*row_key(), "text")
     schema = StructType(keyed.schema.fields[:2]).add("chars", ArrayType(IntegerType())).add("tokens", ArrayType(IntegerType()))
