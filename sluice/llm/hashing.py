@@ -62,7 +62,7 @@ class Words:
         """Hash of the `size` words from each word on, and whether they are of one text."""
         n = len(hashes)
         out = np.zeros(n, np.uint64)
-        for k in range(size):
+        for k in range(min(size, n)):
             part = hashes[k:] if k else hashes
             out[: n - k] = mix(out[: n - k] * np.uint64(3) + part) if k else part
         whole = np.zeros(n, bool)

@@ -63,6 +63,24 @@ def test_words_and_hashes():
     assert len({tuple(x) for x in zip(h.tolist(), (x for _, x in found), strict=True)}) == len(set(h.tolist()))
 
 
+def test_sequences_of_few_words():
+    for size in (5, 8):
+        for n in range(10):
+            w = hashing.Words([" ".join(f"w{k}" for k in range(n))])
+            h = w.hashes()
+            seq, whole = w.sequences(size, h)
+            assert len(seq) == n and whole.sum() == max(n - size + 1, 0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 8])
+def test_a_table_of_one_short_text(spark, n):
+    short = " ".join(f"w{k}" for k in range(n))
+    ((doc_id, n_words, n_removed, kept),) = substrings.substring_dedup(frame(spark, [(1, short)])).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert (doc_id, n_words, n_removed, kept) == (1, n, 0, short)
+    rows = minhash.near_duplicates(frame(spark, [(1, short), (2, short)]).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in rows) == [(1, 1, 2), (2, 1, 2)]
+
+
 def brute_substrings(rows, window=35):
     words = [WORD.findall(t or "") for _, t in rows]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
