@@ -233,6 +233,19 @@ def test_secrets(spark):
         assert all(b <= x or y <= a for _, a, b in base for k, x, y in out[i] if k == "model")
 
 
+def test_secret_threshold_keeps_the_recall():
+    # secrets that can't be told from as many times more others: all score far below one half
+    rng = random.Random(2)
+    windows = ["".join(rng.choice("abcdef0123456789") for _ in range(64)) for _ in range(1200)]
+    windows = windows if isinstance(secrets.CANDIDATE.pattern, str) else [w.encode() for w in windows]
+    labels = np.arange(1200) % 12 == 0
+    order = np.random.default_rng(11).permutation(1200)
+    back = [order[k] for k in range(0, 1200, 5) if labels[order[k]]]
+    net = secrets.fit(windows, labels)
+    z = net.scale * net.logit(secrets.codes([windows[k] for k in back])) + net.shift
+    assert np.mean(1 / (1 + np.exp(-z)) >= net.threshold - 1e-6) >= secrets.RECALL
+
+
 def test_token_counts(spark, rows):
     codec = bpe.Codec(bpe.load(bpe.default_path()))
     some = [*rows, (800, "call 123456789 or 1234567890123 now"), (801, "0" * 50), (802, "<|endoftext|> 99999999999")]
