@@ -246,6 +246,24 @@ def test_secret_threshold_keeps_the_recall():
     assert np.mean(1 / (1 + np.exp(-z)) >= net.threshold - 1e-6) >= secrets.RECALL
 
 
+def planted_secrets(spark, found):
+    """For texts that hold one of the strings `found`, whether the network adds a span that is it; and its spans in prose."""
+    rng = random.Random(12)
+    letters, hexes = "bcdfghjklmnprstvw", "0123456789abcdef"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(rng.randint(1, 8)))
+    prose = lambda n: " ".join(word() if rng.random() < 0.85 else str(rng.randrange(10**15, 10**16)) for _ in range(n))
+    rows = [(k, prose(60) + (f' token = "{"".join(rng.choice(hexes) for _ in range(40))}" {prose(5)}' if k % 2 else "")) for k in range(300)]
+    rows += [(1000 + k, f"{prose(9)} {x} {prose(9)}") for k, x in enumerate(found)]
+    texts_ = dict(rows)
+    out = {r.doc_id: [texts_[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "model"] for r in secrets.secret_scan(frame(spark, rows), 400).collect()}  # few of the unlabelled are in the sample, as in large corpora
+    return [x in out[1000 + k] for k, x in enumerate(found)], sum(len(out[k]) for k in range(300))
+
+
+def test_secrets_short_or_of_letters_alone_are_found(spark):
+    hit, in_prose = planted_secrets(spark, ["QmFzZVNpeHRGcktleQxLpaWv", "Zk3v9QpL2x", "tRqWxZbVnKpLmJhGfDsY", "X7Q9ZK2M4VTB", "q8Zr-Wk_3TxLp"])
+    assert sum(hit) >= 4 and in_prose <= 30, (hit, in_prose)
+
+
 def test_token_counts(spark, rows):
     codec = bpe.Codec(bpe.load(bpe.default_path()))
     some = [*rows, (800, "call 123456789 or 1234567890123 now"), (801, "0" * 50), (802, "<|endoftext|> 99999999999")]
