@@ -264,6 +264,17 @@ def test_secrets_short_or_of_letters_alone_are_found(spark):
     assert sum(hit) >= 4 and in_prose <= 30, (hit, in_prose)
 
 
+def test_secrets_late_in_a_long_token_are_found(spark):
+    path = "/content/pages/static/archive/pictures/mountains/rivers/"
+    hit, in_prose = planted_secrets(spark, [path + "credential=Zk3v9QpLm2Xw8Rt5Yb1NcV7qHs4D", path + "Zk3v9QpLm2Xw8Rt5Yb1NcV7qHs4D"])
+    assert all(hit) and in_prose <= 30, (hit, in_prose)
+    long = "a/" * 40 + "Zk3v9QpLm2Xw"
+    s = secrets.scan([long, "x" * 40, "y" * 41, "short"])
+    assert s.token.tolist() == [0, 0, 0, 0, 1, 2, 2]
+    assert b"Zk3v9QpLm2Xw" in s.raw[3].tobytes()
+    assert len({r.tobytes() for r in s.raw[:4]}) > 1
+
+
 def test_token_counts(spark, rows):
     codec = bpe.Codec(bpe.load(bpe.default_path()))
     some = [*rows, (800, "call 123456789 or 1234567890123 now"), (801, "0" * 50), (802, "<|endoftext|> 99999999999")]
