@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sluice.llm.common import cut, join_by, row_key, small_side
 
 WINDOW = 10
+#: Words put in or left out that op10_proximity allows in a window.
+SLOP = 2
 BROADCAST_ROWS = 200_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,15 +81,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
 
     n_words; n_hit, the words inside any occurrence of a test window; items,
     the ids of items with occurring windows (none: empty); hits, those places as
-    `at` (first word, from 0) and `size`. With `slop` also n_near, the number
-    of windows whose two rarest terms are at most `slop` words off their
-    distance though the phrase isn't there. An item with fewer words than
+    `at` (first word, from 0) and `size`. With `slop` also proximity
+    matches of windows whose phrase isn't in the row: places where the three
+    rarest terms are at most `slop` words off their distances, and all words of
+    the window but `slop` are in it at most `slop` words off their place. They
+    come as n_near (number of windows), near_items (ids) and near (places as
+    `at`, where the window would begin by its rarest term, and `size`). A window
+    of which one of the three rarest terms was left out isn't among them. An item with fewer words than
     `size` is one window; null and empty texts and items have no words, items
     without id are left out. Equal rows get equal results; an empty table on
     either side gives no hits. Columns of `docs` with the names of the results
     are replaced.
     """
-    own = docs.drop("n_words", "n_hit", "items", "hits", "n_near")
+    own = docs.drop("n_words", "n_hit", "items", "hits", "n_near", "near_items", "near")
     key = ["key_id", "key_text"]
     windows = cut(test_windows(items.where(F.col("item_id").isNotNull()), size), "test-windows")
     texts, filed, postings = positional_index(own, windows)
@@ -114,11 +120,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     columns = ["row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", items.schema["item_id"].dataType.simpleString()), none("hits", "struct<at:int,size:int>")]
     if slop is None:
         return out.select(*columns)
-    off = begun.withColumn("p2", F.explode(F.array(*(F.col("pos") + F.col("d2") + k for k in range(-slop, slop + 1)))))
-    exact = found.select(*key, F.explode("hits.window").alias("window"))
-    near = _holding(off, postings, "t2", "p2").select(*key, "window").distinct()
-    near = join_by(near, exact, [*key, "window"], "left_anti").groupBy(*key).agg(F.count("*").alias("n_near"))
-    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    def within(places: DataFrame, term: str, apart: str) -> DataFrame:
+        every = F.explode(F.array(*(F.col("pos") + F.col(apart) + k for k in range(-slop, slop + 1))))
+        return _holding(places.withColumn("p", every), postings, term, "p").drop("p").distinct()
+
+    started = postings.join(small_side(filed, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("at"))
+    close = within(within(started, "t2", "d2"), "t3", "d3").select(*key, "window", "start").distinct()
+    exact = found.select(*key, F.explode("hits.window").alias("window")).distinct()
+    close = cut(join_by(close, exact, [*key, "window"], "left_anti").join(small_side(windows, BROADCAST_ROWS), "window"), "near-places")
+    close = join_by(close.withColumnRenamed("w", "asked"), texts.dropDuplicates(key), key, "inner").withColumn("w", F.split("words", " "))
+    place = lambda i: F.col("start") + i
+    around = lambda i: F.slice("w", F.greatest(place(i) - slop, F.lit(0)) + 1, F.greatest(place(i) + slop + 1 - F.greatest(place(i) - slop, F.lit(0)), F.lit(0)))
+    there = F.size(F.filter("asked", lambda x, i: F.array_contains(around(i), x)))
+    near = close.where(there >= F.greatest(F.size("asked") - slop, F.lit(1))).groupBy(*key).agg(
+        F.countDistinct("window").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"),
+        F.array_sort(F.collect_set(F.struct(F.col("start").cast("int").alias("at"), F.size("asked").alias("size")))).alias("near"),
+    )
+    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"), none("near_items", items.schema["item_id"].dataType.simpleString()), none("near", "struct<at:int,size:int>"))
 
 
 ORACLE = rf"""

@@ -360,6 +360,20 @@ def test_proximity(spark):
     assert out[1] == (10, 0) and out[2][0] == 0 and out[3] == (0, 0)
 
 
+def test_registered_query_finds_proximity(spark, tmp_path):
+    from sluice.llm.queries import queries
+
+    item = "red fox jumps over nine lazy dogs while bears sleep"
+    put_in, left_out = item.replace("over", "high over"), item.replace("jumps ", "")
+    rare_three = "bears x x x x x x x dogs fox"
+    frame(spark, [(1, item), (2, put_in), (3, left_out), (4, "nothing like it"), (5, f"see {put_in} and on"), (6, rare_three), (7, None), (8, "jumps"), (10, "jumps")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: (r.n_hit, r.contaminated, r.n_near, r.near_items, [x["size"] for x in r.near]) for r in queries()["op10_proximity"](spark, str(tmp_path)).collect()}
+    assert out[1] == (10, True, 0, [], [])
+    assert all(out[k][:4] == (0, False, 1, [9]) and set(out[k][4]) == {10} for k in (2, 3, 5)), out
+    assert all(out[k] == (0, False, 0, [], []) for k in (4, 6, 7))
+
+
 @pytest.mark.parametrize("name", ["substring_dedup", "quality_rules", "bpe_codec", "near_duplicates", "line_dedup", "secret_scan", "token_counts", "decontaminate", "quality_model", "url_filter"])
 def test_empty_tables(spark, name):
     docs = frame(spark, [])
