@@ -200,6 +200,13 @@ def channel_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.channel_backlog(a.messages(spark, sf_dir), seen, 20).select("chat_id", "msg_id", F.col("backlog_rank").cast("long").alias("backlog_rank"))
 
 
+@query(sql.BACKLOG.replace("k <= 20", "k <= 2000"))
+def channel_backlog_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """channel_backlog with the operator's own limit."""
+    seen = a.messages(spark, sf_dir).where("chat_id % 3 <> 0").groupBy("chat_id").agg(F.min("msg_id").alias("last_id"))
+    return feeds.channel_backlog(a.messages(spark, sf_dir), seen).select("chat_id", "msg_id", F.col("backlog_rank").cast("long").alias("backlog_rank"))
+
+
 @query("""SELECT chat_id, last_id FROM (SELECT user_id AS chat_id, CASE WHEN user_id % 3 = 0 THEN max(event_id) ELSE min(event_id) END AS last_id FROM events GROUP BY user_id)""")
 def seed_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = a.messages(spark, sf_dir).where("chat_id % 3 <> 0").groupBy("chat_id").agg(F.min("msg_id").alias("last_id"))
@@ -232,6 +239,24 @@ def feed_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_catchup(feeds.paged_feed(every, 7), seen).select("poll_source", "uid", "page", F.col("arrival").cast("long").alias("arrival"))
 
 
+def _full_pages(twin: str) -> str:
+    return twin.replace("(k - 1) // 7", "(k - 1) // 30").replace("k <= 70", "k <= 300")
+
+
+@query(_full_pages(sql.PAGED))
+def paged_feed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paged_feed with the operator's own page size."""
+    return feeds.paged_feed(_projects(spark, sf_dir)).select("poll_source", "uid", "page")
+
+
+@query(_full_pages(sql.CATCHUP))
+def feed_catchup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feed_catchup with the operator's own page size."""
+    every = _projects(spark, sf_dir)
+    seen = every.where("uid % 37 = 0 and poll_source not like 'view%'")
+    return feeds.feed_catchup(feeds.paged_feed(every), seen).select("poll_source", "uid", "page", F.col("arrival").cast("long").alias("arrival"))
+
+
 @query("""SELECT count(*) AS n, sum(seen_seq)::BIGINT AS total FROM (SELECT event_id AS seen_seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE event_id % 2 = 0 OR value > 5) WHERE k <= 500""")
 def trim_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.events(spark, sf_dir).select(F.col("event_type").alias("poll_source"), F.col("event_id").cast("string").alias("uid"), F.col("event_id").alias("seen_seq"), (F.col("value") > 5).alias("ok"))

@@ -37,3 +37,12 @@ def test_query(spark, duck, name):
     twin = duck.sql(SQL[name]).df()
     assert sorted(found.columns) == sorted(twin.columns)
     assert plain(found) == plain(twin)
+
+
+@pytest.mark.parametrize(("name", "most"), [("channel_backlog", 20), ("paged_feed", 70)])
+def test_whole_queries_go_past_the_small_caps(spark, name, most):
+    data = DATA.parent / "sf0.01"
+    if not data.is_dir():
+        pytest.skip("no tables here")
+    rows = QUERIES[f"{name}_whole"](spark, str(data)).toPandas()
+    assert rows.groupby(rows.columns[0]).size().max() > most
