@@ -374,6 +374,25 @@ def test_registered_query_finds_proximity(spark, tmp_path):
     assert all(out[k] == (0, False, 0, [], []) for k in (4, 6, 7))
 
 
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_line_dedup", "op10_decontamination"])
+def test_registered_queries_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    from sluice.llm import queries
+
+    listed = list(enumerate(texts()))
+    docs = [t for _, t in listed if t and len(t.split()) > 40]
+    frame(spark, listed).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(docs[k].split()[5:30])) for k in range(6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = queries.queries()[name](spark, str(tmp_path))
+    twin = con.sql(queries.oracle_sql()[name])
+    assert sorted(found.columns) == sorted(twin.columns)
+    assert sorted(map(tuple, found.select(*twin.columns).collect())) == sorted(twin.fetchall())
+
+
 @pytest.mark.parametrize("name", ["substring_dedup", "quality_rules", "bpe_codec", "near_duplicates", "line_dedup", "secret_scan", "token_counts", "decontaminate", "quality_model", "url_filter"])
 def test_empty_tables(spark, name):
     docs = frame(spark, [])
