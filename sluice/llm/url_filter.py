@@ -1,12 +1,17 @@
 """URL filter: fixed host rules first, association rules mined from labels for the rest.
 
-FP-growth finds token combinations that go with bad labels. Rules pruned by
-confidence and support are matched through an inverted index: each rule is
-filed under its rarest token, so a page looks up only its own tokens.
+FP-growth finds the token combinations that are frequent among pages with bad
+labels. How many pages have each in all is counted through an inverted index, in
+which a combination is filed under its rarest token. A combination is a rule if
+bad labels are clearly more frequent with it than at large: by confidence, by a
+bound on it that few pages loosen, and by no shorter rule doing as well. Rules
+are matched through the same kind of index: a page looks up only its own tokens.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +21,13 @@ from sluice.llm.common import cut, join_by, small_side
 #: (host, path, verdict): the longest rule that fits wins.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_HOST_RULES = 1000
-MIN_CONFIDENCE = 0.6
-#: Share of labelled pages, and number of labelled pages, that a token combination must cover.
-MIN_SUPPORT = 0.002
-MIN_COUNT = 20
+#: How many times as frequent as at large bad labels must be with a rule.
+MIN_LIFT = 1.5
+#: Standard errors by which a rule's confidence must be above the share of bad labels (one-sided 95 %).
+MARGIN = 1.645
+#: Share of labelled pages, and number of labelled pages, that must have a token combination and a bad label.
+MIN_SUPPORT = 0.0005
+MIN_COUNT = 5
 #: Rules up to this many tables rows are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,7 +53,7 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Col
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: host parts, path parts without ids, names of parameters, extension, fragment."""
+    """Distinct tokens of a url: words of the host, path parts without ids, names of parameters, extension, fragment."""
 
     def tagged(tag: str, parts: Column) -> Column:
         return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
@@ -53,20 +61,60 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     named = F.filter(F.split(path, "/"), lambda x: ~x.rlike(r"^\d+(\.\w+)?$"))
     return F.array_sort(F.array_distinct(F.concat(
-        tagged("host:", F.split(host, r"\.")), tagged("word:", F.split(host, r"[.-]")), tagged("path:", named),
+        tagged("host:", F.split(host, r"[.-]")), tagged("path:", named),
         tagged("param:", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1))),
         tagged("ext:", F.array(F.regexp_extract(path, r"\.(\w{1,8})$", 1))), tagged("frag:", F.array(F.regexp_extract(url, r"#(\w*)", 1))),
     )))
 
 
-def mine(labelled: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """Rules (antecedent, confidence, support) "these tokens go with a bad label", from rows with `items`."""
-    data = labelled.select(F.array_append("items", F.when(bad, "label:bad").otherwise("label:good")).alias("items"))
-    n = data.count()
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, min_count / max(n, 1))), minConfidence=min_confidence).fit(data)
-    return model.associationRules.where((F.element_at("consequent", 1) == "label:bad") & (F.col("lift") > 1)).select(
-        F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
-    )
+def filed(antecedents: DataFrame, rows: DataFrame) -> DataFrame:
+    """`antecedents` with `item`, of their tokens the one that the fewest `rows` (items, n) have; those that none has are left out."""
+    spread = rows.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("spread"))
+    each = antecedents.select("antecedent", F.explode("antecedent").alias("item")).join(small_side(cut(spread, "url-spread"), BROADCAST_ROWS), "item")
+    rarest = each.groupBy("antecedent").agg(F.min_by("item", F.struct("spread", "item")).alias("item"))
+    return cut(antecedents.join(rarest, "antecedent"), "url-index")
+
+
+def matched(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """`rows` with the entries of a `filed` index whose tokens they all have."""
+    return rows.withColumn("item", F.explode("items")).join(small_side(index, BROADCAST_ROWS), "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+
+
+def mine(labelled: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT, margin: float = MARGIN) -> DataFrame:
+    """Rules (antecedent, n, n_bad, confidence, lift) "these tokens go with a bad label", from rows with `items`.
+
+    n and n_bad are the labelled rows with all tokens, and the bad ones of them.
+    The confidence n_bad / n is at least `min_lift` times the share of bad rows,
+    and the lower end of its score interval (`margin` standard errors) is above
+    that share. n_bad is at least `min_count` and `min_support` of all rows.
+    Rows with equal tokens are counted first. Tokens that all rows have say
+    nothing and are left out, as is a rule with a shorter one in it, by one
+    token, that has at least its confidence. Without good or bad rows there are
+    no rules.
+    """
+    learnt = cut(labelled.select("items", bad.alias("bad")), "url-labelled")
+    rows = cut(learnt.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")), "url-rows")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bad"), F.lit(0)).alias("n_bad")).first()
+    least = max(min_count, math.ceil(min_support * total["n"]))
+    everywhere = rows.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") == total["n"]).select(F.col("item").alias("common"))
+    common = everywhere.agg(F.collect_list("common").alias("common")).first()["common"]  # at most as many as the shortest row has
+    own = F.array_except("items", F.array(*map(F.lit, common)).cast("array<string>"))
+    told = rows.withColumn("items", own)
+    if total["n_bad"] < least:
+        candidates = told.select(F.col("items").alias("antecedent"), F.col("n").alias("n_bad")).limit(0)
+    else:
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total["n_bad"]).fit(learnt.where("bad").select(own.alias("items"))).freqItemsets
+        candidates = sets.where(F.col("freq") >= least).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n_bad"))
+    candidates = cut(candidates, "url-candidates")
+    counted = matched(told.select("items", "n"), filed(candidates, told)).groupBy("antecedent", "n_bad").agg(F.sum("n").alias("n"))
+    base = total["n_bad"] / max(total["n"], 1)
+    share, z = F.col("n_bad") / F.col("n"), margin
+    low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
+    rules = counted.where((share >= min_lift * base) & (low > base)).select("antecedent", "n", "n_bad", share.alias("confidence"), (share / base if base else F.lit(0.0)).alias("lift"))
+    rules = cut(rules, "url-rules")
+    shorter = rules.where(F.size("antecedent") > 1).select("antecedent", "confidence", F.explode("antecedent").alias("item")).select("antecedent", "confidence", F.array_except("antecedent", F.array("item")).alias("part"))
+    idle = shorter.join(rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("of_part")), "part").where("of_part >= confidence").select("antecedent")
+    return rules.join(idle.distinct(), "antecedent", "left_anti")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=HOST_RULES) -> DataFrame:
@@ -84,13 +132,10 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=HOST_RULES) -> DataFra
     items = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(tokens(F.col("url"), F.col("host"), F.col("path")))
     seen = cut(parsed.select("page_id", F.xxhash64("url").alias("key_url"), "host", "path", name.alias("rule"), verdict.alias("rule_verdict"), items.alias("items")), "urls")
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
-    learnt = cut(seen.join(label, "page_id").select("items", "quality"), "urls-labelled")
-    mined = cut(mine(learnt, F.col("quality") == 0), "url-rules")
-    spread = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    filed = mined.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\n"))).select("*", F.explode("antecedent").alias("item")).join(spread, "item")
-    index = cut(filed.groupBy("rule_id").agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence")), "url-index")
-    looked_up = seen.where("rule is null").dropDuplicates(["page_id", "key_url"]).select("page_id", "key_url", "items", F.explode("items").alias("item"))
-    hits = looked_up.join(small_side(index, BROADCAST_ROWS), "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    mined = cut(mine(seen.join(label, "page_id").select("items", "quality"), F.col("quality") == 0), "url-mined")
+    open_ = seen.where("rule is null")
+    index = filed(mined.select("antecedent", "confidence"), open_.select("items", F.lit(1).alias("n")))
+    hits = matched(open_.dropDuplicates(["page_id", "key_url"]).select("page_id", "key_url", "items"), index)
     best = hits.groupBy("page_id", "key_url").agg(F.max("confidence").alias("confidence"))
     return join_by(seen, best, ["page_id", "key_url"]).select(
         "page_id", "host", "path", "rule",
