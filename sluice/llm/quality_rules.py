@@ -2,8 +2,14 @@
 
 All of it is built-in Spark functions. One pass over the texts leaves a few
 numbers per document in a table; the vote patterns of all documents (at most
-3^9, whatever the corpus) are counted, and each round of
+3^11, whatever the corpus) are counted, and each round of
 expectation-maximisation is one aggregation over those counts.
+
+The model has one class of good documents and one of each kind of junk (KINDS),
+with the probabilities of every rule's votes in each. A kind starts out as what
+its own rules vote against; pseudo-documents keep it from drifting off. A rule
+whose alarms the others of its kind don't share comes out as inaccurate, so its
+lone alarm is outvoted. The posterior quality is that of the class of good ones.
 """
 
 from __future__ import annotations
@@ -23,13 +29,16 @@ MAX_REPEAT_PERCENT = 50
 #: Documents whose posterior probability of being good is at least this are kept.
 KEEP_AT = 0.5
 ROUNDS = 15
-#: Pseudo-counts of (good vote, abstention, bad vote) for a good and for a bad document, as a share of all documents.
-PRIOR = {"good": (0.8, 0.19, 0.01), "bad": (0.45, 0.2, 0.35)}
-PRIOR_WEIGHT = 0.02
-#: A rule says "bad" of at most this share of good documents: the rules are alarms, and without the bound a kind of junk that only one rule sees would pass as good.
-MAX_FALSE_ALARM = 0.002
-#: A rule says "good" of at least this share of bad documents: junk of one kind passes the rules for other kinds.
-MIN_FALSE_PRAISE = 0.8
+#: Kinds of junk, and the rules that see each: two or more, so that they bear each other out.
+KINDS = {
+    "markup": ("symbols", "symbol_runs"), "list": ("symbols", "bare_words"), "shouting": ("capitals", "marks"),
+    "repetition": ("repeats", "lines", "variety"), "form": ("word_length", "sentences"),
+}
+#: Where expectation-maximisation starts: the share of good documents, and probabilities of a good vote, an abstention and a bad vote for good documents, and for junk from its own and from other rules.
+START = 0.9
+GOOD, OWN, OTHER = (0.85, 0.14, 0.01), (0.2, 0.2, 0.6), (0.6, 0.25, 0.15)
+#: Each class has pseudo-documents that vote as at the start: as many as this share of all documents, and one more.
+PRIOR_SHARE = 0.005
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -48,6 +57,8 @@ def text_stats(docs: DataFrame) -> DataFrame:
         "doc_id", "key_text", "w", n.alias("n"), lines.alias("l"), gram.alias("g"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).alias("n_symbols"),
+        F.regexp_count("t", F.lit(SYMBOLS + "{2,}")).alias("n_runs"),
+        F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).alias("n_bare"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.regexp_count("t", F.lit(r"[!?]")).alias("n_marks"),
         F.regexp_count("t", F.lit(r"[.!?](?:\s|$)")).alias("n_ends"),
@@ -74,7 +85,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
-        long("n_upper"), long("n_marks"), long("n_ends"),
+        long("n_runs"), long("n_bare"), long("n_upper"), long("n_marks"), long("n_ends"),
     )
 
 
@@ -91,61 +102,68 @@ def votes() -> dict[str, Column]:
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     return {
         "symbols": vote(rate("n_symbols") > 0.1, rate("n_symbols") < 0.03),
+        "symbol_runs": vote(rate("n_runs") > 0.02, rate("n_runs") < 0.005),
+        "bare_words": vote(rate("n_bare") > 0.15, rate("n_bare") < 0.05),
         "capitals": vote(upper > 0.45, upper < 0.2),
         "marks": vote(rate("n_marks") > 0.3, rate("n_marks") < 0.08),
         "repeats": vote(rate("n_repeat_words") > 0.35, rate("n_repeat_words") < 0.2),
         "lines": vote(dup > 0.3, (F.col("n_lines") > 1) & (dup < 0.1)),
         "variety": vote(rate("n_distinct") < 0.08, rate("n_distinct") > 0.2),
         "word_length": vote((mean < 2) | (mean > 15), (mean > 3) & (mean < 12)),
-        "sentences": vote(F.lit(False), rate("n_ends") > 0.01),
+        "sentences": vote(rate("n_ends") < 0.003, rate("n_ends") > 0.01),
         "length": vote(F.lit(False), F.col("n_words") >= 60),
     }
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
-    """Class-conditional vote probabilities and the share of good documents, by expectation-maximisation.
+def pattern(rules: dict[str, Column]) -> Column:
+    """The votes as one number: digit k to base 3 is rule k's vote, 2 for good."""
+    return sum(((v + 1) * 3**k for k, v in enumerate(rules.values())), F.lit(0)).cast("int")
+
+
+def slots(n_rules: int) -> Column:
+    """For each rule of a `pattern` the place of its vote in a list of all rules' vote probabilities."""
+    return F.array(*(F.lit(3 * k) + F.floor(F.col("pattern") / 3**k).cast("int") % 3 for k in range(n_rules)))
+
+
+def start(names: list[str]) -> tuple[list[float], list[list[float]]]:
+    """The model before any data: shares of the good class and of KINDS, and for each its probabilities of a bad vote, abstention, good vote of rule after rule."""
+    votes_of = lambda k, c: OWN if c in KINDS.get(k, ()) else GOOD if k == "good" else OTHER
+    shares = [START, *((1 - START) / len(KINDS) for _ in KINDS)]
+    return shares, [[p for c in names for p in reversed(votes_of(k, c))] for k in ("good", *KINDS)]
+
 
-    `patterns` has one row per vote pattern with its count `n`. It starts from
-    "bad if any rule says so". Pseudo-counts keep every probability above zero,
-    so an empty corpus yields the prior.
+def posteriors(patterns: DataFrame, model: tuple[list[float], list[list[float]]]) -> DataFrame:
+    """`patterns` (with `slots`) with `p`, the probability of each class."""
+    logs = F.array(*(F.struct(F.lit(math.log(share)).alias("share"), F.array(*(F.lit(math.log(p)) for p in of)).alias("votes")) for share, of in zip(*model, strict=True)))
+    fit = F.transform(logs, lambda m: F.aggregate("slots", m["share"], lambda a, s: a + F.get(m["votes"], s)))
+    weighed = patterns.withColumn("fit", fit).withColumn("weight", F.transform("fit", lambda x: F.exp(x - F.array_max("fit"))))
+    total = F.aggregate("weight", F.lit(0.0), lambda a, x: a + x)
+    return weighed.withColumn("total", total).select(*patterns.columns, F.transform("weight", lambda x: x / F.col("total")).alias("p"))
+
+
+def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[list[float], list[list[float]]]:
+    """Shares of the classes and their vote probabilities, by expectation-maximisation.
+
+    `patterns` has a row for each vote pattern with its count `n` and `slots`.
+    Each round weighs the patterns by the last model's posteriors and takes the
+    weighted shares, pseudo-documents included, as the next model; an empty
+    corpus leaves it where it starts.
     """
-    none_bad = F.lit(True)
-    for c in names:
-        none_bad = none_bad & (F.col(c) != -1)
-    good = F.when(none_bad, 0.95).otherwise(0.05)
-    model: dict = {}
+    first = start(names)
+    model = first
     for _ in range(rounds):
-        g = F.col("g")
-        sums = [F.sum("n").alias("all"), F.sum(g).alias("good")]
-        for c in names:
-            for v in (1, 0, -1):
-                hit = F.when(F.col(c) == v, 1.0).otherwise(0.0)
-                sums += [F.sum(g * hit).alias(f"good_{c}_{v}"), F.sum((F.col("n") - g) * hit).alias(f"bad_{c}_{v}")]
-        row = patterns.withColumn("g", F.col("n") * good).agg(*sums).first().asDict()
-        total = row["all"] or 0
-        weight = PRIOR_WEIGHT * total + 1
-        of = {"good": row["good"] or 0.0, "bad": total - (row["good"] or 0.0)}
-        model = {"good": (of["good"] + 0.9 * weight) / (total + weight)}
-        for k in of:
-            for c in names:
-                for v, p in zip((1, 0, -1), PRIOR[k], strict=True):
-                    model[k, c, v] = ((row[f"{k}_{c}_{v}"] or 0.0) + p * weight) / (of[k] + weight)
-        for c in names:
-            model["good", c, -1] = min(model["good", c, -1], MAX_FALSE_ALARM)
-            model["bad", c, 1] = max(model["bad", c, 1], MIN_FALSE_PRAISE)
-        good = posterior(model, names)
+        weighed = posteriors(patterns, model).select("slots", F.posexplode(F.transform("p", lambda x: x * F.col("n"))).alias("class", "g"))
+        each = weighed.select("class", "g", F.explode(F.concat(F.array(F.lit(-1)), "slots")).alias("slot"))
+        seen = {(r["class"], r["slot"]): r["g"] for r in each.groupBy("class", "slot").agg(F.sum("g").alias("g")).collect()}
+        share = [seen.get((k, -1), 0.0) for k in range(len(first[0]))]
+        pseudo = PRIOR_SHARE * sum(share) + 1
+        model = (
+            [(g + p * pseudo) / (sum(share) + pseudo) for g, p in zip(share, first[0], strict=True)],
+            [[(seen.get((k, s), 0.0) + p * pseudo) / (share[k] + pseudo) for s, p in enumerate(of)] for k, of in enumerate(first[1])],
+        )
     return model
 
 
-def posterior(model: dict, names: list[str]) -> Column:
-    """Probability that a document with these votes is good."""
-    odds = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for c in names:
-        llr = {v: math.log(model["good", c, v] / model["bad", c, v]) for v in (1, 0, -1)}
-        odds = odds + F.when(F.col(c) == 1, llr[1]).when(F.col(c) == -1, llr[-1]).otherwise(llr[0])
-    return 1 / (1 + F.exp(-odds))
-
-
 def quality_rules(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """Base counts, votes and verdict per row of `docs` (doc_id, text; other columns are ignored).
 
@@ -154,12 +172,11 @@ def quality_rules(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     base_failed, else p_good >= keep_at.
     """
     rules = votes()
-    names = list(rules)
-    stats = cut(text_stats(docs).select("*", *(v.alias(k) for k, v in rules.items())), "quality-rules")
-    patterns = cut(stats.groupBy(*names).agg(F.count("*").alias("n")), "quality-votes")
+    stats = cut(text_stats(docs).withColumn("pattern", pattern(rules)), "quality-rules")
+    patterns = cut(stats.groupBy("pattern").agg(F.count("*").alias("n")).withColumn("slots", slots(len(rules))).coalesce(1), "quality-votes")
+    judged = posteriors(patterns, fit(patterns, list(rules))).select("pattern", F.get("p", 0).alias("p_good"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = stats.withColumn("p_good", posterior(fit(patterns, names), names))
-    return judged.select(
+    return stats.join(F.broadcast(judged), "pattern").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("p_good") >= keep_at)).alias("kept"), F.round("p_good", 6).alias("p_good"),
     )
