@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions.identity import source_display
-from sluice.functions.text import escape_html, first_nonempty, strip, truncate_ellipsis, truncate_html
+from sluice.functions.text import bound, escape_html, first_nonempty, strip, truncate_ellipsis, truncate_html
 
-#: Lengths that a message and its parts may have, and the marks of its sections.
+#: Lengths that a message and its parts may have, the marks of its sections, and the headings in the functions below.
 MESSAGE, DESCRIPTION, REASON = 4000, 3000, 1200
 RULE = "────────────────────────"
 
@@ -19,13 +19,13 @@ def _sections(*parts: Column) -> Column:
     return truncate_html(F.array_join(F.array_compact(F.array(*parts)), "\n\n"), MESSAGE)
 
 
-def _if(c: Column, text: Column) -> Column:
-    return F.when(c != "", text)
+def _if(c: Column, heading: str) -> Column:
+    """A section with `c`, escaped, below its heading; null if `c` is empty."""
+    return bound(c, lambda text: F.when(text != "", F.concat(F.lit(heading), escape_html(text))))
 
 
 def _description() -> Column:
-    text = truncate_ellipsis(first_nonempty("description"), DESCRIPTION)
-    return _if(text, F.concat(F.lit(f"{RULE}\n\n📋 <b>Description</b>\n\n"), escape_html(text)))
+    return _if(truncate_ellipsis(first_nonempty("description"), DESCRIPTION), f"{RULE}\n\n📋 <b>Description</b>\n\n")
 
 
 def render_private() -> Column:
@@ -33,11 +33,10 @@ def render_private() -> Column:
     e = lambda c: escape_html(first_nonempty(c))
     how = F.when(F.coalesce("ai_used", F.lit(False)), "🧠 <b>AI Recommendation</b>").otherwise("⚡ <b>Direct Match</b>")
     head = F.concat(F.lit("🚀 <b>New Freelance Opportunity</b>\n\n"), how, F.lit("\n\n🏢 <b>Platform</b>\n"), e("source"), F.lit("\n\n📄 <b>Project</b>\n"), e("title"))
-    reason = truncate_ellipsis(first_nonempty("reason"), REASON)
     return _sections(
-        head, _if(first_nonempty("budget"), F.concat(F.lit("💰 <b>Budget</b>\n"), e("budget"))), _description(),
+        head, _if(first_nonempty("budget"), "💰 <b>Budget</b>\n"), _description(),
         F.when(F.size("categories") > 0, F.concat(F.lit("🏷 <b>Categories</b>\n"), escape_html(F.array_join("categories", " • ")))),
-        _if(reason, F.concat(F.lit(f"{RULE}\n\n💡 <b>Reason</b>\n\n"), escape_html(reason))),
+        _if(truncate_ellipsis(first_nonempty("reason"), REASON), f"{RULE}\n\n💡 <b>Reason</b>\n\n"),
     )
 
 

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode blanks, and the separators that count as blank besides.
+#: Unicode blanks, and the separators that count as blank besides: one by one, and as a class, also without the line feed.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"[\p{Z}\s\x{1c}-\x{1f}\x{85}]"
-#: What ends a line when a text is split into lines for its title.
-LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+IN_LINE = r"[\p{Z}\t\x0B\f\r\x{1c}-\x{1f}\x{85}]"
+#: What a line doesn't hold when a text is split into lines for its title.
+LINE_END = r"\n\r\x0B\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
 #: Arabic letter forms that are folded, one to one.
 FOLD_FROM, FOLD_TO = "أإآٱىؤئة", "اااايويه"
-#: Arabic diacritics and tatweel.
+#: Fixed value: Arabic diacritics and tatweel.
 MARKS = r"[\x{64B}-\x{65F}\x{670}\x{640}]"
-#: Characters that are trimmed from the end of a link.
+#: Fixed value: characters that are trimmed from the end of a link.
 TRAILING = ".,;:!?)]}\"'"
+#: Fixed value: what stands in the place of the text that a request leaves out.
+TRUNCATED = "\n\n[Job description truncated]"
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where `c` is computed once however often `f` uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
 
 
 def strip(c: Column) -> Column:
     """Without Unicode blanks at both ends."""
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def strip_end(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{BLANK}+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def normalize_text(c: Column) -> Column:
@@ -34,40 +45,40 @@ def normalize_text(c: Column) -> Column:
 
 def first_line_title(c: Column) -> Column:
     """First line that isn't blank, stripped; empty if there is none."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), LINE_END), strip)
-    return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), 0), F.lit(""))
+    return strip_end(F.regexp_extract(F.coalesce(c, F.lit("")), rf"\A{BLANK}*+([^{LINE_END}]*+)", 1))
 
 
 def unix_lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), "\n")
+    """The text with line feeds for all line ends."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(F.instr(text, "\r") > 0, F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
 
 
 def after_title(c: Column) -> Column:
     """The lines after the first that isn't blank; empty if there is none."""
-    lines = unix_lines(c)
-    at = F.get(F.filter(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)), lambda i: i.isNotNull()), 0)
-    return F.when(at.isNull(), "").otherwise(F.array_join(F.slice(lines, at + 2, F.size(lines)), "\n"))
+    return F.regexp_replace(unix_lines(c), rf"\A{BLANK}*+[^\n]*+\n?", "")
 
 
 def normalize_paragraphs(c: Column) -> Column:
     """Stripped lines; runs of blank lines become one, single line ends a space, runs of spaces one."""
-    text = F.array_join(F.transform(unix_lines(c), strip), "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    text = F.regexp_replace(unix_lines(c), rf"(?<!{IN_LINE}){IN_LINE}*+\n{IN_LINE}*+", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?<!\n)\n(?!\n)", " ")
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
 def extract_url(c: Column) -> Column:
     """First http(s) link without trailing punctuation; a closing parenthesis stays if the link has opened it. Empty if there is none."""
-    url = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?U)https?://\S+", 0)
 
-    def keeps(n: Column) -> Column:
-        last, head = F.substring(url, n, F.lit(1)), F.left(url, n)
-        count = lambda x: F.length(head) - F.length(F.replace(head, F.lit(x), F.lit("")))
-        return (F.instr(F.lit(TRAILING), last) == 0) | ((last == ")") & (count("(") >= count(")")))
+    def trimmed(url: Column) -> Column:
+        base = F.rtrim(url, F.lit(TRAILING))
+        count = lambda x, char: F.length(x) - F.length(F.replace(x, F.lit(char), F.lit("")))
+        tail = F.substring(url, F.length(base) + 1, F.length(url))
+        # of the parentheses closed behind the base as many stay as are open there
+        stay = F.least(count(tail, ")"), count(base, "(") - count(base, ")"))
+        return F.when(stay > 0, F.concat(base, F.call_function("substring_index", tail, F.lit(")"), stay), F.lit(")"))).otherwise(base)
 
-    longest = F.array_max(F.filter(F.sequence(F.lit(1), F.length(url)), keeps))
-    return F.when(url == "", "").when(F.instr(F.lit(TRAILING), F.right(url, F.lit(1))) == 0, url).otherwise(F.left(url, F.coalesce(longest, F.lit(0))))
+    url = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?U)https?://\S+", 0)
+    return bound(url, lambda u: F.when(F.instr(F.lit(TRAILING), F.right(u, F.lit(1))) > 0, trimmed(u)).otherwise(u))
 
 
 def contains_keyword(text: Column, keyword: Column) -> Column:
@@ -86,7 +97,7 @@ def lenient_bool(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 
 
-def truncate_text(c: Column, limit: int = 3500, marker: str = "\n\n[Job description truncated]") -> Column:
+def truncate_text(c: Column, limit: int = 3500, marker: str = TRUNCATED) -> Column:
     """At most `limit` characters, with a marker if any were cut."""
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit(marker))).otherwise(c)
 
@@ -98,12 +109,17 @@ def truncate_ellipsis(c: Column, limit: int) -> Column:
 
 def truncate_html(c: Column, limit: int) -> Column:
     """As truncate_ellipsis, for markup with bold spans: no tag is left cut or open."""
-    cut = strip_end(F.left(c, F.lit(max(limit - 3, 0))))
-    last = lambda x: F.when(cut.contains(x), F.length(cut) - F.instr(F.reverse(cut), x) + 1).otherwise(0)
-    whole = F.when(last("<") > last(">"), strip_end(F.left(cut, last("<") - 1))).otherwise(cut)
-    count = lambda x: (F.length(whole) - F.length(F.replace(whole, F.lit(x), F.lit("")))) / F.lit(len(x))
-    missing = F.greatest((count("<b>") - count("</b>")).cast("int"), F.lit(0))
-    return F.when(F.length(c) > limit, F.concat(whole, F.repeat(F.lit("</b>"), missing), F.lit("..."))).otherwise(c)
+
+    def whole(cut: Column) -> Column:
+        last = lambda x: F.when(cut.contains(x), F.length(cut) - F.instr(F.reverse(cut), x) + 1).otherwise(0)
+        return F.when(last("<") > last(">"), strip_end(F.left(cut, last("<") - 1))).otherwise(cut)
+
+    def closed(text: Column) -> Column:
+        count = lambda x: (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))) / F.lit(len(x))
+        return F.concat(text, F.repeat(F.lit("</b>"), F.greatest((count("<b>") - count("</b>")).cast("int"), F.lit(0))), F.lit("..."))
+
+    short = lambda text: bound(bound(strip_end(F.left(text, F.lit(max(limit - 3, 0)))), whole), closed)
+    return bound(c, lambda text: F.when(F.length(text) > limit, short(text)).otherwise(text))
 
 
 def escape_html(c: Column) -> Column:

@@ -30,6 +30,11 @@ def apply_updates(table: DataFrame, updates: DataFrame, key: str = "job_uuid") -
     return table.join(new, key, "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in known else c for c in table.columns))
 
 
+def absent_updates(table: DataFrame, updates: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """Updates that change nothing, since `table` doesn't have their key."""
+    return updates.join(table.select(key).distinct(), key, "left_anti")
+
+
 def lookup_jobs(jobs: DataFrame, keys: DataFrame, key: str = "job_uuid") -> DataFrame:
     return jobs.join(keys.select(key).distinct(), key, "left_semi")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sluice.sources.store import cut
 
 TTL_SECONDS = 30 * 24 * 60 * 60
+#: Fixed value: the reason of posts whose project another post owns.
+DUPLICATE = "Duplicate project from another source"
 
 
 def claim_projects(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, order: str = "job_uuid") -> DataFrame:
@@ -44,7 +46,7 @@ def mark_duplicates(decided: DataFrame, claims: DataFrame, key: str = "job_uuid"
     lost = claims.where("not claimed").select(key).distinct().withColumn("lost", F.lit(True))
     joined = decided.join(lost, key, "left")
     lost_ = F.coalesce("lost", F.lit(False))
-    put = {"final_decision": F.lit("Rejected"), "decision_reason": F.lit("Duplicate project from another source"), "category_id": F.lit(None).cast("string"), "notification_status": F.lit(None).cast("string")}
+    put = {"final_decision": F.lit("Rejected"), "decision_reason": F.lit(DUPLICATE), "category_id": F.lit(None).cast("string"), "notification_status": F.lit(None).cast("string")}
     return joined.withColumns({c: F.when(lost_, v).otherwise(F.col(c)) for c, v in put.items() if c in decided.columns}).drop("lost")
 
 

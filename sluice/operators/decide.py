@@ -5,29 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.match import TIER, lexicon_occurrences, posts_text, profile_hits
+from sluice.operators.match import keyword_counts, lexicon_occurrences, posts_text, profile_hits
 
+#: Decisions, here and in the table below with their reasons, as audit rows have them.
 REJECT, REVIEW, DIRECT = "reject", "review", "direct"
-#: Names of the decisions in rows that are imported.
-IMPORTED = {"reject": REJECT, "needs_gemini": REVIEW, "notify_directly": DIRECT}
 LISTS = (("positive", "core"), ("positive", "supporting"), ("negative", "core"), ("negative", "supporting"))
 
 
-def evidence(hits: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
-    """Counts, weights, groups and hit lists by key and profile, from the hits of the four tiers."""
-    known = hits.join(F.broadcast(lexicon.select(*TIER, "ord", "keyword", "weight", "group")), [*TIER, "ord"])
-    of = lambda p, t: (F.col("polarity") == p) & (F.col("tier") == t)
-    hit = F.struct("ord", "keyword", "weight", "group")
-    listed = [
-        F.transform(F.array_sort(F.collect_list(F.when(of(p, t), hit))), lambda x: F.struct(x["keyword"].alias("keyword"), x["weight"].alias("weight"), x["group"].alias("group"))).alias(f"{p}_{t}_matches")
-        for p, t in LISTS
-    ]
-    groups = [F.sort_array(F.collect_set(F.when(F.col("polarity") == p, F.col("group")))).alias(f"{p}_groups") for p in ("positive", "negative")]
-    weight = [F.sum(F.when(of(p, "supporting"), F.col("weight")).otherwise(0)).cast("int").alias(f"supporting_{p}_weight") for p in ("positive", "negative")]
-    count = [F.count_if(of(p, "core")).cast("int").alias(f"core_{p}_count") for p in ("positive", "negative")]
-    return known.groupBy(key, "profile_id").agg(*count, *weight, F.bool_or(F.col("polarity") == "positive").alias("matched"), *groups, *listed)
-
-
 def decision_table() -> tuple[Column, Column]:
     """Decision and reason; the first rule that fits wins."""
     core_p, core_n = F.col("core_positive_count") > 0, F.col("core_negative_count") > 0
@@ -52,32 +36,19 @@ def decision_table() -> tuple[Column, Column]:
     return decision, reason
 
 
-def profile_lexicon(profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Enabled profiles with their keywords as one list for each tier, in order."""
-    entry = F.struct("ord", "keyword", "weight", "group")
-    on = {f"{p}_{t}": (F.col("polarity") == p) & (F.col("tier") == t) for p, t in LISTS} | {"hard": F.col("tier") == "hard"}
-    lists = lexicon.groupBy("profile_id").agg(*(F.sort_array(F.collect_list(F.when(c, entry))).alias(f"{n}_lexicon") for n, c in on.items()))
-    return profiles.where("enabled").withColumnRenamed("id", "profile_id").join(lists, "profile_id", "left")
-
-
 def classify_all(jobs: DataFrame, profiles: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
     """One row per post and enabled profile with evidence, decision and reason; posts without any hit too.
 
     `jobs` has key, title and description; `lexicon` is compiled. Texts are
-    looked through once; one shuffle gathers a post's hits by profile. Profiles
-    with their keywords are broadcast and turn positions in the order into hits.
+    looked through once; keywords are counted by post, then gathered by profile.
+    Only the profiles are broadcast to every post, not their keywords.
     """
-    enabled = profiles.where("enabled")
-    own = lexicon.join(F.broadcast(enabled.select(F.col("id").alias("profile_id"))), "profile_id", "left_semi")
-    found = profile_hits(lexicon_occurrences(posts_text(jobs, key), own, key=key), LISTS, key)
-    joined = jobs.select(key).crossJoin(F.broadcast(profile_lexicon(profiles, own))).join(found, [key, "profile_id"], "left")
-
-    def hits(name: str, ords: str) -> Column:
-        held = F.coalesce(F.col(ords), F.array().cast("array<int>"))
-        return F.filter(F.coalesce(f"{name}_lexicon", F.array().cast("array<struct<ord:int,keyword:string,weight:int,group:string>>")), lambda x: F.array_contains(held, x["ord"]))
-
+    enabled = profiles.where("enabled").withColumnRenamed("id", "profile_id")
+    own = lexicon.join(F.broadcast(enabled.select("profile_id")), "profile_id", "left_semi")
+    found = profile_hits(keyword_counts(lexicon_occurrences(posts_text(jobs, key), own, key=key), own, key), LISTS, key)
+    joined = jobs.select(key).crossJoin(F.broadcast(enabled)).join(found, [key, "profile_id"], "left")
     names = [f"{p}_{t}" for p, t in LISTS]
-    listed = joined.withColumns({f"{n}_hits": hits(n, f"{n}_ords") for n in names} | {"hard_hits": hits("hard", "hard_ords")})
+    listed = joined.withColumns({f"{n}_hits": F.coalesce(f"{n}_hits", F.array().cast("array<struct<ord:int,keyword:string,weight:int,group:string>>")) for n in (*names, "hard")})
     weight = lambda n: F.aggregate(f"{n}_hits", F.lit(0), lambda a, x: a + x["weight"])
     groups = lambda p: F.array_sort(F.array_distinct(F.transform(F.concat(f"{p}_core_hits", f"{p}_supporting_hits"), lambda x: x["group"])))
     plain = lambda n: F.transform(f"{n}_hits", lambda x: F.struct(x["keyword"].alias("keyword"), x["weight"].alias("weight"), x["group"].alias("group")))
@@ -114,11 +85,17 @@ def representative(results: DataFrame, selection: DataFrame, key: str = "job_uui
     return results.join(wanted, [key, "profile_id"])
 
 
-def final_decision(results: DataFrame, selection: DataFrame, key: str = "job_uuid") -> DataFrame:
+def final_decision(results: DataFrame, selection: DataFrame, key: str = "job_uuid", jobs: DataFrame | None = None) -> DataFrame:
     """Final decision, reason, category and method of each post before any review; posts that wait for one are null.
 
-    The classifier's reason stays in `filter_reason`.
+    The classifier's reason stays in `filter_reason`. With `jobs`, their posts
+    that no profile was asked about, since none is enabled, are rejected.
     """
+    if jobs is not None:
+        none_asked = jobs.select(key).distinct().join(selection.select(key), key, "left_anti")
+        empty = {"n_direct": 0, "n_review": 0, "candidates": [], "review_ids": [], "all_ids": [], "has_direct": False, "needs_arbitration": False}
+        literal = lambda c, v: (F.array() if v == [] else F.lit(v)).cast(selection.schema[c].dataType).alias(c)
+        selection = selection.unionByName(none_asked.select(key, *(literal(c, v) for c, v in empty.items())), allowMissingColumns=True)
     first = representative(results, selection, key).select(key, "hard_reject", "matched", F.col("reason").alias("filter_reason"))
     rejected = F.when(F.col("hard_reject"), "Hard Reject").when(~F.col("matched"), "No Matching Keywords").otherwise(F.coalesce("filter_reason", F.lit("No Matching Categories")))
     none = F.size("candidates") == 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import normalize_text
+from sluice.functions.text import bound, normalize_text
 
 TIER = ("profile_id", "polarity", "tier")
 
@@ -23,82 +23,104 @@ def lexicon_occurrences(texts: DataFrame, lexicon: DataFrame, max_tokens: int =
     """Every occurrence of every keyword of a compiled lexicon: key, profile, polarity, tier, ord, first word `pos`, `n_tokens`, `in_title`.
 
     A word and the few behind it go through the explode; a broadcast join on the
-    first word leaves only hits. `max_tokens` is the most words a keyword has.
+    first word leaves little, and only then the words behind are put together.
+    `max_tokens` is the most words a keyword has.
     """
-    w = F.col("w")
-    behind = lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(1, max_tokens)), F.lit(""))
-    each = texts.where("norm <> ''").select(key, "n_title", F.split("norm", " ").alias("w"))
-    each = each.select(key, "n_title", F.explode(F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), behind(i).alias("behind")))).alias("g")).select(key, "n_title", "g.*")
+    w, behind = F.col("w"), [f"w{k}" for k in range(1, max_tokens)]
+    # a filter on `norm` would be pushed below the parsing, which would be done twice; an empty text has one empty word, which no keyword has
+    each = texts.select(key, "n_title", F.split("norm", " ").alias("w"))
+    gram = F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), *(F.get(w, i + k + 1).alias(n) for k, n in enumerate(behind))))
+    each = each.select(key, "n_title", F.explode(gram).alias("g")).select(key, "n_title", "g.*")
     first = F.substring_index("norm", " ", 1)
     terms = lexicon.select(*TIER, "ord", "n_tokens", first.alias("first"), F.when(F.col("n_tokens") > 1, F.concat(F.substring(F.col("norm"), F.length(first) + 2, F.length("norm")), F.lit(" "))).otherwise("").alias("wanted"))
-    return each.join(F.broadcast(terms), "first").where(F.col("behind").startswith(F.col("wanted"))).select(
+    fits = (F.col("wanted") == "") | F.concat_ws(" ", *behind, F.lit("")).startswith(F.col("wanted"))
+    return each.join(F.broadcast(terms), "first").where(fits).select(
         key, *TIER, "ord", "pos", "n_tokens", (F.col("pos") + F.col("n_tokens") <= F.col("n_title")).alias("in_title")
     )
 
 
-SPAN = ("ord", "pos", "n_tokens")
+def keyword_counts(occurrences: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """One row for each keyword that a post has: its number of occurrences `n`, `in_title`, places (`at`, of phrases only), and the lexicon's keyword, weight, group and `inner`.
+
+    Single words are only counted, so they are combined before the shuffle.
+    """
+    counted = occurrences.groupBy(key, *TIER, "ord", "n_tokens").agg(
+        F.count("*").cast("int").alias("n"), F.bool_or("in_title").alias("in_title"), F.collect_list(F.when(F.col("n_tokens") > 1, F.col("pos"))).alias("at")
+    )
+    return counted.join(F.broadcast(lexicon.select(*TIER, "ord", "keyword", "weight", "group", "inner")), [*TIER, "ord"])
+
+
+ENTRY = ("ord", "keyword", "weight", "group", "n_tokens", "n", "at", "inner")
+SPAN = "array<struct<ord:int,pos:int,n_tokens:int,inner:array<int>>>"
 
 
 def _meets(a: Column, b: Column) -> Column:
     return (a["pos"] < b["pos"] + b["n_tokens"]) & (b["pos"] < a["pos"] + a["n_tokens"])
 
 
-def laid_out(phrases: str) -> Column:
-    """Of sorted spans those that don't meet an earlier one that stays."""
-    return F.aggregate(
-        phrases, F.array().cast("array<struct<ord:int,pos:int,n_tokens:int>>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: _meets(k, x)), kept).otherwise(F.array_append(kept, x)),
-    )
-
+def laid_out(spans: Column, max_tokens: int = 4) -> Column:
+    """Of `spans` those that stay when they are laid out by keyword order, then place, none over an earlier one.
 
-def covered_by(laid: str) -> Column:
-    return F.flatten(F.transform(laid, lambda s: F.sequence(s["pos"], s["pos"] + s["n_tokens"] - 1)))
+    Of one tier at most max_tokens - 1 phrases begin at a word, so a span that
+    meets another has it among its nearest neighbours by place. Only spans that
+    meet others are laid out one after the other.
+    """
+    near = (max_tokens - 1) ** 2
+    by_place = F.sort_array(F.transform(spans, lambda x: F.struct(x["pos"].alias("pos"), x["n_tokens"].alias("n_tokens"), x["ord"].alias("ord"), x["inner"].alias("inner"))))
 
+    def split(p: Column) -> Column:
+        around = lambda i: F.slice(p, F.greatest(i - near, F.lit(0)) + 1, F.lit(2 * near + 1))
+        met = lambda x, i: F.exists(around(i), lambda y: _meets(x, y) & ((x["pos"] != y["pos"]) | (x["ord"] != y["ord"])))
+        told = F.transform(p, lambda x, i: F.struct(met(x, i).alias("met"), F.struct(x["ord"].alias("ord"), x["pos"].alias("pos"), x["n_tokens"].alias("n_tokens"), x["inner"].alias("inner")).alias("span")))
+        of = lambda met: F.transform(F.filter(told, lambda t: t["met"] == met), lambda t: t["span"])
+        one_by_one = F.aggregate(
+            F.sort_array(of(True)), F.array().cast(SPAN), lambda kept, x: F.when(F.exists(kept, lambda k: _meets(k, x)), kept).otherwise(F.array_append(kept, x))
+        )
+        return F.concat(of(False), one_by_one)
 
-def kept_ords(laid: str, words: str, covered: str) -> Column:
-    """Keywords of the laid out phrases, and of words with a place outside them."""
-    free = F.filter(words, lambda x: ~F.array_contains(F.col(covered), x["pos"]))
-    return F.array_union(F.transform(laid, lambda s: s["ord"]), F.transform(free, lambda s: s["ord"]))
+    return F.when(F.size(spans) > 1, bound(by_place, split)).otherwise(spans)
 
 
-def tier_hits(occurrences: DataFrame, key: str = "job_uuid") -> DataFrame:
-    """Keywords (key, profile, polarity, tier, ord) that keep an occurrence when longer ones of their tier take their words first.
+def kept_entries(entries: str) -> Column:
+    """Of a tier's keywords in a post (`entries`, as ENTRY) those with an occurrence left when longer ones take their words first, in order.
 
-    Single words never hide a phrase, so only phrases are laid out one after the
-    other; a single word counts if one of its places is in no phrase.
+    A laid out phrase takes one occurrence of each keyword that is a word of it
+    (`inner`), so a single word stays if it occurs more often than that.
     """
-    span = F.struct(*SPAN)
-    per = occurrences.where("tier <> 'hard'").groupBy(key, *TIER).agg(
-        F.sort_array(F.collect_list(F.when(F.col("n_tokens") > 1, span))).alias("phrases"),
-        F.collect_list(F.when(F.col("n_tokens") == 1, span)).alias("words"),
-    )
-    laid = per.withColumn("laid", laid_out("phrases")).withColumn("covered", covered_by("laid"))
-    return laid.select(key, *TIER, F.explode(kept_ords("laid", "words", "covered")).alias("ord"))
+    phrases = F.filter(entries, lambda e: e["n_tokens"] > 1)
+    spans = F.flatten(F.transform(phrases, lambda e: F.transform(e["at"], lambda p: F.struct(e["ord"].alias("ord"), p.alias("pos"), e["n_tokens"].alias("n_tokens"), e["inner"].alias("inner")))))
 
+    def kept(laid: Column) -> Column:
+        at, taken = F.array_distinct(F.transform(laid, lambda s: s["ord"])), F.flatten(F.transform(laid, lambda s: s["inner"]))
+        stays = lambda e: F.when(e["n_tokens"] > 1, F.array_contains(at, e["ord"])).otherwise(e["n"] > F.size(F.filter(taken, lambda o: o == e["ord"])))
+        return F.filter(entries, stays)
+
+    return F.when(F.size(phrases) == 0, F.sort_array(entries)).otherwise(F.sort_array(bound(bound(spans, laid_out), kept)))
 
-def profile_hits(occurrences: DataFrame, tiers: Sequence[tuple[str, str]], key: str = "job_uuid") -> DataFrame:
-    """All that a post's occurrences say about a profile, in one shuffle: the ords kept in each of `tiers`, title signals, hard-reject ords."""
-    span, several = F.struct(*SPAN), F.col("n_tokens") > 1
-    of = {f"{p}_{t}": (F.col("polarity") == p) & (F.col("tier") == t) for p, t in tiers}
-    lists = [c for name, on in of.items() for c in (F.sort_array(F.collect_list(F.when(on & several, span))).alias(f"{name}_phrases"), F.collect_list(F.when(on & ~several, span)).alias(f"{name}_words"))]
-    title = lambda p: F.bool_or((F.col("polarity") == p) & (F.col("tier") == "core") & F.col("in_title"))
-    per = occurrences.groupBy(key, "profile_id").agg(*lists, title("positive").alias("title_core_positive"), title("negative").alias("title_core_negative"), F.collect_set(F.when(F.col("tier") == "hard", F.col("ord"))).alias("hard_ords"))
-    laid = per.withColumns({f"{n}_laid": laid_out(f"{n}_phrases") for n in of}).withColumns({f"{n}_covered": covered_by(f"{n}_laid") for n in of})
-    return laid.select(key, "profile_id", "title_core_positive", "title_core_negative", "hard_ords", *(kept_ords(f"{n}_laid", f"{n}_words", f"{n}_covered").alias(f"{n}_ords") for n in of))
 
+def tier_hits(counts: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """Keywords (key, profile, polarity, tier, ord) of `keyword_counts` that keep an occurrence when longer ones of their tier take their words first."""
+    per = counts.where("tier <> 'hard'").groupBy(key, *TIER).agg(F.collect_list(F.struct(*ENTRY)).alias("entries"))
+    return per.select(key, *TIER, F.explode(kept_entries("entries")).alias("e")).select(key, *TIER, "e.ord")
 
-def title_signals(occurrences: DataFrame, key: str = "job_uuid") -> DataFrame:
-    """Whether the title has a core keyword of either polarity, by key and profile; nothing is masked."""
-    core = occurrences.where("tier = 'core' and in_title")
-    has = lambda p: F.bool_or(F.col("polarity") == p)
-    return core.groupBy(key, "profile_id").agg(has("positive").alias("title_core_positive"), has("negative").alias("title_core_negative"))
+
+def profile_hits(counts: DataFrame, tiers: Sequence[tuple[str, str]], key: str = "job_uuid") -> DataFrame:
+    """All that a post's keywords say about a profile, in one shuffle: the hits (ord, keyword, weight, group) of each of `tiers` and of the hard tier, title signals."""
+    of = {f"{p}_{t}": (F.col("polarity") == p) & (F.col("tier") == t) for p, t in tiers}
+    entry, hit = F.struct(*ENTRY), F.struct("ord", "keyword", "weight", "group")
+    title = lambda p: F.bool_or((F.col("polarity") == p) & (F.col("tier") == "core") & F.col("in_title"))
+    per = counts.groupBy(key, "profile_id").agg(
+        *(F.collect_list(F.when(on, entry)).alias(n) for n, on in of.items()), title("positive").alias("title_core_positive"), title("negative").alias("title_core_negative"),
+        F.sort_array(F.collect_list(F.when(F.col("tier") == "hard", hit))).alias("hard_hits"),
+    )
+    plain = lambda e: F.struct(*(e[c].alias(c) for c in ("ord", "keyword", "weight", "group")))
+    return per.select(key, "profile_id", "title_core_positive", "title_core_negative", "hard_hits", *(F.transform(kept_entries(n), plain).alias(f"{n}_hits") for n in of))
 
 
-def hard_reject_hits(occurrences: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
-    """Hard-reject keywords found, longest first, by key and profile; nothing is masked."""
-    hits = occurrences.where("tier = 'hard'").select(key, *TIER, "ord").distinct().join(F.broadcast(lexicon.select(*TIER, "ord", "keyword")), [*TIER, "ord"])
+def hard_reject_hits(counts: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """Hard-reject keywords of `keyword_counts`, longest first, by key and profile; nothing is masked."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "keyword")))
-    return hits.groupBy(key, "profile_id").agg(F.transform(ordered, lambda x: x["keyword"]).alias("hard_reject_matches"))
+    return counts.where("tier = 'hard'").groupBy(key, "profile_id").agg(F.transform(ordered, lambda x: x["keyword"]).alias("hard_reject_matches"))
 
 
 def format_matches(matches: Column) -> Column:

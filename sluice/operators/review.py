@@ -104,10 +104,14 @@ def first_valid_attempt(attempts: DataFrame, valid: Column, key: str = "job_uuid
     return first.select(key, "answer", F.array_join(F.transform(before, lambda x: x["error"]), " | ").alias("errors"))
 
 
-def review_log(settled: DataFrame, evidence_rows: DataFrame, key: str = "job_uuid") -> DataFrame:
-    """Audit rows of reviews: what the rules said before, what the review said."""
+def review_log(responses: DataFrame, evidence_rows: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """Audit rows of validated `responses` (key, selected_category, confidence, response_time_ms): what the rules said before, what the review said, how sure it was and how long it took.
+
+    Answers `none` are logged too; failed reviews (null category) have no row.
+    """
     before = evidence_rows.select(key, F.col("decision").alias("decision_before"), F.col("reason").alias("reason_before"))
-    return settled.where("reviewed").join(before, key, "left").select(key, "decision_before", "reason_before", F.col("category_id").alias("decision"), F.col("decision_reason").alias("reason"))
+    said = responses.where(F.col("selected_category").isNotNull()).select(key, F.col("selected_category").alias("decision"), "confidence", "response_time_ms")
+    return said.join(before, key, "left").select(key, "decision_before", "reason_before", "response_time_ms", "decision", "confidence")
 
 
 def guard_prompt(title: Column, description: Column) -> Column:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import first_nonempty
+from sluice.operators.review import guard_gate
 
 MAX_ATTEMPTS, BATCH, BASE_SECONDS, MAX_SECONDS = 5, 20, 5, 300
+#: Subscribers of up to this many rows are broadcast to the posts; more are dealt to so many parts of each category.
+BROADCAST_ROWS, PARTS = 200_000, 32
 
 
 def category_subscribers(users: DataFrame, subscriptions: DataFrame, category_id: str | None = None) -> DataFrame:
@@ -16,10 +19,26 @@ def category_subscribers(users: DataFrame, subscriptions: DataFrame, category_id
     return users.where("is_active").join(wanted.select("user_id", "category_id").distinct(), "user_id")
 
 
-def fanout(jobs: DataFrame, users: DataFrame, subscriptions: DataFrame, queue: DataFrame | None = None) -> DataFrame:
-    """New queue rows (job_uuid, user_id, category_id, external_id): one for each post with a category and subscriber, without those already queued."""
-    ready = jobs.where(first_nonempty("category_id") != "").select("job_uuid", "category_id").distinct()
-    rows = ready.join(category_subscribers(users, subscriptions).select("user_id", "external_id", "category_id"), "category_id").dropDuplicates(["job_uuid", "user_id"])
+def fanout(jobs: DataFrame, users: DataFrame, subscriptions: DataFrame, queue: DataFrame | None = None, guard: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """New queue rows (job_uuid, user_id, category_id, external_id): one for each post with a category and subscriber, without those already queued.
+
+    With a `guard` log only posts that its gate allows are sent on: denied ones,
+    and those still to be evaluated, are not. Few categories hold all posts, so
+    posts aren't shuffled by category: subscribers are broadcast if they were
+    counted to be few, else each category is dealt to PARTS parts by user.
+    """
+    ready = jobs.where(first_nonempty("category_id") != "")
+    if guard is not None:
+        gated = ready if "reviewed" in ready.columns else ready.withColumn("reviewed", F.lit(False))
+        ready = guard_gate(gated, guard).where("gate = 'allow'")
+    ready = ready.select("job_uuid", "category_id").distinct()
+    takers = category_subscribers(users, subscriptions).select("user_id", "external_id", "category_id")
+    if takers.count() <= broadcast_rows:
+        rows = ready.join(F.broadcast(takers), "category_id")
+    else:
+        dealt = ready.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = dealt.join(takers.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int")), ["category_id", "part"]).drop("part")
+    rows = rows.dropDuplicates(["job_uuid", "user_id"])
     return rows if queue is None else rows.join(queue.select("job_uuid", "user_id").distinct(), ["job_uuid", "user_id"], "left_anti")
 
 
@@ -77,9 +96,11 @@ def dead_letters(queue: DataFrame) -> DataFrame:
 
 
 def subscription_summary(subscriptions: DataFrame, categories: DataFrame) -> DataFrame:
-    """A user's enabled categories, by name."""
-    named = subscriptions.join(F.broadcast(categories.where("enabled").select("category_id", "name")), "category_id")
-    return named.groupBy("user_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    """A user's enabled categories in the order of selection (`seq` of the subscriptions, if there is one; ties by name)."""
+    seq = F.col("seq") if "seq" in subscriptions.columns else F.lit(0)
+    once = subscriptions.groupBy("user_id", "category_id").agg(F.min(seq).alias("seq"))
+    named = once.join(F.broadcast(categories.where("enabled").select("category_id", "name")), "category_id")
+    return named.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("seq", "name"))), lambda x: x["name"]).alias("names"))
 
 
 def delivery_rows(queue: DataFrame, jobs: DataFrame) -> DataFrame:

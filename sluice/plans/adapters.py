@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.parse import parse_posts
 from sluice.sources.lexicon import PROSE, compile_lexicon, lexicon_table, prose_profiles
+from sluice.sources.store import cut, spread
 
+#: Tables of long texts, which are dealt to all cores.
+TEXTS = ("documents", "conversations", "pages")
 #: What "now" is for tables of the past.
 NOW = "timestamp'2024-02-01 00:00:00'"
 ORDERS_NOW = "timestamp'1998-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +38,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_posts(posts(spark, sf_dir)).select("doc_id", "title", "description")
 
 
+@functools.cache
 def profiles(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Profiles and compiled lexicon for the driver's prose."""
-    return prose_profiles(spark), compile_lexicon(lexicon_table(spark, PROSE))
+    """Profiles and compiled lexicon for the driver's prose, compiled once for a session."""
+    return prose_profiles(spark), cut(compile_lexicon(lexicon_table(spark, PROSE)), "lexicon")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,11 +71,42 @@ def contains_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "documents").select("doc_id", text.contains_keyword(text.normalize_text(F.col("text")), F.lit("of the")).alias("found"))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT identity || ':' || job_id) AS n_posts, sum(length(text))::BIGINT AS n_chars FROM (
-  SELECT source AS identity, doc_id::VARCHAR AS job_id, text FROM documents UNION ALL SELECT conv_id::VARCHAR, turn::VARCHAR, text FROM conversations)""")
+@query("""SELECT source AS identity, doc_id::VARCHAR AS job_id, source, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+UNION ALL SELECT conv_id::VARCHAR, turn::VARCHAR, role, sha256(coalesce(text, '')) FROM conversations""")
 def unify_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = parse.unify_feeds(a.posts(spark, sf_dir), a.turns(spark, sf_dir)).withColumn("job_uuid", identity.job_uuid(F.col("identity"), F.col("job_id")))
-    return both.agg(F.count("*").alias("n"), F.count_distinct("job_uuid").alias("n_posts"), F.sum(F.length("text")).alias("n_chars"))
+    both = parse.unify_feeds(a.posts(spark, sf_dir), a.turns(spark, sf_dir))
+    return both.select("identity", "job_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query(sql.LABELLED)
+def parse_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in the labelled layout; some lack a label."""
+    labels, k = parse.ARABIC, F.col("doc_id") % 4
+    said = F.concat(
+        F.when(k == 1, "").otherwise(F.concat(F.lit(f"{labels.title} : Post "), F.col("doc_id"))), F.lit(f"\n{labels.description}: "), F.coalesce("text", F.lit("")),
+        F.when(k == 2, "").otherwise(F.concat(F.lit(f"\n{labels.budget}:  "), F.col("doc_id"), F.lit(" \nend"))),
+    )
+    posts = a.table(spark, sf_dir, "documents").select("doc_id", F.lit("A Labelled feed").alias("source"), said.alias("text"))
+    return parse.parse_posts(posts).select("doc_id", "title", F.sha2("description", 256).alias("description_sha256"), "budget")
+
+
+@query("""SELECT split_part(url, ':', 1) AS identity, page_id::VARCHAR AS job_id, CASE WHEN page_id % 3 = 0 THEN 'Paid' ELSE 'Feed' END AS source, 'T' || page_id AS title, sha256(coalesce(html, '')) AS description_sha256,
+  CASE WHEN page_id % 5 = 0 THEN '' ELSE '10' END AS budget, url, sha256('T' || page_id || chr(10) || chr(10) || coalesce(html, '')) AS raw_sha256 FROM pages""")
+def feed_to_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as projects of a feed; some lack platform and price."""
+    k = F.col("page_id")
+    projects = a.table(spark, sf_dir, "pages").select(
+        F.substring_index("url", ":", 1).alias("poll_source"), k.alias("uid"), F.when(k % 3 == 0, "Paid").when(k % 3 == 1, "").alias("platform"), F.concat(F.lit("T"), k).alias("title"),
+        F.col("html").alias("description"), F.when(k % 5 != 0, "10").alias("price"), F.col("url").alias("project_link"),
+    )
+    return parse.feed_to_jobs(projects).select("identity", "job_id", "source", "title", F.sha2("description", 256).alias("description_sha256"), "budget", "url", F.sha2("raw_text", 256).alias("raw_sha256"))
+
+
+@query(sql.LEGACY)
+def legacy_job_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by display source where it differs from the feed's identity."""
+    shown = identity.source_display(F.col("source"), {"src1": "One"})
+    return a.table(spark, sf_dir, "documents").select("doc_id", identity.legacy_job_uuid(shown, F.col("source"), F.col("doc_id")).alias("legacy_job_uuid"))
 
 
 # --- matching and decisions
@@ -84,7 +115,7 @@ def unify_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.TIER_HITS)
 def tier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lexicon = a.profiles(spark)
-    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id")
+    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
     named = match.tier_hits(found, "doc_id").join(F.broadcast(lexicon), [*match.TIER, "ord"])
     return named.select("doc_id", *match.TIER, "norm", "weight")
 
@@ -108,7 +139,16 @@ def select_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.FINAL)
 def final_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(_classified(spark, sf_dir), "classified")
-    return _flat(decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id"))
+    return _flat(decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id", a.jobs(spark, sf_dir)))
+
+
+@query("""SELECT doc_id, 'Rejected' AS final_decision, 'No Enabled Categories' AS decision_reason, false AS needs_arbitration FROM documents""")
+def no_enabled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts when no profile is enabled."""
+    profiles, lexicon = a.profiles(spark)
+    jobs = a.jobs(spark, sf_dir)
+    found = decide.classify_all(jobs, profiles.withColumn("enabled", F.lit(False)), lexicon, key="doc_id")
+    return decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id", jobs).select("doc_id", "final_decision", "decision_reason", "needs_arbitration")
 
 
 @query(sql.REVIEWED)
@@ -130,11 +170,11 @@ def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.HARD)
 def hard_reject_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lexicon = a.profiles(spark)
-    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id")
-    return _flat(match.hard_reject_hits(found, lexicon, "doc_id"))
+    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
+    return _flat(match.hard_reject_hits(found, "doc_id"))
 
 
-@query()
+@query(sql.REVIEW_PROMPT)
 def review_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests about the profiles that want a review."""
     texts = a.table(spark, sf_dir, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("text"))
@@ -142,27 +182,25 @@ def review_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("doc_id", "profile_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query()
+@query(sql.ARBITRATION_PROMPT)
 def arbitration_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = a.table(spark, sf_dir, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("text"))
     asked = review.arbitration_prompt(_classified(spark, sf_dir), texts, "doc_id")
     return asked.select("doc_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query()
+@query(sql.FINAL_COUNTS)
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a stream of files, triaged batch by batch."""
+    """documents as a stream of files that comes twice, triaged batch by batch."""
     home = f"{shared_dir(spark)}/triage-{uuid4().hex}"
     kind = a.table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    arriving = arriving.union(spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*"))
     as_posts = arriving.select(F.col("source").alias("identity"), F.col("doc_id").cast("string").alias("job_id"), "source", "text")
     stream.run_stream(as_posts, *a.profiles(spark), f"{home}/out", f"{home}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{home}/out").groupBy("final_decision", "decision_reason").agg(F.count("*").alias("n"))
 
 
-SQL["stream_triage"] = sql.FINAL_COUNTS
-
-
 # --- identity across feeds
 
 
@@ -172,11 +210,24 @@ def claim_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.claim_projects(asked, 5 * 24 * 3600, "event_id").select("event_id", "project_id", "owner", "claimed_at", "claimed")
 
 
-@query("""SELECT doc_id FROM documents WHERE n_chars >= 1000""")
+@query("""SELECT doc_id FROM documents WHERE length(coalesce(text, '')) >= 1000 AND NOT (doc_id % 7 = 0 AND contains(source, 'src1'))""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every post comes twice; short ones are in the table."""
-    named = a.posts(spark, sf_dir).withColumn("job_uuid", identity.job_uuid(F.col("identity"), F.col("job_id")))
-    return audit.insert_if_absent(named.unionByName(named), named.where(F.length("text") < 1000)).select("doc_id")
+    """Every post comes twice; the table has short ones, and every seventh of renamed sources under its older id."""
+    shown = identity.source_display(F.col("identity"), {"src1": "One"})
+    named = a.posts(spark, sf_dir).select("doc_id", "identity", F.length(F.coalesce("text", F.lit(""))).alias("n"), identity.job_uuid(F.col("identity"), F.col("job_id")).alias("job_uuid"), identity.legacy_job_uuid(shown, F.col("identity"), F.col("job_id")).alias("legacy_job_uuid"))
+    held = named.where("n < 1000").select("job_uuid").unionByName(named.where("doc_id % 7 = 0 and legacy_job_uuid is not null").select(F.col("legacy_job_uuid").alias("job_uuid")))
+    return audit.insert_if_absent(named.unionByName(named), held, legacy="legacy_job_uuid").select("doc_id")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id // 3 AS p, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) = 1 AS owns FROM documents)
+SELECT doc_id AS job_uuid, CASE WHEN doc_id % 5 = 0 OR owns THEN 'Accepted' ELSE 'Rejected' END AS final_decision, CASE WHEN doc_id % 5 = 0 OR owns THEN 'said so' ELSE 'Duplicate project from another source' END AS decision_reason,
+  CASE WHEN doc_id % 5 = 0 OR owns THEN 'c' END AS category_id FROM d""")
+def mark_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three posts of different feeds name each project, an hour apart; every fifth names none."""
+    posts = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_uuid"), F.floor(F.col("doc_id") / 3).alias("project_id"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"))
+    decided = posts.select("job_uuid", F.lit("Accepted").alias("final_decision"), F.lit("said so").alias("decision_reason"), F.lit("c").alias("category_id"))
+    made = claims.claim_projects(posts).where("job_uuid % 5 <> 0")
+    return claims.mark_duplicates(decided, made)
 
 
 @query(sql.RESUME)
@@ -257,11 +308,26 @@ def feed_catchup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_catchup(feeds.paged_feed(every), seen).select("poll_source", "uid", "page", F.col("arrival").cast("long").alias("arrival"))
 
 
-@query("""SELECT count(*) AS n, sum(seen_seq)::BIGINT AS total FROM (SELECT event_id AS seen_seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE event_id % 2 = 0 OR value > 5) WHERE k <= 500""")
+@query("""SELECT user_id AS chat_id, event_id AS msg_id, 'm' || event_id AS text FROM events WHERE user_id IN (1, 3, 5, 8)""")
+def read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of some channels, from a landing folder of JSON files that events are written to."""
+    home = f"{shared_dir(spark)}/landing-{uuid4().hex}"
+    a.messages(spark, sf_dir).select("chat_id", "msg_id", "ts", F.concat(F.lit("m"), "msg_id").alias("text")).write.json(home)
+    return feeds.read_messages(spark, home, [1, 3, 5, 8]).select("chat_id", "msg_id", "text")
+
+
+@query("""SELECT event_type AS poll_source, event_id::VARCHAR AS uid, value::VARCHAR AS price FROM (SELECT event_type, event_id, user_id AS value FROM events)""")
+def read_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = f"{shared_dir(spark)}/landing-{uuid4().hex}"
+    a.events(spark, sf_dir).select(F.col("event_type").alias("poll_source"), F.col("event_id").cast("string").alias("uid"), F.col("user_id").cast("string").alias("price")).write.json(home)
+    return feeds.read_projects(spark, home).select("poll_source", "uid", "price")
+
+
+@query("""SELECT poll_source, seen_seq::VARCHAR AS uid, seen_seq FROM (SELECT event_type AS poll_source, event_id AS seen_seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE event_id % 2 = 0 OR value > 5) WHERE k <= 500""")
 def trim_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.events(spark, sf_dir).select(F.col("event_type").alias("poll_source"), F.col("event_id").cast("string").alias("uid"), F.col("event_id").alias("seen_seq"), (F.col("value") > 5).alias("ok"))
     seen = feeds.mark_seen(rows.where("seen_seq % 2 = 0"), rows)
-    return feeds.trim_seen(seen).agg(F.count("*").alias("n"), F.sum("seen_seq").alias("total"))
+    return feeds.trim_seen(seen).select("poll_source", "uid", "seen_seq")
 
 
 # --- routing and the queue
@@ -284,6 +350,16 @@ def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.fanout(a.sold(spark, sf_dir), a.users(spark, sf_dir), a.subscriptions(spark, sf_dir), queued).select("job_uuid", "user_id")
 
 
+@query("""WITH latest AS (SELECT doc_id, toxic, quality FROM labels) SELECT o_orderkey AS job_uuid, c_custkey AS user_id FROM orders JOIN customer ON c_custkey // 3 = o_custkey // 3
+WHERE o_orderstatus <> 'P' AND c_acctbal >= 0 AND o_custkey % 4 <> 1 AND o_custkey % 4 <> 3""")
+def fanout_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A post of four is denied, one not evaluated yet, one was reviewed."""
+    k = F.col("o_custkey") % 4
+    log = a.table(spark, sf_dir, "orders").where(k != 3).select(F.col("o_orderkey").alias("job_uuid"), F.when(k == 0, "notify").when(k == 1, "do_not_notify").otherwise("error").alias("guard_decision"), F.lit(1).alias("seq"))
+    reviewed = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_uuid"), (k == 2).alias("reviewed"))
+    return route.fanout(a.sold(spark, sf_dir).join(reviewed, "job_uuid"), a.users(spark, sf_dir), a.subscriptions(spark, sf_dir), guard=log).select("job_uuid", "user_id")
+
+
 @query("""SELECT o_orderkey AS job_uuid, count(*) AS n_queued FROM orders JOIN customer ON c_custkey // 3 = o_custkey // 3 WHERE o_orderstatus <> 'P' AND c_acctbal >= 0 GROUP BY 1""")
 def fanout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.fanout_counts(route.fanout(a.sold(spark, sf_dir), a.users(spark, sf_dir), a.subscriptions(spark, sf_dir)))
@@ -303,11 +379,24 @@ def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.apply_outcomes(queue, outcomes, F.expr(a.ORDERS_NOW)).select("notification_id", "status", "attempts", "last_error", "next_attempt_at", "deactivate")
 
 
-@query("""SELECT count(*) FILTER (WHERE was AND now_ = 'Pending') AS n_reset, count(*) AS n FROM (SELECT o_orderstatus <> 'O' AND o_orderkey % 3 = 0 AS was, CASE WHEN o_orderstatus <> 'O' AND o_orderkey % 3 = 0 THEN 'Pending' ELSE 'x' END AS now_ FROM orders)""")
+@query(sql.RESET)
 def reset_sending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = a.queue(spark, sf_dir).withColumn("was", F.col("status") == "Sending")
-    done = route.reset_sending(queue, F.expr(a.ORDERS_NOW))
-    return done.agg(F.count_if(F.col("was") & (F.col("status") == "Pending") & (F.col("next_attempt_at") == F.expr(a.ORDERS_NOW))).alias("n_reset"), F.count("*").alias("n"))
+    return route.reset_sending(a.queue(spark, sf_dir), F.expr(a.ORDERS_NOW)).select("notification_id", "status", "attempts", "next_attempt_at")
+
+
+@query("""SELECT c_custkey AS user_id, c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 7) AS is_active FROM customer""")
+def deactivate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = a.queue(spark, sf_dir).withColumn("deactivate", F.col("seq") % 50 == 7)
+    return route.deactivate_users(a.users(spark, sf_dir), queue).select("user_id", "is_active")
+
+
+@query("""SELECT o_orderkey AS notification_id, c_name AS destination, 'post ' || o_orderkey AS text, CASE WHEN o_orderkey % 2 = 0 THEN 'http://x/' || o_orderkey END AS button_url FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 <> 3""")
+def build_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of queue rows whose post is there; every second has a link."""
+    k = F.col("o_orderkey")
+    jobs = a.table(spark, sf_dir, "orders").where(k % 10 != 3).select(k.alias("job_uuid"), F.when(k % 2 == 0, F.concat(F.lit("http://x/"), k)).otherwise("").alias("url"))
+    rows = route.delivery_rows(a.queue(spark, sf_dir), jobs).join(a.users(spark, sf_dir).select("user_id", "external_id"), "user_id")
+    return route.build_outbox(rows, F.concat(F.lit("post "), F.col("job_uuid")))
 
 
 @query("""SELECT o_orderkey AS notification_id FROM orders WHERE o_orderkey % 6 = 5 AND NOT (o_orderstatus = 'P' AND o_orderkey % 3 <> 0)""")
@@ -321,16 +410,39 @@ def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.delivery_rows(a.queue(spark, sf_dir), jobs).select("notification_id", "problem")
 
 
-@query("""SELECT user_id, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT user_id, upper(event_type) AS name FROM events WHERE event_type <> 'error') GROUP BY 1""")
+@query("""SELECT user_id, string_agg(name, ', ' ORDER BY seq) AS names FROM (SELECT user_id, upper(event_type) AS name, min(event_id) AS seq FROM events WHERE event_type <> 'error' GROUP BY 1, 2) GROUP BY 1""")
 def subscription_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.events(spark, sf_dir)
     categories = e.select(F.col("event_type").alias("category_id")).distinct().select("category_id", F.upper("category_id").alias("name"), (F.col("category_id") != "error").alias("enabled"))
-    return _flat(route.subscription_summary(e.select("user_id", F.col("event_type").alias("category_id")), categories))
+    return _flat(route.subscription_summary(e.select("user_id", F.col("event_type").alias("category_id"), F.col("event_id").alias("seq")), categories))
 
 
 # --- review and guard
 
 
+@query(sql.GUARD_PROMPT)
+def guard_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = review.guard_prompt(F.col("title"), F.col("description"))
+    return a.jobs(spark, sf_dir).select("doc_id", F.length(asked).cast("long").alias("n_chars"), F.sha2(asked, 256).alias("prompt_sha256"))
+
+
+@query("""SELECT event_id AS job_uuid, 'review' AS decision_before, event_type AS reason_before, user_id AS response_time_ms, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'c' END AS decision, round(value, 6) AS confidence FROM events WHERE event_id % 4 <> 0""")
+def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of events; every fourth failed."""
+    e = a.events(spark, sf_dir)
+    k = F.col("event_id")
+    said = e.select(k.alias("job_uuid"), F.when(k % 4 == 0, None).when(k % 3 == 0, "none").otherwise("c").alias("selected_category"), F.round("value", 6).alias("confidence"), F.col("user_id").alias("response_time_ms"))
+    before = e.select(k.alias("job_uuid"), F.lit("review").alias("decision"), F.col("event_type").alias("reason"))
+    return review.review_log(said, before)
+
+
+@query("""SELECT event_id, lower(coalesce(event_type, '')) IN ('error') OR event_id % 3 = 0 AS again FROM events""")
+def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors made of events: some say that the service is unavailable or that the quota is exceeded."""
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("HTTP 429 at "), F.col("event_type"))).when(F.col("event_type") == "error", "Service UNAVAILABLE").otherwise(F.concat(F.lit("odd "), F.col("event_type")))
+    return a.events(spark, sf_dir).select("event_id", review.transient_errors(said).alias("again"))
+
+
 @query(sql.LATEST_GUARD)
 def guard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_uuid"), (F.col("doc_id") % 11 == 0).alias("reviewed"))
@@ -394,7 +506,7 @@ def render_subscriber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(render.render_subscriber({"src1": "One"}), 256).alias("message_sha256"))
 
 
-@query()
+@query(sql.PRIVATE)
 def render_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.jobs(spark, sf_dir).join(a.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     rows = rows.select("doc_id", "title", "description", "source", F.array("lang").alias("categories"), F.lit("").alias("budget"), F.col("text").alias("reason"), (F.col("doc_id") % 2 == 0).alias("ai_used"))
@@ -409,12 +521,41 @@ def apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.apply_updates(held, news.unionByName(news.limit(0)), "c_custkey")
 
 
-@query("""SELECT c_name AS external_id, c_custkey % 2 = 0 OR c_acctbal >= 0 AS is_active, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS username FROM customer""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_acctbal < 0""")
+def absent_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table lacks customers in the red."""
+    c = a.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return audit.absent_updates(c.where("c_acctbal >= 0"), c.where("c_custkey % 4 = 0"), "c_custkey").select("c_custkey")
+
+
+@query("""SELECT event_id, event_type, true AS logged FROM events UNION ALL SELECT event_id, 'again', true FROM events WHERE event_id % 3 = 0""")
+def append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log written twice."""
+    path = f"{shared_dir(spark)}/audit-{uuid4().hex}"
+    rows = a.events(spark, sf_dir).select("event_id", "event_type")
+    audit.append_audit(rows, path)
+    audit.append_audit(rows.where("event_id % 3 = 0").withColumn("event_type", F.lit("again")), path)
+    return spark.read.parquet(path).select("event_id", "event_type", F.col("logged_at").isNotNull().alias("logged"))
+
+
+@query("""SELECT n_name AS category_id, n_name AS name, n_nationkey % 2 = 0 OR n_nationkey % 3 <> 0 AS enabled FROM nation""")
+def seed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third nation is in the catalogue, the odd ones of them disabled; all are profiles."""
+    n, now = a.table(spark, sf_dir, "nation"), F.expr(a.NOW)
+    held = n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("category_id"), F.col("n_name").alias("name"), F.lit("").alias("description"), (F.col("n_nationkey") % 2 == 0).alias("enabled"), now.alias("created_at"))
+    return audit.seed_categories(held, n.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("description")), now).select("category_id", "name", "enabled")
+
+
+@query("""SELECT CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 2 = 1 THEN c_custkey::VARCHAR END AS user_id, c_name AS external_id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS username,
+  CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END AS first_name, 'user' AS destination_type, c_custkey % 2 = 0 OR c_acctbal >= 0 AS is_active, TIMESTAMP '2024-01-01' + to_hours(CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 2 = 1 THEN 0 ELSE 744 END) AS created_at,
+  TIMESTAMP '2024-01-01' + to_hours(CASE WHEN c_custkey % 2 = 0 THEN 744 ELSE 0 END) AS updated_at FROM customer""")
 def upsert_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, now = a.table(spark, sf_dir, "customer"), F.expr(a.NOW)
-    held = c.where("c_custkey % 3 <> 0 or c_custkey % 2 = 1").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("external_id"), F.lit("old").alias("username"), F.lit("").alias("first_name"), F.lit("user").alias("destination_type"), (F.col("c_acctbal") >= 0).alias("is_active"), now.alias("created_at"), now.alias("updated_at"))
+    """Ids of new destinations are random, so they come as null."""
+    c, now, before = a.table(spark, sf_dir, "customer"), F.expr(a.NOW), F.expr("timestamp'2024-01-01 00:00:00'")
+    held = c.where("c_custkey % 3 <> 0 or c_custkey % 2 = 1").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("external_id"), F.lit("old").alias("username"), F.lit("").alias("first_name"), F.lit("user").alias("destination_type"), (F.col("c_acctbal") >= 0).alias("is_active"), before.alias("created_at"), before.alias("updated_at"))
     came = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("external_id"), F.lit("new").alias("username"), F.lit("x").alias("first_name"), F.lit("user").alias("destination_type"))
-    return audit.upsert_destinations(held, came, now).select("external_id", "is_active", "username")
+    done = audit.upsert_destinations(held, came, now)
+    return done.withColumn("user_id", F.when(F.length("user_id") < 36, F.col("user_id")))
 
 
 @query("""SELECT o_orderkey AS job_uuid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS final_decision, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE NULL END AS filter_time_ms FROM orders""")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+from sluice.functions.render import RULE
+from sluice.functions.text import TRUNCATED
 from sluice.operators.decide import LISTS
+from sluice.operators.parse import ARABIC
+from sluice.operators.review import FENCE
 from sluice.sources.lexicon import PROSE
 
 BLANK = r"[\p{Z}\s\x{0b}\x{1c}-\x{1f}\x{85}]"
@@ -34,10 +40,18 @@ JOBS = f"""jobs AS (
 )"""
 PARSED = f"""WITH {JOBS} SELECT doc_id, title, sha256({paragraphs('body')}) AS description_sha256, '' AS budget, regexp_extract(text, 'https?://[^\\s]+') AS url FROM jobs"""
 
+#: documents in the labelled layout, as the query parse_labelled writes them; without its label the title is the first line.
+_FIRST = strip("string_split(coalesce(text, ''), chr(10))[1]")
+LABELLED = f"""SELECT doc_id, CASE WHEN doc_id % 4 <> 1 THEN 'Post ' || doc_id WHEN {_FIRST} = '' THEN '{ARABIC.description}:' ELSE '{ARABIC.description}: ' || regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '{BLANK}+$', '') END AS title,
+  sha256({paragraphs("coalesce(text, '')")}) AS description_sha256, CASE WHEN doc_id % 4 = 2 THEN '' ELSE doc_id::VARCHAR END AS budget FROM documents"""
+
 JOB_UUID = """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS job_uuid
 FROM (SELECT doc_id, sha1(unhex('6f6e646573704a6f62737570706f7274') || encode(source || ':' || doc_id)) AS h FROM documents)"""
 
 
+LEGACY = JOB_UUID.replace("source || ':'", "'One' || ':'").replace("AS job_uuid", "AS legacy_job_uuid").replace("SELECT doc_id, substr", "SELECT doc_id, CASE WHEN NOT contains(source, 'src1') THEN NULL ELSE substr").replace("substr(h, 21, 12) AS", "substr(h, 21, 12) END AS").replace("SELECT doc_id, sha1", "SELECT doc_id, source, sha1")
+
+
 def _ordered(profile: str, polarity: str, tier: str) -> list[tuple[str, int, str]]:
     words = [(k, w, g) for g, kw in PROSE[profile].get(polarity, {}).get(tier, {}).items() for k, w in kw.items()]
     return sorted(words, key=lambda x: -len(x[0]))
@@ -151,6 +165,8 @@ SELECT seq AS notification_id, CASE WHEN known AND k = 0 THEN 'Sent' WHEN known
   CASE WHEN NOT known THEN next_at WHEN k = 0 THEN NULL WHEN k = 1 THEN TIMESTAMP '1998-01-01 00:00:30' WHEN k = 2 OR attempts >= 5 THEN next_at ELSE TIMESTAMP '1998-01-01' + to_seconds(least(300, 5 * 2 ** attempts)) END AS next_attempt_at,
   known AND k = 2 AS deactivate FROM r"""
 
+RESET = f"""WITH {QUEUE} SELECT seq AS notification_id, CASE WHEN status = 'Sending' THEN 'Pending' ELSE status END AS status, attempts, CASE WHEN status = 'Sending' THEN TIMESTAMP '1998-01-01' ELSE next_at END AS next_attempt_at FROM queue"""
+
 GUARD = """log AS (SELECT doc_id, doc_id AS seq, CASE WHEN toxic = 1 THEN 'do_not_notify' WHEN quality = 1 THEN 'notify' ELSE 'error' END AS g FROM labels),
 every AS (SELECT * FROM log UNION ALL SELECT doc_id, seq + 1000000000, CASE WHEN g = 'error' THEN 'notify' ELSE 'error' END FROM log WHERE doc_id % 3 = 0),
 latest AS (SELECT doc_id, arg_max(g, seq) AS g FROM every GROUP BY 1)"""
@@ -173,7 +189,7 @@ def _escaped(x: str) -> str:
 
 
 _CUT = f"CASE WHEN length(d) > 3000 THEN {strip('left(d, 2997)')} || '...' ELSE d END"
-_RULE = "────────────────────────"
+_RULE = RULE
 SUBSCRIBER = f"""WITH {JOBS}, m AS (SELECT doc_id, {_escaped('title')} AS title, {paragraphs('body')} AS d FROM jobs),
 s AS (SELECT m.doc_id, '🚀 <b>New Text &amp; more Opportunity</b>' || chr(10) || chr(10) || '📄 <b>' || title || '</b>' || chr(10) || '🏢 <b>Platform</b>' || chr(10) || CASE WHEN contains(source, 'src1') THEN 'One' ELSE source END
   || CASE WHEN d <> '' THEN chr(10) || chr(10) || '{_RULE}' || chr(10) || chr(10) || '📋 <b>Description</b>' || chr(10) || chr(10) || {_escaped(_CUT)} ELSE '' END
@@ -197,3 +213,51 @@ REVIEWS = """SELECT event_id, CASE WHEN ok THEN CASE WHEN value > 10 THEN 'accep
 FROM (SELECT *, event_id % 6 NOT IN (1, 2, 3) AND value BETWEEN 0 AND 100 AS ok FROM events)"""
 
 INCOMPLETE = """SELECT o_orderkey AS job_uuid FROM orders WHERE o_orderstatus NOT IN ('F') AND o_orderpriority NOT LIKE '5%' AND o_orderpriority NOT LIKE '1%'"""
+
+
+def _lf(x: str) -> str:
+    """A text as SQL, with chr(10) for its line feeds."""
+    return " || ".join("chr(10)" if part == "\n" else "'" + part.replace("'", "''") + "'" for part in re.split("(\n)", x) if part)
+
+
+_FENCED = f"{_lf(FENCE)} || x || {_lf(chr(10) + '</post>')}"
+_TEXT = f"CASE WHEN length(text) > 3500 THEN left(text, 3500) || {_lf(TRUNCATED)} ELSE text END"
+#: Ranked hits of RESULTS by tier, with their groups.
+_LISTED = f"""{RESULTS}, rank AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{pol}', '{t}', '{k}', {n})" for p in PROSE for pol, t in LISTS for n, (k, _, _) in enumerate(_ordered(p, pol, t)))}) AS r(profile_id, polarity, tier, norm, n)),
+grouped AS (SELECT h.doc_id, h.profile_id, h.polarity, h.tier, h.norm, h.weight, g.grp, r.n FROM hits h JOIN rank r USING (profile_id, polarity, tier, norm)
+  JOIN (VALUES {', '.join(f"('{p}', '{pol}', '{t}', '{k}', '{g}')" for p in PROSE for pol, t in LISTS for k, _, g in _ordered(p, pol, t))}) AS g(profile_id, polarity, tier, norm, grp) USING (profile_id, polarity, tier, norm)),
+lists AS (SELECT r.*,
+  {', '.join(f"coalesce((SELECT string_agg(norm || ' (' || grp || ', weight ' || weight || ')', ', ' ORDER BY n) FROM grouped g WHERE g.doc_id = r.doc_id AND g.profile_id = r.profile_id AND polarity = '{pol}' AND tier = '{t}'), '(none)') AS {pol}_{t}" for pol, t in LISTS)},
+  {', '.join(f"coalesce((SELECT string_agg(grp, ', ' ORDER BY grp) FROM (SELECT DISTINCT grp FROM grouped g WHERE g.doc_id = r.doc_id AND g.profile_id = r.profile_id AND polarity = '{pol}')), '') AS {pol}_groups" for pol in ('positive', 'negative'))}
+  FROM results r)"""
+REVIEW_PROMPT = f"""WITH {_LISTED}, asked AS (
+  SELECT doc_id, profile_id, 'Decision: review' || chr(10) || 'Reason: ' || reason || chr(10) || 'Positive groups: [' || positive_groups || ']' || chr(10) || 'Negative groups: [' || negative_groups || ']' || chr(10)
+    || 'Positive core: ' || positive_core || chr(10) || 'Positive supporting: ' || positive_supporting || chr(10) || 'Negative core: ' || negative_core || chr(10) || 'Negative supporting: ' || negative_supporting || chr(10)
+    || 'Supporting weight: ' || sp || ' : ' || sn || chr(10) || chr(10) || {_FENCED} AS p
+  FROM lists JOIN (SELECT doc_id, {_TEXT} AS x FROM documents) USING (doc_id) WHERE decision = 'review')
+SELECT doc_id, profile_id, length(p)::BIGINT AS n_chars, sha256(p) AS prompt_sha256 FROM asked"""
+_FORM = 'Answer with one JSON object: {"selected_category": an id from the list or "none", "confidence": 0 to 100, "reason": text}'
+ARBITRATION_PROMPT = f"""WITH {_LISTED}, block AS (
+  SELECT doc_id, string_agg('CATEGORY ID: ' || profile_id || chr(10) || 'NAME: ' || upper(left(profile_id, 1)) || substr(profile_id, 2) || chr(10) || 'DESCRIPTION: Prose in ' || profile_id || chr(10) || 'SCOPE: Texts mostly in ' || profile_id
+    || chr(10) || 'REASON: ' || reason || chr(10) || 'POSITIVE: ' || positive_groups || chr(10) || 'NEGATIVE: ' || negative_groups, chr(10) || chr(10) ORDER BY profile_ord) AS b FROM lists WHERE decision <> 'reject' GROUP BY doc_id
+), asked AS (
+  SELECT doc_id, 'Choose the one category that fits this post best, or none.' || chr(10) || chr(10) || b || chr(10) || chr(10) || {_FENCED} || chr(10) || chr(10) || '{_FORM}' AS p FROM block JOIN (SELECT doc_id, {_TEXT} AS x FROM documents) USING (doc_id))
+SELECT doc_id, length(p)::BIGINT AS n_chars, sha256(p) AS prompt_sha256 FROM asked"""
+
+_GUARD_HEAD = 'Should this post be passed on? Answer with one JSON object: {"decision": "notify" or "do_not_notify"}\n\n'
+GUARD_PROMPT = f"""WITH {JOBS}, p AS (SELECT doc_id, {_lf(_GUARD_HEAD)} || {_FENCED} AS p FROM (SELECT doc_id, title || chr(10) || chr(10) || {paragraphs('body')} AS x FROM jobs))
+SELECT doc_id, length(p)::BIGINT AS n_chars, sha256(p) AS prompt_sha256 FROM p"""
+
+
+def _clipped(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN {strip(f'left({x}, {n - 3})')} || '...' ELSE {x} END"
+
+
+_WHOLE = SUBSCRIBER[SUBSCRIBER.index("SELECT doc_id, sha256(") :].replace("SELECT doc_id, sha256(", "SELECT doc_id, ", 1).replace("ELSE t END) AS message_sha256", "ELSE t END AS m", 1)
+PRIVATE = f"""WITH {JOBS}, d AS (SELECT doc_id, title, {paragraphs('body')} AS d, text AS r FROM jobs),
+s AS (SELECT d.doc_id, '🚀 <b>New Freelance Opportunity</b>' || chr(10) || chr(10) || CASE WHEN d.doc_id % 2 = 0 THEN '🧠 <b>AI Recommendation</b>' ELSE '⚡ <b>Direct Match</b>' END || chr(10) || chr(10) || '🏢 <b>Platform</b>' || chr(10) || source
+  || chr(10) || chr(10) || '📄 <b>Project</b>' || chr(10) || {_escaped('title')}
+  || CASE WHEN d <> '' THEN chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) || '📋 <b>Description</b>' || chr(10) || chr(10) || {_escaped(_clipped('d', 3000))} ELSE '' END
+  || chr(10) || chr(10) || '🏷 <b>Categories</b>' || chr(10) || lang
+  || CASE WHEN r <> '' THEN chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) || '💡 <b>Reason</b>' || chr(10) || chr(10) || {_escaped(_clipped('r', 1200))} ELSE '' END AS t FROM d JOIN documents USING (doc_id)),
+m AS ({_WHOLE}) SELECT doc_id, length(m)::BIGINT AS n_chars, sha256(m) AS message_sha256 FROM m"""

@@ -55,7 +55,7 @@ def lexicon_table(spark: SparkSession, profiles: Mapping[str, Mapping] = PROSE)
 
 
 def compile_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Adds `norm`, `n_tokens` and `ord`, the longest-first order within profile, polarity and tier.
+    """Adds `norm`, `n_tokens`, `ord`, the longest-first order within profile, polarity and tier, and `inner`, for a phrase the ords of its words that are keywords of its tier.
 
     Keywords that normalise to nothing go; of keywords of a tier that normalise
     alike only the first can ever hit, so the others go too.
@@ -65,7 +65,11 @@ def compile_lexicon(lexicon: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("profile_id", "polarity", "tier", "norm").orderBy("src_ord", "keyword"))
     first = norm.withColumn("rank", rank).where("rank = 1").drop("rank")
     order = (F.length("norm").desc(), F.when(F.col("polarity") == "hard_reject", F.col("keyword")), "src_ord", "keyword")
-    return first.withColumn("n_tokens", F.size(F.split("norm", " "))).withColumn("ord", F.row_number().over(tier.orderBy(*order)).cast("int"))
+    ranked = first.withColumn("n_tokens", F.size(F.split("norm", " "))).withColumn("ord", F.row_number().over(tier.orderBy(*order)).cast("int"))
+    words = ranked.where("n_tokens = 1").select("profile_id", "polarity", "tier", F.col("norm").alias("word"), F.col("ord").alias("word_ord"))
+    parts = ranked.where("n_tokens > 1").select("profile_id", "polarity", "tier", "ord", F.explode(F.split("norm", " ")).alias("word"))
+    inner = parts.join(words, ["profile_id", "polarity", "tier", "word"]).groupBy("profile_id", "polarity", "tier", "ord").agg(F.sort_array(F.collect_list("word_ord")).alias("inner"))
+    return ranked.join(inner, ["profile_id", "polarity", "tier", "ord"], "left").withColumn("inner", F.coalesce("inner", F.array().cast("array<int>")))
 
 
 def lexicon_conflicts(lexicon: DataFrame, noise: DataFrame) -> DataFrame:

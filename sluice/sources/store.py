@@ -15,13 +15,39 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, and only where that is unset (one machine) a new folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """spark.checkpoint.dir, and where that is unset a new folder if there is but one machine; a cluster must set it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt to all cores if its files make fewer tasks than there are cores, as one large row group does; other tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a new table in the shared folder and read it back: later steps start from the files, also after executors are lost."""
+    """Write `df` to a new table in the shared folder and read it back: later steps start from the files, also after executors are lost.
+
+    The frame that comes back is lazy, so the table stays until `clear` or until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.setdefault(shared_dir(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that this process has cut, by folder.
+_tables: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this process has cut, once no frame that reads them is needed any more; their number."""
+    paths = _tables.pop(shared_dir(spark), [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -10,40 +10,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sluice.functions.identity import job_uuid
-from sluice.operators.claims import TTL_SECONDS, dedup_jobs
+from sluice.functions.identity import job_uuid, project_id
+from sluice.operators.claims import DUPLICATE, TTL_SECONDS, claim_projects, mark_duplicates
 from sluice.operators.decide import classify_all, final_decision, select_category
 from sluice.operators.parse import parse_posts
 from sluice.sources.store import cut
 
 
-def triage(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Decisions for `posts` (identity, job_id, source, text): parse, identify, classify, select."""
+def triage(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, claimed: DataFrame | None = None, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """Decisions for `posts` (identity, job_id, source, text, maybe ts): parse, identify, classify, select, claim.
+
+    With `ts`, posts claim the project that their link names, after the earlier
+    claims `claimed` (project_id, job_uuid, ts) if given; posts of a project
+    that another post owns are kept, rejected as duplicates.
+    """
+    timed = "ts" in posts.columns
     jobs = parse_posts(posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))).dropDuplicates(["job_uuid"])
+    kept = ["job_uuid", "identity", "job_id", "source", "title", "url", *(["ts", "project_id"] if timed else [])]
+    jobs = cut(jobs.withColumn("project_id", project_id(F.col("url"))).select(*kept, "description"), "parsed")
     results = cut(classify_all(jobs.select("job_uuid", "title", "description"), profiles, lexicon), "classified")
-    decided = final_decision(results, select_category(results))
-    return jobs.select("job_uuid", "identity", "job_id", "source", "title", "url").join(decided, "job_uuid")
+    decided = jobs.select(*kept).join(final_decision(results, select_category(results), jobs=jobs), "job_uuid")
+    if not timed:
+        return decided
+    own = jobs.select("project_id", "job_uuid", "ts")
+    claims = claim_projects(own if claimed is None else own.unionByName(claimed.select("project_id", "job_uuid", "ts")).distinct(), ttl_seconds)
+    return mark_duplicates(decided, claims)
+
 
+def triage_batch(spark: SparkSession, profiles: DataFrame, lexicon: DataFrame, path: str, ttl_seconds: int = TTL_SECONDS) -> Callable[[DataFrame, int], None]:
+    """Writer of a micro-batch: it goes to a partition of its own, so that a batch run again replaces itself.
 
-def triage_batch(spark: SparkSession, profiles: DataFrame, lexicon: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Writer of a micro-batch: posts that no other batch has go to a partition of its own, so that a batch run again replaces itself."""
+    Earlier claims are read of the batch's projects alone, and only those not
+    run out before its first post.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        known = batch.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))
-        try:
-            before = spark.read.parquet(path).where(F.col("batch") != number).select("job_uuid")
-            known = dedup_jobs(known, before)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        triage(known.drop("job_uuid"), profiles, lexicon).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        claimed = None
+        if number and "ts" in batch.columns:
+            since = batch.agg(F.min("ts").alias("ts")).first()["ts"]
+            asked = parse_posts(batch).select(project_id(F.col("url")).alias("project_id")).where("project_id is not null").distinct()
+            written = spark.read.schema("project_id string, job_uuid string, ts timestamp, decision_reason string, batch long").parquet(path)
+            owners = written.where((F.col("batch") < number) & ~F.col("decision_reason").eqNullSafe(DUPLICATE))
+            recent = owners.where(F.col("ts") >= F.lit(since) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+            claimed = recent.join(asked, "project_id", "left_semi")
+        triage(batch, profiles, lexicon, claimed, ttl_seconds).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def run_stream(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Triage of a stream of posts, all that is there, batch by batch."""
-    return posts.writeStream.foreachBatch(triage_batch(posts.sparkSession, profiles, lexicon, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_stream(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
+    """Triage of a stream of posts, all that is there, batch by batch.
+
+    Posts that came before are left out by keyed state, so a batch costs no more
+    as the output grows. With a `delay` that state is bounded: a post is told
+    from those at most so much older by `ts`.
+    """
+    named = posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))
+    once = named.dropDuplicates(["job_uuid"]) if delay is None else dedup_stream(named, delay)
+    writer = once.drop("job_uuid").writeStream.foreachBatch(triage_batch(posts.sparkSession, profiles, lexicon, path))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_stream(jobs: DataFrame, delay: str = "1 day", time: str = "ts") -> DataFrame:
@@ -52,7 +77,11 @@ def dedup_stream(jobs: DataFrame, delay: str = "1 day", time: str = "ts") -> Dat
 
 
 class Claims(StatefulProcessor):
-    """Owner of a project and when it claimed; rows of a batch are taken by time, then id."""
+    """Owner of a project and when it claimed; rows of a batch are taken by time, then id.
+
+    The state is one row for each project. A project's rows of one micro-batch
+    are held at once, so the trigger bounds them.
+    """
 
     def __init__(self, ttl_seconds: int) -> None:
         self.ttl = pd.Timedelta(seconds=ttl_seconds)

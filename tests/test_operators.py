@@ -127,7 +127,7 @@ def test_tier_hits_equal_masking(spark):
     order = [r.norm for r in lex.orderBy("ord").collect()]
     docs = ["".join(rng.choice("aabbc ") for _ in range(20)).replace("", " ") for _ in range(150)]
     jobs = spark.createDataFrame([(k, "", d) for k, d in enumerate(docs)], "job_uuid int, title string, description string")
-    hits = match.tier_hits(match.lexicon_occurrences(match.posts_text(jobs), lex)).join(lex, [*match.TIER, "ord"]).groupBy("job_uuid").agg(F.collect_set("norm").alias("s")).collect()
+    hits = match.tier_hits(match.keyword_counts(match.lexicon_occurrences(match.posts_text(jobs), lex), lex)).join(lex, [*match.TIER, "ord"]).groupBy("job_uuid").agg(F.collect_set("norm").alias("s")).collect()
     got = {r.job_uuid: set(r.s) for r in hits}
     assert all(got.get(k, set()) == masked(" ".join(d.split()), order) for k, d in enumerate(docs))
 
