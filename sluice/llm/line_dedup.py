@@ -50,8 +50,8 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     """`docs` without cross-site boilerplate; `text` is what is left, `n_lines` and `n_removed` count lines with words.
 
     A line with words that is on at least `min_sites` sites goes from every
-    document but the one with the lowest doc_id, where its first occurrence
-    stays. Other lines, blank ones too, stay as they are; a document whose
+    document but the one with the lowest doc_id (null is lowest; of several
+    texts with that id one), where its first occurrence stays. Other lines, blank ones too, stay as they are; a document whose
     lines all go keeps an empty text, a null text stays null. Rows with equal
     id and text are treated alike. Other columns are kept, but for columns of
     the input named n_lines or n_removed, which are replaced.
@@ -60,9 +60,10 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     lines = cut(line_table(own, site), "lines")
     bad = cut(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(small_side(bad.select("a", "b"), BROADCAST_ROWS), ["a", "b"])
-    first = hits.groupBy("a", "b").agg(F.min(F.struct("key_id", "pos")).alias("first"))
+    place = F.struct("key_id", "key_text", "pos")
+    first = hits.groupBy("a", "b").agg(F.min(place).alias("first"))
     first = cut(first, "boilerplate-first")
-    extra = hits.join(small_side(first, BROADCAST_ROWS), ["a", "b"]).where(~F.struct("key_id", "pos").eqNullSafe(F.col("first")))
+    extra = hits.join(small_side(first, BROADCAST_ROWS), ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
     gone = extra.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     packed = own.select(F.struct("*").alias("row"), *row_key(), F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
     both = join_by(packed, gone, ["key_id", "key_text"])
