@@ -8,8 +8,8 @@ everywhere in the word; words without a known pair are finished.
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Vocabularies are sent to every executor, so they may have at most this many tokens.
 MAX_TOKENS = 2_000_000
-#: Words a worker remembers, and characters it cuts up at once.
-CACHE_WORDS = 400_000
+#: Words a worker remembers, with so many characters in all, and characters it cuts up at once.
+CACHE_WORDS, CACHE_CHARS = 400_000, 8_000_000
 BLOCK_CHARS = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
 
@@ -73,6 +73,13 @@ class Codec:
         self.cut = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary["special"], key=len, reverse=True))) + ")") if vocabulary["special"] else None
         self.known: dict[str, bytes] = {}
+        self.chars = 0
+
+    def trim(self) -> None:
+        """Forget all words if they have become many; before a block of texts, never within one."""
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.known.clear()
+            self.chars = 0
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word starts in it (with the end)."""
@@ -119,6 +126,7 @@ class Codec:
             return
         ids, at = self.encode_words([w.encode("utf-8", "replace") for w in new])
         raw, at = ids.tobytes(), (at * 4).tolist()
+        self.chars += sum(map(len, new))
         self.known.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:], strict=False))
 
     def pieces(self, text: str) -> list[str | int]:
@@ -134,8 +142,7 @@ class Codec:
         out: list[np.ndarray] = []
         for block in text_blocks(texts):
             cut = [self.pieces(t) for t in block]
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+            self.trim()
             special = {i: np.int32(i).tobytes() for i in self.v["special"].values()}
             self.learn(set().union(*cut) - special.keys())
             get = self.known.__getitem__
@@ -163,19 +170,22 @@ def text_blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-#: One codec for each vocabulary and worker process.
+#: The codec that a worker process used last, by the name of its vocabulary.
 _codecs: dict[str, Codec] = {}
 
 
 def share(spark: SparkSession, path: str | None = None) -> tuple[str, Broadcast]:
-    """A tokenizer file's vocabulary for all executors, with a name; only the driver reads the file."""
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(load(path or default_path()))
+    """A tokenizer file's vocabulary for all executors, named by what is in it; only the driver reads the file."""
+    vocabulary = load(path or default_path())
+    parts = (b"\0".join(vocabulary["bytes"]), *(vocabulary[k].tobytes() for k in ("keys", "rank", "made", "single")), repr(sorted(vocabulary["special"].items())).encode())
+    return hashlib.sha256(b"\1".join(parts)).hexdigest(), spark.sparkContext.broadcast(vocabulary)
 
 
 def codec(shared: tuple[str, Broadcast]) -> Codec:
     """The worker's codec for a shared vocabulary."""
     name, value = shared
     if name not in _codecs:
+        _codecs.clear()
         _codecs[name] = Codec(value.value)
     return _codecs[name]
 

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources.store import cut, spread
+
+__all__ = ["BLANKS", "cut", "join_by", "lowest_hashes", "row_key", "small_side", "table", "words"]
+
 #: What separates words: the blanks of ASCII.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data directory; any file system that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table `name` of a data directory, on any file system that Spark can read; dealt to all cores if its files make fewer tasks."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words(text: Column) -> Column:
@@ -35,27 +37,6 @@ def join_by(left: DataFrame, right: DataFrame, names: list[str], how: str = "lef
     return left.join(other, on, how).drop(*(f"right_{n}" for n in names))
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset (one machine) a new one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a new table in the shared folder and read it back: later steps start from the files, also after executors are lost.
-
-    The table stays until the folder is cleared, since the returned frame is lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it was counted to hold at most `rows` rows; otherwise unchanged, for a shuffled join.
 

@@ -1,19 +1,22 @@
 """Edit-aware token counts: a tree of counts per document, of which an edit renews only what it touches.
 
 A document's tree has blocks of consecutive pre-tokens as leaves, with their
-characters and tokens; nodes above sum 16 children each. Cutting into pre-tokens
-looks only ahead, so from any block boundary it goes on alike whatever stands
-before. An edit re-encodes from a block boundary a few characters before it to
-the first boundary behind it that the new text meets as well; all other leaves
-are reused, and only the sums above changed leaves are renewed.
+characters and tokens. Groups of FAN leaves and the nodes above them, of FAN
+children each, hold the sums; the table of trees has them all. Cutting into
+pre-tokens looks only ahead, so from any block boundary it goes on alike
+whatever stands before. An edit finds its block by going down the sums,
+re-encodes from a boundary a few characters before it to the first boundary
+behind it that the new text meets as well, and puts the new blocks in the groups
+of the old ones. Groups have slack, so no other leaf moves, and only the sums on
+the way from the touched groups to the root are renewed.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from sluice.llm import bpe
 from sluice.llm.common import cut, join_by, row_key
 
 BLOCK, FAN = 32, 16
-#: Characters before an edit that may be cut differently because of it: the pattern looks at most two characters ahead.
+#: Characters before an edit that may be cut differently because of it: the pattern looks at most two characters ahead, and special tokens at most their length.
 CONTEXT = 4
 _NEXT = regex.compile(bpe.PATTERN)
 
@@ -47,115 +50,165 @@ def leaves(codec: bpe.Codec, texts: list[str]) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
+def sums(leaf: np.ndarray) -> list[np.ndarray]:
+    """Sums of each FAN leaves, then of each FAN of those, up to one number; an empty tree is one group of none."""
+    levels = [np.add.reduceat(leaf, np.arange(0, len(leaf), FAN)) if len(leaf) else np.zeros(1, np.int64)]
+    while len(levels[-1]) > 1:
+        levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FAN)))
+    return levels
+
+
 class Tree:
-    """Sums over leaves, level by level; `total` is the root."""
+    """Characters and tokens of a document's blocks, in groups of FAN as they were when it was built, with the sums above.
 
-    def __init__(self, leaf: list[int] | np.ndarray) -> None:
-        self.levels = [np.array(leaf, np.int64)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append(np.add.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), FAN)))
+    `find` and `put` take numbers of blocks and characters as they were then;
+    changes are put in from the last to the first.
+    """
+
+    def __init__(self, chars: np.ndarray, tokens: np.ndarray, char_sums: list[np.ndarray] | None = None, token_sums: list[np.ndarray] | None = None) -> None:
+        self.chars, self.tokens = (np.asarray(x, np.int64) for x in (chars, tokens))
+        self.char_sums, self.token_sums = char_sums or sums(self.chars), token_sums or sums(self.tokens)
+        self.own: dict[int, tuple[list[int], list[int]]] = {}
+        self.renewed = 0
 
     @property
     def total(self) -> int:
-        return int(self.levels[-1].sum())
-
-    def splice(self, a: int, b: int, new: list[int]) -> None:
-        """Put `new` in the place of leaves a to b and renew the sums from there on; sums before a stay."""
-        self.levels[0] = np.concatenate([self.levels[0][:a], np.array(new, np.int64), self.levels[0][b:]])
-        k = 0
-        while len(self.levels[k]) > 1:
-            a //= FAN
-            below = self.levels[k][a * FAN :]
-            fresh = np.add.reduceat(below, np.arange(0, len(below), FAN)) if len(below) else below
-            old = self.levels[k + 1][:a] if k + 1 < len(self.levels) else np.zeros(0, np.int64)
-            self.levels[k + 1 : k + 2] = [np.concatenate([old, fresh])]
-            k += 1
-        del self.levels[k + 1 :]
-
-
-def recount(codec: bpe.Codec, text: str, chars: list[int] | np.ndarray, tokens: list[int] | np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[str, Tree, int]:
-    """The edited text, its tree, and how many pre-tokens were encoded anew. Edits are (start, end, new text) in order, apart from each other."""
+        return int(self.token_sums[-1][0])
+
+    def group(self, g: int) -> tuple[list[int], list[int]]:
+        """Characters and tokens of a group's blocks."""
+        return self.own.get(g) or (self.chars[g * FAN : g * FAN + FAN].tolist(), self.tokens[g * FAN : g * FAN + FAN].tolist())
+
+    def find(self, at: int) -> tuple[int, int]:
+        """Number and first character of the block that the character `at` is in (of the last, beyond the end)."""
+        node, start = 0, 0
+        for level in [*reversed(self.char_sums[:-1]), self.chars]:
+            first = node * FAN
+            node, last = first, min(first + FAN, len(level)) - 1
+            while node < last and start + level[node] <= at:
+                start += int(level[node])
+                node += 1
+        return max(node, 0), start
+
+    def put(self, a: int, b: int, chars: list[int], tokens: list[int]) -> None:
+        """Put blocks in the place of blocks a to b: in the group of a, and out of those of the others."""
+        at = min(a // FAN, len(self.char_sums[0]) - 1)
+        for g in range(at, max((b - 1) // FAN, at) + 1):
+            old = self.group(g)
+            low, high = max(a - g * FAN, 0), max(min(b - g * FAN, FAN), 0)
+            new = tuple(x[:low] + (y if g == at else []) + x[high:] for x, y in zip(old, (chars, tokens), strict=True))
+            self.own[g] = new
+            for levels, x, y in ((self.char_sums, old[0], new[0]), (self.token_sums, old[1], new[1])):
+                change, node = sum(y) - sum(x), g
+                for level in levels:
+                    level[node] += change
+                    node //= FAN
+                    self.renewed += 1
+
+    def blocks(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of all blocks, one after the other."""
+        groups = [self.group(g) for g in range(len(self.char_sums[0]))]
+        return [c for x, _ in groups for c in x], [t for _, x in groups for t in x]
+
+
+def recount(codec: bpe.Codec, text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> tuple[str, int]:
+    """The edited text, and how many pre-tokens were encoded anew; `tree` becomes that of the edited text. Edits are (start, end, new text) in order, apart from each other."""
     parts, last = [], 0
     for a, b, new in edits:
         parts += [text[last:a], new]
         last = b
     now = "".join([*parts, text[last:]])
-    if codec.special and (codec.special.search(text) or codec.special.search(now)):  # special tokens cut the text before the pattern does
-        tree = Tree(leaves(codec, [now])[0][1])
-        return now, tree, len(codec.pieces(now))
-    starts = np.append(0, np.cumsum(chars, dtype=np.int64)).tolist()
-    tree, changed = Tree(tokens), []
+    special = codec.v["special"] if codec.special and (codec.special.search(text) or codec.special.search(now)) else {}
+    context = CONTEXT + max(map(len, special), default=0)
+    n_blocks, changed, next_special = len(tree.chars), [], None
     k, n, delta, anew = 0, len(edits), 0, 0
     while k < n:
-        first = max(bisect_right(starts, edits[k][0] - CONTEXT) - 1, 0)
-        at = starts[first] + delta
-        pieces, to = [], len(chars)
+        first, start = tree.find(max(edits[k][0] - context, 0))
+        at = start + delta
+        pieces, to, block = [], n_blocks, None
         delta += len(edits[k][2]) - (edits[k][1] - edits[k][0])
         end = edits[k][1]
         k += 1
         while at < len(now):
             old = at - delta
-            while k < n and edits[k][0] - CONTEXT <= old:
+            while k < n and edits[k][0] - context <= old:
                 delta += len(edits[k][2]) - (edits[k][1] - edits[k][0])
                 end = edits[k][1]
                 k += 1
                 old = at - delta
             if old >= end:
-                j = bisect_right(starts, old) - 1
-                if starts[j] == old and j > first and j < len(chars):
-                    to = j
+                if block is None or block[1] > old:
+                    block = tree.find(old)
+                while block[0] < n_blocks - 1 and block[1] + int(tree.chars[block[0]]) <= old:
+                    block = block[0] + 1, block[1] + int(tree.chars[block[0]])
+                if block[1] == old and first < block[0] < n_blocks:
+                    to = block[0]
                     break
-            m = _NEXT.match(now, at)
-            pieces.append(m[0])
-            at = m.end()
+            if special and (next_special is None or next_special[0] < at):
+                m = codec.special.search(now, at)
+                next_special = m.span() if m else (len(now) + 1, 0)
+            if special and next_special[0] == at:  # special tokens cut the text before the pattern does
+                pieces.append(now[at : next_special[1]])
+            else:
+                pieces.append(_NEXT.match(now, at, min(next_special[0], len(now)) if special else len(now))[0])
+            at += len(pieces[-1])
         else:
             while k < n:
                 delta += len(edits[k][2]) - (edits[k][1] - edits[k][0])
                 k += 1
-        codec.learn(set(pieces))
+        codec.learn(set(pieces) - special.keys())
         anew += len(pieces)
-        count = [len(codec.known[p]) // 4 for p in pieces]
-        changed.append((first, to, [sum(count[i : i + BLOCK]) for i in range(0, len(count), BLOCK)]))
-    for first, to, new in reversed(changed):
-        tree.splice(first, to, new)
-    return now, tree, anew
+        count = [1 if p in special else len(codec.known[p]) // 4 for p in pieces]
+        starts = range(0, len(pieces), BLOCK)
+        changed.append((first, to, [sum(map(len, pieces[i : i + BLOCK])) for i in starts], [sum(count[i : i + BLOCK]) for i in starts]))
+    for first, to, chars, tokens in reversed(changed):
+        tree.put(first, to, chars, tokens)
+    return now, anew
+
+
+#: Columns of a table of trees, besides the row key: blocks, and the levels above, the groups' first.
+LEVELS = "array<array<int>>"
+TREE = ("chars", "tokens", "char_sums", "token_sums")
 
 
 def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The leaves of each row's tree: row key, `chars` and `tokens` by block."""
+    """The tree of each row: row key, `chars` and `tokens` by block, `char_sums` and `token_sums` by level."""
     shared = bpe.share(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(shared)
         for batch in batches:
-            found = []
+            at = 0
             for block in bpe.text_blocks([t or "" for t in batch.column(2).to_pylist()]):
-                if len(codec.known) > bpe.CACHE_WORDS:
-                    codec.known.clear()
-                found += leaves(codec, block)
-            at = pa.array(np.append(0, np.cumsum([len(c) for c, _ in found])).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]).astype(np.int32))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["key_id", "key_text", "chars", "tokens"])
+                codec.trim()
+                found = leaves(codec, block)
+                flat = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+                levels = [pa.array([[s.astype(np.int32) for s in sums(x[k])] for x in found], pa.list_(pa.list_(pa.int32()))) for k in (0, 1)]
+                part = batch.slice(at, len(block))
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *flat, *levels], names=["key_id", "key_text", *TREE])
 
     keyed = docs.select(*row_key(), "text")
-    schema = StructType(keyed.schema.fields[:2]).add("chars", ArrayType(IntegerType())).add("tokens", ArrayType(IntegerType()))
+    ints = ArrayType(IntegerType())
+    schema = StructType(keyed.schema.fields[:2]).add("chars", ints).add("tokens", ints).add("char_sums", ArrayType(ints)).add("token_sums", ArrayType(ints))
     return keyed.mapInArrow(run, schema)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def running(widths: pd.Series) -> pd.Series:
+    """Running sums of each list."""
+    return widths.map(np.cumsum)
+
+
 def mask_edits(docs: DataFrame, pattern: str = r"\d{7,}|[0-9a-f]{32,}", mask: str = "[masked]") -> DataFrame:
     """`docs` (doc_id, text) with `edits`: what masking every match of `pattern` changes."""
-    spans = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 0)
-    gaps = F.split(F.coalesce("text", F.lit("")), pattern)
-    step = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), spans.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,new:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(mask).alias("new")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return docs.withColumn("edits", F.when(F.size(spans) > 0, step))
+    text = F.coalesce("text", F.lit(""))
+    found = docs.withColumns({"hits": F.regexp_extract_all(text, F.lit(pattern), 0), "gaps": F.split(text, pattern)})
+    # each match ends where the gaps and matches up to it do
+    widths = F.zip_with("gaps", "hits", lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+    ends = F.slice(running(widths), F.lit(1), F.size("hits"))
+    edit = F.zip_with(ends, "hits", lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), F.lit(mask).alias("new")))
+    return found.withColumn("edits", F.when(F.size("hits") > 0, edit)).select(*docs.columns, "edits")
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -164,31 +217,36 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     `edits` holds start, end (code points) and new text, in order and apart
     from each other; null or empty changes nothing. n_encoded is the number of
     pre-tokens that the edits made it encode anew. Null and empty texts have no
-    tokens; equal rows count alike. Other columns are ignored.
+    tokens; rows with equal id, text and edits count alike. Other columns are
+    ignored.
     """
-    rows = docs.select(*row_key(), "text", "edits")
-    built = cut(trees(docs, path), "token-trees")
+    rows = docs.select(*row_key(), F.xxhash64(F.col("edits")).alias("key_edits"), "text", "edits", (F.size("edits") > 0).alias("edited"))
+    built = cut(trees(docs, path), "token-trees").dropDuplicates(["key_id", "key_text"])
     shared = bpe.share(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(shared)
+        array = lambda x: x.values.to_numpy(zero_copy_only=False)
         for batch in batches:
             total, encoded = [], []
             for k in range(batch.num_rows):
-                text, edits, chars, tokens = (batch.column(n)[k].as_py() for n in ("text", "edits", "chars", "tokens"))
-                if len(codec.known) > bpe.CACHE_WORDS:
-                    codec.known.clear()
-                _, tree, anew = recount(codec, text or "", chars, tokens, [(e["start"], e["end"], e["new"]) for e in edits])
+                codec.trim()
+                chars, tokens = (array(batch.column(n)[k]) for n in TREE[:2])
+                above = [[array(level).astype(np.int64) for level in batch.column(n)[k]] for n in TREE[2:]]
+                tree = Tree(chars, tokens, *above)
+                _, anew = recount(codec, batch.column("text")[k].as_py() or "", tree, [(e["start"], e["end"], e["new"]) for e in batch.column("edits")[k].as_py()])
                 total.append(tree.total)
                 encoded.append(anew)
-            yield pa.RecordBatch.from_arrays([batch.column("key_id"), batch.column("key_text"), pa.array(total, pa.int64()), pa.array(encoded, pa.int64()), pa.array([len(e) for e in batch.column("edits")], pa.int64())], names=["key_id", "key_text", "after", "encoded", "n_edits"])
-
-    touched = join_by(rows.where(F.size("edits") > 0).dropDuplicates(["key_id", "key_text"]), built.dropDuplicates(["key_id", "key_text"]), ["key_id", "key_text"], "inner")
-    schema = StructType(built.schema.fields[:2]).add("after", LongType()).add("encoded", LongType()).add("n_edits", LongType())
-    changed = cut(touched.select("key_id", "key_text", "text", "edits", "chars", "tokens").mapInArrow(run, schema), "token-edits")
-    n = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    counted = join_by(built.select("key_id", "key_text", n.alias("n_tokens")), changed, ["key_id", "key_text"])
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+            keys = ("key_id", "key_text", "key_edits")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(total, pa.int64()), pa.array(encoded, pa.int64())], names=[*keys, "after", "encoded"])
+
+    once = rows.where("edited").dropDuplicates(["key_id", "key_text", "key_edits"])
+    touched = join_by(once, built, ["key_id", "key_text"], "inner")
+    schema = StructType(rows.schema.fields[:3]).add("after", LongType()).add("encoded", LongType())
+    changed = cut(touched.select("key_id", "key_text", "key_edits", "text", "edits", *TREE).mapInArrow(run, schema), "token-edits")
+    whole = built.select("key_id", "key_text", F.get(F.element_at("token_sums", -1), 0).cast("long").alias("n_tokens"))
+    slim = rows.select("key_id", "key_text", "key_edits", F.when(F.col("edited"), F.size("edits")).otherwise(0).cast("long").alias("n_edits"))
+    counted = join_by(join_by(slim, whole, ["key_id", "key_text"]), changed, ["key_id", "key_text", "key_edits"])
     return counted.select(
-        F.col("key_id").alias("doc_id"), "n_tokens", zero("n_edits"), F.coalesce("after", "n_tokens").alias("n_tokens_edited"), F.coalesce("encoded", F.lit(0)).cast("long").alias("n_encoded")
+        F.col("key_id").alias("doc_id"), "n_tokens", "n_edits", F.coalesce("after", "n_tokens").alias("n_tokens_edited"), F.coalesce("encoded", F.lit(0)).cast("long").alias("n_encoded")
     )

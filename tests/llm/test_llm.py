@@ -290,18 +290,43 @@ def test_token_counts(spark, rows):
 def test_edits_equal_encoding_anew():
     codec = bpe.Codec(bpe.load(bpe.default_path()))
     rng = random.Random(8)
-    letters = "aab'lsrevmd  \n\t01.!é"
-    for _ in range(300):
-        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 600)))
+    letters = [*"aab'lsrevmd  \n\t01.!é", "<|endoftext|>", "<|endof", "text|>"]
+    for trial in range(400):
+        some = letters if trial % 2 else letters[:-3]
+        t = "".join(rng.choice(some) for _ in range(rng.choice([0, 5, 300, 4000])))
+        ((chars, tokens),) = token_counts.leaves(codec, [t])
+        tree = token_counts.Tree(chars, tokens)
         edits, at = [], 0
         while at < len(t) and rng.random() < 0.7:
-            a = rng.randint(at, len(t))
-            b = min(len(t), a + rng.choice([0, 1, 3, 20]))
-            edits.append((a, b, "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5])))))
+            a = rng.randint(at, min(len(t), at + 2000))
+            b = min(len(t), a + rng.choice([0, 1, 3, 20, 900]))
+            edits.append((a, b, "".join(rng.choice(some) for _ in range(rng.choice([0, 1, 5, 800])))))
             at = b + 1
-        ((chars, tokens),) = token_counts.leaves(codec, [t])
-        now, tree, _ = token_counts.recount(codec, t, chars, tokens, edits)
+        now, _ = token_counts.recount(codec, t, tree, edits)
         assert tree.total == len(codec.encode([now])[0])
+        chars, tokens = tree.blocks()
+        assert sum(chars) == len(now) and sum(tokens) == tree.total == int(tree.token_sums[-1][0]) and int(tree.char_sums[-1][0]) == len(now)
+        for levels, leaf in ((tree.char_sums, 0), (tree.token_sums, 1)):
+            assert [sum(tree.group(g)[leaf]) for g in range(len(levels[0]))] == levels[0].tolist()
+
+
+def test_an_edit_renews_only_its_way_to_the_root():
+    codec = bpe.Codec(bpe.load(bpe.default_path()))
+    t = "some words of a long text " * 20_000
+    ((chars, tokens),) = token_counts.leaves(codec, [t])
+    tree = token_counts.Tree(chars, tokens)
+    assert tree.find(0) == (0, 0) and tree.find(len(t) - 1)[0] == len(chars) - 1
+    starts = np.append(0, np.cumsum(chars))
+    assert all(tree.find(x) == (k, starts[k]) for x in range(0, len(t), 997) for k in [int(np.searchsorted(starts, x, "right")) - 1])
+    _, anew = token_counts.recount(codec, t, tree, [(260_000, 260_004, "other")])
+    assert anew <= 3 * token_counts.BLOCK and tree.renewed <= 2 * 2 * len(tree.token_sums) and len(tree.own) <= 2
+
+
+def test_rows_with_other_edits_count_apart(spark):
+    rows = [(3, "one two three", [(0, 13, "")]), (3, "one two three", [(0, 3, "a b")]), (3, "one two three", None), (None, None, [(0, 0, "new words")]), (4, "", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,new:string>>").withColumn("n_tokens", F.lit("clash")).withColumn("chars", F.lit(1))
+    out = sorted((r.doc_id or 0, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in token_counts.token_counts(df).collect())
+    assert out == [(0, 0, 1, 2), (3, 3, 0, 3), (3, 3, 1, 0), (3, 3, 1, 4), (4, 0, 0, 0)]
 
 
 def test_urls(spark):
