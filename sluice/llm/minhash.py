@@ -41,6 +41,8 @@ PIVOT_ROUNDS = 2
 PARTNERS = 256
 #: Members and queries in a block of the last round.
 MEMBERS, QUERIES = 1024, 64
+#: Tokens whose counts are in memory at once there.
+TOKENS = 200_000
 #: Tables of up to this many rows of numbers are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _LEVELS = 31
@@ -205,24 +207,27 @@ def _links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     ys = [np.frombuffer(x, np.uint64) for x in right["bag"]]
     xs = [np.frombuffer(x, np.uint64) for x in left["bag"]]
     known = np.unique(np.concatenate(ys)) if ys else np.zeros(0, np.uint64)
-    found: list[tuple[int, int]] = []
     if not len(known) or not xs:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    have = np.zeros((len(known), len(ys)), np.float32)
-    for k, y in enumerate(ys):
-        have[np.searchsorted(known, y), k] = 1
     n_y, low_y, doc_y = np.array([len(y) for y in ys]), right["low"].to_numpy(), right["doc"].to_numpy()
-    step = max(1, 4_000_000 // len(known))
-    for i in range(0, len(xs), step):
-        part = xs[i : i + step]
-        mine = np.zeros((len(part), len(known)), np.float32)
-        for k, x in enumerate(part):
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            mine[k, at[known[at] == x]] = 1
-        common = mine @ have
-        n_x = np.array([len(x) for x in part])[:, None]
-        near = (common >= THRESHOLD * (n_x + n_y[None, :] - common) - 1e-4) & (left["low"].to_numpy()[i : i + step, None] != low_y[None, :])
-        found += [(int(left["doc"].iloc[i + r]), int(doc_y[c])) for r, c in zip(*np.nonzero(near), strict=True)]
+    common = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, len(known), TOKENS):  # so that very long texts make no larger matrices
+        part = known[lo : lo + TOKENS]
+        within = lambda x: x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")]  # noqa: E731, B023
+        have = np.zeros((len(part), len(ys)), np.float32)
+        for k, y in enumerate(ys):
+            have[np.searchsorted(part, within(y)), k] = 1
+        step = max(1, 4_000_000 // len(part))
+        for i in range(0, len(xs), step):
+            mine = np.zeros((min(step, len(xs) - i), len(part)), np.float32)
+            for k, x in enumerate(xs[i : i + step]):
+                x = within(x)
+                at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+                mine[k, at[part[at] == x]] = 1
+            common[i : i + step] += mine @ have
+    n_x = np.array([len(x) for x in xs])[:, None]
+    near = (common >= THRESHOLD * (n_x + n_y[None, :] - common) - 1e-4) & (left["low"].to_numpy()[:, None] != low_y[None, :])
+    found = [(int(left["doc"].iloc[r]), int(doc_y[c])) for r, c in zip(*np.nonzero(near), strict=True)]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
