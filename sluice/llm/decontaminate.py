@@ -5,21 +5,26 @@ frequency over the whole corpus each window of test words picks its three
 rarest terms; postings (term, document, position) are stored for those terms
 only. The rarest term's postings, shifted by its offset, give the places where
 a window may start; a place stays if the postings of the second and third
-rarest terms hold the positions that it asks for. What is left is compared word
-by word.
+rarest terms hold the positions that it asks for, or ones a few words off them.
+What is left is compared word by word: an exact phrase, or one that a few words
+put in, left out or put for others make of it.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import cut, join_by, row_key, small_side
 
 WINDOW = 10
-#: Words put in or left out that op10_proximity allows in a window.
+#: Words that may be put in, left out or changed in a proximity match of a window of ten; shorter windows have less.
 SLOP = 2
-BROADCAST_ROWS = 200_000
+SLOP_WORDS = 5
+#: Windows up to this many are broadcast to the postings; of more, those of each term are dealt to so many parts.
+BROADCAST_ROWS, PARTS = 200_000, 16
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,11 +62,49 @@ def anchored(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     )
 
 
-def _holding(places: DataFrame, postings: DataFrame, term: str, pos: str) -> DataFrame:
-    """The `places` for which the postings have the term in column `term` at the position in column `pos`."""
+def _placed(postings: DataFrame, filed: DataFrame) -> DataFrame:
+    """Places where windows may start: postings of their rarest term."""
+    if filed.count() <= BROADCAST_ROWS:
+        found = postings.join(F.broadcast(filed), "term")
+    else:  # a term may be very frequent
+        part = F.pmod(F.xxhash64("key_id", "key_text", "pos"), F.lit(PARTS)).cast("int")
+        dealt = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        found = postings.withColumn("part", part).join(dealt, ["term", "part"]).drop("part")
+    return found.withColumn("start", F.col("pos") - F.col("at"))
+
+
+def _holding(places: DataFrame, postings: DataFrame, term: str, apart: str, slop: int) -> DataFrame:
+    """The `places` with the term in column `term` at most `slop` words off its distance `apart`; `exact` stays if it is there itself."""
     other = postings.select(F.col("key_id").alias("k"), F.col("key_text").alias("t"), F.col("term").alias("other"), F.col("pos").alias("other_pos"))
-    on = F.col("key_id").eqNullSafe(F.col("k")) & (F.col("key_text") == F.col("t")) & (F.col(term) == F.col("other")) & (F.col(pos) == F.col("other_pos"))
-    return places.join(other, on, "left_semi")
+    asked = places.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))) if slop else places.withColumn("off", F.lit(0))
+    on = F.col("key_id").eqNullSafe(F.col("k")) & (F.col("key_text") == F.col("t")) & (F.col(term) == F.col("other")) & (F.col("pos") + F.col(apart) + F.col("off") == F.col("other_pos"))
+    kept = [c for c in places.columns if c != "exact"]
+    return asked.join(other, on).groupBy(*kept).agg(F.bool_or(F.col("exact") & (F.col("off") == 0)).alias("exact"))
+
+
+def _edits(size: Column, slop: int) -> Column:
+    """Words that may differ in a proximity match of a window of `size` words."""
+    return F.least(F.lit(slop), F.floor(size / SLOP_WORDS).cast("int"))
+
+
+def _near(window: Column, text: Column, start: Column, size: Column, slop: int, most: int) -> Column:
+    """Whether words near `start` can be made the `window` by a few edits.
+
+    Words become letters, their number in the window, so that the distance of
+    strings is that of the word lists; it is taken for all stretches that begin
+    within `slop` of `start`.
+    """
+    letters = F.lit("-" + string.ascii_letters[:most])
+    spelt = lambda words: F.array_join(F.transform(words, lambda x: F.substring(letters, F.array_position(window, x).cast("int") + 1, F.lit(1))), "")
+    low = F.greatest(start - slop, F.lit(0))
+    around = F.slice(text, low + 1, F.greatest(start + size + slop - low, F.lit(0)))
+    edits = _edits(size, slop)
+
+    def close(both: Column) -> Column:
+        fits = lambda at, n: F.levenshtein(both["a"], F.substring(both["b"], at + 1, n)) <= edits
+        return F.exists(F.sequence(F.lit(0), F.lit(2 * slop)), lambda at: F.exists(F.sequence(size - edits, size + edits), lambda n: fits(at, n)))
+
+    return F.get(F.transform(F.array(F.struct(spelt(window).alias("a"), spelt(around).alias("b"))), lambda x: close(x)), 0)
 
 
 def positional_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,36 +119,40 @@ def positional_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, Da
     return texts, filed, cut(placed.join(small_side(wanted, BROADCAST_ROWS), "term", "left_semi").distinct(), "postings")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """`docs` with what they share with test `items` (item_id, text).
 
     n_words; n_hit, the words inside any occurrence of a test window; items,
     the ids of items with occurring windows (none: empty); hits, those places as
-    `at` (first word, from 0) and `size`. With `slop` also proximity
-    matches of windows whose phrase isn't in the row: places where the three
-    rarest terms are at most `slop` words off their distances, and all words of
-    the window but `slop` are in it at most `slop` words off their place. They
-    come as n_near (number of windows), near_items (ids) and near (places as
-    `at`, where the window would begin by its rarest term, and `size`). A window
-    of which one of the three rarest terms was left out isn't among them. An item with fewer words than
-    `size` is one window; null and empty texts and items have no words, items
-    without id are left out. Equal rows get equal results; an empty table on
-    either side gives no hits. Columns of `docs` with the names of the results
-    are replaced.
+    `at` (first word, from 0) and `size`. With `slop` also proximity matches of
+    windows whose phrase isn't in the row: places where the three rarest terms
+    are at most `slop` words off their distances, and a stretch of words that
+    begins there, give or take `slop`, is made the window by putting in, leaving
+    out or changing one word for each SLOP_WORDS of the window, at most `slop`.
+    They come as n_near (number of windows), near_items (ids) and near (places
+    as `at`, where the window would begin by its rarest term, and `size`). A
+    window of which one of the three rarest terms is gone isn't among them. An
+    item with fewer words than `size` is one window; null and empty texts and
+    items have no words, items without id are left out. Equal rows get equal
+    results; an empty table on either side gives no hits. Columns of `docs` with
+    the names of the results are replaced.
     """
     own = docs.drop("n_words", "n_hit", "items", "hits", "n_near", "near_items", "near")
     key = ["key_id", "key_text"]
     windows = cut(test_windows(items.where(F.col("item_id").isNotNull()), size), "test-windows")
     texts, filed, postings = positional_index(own, windows)
-    begun = postings.join(small_side(filed, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0")
-    both = _holding(begun.withColumn("p2", F.col("pos") + F.col("d2")), postings, "t2", "p2")
-    all3 = _holding(both.withColumn("p3", F.col("pos") + F.col("d3")), postings, "t3", "p3")
-    phrase = F.struct("start", F.array_join("w", " ").alias("words"), F.size("w").alias("size"), "item_set", "window")
-    maybe = cut(all3.join(small_side(windows, BROADCAST_ROWS), "window").groupBy(*key).agg(F.collect_set(phrase).alias("maybe")), "places")
+    begun = _placed(postings, filed).withColumn("exact", F.lit(True)).select(*key, "pos", "window", "start", "t2", "d2", "t3", "d3", "exact")
+    both = _holding(begun, postings, "t2", "d2", slop)
+    all3 = cut(_holding(both, postings, "t3", "d3", slop).withColumn("exact", F.col("exact") & (F.col("start") >= 0)), "places")
+    phrase = F.struct("start", F.array_join("w", " ").alias("words"), F.size("w").alias("size"), "item_set", "window", "exact")
+    maybe = cut(all3.join(small_side(windows, BROADCAST_ROWS), "window").groupBy(*key).agg(F.collect_set(phrase).alias("maybe")), "candidates")
     met = join_by(join_by(texts, small_side(maybe.select(*key), BROADCAST_ROWS), key, "left_semi"), maybe, key, "inner").withColumn("w", F.split("words", " "))
-    hits = F.filter("maybe", lambda h: F.array_join(F.slice("w", h["start"] + 1, h["size"]), " ") == h["words"])
-    found = met.select(*key, F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("at"), h["size"].alias("size"), h["item_set"].alias("item_set"), h["window"].alias("window")))).alias("hits")).where(F.size("hits") > 0)
-    found = cut(found, "hits").dropDuplicates(key)
+    place = lambda h: F.struct(h["start"].alias("at"), h["size"].alias("size"), h["item_set"].alias("item_set"), h["window"].alias("window"))
+    hits = F.filter("maybe", lambda h: h["exact"] & (F.array_join(F.slice("w", h["start"] + 1, h["size"]), " ") == h["words"]))
+    close = lambda h: (_edits(h["size"], slop) > 0) & F.get(F.transform(F.array(F.split(h["words"], " ")), lambda x: _near(x, F.col("w"), h["start"], h["size"], slop, size)), 0)
+    nears = F.filter("maybe", close) if slop else F.filter("maybe", lambda h: F.lit(False))
+    checked = cut(met.select(*key, F.array_sort(F.transform(hits, place)).alias("hits"), F.transform(nears, place).alias("nears")), "hits").dropDuplicates(key)
+    found = checked.where(F.size("hits") > 0)
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(s["at"] + s["size"] - F.greatest(s["at"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["at"] + s["size"]).alias("to")),
@@ -117,26 +164,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     packed = own.select(F.struct("*").alias("row"), *row_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long").alias("n_words"))
     out = join_by(packed, result, key)
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    columns = ["row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", items.schema["item_id"].dataType.simpleString()), none("hits", "struct<at:int,size:int>")]
-    if slop is None:
+    ids = items.schema["item_id"].dataType.simpleString()
+    columns = ["row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", ids), none("hits", "struct<at:int,size:int>")]
+    if not slop:
         return out.select(*columns)
-    def within(places: DataFrame, term: str, apart: str) -> DataFrame:
-        every = F.explode(F.array(*(F.col("pos") + F.col(apart) + k for k in range(-slop, slop + 1))))
-        return _holding(places.withColumn("p", every), postings, term, "p").drop("p").distinct()
-
-    started = postings.join(small_side(filed, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("at"))
-    close = within(within(started, "t2", "d2"), "t3", "d3").select(*key, "window", "start").distinct()
     exact = found.select(*key, F.explode("hits.window").alias("window")).distinct()
-    close = cut(join_by(close, exact, [*key, "window"], "left_anti").join(small_side(windows, BROADCAST_ROWS), "window"), "near-places")
-    close = join_by(close.withColumnRenamed("w", "asked"), texts.dropDuplicates(key), key, "inner").withColumn("w", F.split("words", " "))
-    place = lambda i: F.col("start") + i
-    around = lambda i: F.slice("w", F.greatest(place(i) - slop, F.lit(0)) + 1, F.greatest(place(i) + slop + 1 - F.greatest(place(i) - slop, F.lit(0)), F.lit(0)))
-    there = F.size(F.filter("asked", lambda x, i: F.array_contains(around(i), x)))
-    near = close.where(there >= F.greatest(F.size("asked") - slop, F.lit(1))).groupBy(*key).agg(
+    loose = join_by(checked.select(*key, F.explode("nears").alias("n")).select(*key, "n.*"), exact, [*key, "window"], "left_anti")
+    near = loose.join(sets, "item_set").groupBy(*key).agg(
         F.countDistinct("window").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"),
-        F.array_sort(F.collect_set(F.struct(F.col("start").cast("int").alias("at"), F.size("asked").alias("size")))).alias("near"),
+        F.array_sort(F.collect_set(F.struct(F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size")))).alias("near"),
     )
-    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"), none("near_items", items.schema["item_id"].dataType.simpleString()), none("near", "struct<at:int,size:int>"))
+    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"), none("near_items", ids), none("near", "struct<at:int,size:int>"))
 
 
 ORACLE = rf"""
@@ -150,14 +188,41 @@ WITH doc AS (
 ), place AS (
   SELECT doc_id, pos, size, array_to_string(w[pos:pos + size - 1], ' ') AS t
   FROM (SELECT doc_id, w, s.size AS size, unnest(range(1, len(w) - s.size + 2)) AS pos FROM doc, (SELECT DISTINCT size FROM win) AS s)
-), hit AS (
-  SELECT p.doc_id, p.pos, p.size, i.item_id FROM place p JOIN win i ON p.size = i.size AND p.t = i.t
+), hit AS MATERIALIZED (
+  SELECT p.doc_id, p.pos, p.size, p.t, i.item_id FROM place p JOIN win i ON p.size = i.size AND p.t = i.t
 ), covered AS (
   SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS k FROM hit) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
+), word AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS pos FROM doc
+), term AS (
+  SELECT t, x, min(k) AS k FROM (SELECT t, unnest(string_split(t, ' ')) AS x, unnest(range(0, len(string_split(t, ' ')))) AS k FROM (SELECT DISTINCT t FROM win)) GROUP BY t, x
+), rare AS (
+  SELECT t, list({{'x': x, 'k': k}} ORDER BY coalesce(df, 0), x) AS r FROM term LEFT JOIN (SELECT x, count(DISTINCT doc_id) AS df FROM word GROUP BY x) USING (x) GROUP BY t
+), anchor AS MATERIALIZED (
+  SELECT t, r[1].x AS x1, r[1].k AS k1, coalesce(r[2], r[1]).x AS x2, coalesce(r[2], r[1]).k - r[1].k AS d2, coalesce(r[3], r[2], r[1]).x AS x3, coalesce(r[3], r[2], r[1]).k - r[1].k AS d3 FROM rare
+), begun AS MATERIALIZED (
+  SELECT a.*, p.doc_id, p.pos, unnest(range(-{SLOP}, {SLOP + 1})) AS off FROM anchor a JOIN word p ON p.x = a.x1
+), second AS MATERIALIZED (
+  SELECT t, doc_id, pos, k1, x3, d3, unnest(range(-{SLOP}, {SLOP + 1})) AS off FROM (SELECT DISTINCT t, b.doc_id, b.pos, k1, x3, d3 FROM begun b JOIN word q ON q.doc_id = b.doc_id AND q.x = b.x2 AND q.pos = b.pos + b.d2 + b.off)
+), start AS MATERIALIZED (
+  SELECT DISTINCT t, b.doc_id, b.pos - k1 AS s FROM second b JOIN word z ON z.doc_id = b.doc_id AND z.x = b.x3 AND z.pos = b.pos + b.d3 + b.off
+), spelt AS MATERIALIZED (
+  SELECT t, s, doc_id, n, least({SLOP}, n // {SLOP_WORDS}) AS e, array_to_string(list_transform(v, lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS a,
+    array_to_string(list_transform(w[greatest(s - {SLOP}, 0) + 1:s + n + {SLOP}], lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS b
+  FROM (SELECT t, s, doc_id, w, string_split(t, ' ') AS v, len(string_split(t, ' ')) AS n FROM start JOIN doc USING (doc_id))
+), near AS MATERIALIZED (
+  SELECT t, s, doc_id, n FROM (SELECT *, unnest(range(0, {2 * SLOP + 1})) AS o FROM (SELECT *, unnest(range(n - e, n + e + 1)) AS l FROM spelt WHERE e > 0)) x
+  WHERE levenshtein(a, substr(b, o + 1, l)) <= e AND (doc_id, t) NOT IN (SELECT doc_id, t FROM hit)
+), nearby AS (
+  SELECT doc_id, count(DISTINCT t) AS n FROM near GROUP BY doc_id
+), near_named AS (
+  SELECT doc_id, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM near JOIN win USING (t)) GROUP BY doc_id
+), near_placed AS (
+  SELECT doc_id, string_agg(s || ':' || n, ',' ORDER BY s, n) AS placed FROM (SELECT DISTINCT doc_id, s, n FROM near) GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
-FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
+  sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated, coalesce(b.n, 0)::BIGINT AS n_near, coalesce(i.ids, '') AS near_items, coalesce(p.placed, '') AS near
+FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN nearby b ON b.doc_id = d.doc_id LEFT JOIN near_named i ON i.doc_id = d.doc_id LEFT JOIN near_placed p ON p.doc_id = d.doc_id
 """

@@ -64,11 +64,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    """Exact phrases decide; proximity matches follow as n_near (windows), near_items and near (places, start:size), joined by commas."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
+    ids = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids("items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near", ids("near_items").alias("near_items"), F.array_join(F.transform("near", lambda x: F.concat_ws(":", x["at"], x["size"])), ",").alias("near"),
     )
 
 

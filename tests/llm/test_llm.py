@@ -151,6 +151,7 @@ def brute_classes(rows):
 @pytest.mark.parametrize("rounds", [2, 0])
 def test_near_duplicates(spark, rows, rounds, monkeypatch):
     monkeypatch.setattr(minhash, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "TOKENS", 200_000 if rounds else 50)
     low = brute_classes(rows)
     ids = collections.defaultdict(list)
     for (i, _), c in zip(rows, low, strict=True):
@@ -193,6 +194,14 @@ def test_lines(spark, rows):
     assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in out.collect()) == collections.Counter(expected)
 
 
+def test_lines_of_texts_with_one_id(spark):
+    """Of two texts with the lowest id one keeps the boilerplate, all others lose it."""
+    rows = [(1, "shared line\nfirst"), (1, "shared line\nsecond"), *((k, f"shared line\nown {k}") for k in range(2, 14))]
+    df = spark.createDataFrame([(i, t, f"site{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    out = [r.n_removed for r in line_dedup.line_dedup(df).collect()]
+    assert sorted(out) == [0] + [1] * 13
+
+
 def test_near_threshold_lines_are_counted(spark):
     rows = [(k, "\n".join(f"line {n}" for n in range(3, 16) if k < n)) for k in range(16)]
     df = spark.createDataFrame([(i, t, f"site{i}") for i, t in rows], "doc_id long, text string, source string")
@@ -378,11 +387,51 @@ def test_decontamination(spark, rows):
     assert got == brute_hits([*rows, (700, "É é one; ONE-two"), (701, "A a a a a a a a a a a b")], items)
 
 
-def test_proximity(spark):
-    item = "red fox jumps over nine lazy dogs while bears sleep"
-    docs = frame(spark, [(1, item), (2, item.replace("over", "high over")), (3, "nothing like it")])
-    out = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=2).collect()}
-    assert out[1] == (10, 0) and out[2][0] == 0 and out[3] == (0, 0)
+def edit_distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_proximity_equals_brute_force(spark, monkeypatch, parts):
+    if parts:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(12)] for _ in range(6)] + [["few", "words", "v1"], [rng.choice(vocabulary) for _ in range(6)]]
+    rows = []
+    for k in range(80):
+        w = list(rng.choice(items))
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 6])):
+            at = rng.randrange(len(w) + 1)
+            w = [w[:at] + w[at + 1 :], w[:at] + [rng.choice(vocabulary)] + w[at:], w[:at] + [rng.choice(vocabulary)] + w[at + 1 :]][rng.randrange(3)]
+        rows.append((k, [rng.choice(vocabulary) for _ in range(rng.choice([0, 5]))] + w + [rng.choice(vocabulary) for _ in range(rng.choice([0, 5]))]))
+    windows = {tuple(w[i : i + 10]): k for k, w in enumerate(items) for i in range(max(len(w) - 9, 1))}
+    df = collections.Counter(x for _, w in rows for x in set(w))
+    expected = {}
+    for k, w in rows:
+        near = set()
+        for v in windows:
+            n, edits = len(v), min(2, len(v) // 5)
+            if any(tuple(w[i : i + n]) == v for i in range(len(w))) or not edits:
+                continue
+            rare = sorted({x: v.index(x) for x in reversed(v)}.items(), key=lambda x: (df[x[0]], x[0]))[:3]
+            for pos in [i for i, x in enumerate(w) if x == rare[0][0]]:
+                start = pos - rare[0][1]
+                if all(any(0 <= start + at + d < len(w) and w[start + at + d] == x for d in range(-2, 3)) for x, at in rare[1:]):
+                    low = max(start - 2, 0)
+                    around = w[low : start + n + 2]
+                    if any(edit_distance(list(v), around[o : o + m]) <= edits for o in range(5) for m in range(n - edits, n + edits + 1)):
+                        near.add((v, start))
+        expected[k] = (len({v for v, _ in near}), sorted({windows[v] for v, _ in near}), sorted({(s, len(v)) for v, s in near}))
+    docs = frame(spark, [(k, " ".join(w)) for k, w in rows]).withColumn("near", F.lit("clash"))
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"), slop=2)
+    assert {r.doc_id: (r.n_near, r.near_items, [(x["at"], x["size"]) for x in r.near]) for r in found.collect()} == expected
+    assert sum(n > 0 for n, _, _ in expected.values()) > 20 and any(n == 0 for n, _, _ in expected.values())
 
 
 def test_registered_query_finds_proximity(spark, tmp_path):
@@ -396,6 +445,8 @@ def test_registered_query_finds_proximity(spark, tmp_path):
     out = {r.doc_id: (r.n_hit, r.contaminated, r.n_near, r.near_items, [x["size"] for x in r.near]) for r in queries()["op10_proximity"](spark, str(tmp_path)).collect()}
     assert out[1] == (10, True, 0, [], [])
     assert all(out[k][:4] == (0, False, 1, [9]) and set(out[k][4]) == {10} for k in (2, 3, 5)), out
+    same = {r.doc_id: (r.n_hit, r.n_near, r.near_items) for r in queries()["op10_decontamination"](spark, str(tmp_path)).collect()}
+    assert same[1] == (10, 0, "") and all(same[k] == (0, 1, "9") for k in (2, 3, 5)) and all(same[k] == (0, 0, "") for k in (4, 6, 7))
     assert all(out[k] == (0, False, 0, [], []) for k in (4, 6, 7))
 
 
