@@ -172,25 +172,26 @@ TREE = ("chars", "tokens", "char_sums", "token_sums")
 
 
 def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The tree of each row: row key, `chars` and `tokens` by block, `char_sums` and `token_sums` by level."""
+    """The tree of each row of `docs` (doc_id, text, others): row key, the other columns, `chars` and `tokens` by block, `char_sums` and `token_sums` by level."""
     shared = bpe.share(docs.sparkSession, path)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(shared)
         for batch in batches:
             at = 0
-            for block in bpe.text_blocks([t or "" for t in batch.column(2).to_pylist()]):
+            for block in bpe.text_blocks([t or "" for t in batch.column(0).to_pylist()]):
                 codec.trim()
                 found = leaves(codec, block)
                 flat = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
                 levels = [pa.array([[s.astype(np.int32) for s in sums(x[k])] for x in found], pa.list_(pa.list_(pa.int32()))) for k in (0, 1)]
                 part = batch.slice(at, len(block))
                 at += len(block)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *flat, *levels], names=["key_id", "key_text", *TREE])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *flat, *levels], names=[*part.schema.names[1:], *TREE])
 
-    keyed = docs.select(*row_key(), "text")
+    keyed = docs.select("text", *row_key(), *others)
     ints = ArrayType(IntegerType())
-    schema = StructType(keyed.schema.fields[:2]).add("chars", ints).add("tokens", ints).add("char_sums", ArrayType(ints)).add("token_sums", ArrayType(ints))
+    schema = StructType(keyed.schema.fields[1:]).add("chars", ints).add("tokens", ints).add("char_sums", ArrayType(ints)).add("token_sums", ArrayType(ints))
     return keyed.mapInArrow(run, schema)
 
 
@@ -220,8 +221,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokens; rows with equal id, text and edits count alike. Other columns are
     ignored.
     """
-    rows = docs.select(*row_key(), F.xxhash64(F.col("edits")).alias("key_edits"), "text", "edits", (F.size("edits") > 0).alias("edited"))
-    built = cut(trees(docs, path), "token-trees").dropDuplicates(["key_id", "key_text"])
+    edited = F.size("edits") > 0
+    told = docs.select("doc_id", "text", F.xxhash64(F.col("edits")).alias("key_edits"), F.when(edited, F.col("edits")).alias("edits"), F.when(edited, F.coalesce("text", F.lit(""))).alias("old"))
+    built = cut(trees(told, path), "token-trees")
     shared = bpe.share(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +236,19 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 chars, tokens = (array(batch.column(n)[k]) for n in TREE[:2])
                 above = [[array(level).astype(np.int64) for level in batch.column(n)[k]] for n in TREE[2:]]
                 tree = Tree(chars, tokens, *above)
-                _, anew = recount(codec, batch.column("text")[k].as_py() or "", tree, [(e["start"], e["end"], e["new"]) for e in batch.column("edits")[k].as_py()])
+                _, anew = recount(codec, batch.column("old")[k].as_py(), tree, [(e["start"], e["end"], e["new"]) for e in batch.column("edits")[k].as_py()])
                 total.append(tree.total)
                 encoded.append(anew)
             keys = ("key_id", "key_text", "key_edits")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(total, pa.int64()), pa.array(encoded, pa.int64())], names=[*keys, "after", "encoded"])
 
-    once = rows.where("edited").dropDuplicates(["key_id", "key_text", "key_edits"])
-    touched = join_by(once, built, ["key_id", "key_text"], "inner")
-    schema = StructType(rows.schema.fields[:3]).add("after", LongType()).add("encoded", LongType())
-    changed = cut(touched.select("key_id", "key_text", "key_edits", "text", "edits", *TREE).mapInArrow(run, schema), "token-edits")
-    whole = built.select("key_id", "key_text", F.get(F.element_at("token_sums", -1), 0).cast("long").alias("n_tokens"))
-    slim = rows.select("key_id", "key_text", "key_edits", F.when(F.col("edited"), F.size("edits")).otherwise(0).cast("long").alias("n_edits"))
-    counted = join_by(join_by(slim, whole, ["key_id", "key_text"]), changed, ["key_id", "key_text", "key_edits"])
+    key = ["key_id", "key_text", "key_edits"]
+    schema = StructType([built.schema[c] for c in key]).add("after", LongType()).add("encoded", LongType())
+    touched = built.where("edits is not null").dropDuplicates(key).select(*key, "old", "edits", *TREE)
+    changed = cut(touched.mapInArrow(run, schema), "token-edits")
+    n_tokens = F.get(F.element_at("token_sums", -1), 0).cast("long").alias("n_tokens")
+    counted = join_by(built.select(*key, n_tokens, F.coalesce(F.size("edits"), F.lit(0)).alias("n_edits"), F.col("edits").isNotNull().alias("edited")), changed, key)
     return counted.select(
-        F.col("key_id").alias("doc_id"), "n_tokens", "n_edits", F.coalesce("after", "n_tokens").alias("n_tokens_edited"), F.coalesce("encoded", F.lit(0)).cast("long").alias("n_encoded")
-    )
+        F.col("key_id").alias("doc_id"), "n_tokens", F.when(F.col("edited"), F.col("n_edits")).otherwise(0).cast("long").alias("n_edits"),
+        F.coalesce("after", "n_tokens").alias("n_tokens_edited"), F.coalesce("encoded", F.lit(0)).cast("long").alias("n_encoded"),
+    )
