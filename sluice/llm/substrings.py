@@ -183,7 +183,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = both.withColumn("left", F.when(F.col("spans").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("w") - 1), _places("spans"))))
     kept = F.when(F.col("left").isNull(), F.array_join("w", " ")).otherwise(F.array_join(F.transform("left", lambda i: F.get("w", i)), " "))
     n = F.size("w").cast("long")
-    return both.select("row.*", n.alias("n_words"), F.coalesce(n - F.size("left"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    # in two steps, so that no column of the row is taken for one of ours
+    done = both.select("row", n.alias("n_words"), F.coalesce(n - F.size("left"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    return done.select("row.*", "n_words", "n_removed", "kept")
 
 
 ORACLE = f"""
