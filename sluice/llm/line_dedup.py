@@ -70,9 +70,9 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     line = _lines(F.col("row.text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return both.withColumn("lines", F.when(F.col("gone").isNotNull(), line)).select(
-        *(kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own.columns), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
-    )
+    done = both.withColumn("lines", F.when(F.col("gone").isNotNull(), line)).select("row", kept.alias("left"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    # in two steps, so that no column of the row is taken for one of ours
+    return done.select(*(F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own.columns), "n_lines", "n_removed")
 
 
 ORACLE = f"""
