@@ -165,16 +165,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     out = join_by(packed, result, key)
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     ids = items.schema["item_id"].dataType.simpleString()
-    columns = ["row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", ids), none("hits", "struct<at:int,size:int>")]
+    # in two steps, so that no column of the row is taken for one of ours
+    unpacked = lambda df: df.select("row.*", *df.columns[1:])
+    columns = ["row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", ids), none("hits", "struct<at:int,size:int>")]
     if not slop:
-        return out.select(*columns)
+        return unpacked(out.select(*columns))
     exact = found.select(*key, F.explode("hits.window").alias("window")).distinct()
     loose = join_by(checked.select(*key, F.explode("nears").alias("n")).select(*key, "n.*"), exact, [*key, "window"], "left_anti")
     near = loose.join(sets, "item_set").groupBy(*key).agg(
         F.countDistinct("window").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size")))).alias("near"),
     )
-    return join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"), none("near_items", ids), none("near", "struct<at:int,size:int>"))
+    return unpacked(join_by(out, near, key).select(*columns, F.coalesce("n_near", F.lit(0)).alias("n_near"), none("near_items", ids), none("near", "struct<at:int,size:int>")))
 
 
 ORACLE = rf"""
