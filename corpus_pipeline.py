@@ -1,4 +1,10 @@
-"""From raw documents to token ids: each stage works on all that the one before it kept."""
+"""From raw documents to token ids: each stage works on all that the one before it kept.
+
+Every stage takes rows with null ids and texts, empty and very long texts, equal
+rows and several texts with one id; an empty table gives an empty table. Null
+and empty texts have no words. All stages but the last return the columns of
+their input.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +16,30 @@ from sluice.llm.common import cut, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; equal texts share their fate. Null and empty texts are scored too."""
     return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites go from the texts, and n_chars follows."""
+    """Lines on many sites go from the texts, and n_chars follows where any went; no row goes. Null texts stay null."""
     left = line_dedup.line_dedup(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays: the one with the lowest doc_id, nulls last, of equal rows one. Texts without words are one class."""
     return minhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; those with mere proximity matches stay, as do null and empty texts."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where("n_hit = 0").select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts; `round_trip` says that they stand for the text."""
+    """Token ids of the texts, none for null and empty ones; `round_trip` says that they stand for the text. One row for each row."""
     coded = bpe.bpe_codec(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
