@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, line_dedup, minhash, quality_model, quality_rules, secrets, substrings, token_counts, url_filter
+from sluice.llm import bpe, decontaminate, line_dedup, minhash, phrases, quality_model, quality_rules, secrets, spelling, substrings, token_counts, token_files, url_filter
 from sluice.llm.common import table
+from sluice.sources.store import shared_dir
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +81,26 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", (F.col("n_hit") > 0).alias("contaminated"), "n_near", "near_items", "near")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words are those of documents, with slips put in by hash."""
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids are written to files of a new folder and read from there."""
+    path = f"{shared_dir(spark)}/token-files-{uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.token_documents(token_files.read_token_files(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_url_filter, op10_decontamination, op10_proximity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_url_filter, op10_decontamination, op10_proximity, op11_phrase_mining, op12_spelling_variants, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontaminate.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op12_spelling_variants": spelling.ORACLE}
