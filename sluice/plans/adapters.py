@@ -41,7 +41,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @functools.cache
 def profiles(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Profiles and compiled lexicon for the driver's prose, compiled once for a session."""
-    return prose_profiles(spark), cut(compile_lexicon(lexicon_table(spark, PROSE)), "lexicon")
+    return prose_profiles(spark), cut(compile_lexicon(lexicon_table(spark, PROSE)), "lexicon", keep=True)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

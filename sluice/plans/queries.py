@@ -201,6 +201,21 @@ def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{home}/out").groupBy("final_decision", "decision_reason").agg(F.count("*").alias("n"))
 
 
+@query(sql.STREAM_CLAIMS)
+def stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as posts that land in four batches, three posts to a project, some far out of order; a claim lasts five days."""
+    home = f"{shared_dir(spark)}/claims-{uuid4().hex}"
+    k, files = F.col("doc_id"), 8
+    hours = k - F.when(k % 7 == 0, 40 * 24).otherwise(0)
+    linked = F.concat(F.coalesce("text", F.lit("")), F.lit("\nhttps://example.org/project/"), F.floor(k / 3))
+    as_posts = a.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("identity"), k.cast("string").alias("job_id"), "source", linked.alias("text"), F.timestamp_seconds(F.lit(1704067200) + hours * 3600).alias("ts"))
+    for part in range(4):
+        as_posts.where(k % 4 == part).drop("doc_id").repartition(files).write.mode("append").parquet(f"{home}/landing")
+    arriving = spark.readStream.schema(as_posts.drop("doc_id").schema).option("maxFilesPerTrigger", files).parquet(f"{home}/landing")
+    stream.run_stream(arriving, *a.profiles(spark), f"{home}/out", f"{home}/checkpoint", ttl_seconds=5 * 24 * 3600).awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.col("job_id").cast("long").alias("doc_id"), "final_decision", "decision_reason")
+
+
 # --- identity across feeds
 
 

@@ -261,3 +261,18 @@ s AS (SELECT d.doc_id, '🚀 <b>New Freelance Opportunity</b>' || chr(10) || chr
   || chr(10) || chr(10) || '🏷 <b>Categories</b>' || chr(10) || lang
   || CASE WHEN r <> '' THEN chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) || '💡 <b>Reason</b>' || chr(10) || chr(10) || {_escaped(_clipped('r', 1200))} ELSE '' END AS t FROM d JOIN documents USING (doc_id)),
 m AS ({_WHOLE}) SELECT doc_id, length(m)::BIGINT AS n_chars, sha256(m) AS message_sha256 FROM m"""
+
+#: posts as the query stream_claims lands them, in four batches; a post's time is never before what came in earlier batches, less a day.
+STREAM_CLAIMS = f"""WITH RECURSIVE posts AS (
+  SELECT doc_id, doc_id % 4 AS batch, doc_id // 3 AS project, timestamp '2024-01-01' + to_hours(doc_id::INTEGER) - CASE WHEN doc_id % 7 = 0 THEN interval 40 day ELSE interval 0 day END AS ts FROM documents
+), marks AS (
+  SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - interval 1 day AS mark FROM (SELECT batch, max(ts) AS latest FROM posts GROUP BY batch)
+), arrived AS (
+  SELECT doc_id, project, greatest(ts, coalesce(mark, ts)) AS at_time, row_number() OVER (PARTITION BY project ORDER BY batch) AS k FROM posts JOIN marks USING (batch)
+), folded AS (
+  SELECT project, k, doc_id, doc_id AS owner, at_time AS since FROM arrived WHERE k = 1
+  UNION ALL SELECT a.project, a.k, a.doc_id, CASE WHEN a.at_time > f.since + interval 5 day THEN a.doc_id ELSE f.owner END, CASE WHEN a.at_time > f.since + interval 5 day THEN a.at_time ELSE f.since END
+  FROM folded f JOIN arrived a ON a.project = f.project AND a.k = f.k + 1
+)
+SELECT d.doc_id, CASE WHEN f.owner = f.doc_id THEN d.final_decision ELSE 'Rejected' END AS final_decision, CASE WHEN f.owner = f.doc_id THEN d.decision_reason ELSE 'Duplicate project from another source' END AS decision_reason
+FROM ({FINAL}) d JOIN folded f ON f.doc_id = d.doc_id"""

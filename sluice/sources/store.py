@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,26 +31,50 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` to a new table in the shared folder and read it back: later steps start from the files, also after executors are lost.
 
-    The frame that comes back is lazy, so the table stays until `clear` or until the folder is cleared.
+    The frame that comes back is lazy, so the table stays: until the end of the
+    `scratch` block that it was cut in, else until `clear`; with `keep` until the
+    folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.setdefault(shared_dir(spark), []).append(path)
+    if not keep:
+        _open_scopes()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that this process has cut, by folder.
-_tables: dict[str, list[str]] = {}
+#: Tables that a thread has cut, by `scratch` block; the first are those outside of any.
+_scopes = threading.local()
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that this process has cut, once no frame that reads them is needed any more; their number."""
-    paths = _tables.pop(shared_dir(spark), [])
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = [[]]
+    return _scopes.open
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut within the block, by its thread, are deleted at its end; what is needed of them must be written by then."""
+    _open_scopes().append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _open_scopes().pop())
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this thread has cut outside of `scratch` blocks, but for those to keep, once no frame that reads them is needed any more; their number."""
+    outer = _open_scopes()[0]
+    paths, outer[:] = [*outer], []
+    return _delete(spark, paths)

@@ -5,69 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sluice.functions.identity import job_uuid, project_id
-from sluice.operators.claims import DUPLICATE, TTL_SECONDS, claim_projects, mark_duplicates
+from sluice.operators.claims import TTL_SECONDS, claim_projects, mark_duplicates
 from sluice.operators.decide import classify_all, final_decision, select_category
 from sluice.operators.parse import parse_posts
-from sluice.sources.store import cut
+from sluice.sources.store import cut, scratch
 
 
-def triage(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, claimed: DataFrame | None = None, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+#: How far posts of a stream may be out of order before the time of their arrival counts as theirs.
+CLAIM_DELAY = "1 day"
+
+
+def parsed(posts: DataFrame) -> DataFrame:
+    """Posts with what the later steps need: title, description, url, project_id."""
+    timed = ["ts"] if "ts" in posts.columns else []
+    jobs = parse_posts(posts).withColumn("project_id", project_id(F.col("url")))
+    return jobs.select("job_uuid", "identity", "job_id", "source", "title", "url", *timed, *(["project_id"] if timed else []), "description")
+
+
+def decided(jobs: DataFrame, profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Decisions for parsed posts."""
+    results = cut(classify_all(jobs.select("job_uuid", "title", "description"), profiles, lexicon), "classified")
+    return jobs.drop("description").join(final_decision(results, select_category(results), jobs=jobs), "job_uuid")
+
+
+def triage(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Decisions for `posts` (identity, job_id, source, text, maybe ts): parse, identify, classify, select, claim.
 
-    With `ts`, posts claim the project that their link names, after the earlier
-    claims `claimed` (project_id, job_uuid, ts) if given; posts of a project
-    that another post owns are kept, rejected as duplicates.
+    With `ts`, posts claim the project that their link names, by ts; posts of a
+    project that another post owns are kept, rejected as duplicates.
     """
-    timed = "ts" in posts.columns
-    jobs = parse_posts(posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))).dropDuplicates(["job_uuid"])
-    kept = ["job_uuid", "identity", "job_id", "source", "title", "url", *(["ts", "project_id"] if timed else [])]
-    jobs = cut(jobs.withColumn("project_id", project_id(F.col("url"))).select(*kept, "description"), "parsed")
-    results = cut(classify_all(jobs.select("job_uuid", "title", "description"), profiles, lexicon), "classified")
-    decided = jobs.select(*kept).join(final_decision(results, select_category(results), jobs=jobs), "job_uuid")
-    if not timed:
-        return decided
-    own = jobs.select("project_id", "job_uuid", "ts")
-    claims = claim_projects(own if claimed is None else own.unionByName(claimed.select("project_id", "job_uuid", "ts")).distinct(), ttl_seconds)
-    return mark_duplicates(decided, claims)
+    named = posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id"))).dropDuplicates(["job_uuid"])
+    jobs = cut(parsed(named), "parsed")
+    found = decided(jobs, profiles, lexicon)
+    return mark_duplicates(found, claim_projects(jobs.select("project_id", "job_uuid", "ts"), ttl_seconds)) if "ts" in posts.columns else found
 
 
-def triage_batch(spark: SparkSession, profiles: DataFrame, lexicon: DataFrame, path: str, ttl_seconds: int = TTL_SECONDS) -> Callable[[DataFrame, int], None]:
-    """Writer of a micro-batch: it goes to a partition of its own, so that a batch run again replaces itself.
+def triage_batch(profiles: DataFrame, lexicon: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """Writer of a micro-batch of parsed posts, with `claimed` if they have times: it goes to a partition of its own, so that a batch run again replaces itself.
 
-    Earlier claims are read of the batch's projects alone, and only those not
-    run out before its first post.
+    The batch is computed once; the tables cut for it go when it is written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        claimed = None
-        if number and "ts" in batch.columns:
-            since = batch.agg(F.min("ts").alias("ts")).first()["ts"]
-            asked = parse_posts(batch).select(project_id(F.col("url")).alias("project_id")).where("project_id is not null").distinct()
-            written = spark.read.schema("project_id string, job_uuid string, ts timestamp, decision_reason string, batch long").parquet(path)
-            owners = written.where((F.col("batch") < number) & ~F.col("decision_reason").eqNullSafe(DUPLICATE))
-            recent = owners.where(F.col("ts") >= F.lit(since) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
-            claimed = recent.join(asked, "project_id", "left_semi")
-        triage(batch, profiles, lexicon, claimed, ttl_seconds).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch(batch.sparkSession):
+            jobs = cut(batch, "batch")
+            if jobs.isEmpty():  # a batch that only moves the watermark
+                return
+            found = decided(jobs.drop("claimed"), profiles, lexicon)
+            if "claimed" in jobs.columns:
+                found = mark_duplicates(found, jobs.where("project_id is not null").select("job_uuid", "claimed"))
+            found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def run_stream(posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
-    """Triage of a stream of posts, all that is there, batch by batch.
+def run_stream(
+    posts: DataFrame, profiles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, delay: str | None = None, ttl_seconds: int = TTL_SECONDS, claim_delay: str = CLAIM_DELAY
+) -> StreamingQuery:
+    """Triage of a stream of posts, all that is there, batch by batch; with `ts` posts claim projects as `claim_stream` says.
 
     Posts that came before are left out by keyed state, so a batch costs no more
     as the output grows. With a `delay` that state is bounded: a post is told
     from those at most so much older by `ts`.
     """
     named = posts.withColumn("job_uuid", job_uuid(F.col("identity"), F.col("job_id")))
-    once = named.dropDuplicates(["job_uuid"]) if delay is None else dedup_stream(named, delay)
-    writer = once.drop("job_uuid").writeStream.foreachBatch(triage_batch(posts.sparkSession, profiles, lexicon, path))
+    jobs = parsed(named.dropDuplicates(["job_uuid"]) if delay is None else dedup_stream(named, delay))
+    if "ts" in posts.columns:
+        jobs = claim_stream(jobs, ttl_seconds, claim_delay if delay is None else None)
+    writer = jobs.writeStream.foreachBatch(triage_batch(profiles, lexicon, path))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -77,37 +89,60 @@ def dedup_stream(jobs: DataFrame, delay: str = "1 day", time: str = "ts") -> Dat
 
 
 class Claims(StatefulProcessor):
-    """Owner of a project and when it claimed; rows of a batch are taken by time, then id.
+    """Who owns a project, in order of arrival; the rows of one batch arrive by time, then id.
 
-    The state is one row for each project. A project's rows of one micro-batch
-    are held at once, so the trigger bounds them.
+    The state is one row for a project whose claim is alive: a timer deletes it
+    when the watermark has passed its end. A project's rows of one batch are held
+    at once, so the trigger bounds them.
     """
 
     def __init__(self, ttl_seconds: int) -> None:
-        self.ttl = pd.Timedelta(seconds=ttl_seconds)
+        self.ttl = ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("owner", "job_uuid string, claimed_at timestamp")
+        self.handle = handle
+        self.state = handle.getValueState("owner", "job_uuid string, claimed_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        owner, since = (held[0], pd.Timestamp(held[1]).tz_localize(None)) if held else (None, None)
-        batch = pd.concat(list(rows)).sort_values(["ts", "job_uuid"])
+        owner, since = self.state.get() if self.state.exists() else (None, None)
+        held = since
+        batch = pd.concat(list(rows)).sort_values(["ts_ms", "job_uuid"])
+        arrived = max(timerValues.getCurrentWatermarkInMs(), 0)
         claimed = []
-        for uuid, ts in zip(batch["job_uuid"], batch["ts"], strict=True):
-            ts = pd.Timestamp(ts).tz_localize(None)
-            if owner is None or ts > since + self.ttl:
-                owner, since = uuid, ts
+        for uuid, ts in zip(batch["job_uuid"], batch["ts_ms"].tolist(), strict=True):
+            now = max(ts, arrived)
+            if owner is None or now > since + self.ttl:
+                owner, since = uuid, now
             claimed.append(owner == uuid)
-        if owner is not None:
-            self.state.update((owner, since.to_pydatetime()))
-        yield batch.assign(claimed=claimed)[["project_id", "job_uuid", "ts", "claimed"]]
+        if since != held and batch["project_id"].notna().all():
+            if held is not None:
+                self.handle.deleteTimer(held + self.ttl + 1)
+            self.state.update((owner, since))
+            self.handle.registerTimer(since + self.ttl + 1)
+        yield batch.assign(claimed=claimed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """`claims` (project_id, job_uuid, ts) of a stream with `claimed`; needs the RocksDB state store."""
-    schema = "project_id string, job_uuid string, ts timestamp, claimed boolean"
-    return claims.groupBy("project_id").transformWithStateInPandas(Claims(ttl_seconds), schema, "append", "none")
+def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str | None = CLAIM_DELAY) -> DataFrame:
+    """`claims` (project_id, job_uuid, ts, maybe others) of a stream with `claimed`; needs the RocksDB state store.
+
+    The first to arrive owns a project, whatever its ts. A claim's time is its
+    ts, but never before the watermark, which follows the latest ts by `delay`;
+    so a post that comes late never owns what another holds, nor takes over with
+    a time gone by. Another post takes over when more than the time to live has
+    passed between the two times, and the state of a claim is deleted when the
+    watermark has passed that end, which changes no result. No row is dropped for
+    being late. Rows without project are claimed; rows without ts count as
+    arriving now. `delay` None: the rows have a watermark already.
+    """
+    timed = claims if delay is None else claims.withColumn("clock", F.col("ts")).withWatermark("clock", delay).drop("clock")
+    # as a number, ts carries no watermark that would drop late rows
+    keyed = timed.withColumns({"claim_key": F.coalesce("project_id", F.concat(F.lit("job "), F.col("job_uuid"))), "ts_ms": F.coalesce(F.unix_millis("ts"), F.lit(0))}).withColumn("ts", F.timestamp_millis(F.unix_millis("ts")))
+    schema = StructType([*keyed.schema.fields, StructField("claimed", BooleanType())])
+    return keyed.groupBy("claim_key").transformWithStateInPandas(Claims(ttl_seconds), schema, "append", "eventTime").drop("claim_key", "ts_ms")
