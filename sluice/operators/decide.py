@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.match import keyword_counts, lexicon_occurrences, posts_text, profile_hits
+from sluice.sources.lexicon import MAX_PROFILES
+from sluice.sources.store import bounded
 
 #: Decisions, here and in the table below with their reasons, as audit rows have them.
 REJECT, REVIEW, DIRECT = "reject", "review", "direct"
@@ -44,9 +46,9 @@ def classify_all(jobs: DataFrame, profiles: DataFrame, lexicon: DataFrame, key:
     Only the profiles are broadcast to every post, not their keywords.
     """
     enabled = profiles.where("enabled").withColumnRenamed("id", "profile_id")
-    own = lexicon.join(F.broadcast(enabled.select("profile_id")), "profile_id", "left_semi")
+    own = lexicon.join(enabled.select("profile_id"), "profile_id", "left_semi")
     found = profile_hits(keyword_counts(lexicon_occurrences(posts_text(jobs, key), own, key=key), own, key), LISTS, key)
-    joined = jobs.select(key).crossJoin(F.broadcast(enabled)).join(found, [key, "profile_id"], "left")
+    joined = jobs.select(key).crossJoin(bounded(enabled, MAX_PROFILES, "profiles")).join(found, [key, "profile_id"], "left")
     names = [f"{p}_{t}" for p, t in LISTS]
     listed = joined.withColumns({f"{n}_hits": F.coalesce(f"{n}_hits", F.array().cast("array<struct<ord:int,keyword:string,weight:int,group:string>>")) for n in (*names, "hard")})
     weight = lambda n: F.aggregate(f"{n}_hits", F.lit(0), lambda a, x: a + x["weight"])

@@ -1,4 +1,4 @@
-"""Keyword matching: words meet the lexicon in one broadcast join, longest keywords claim their words first."""
+"""Keyword matching: words meet the keywords anchored at them in one broadcast join, longest keywords claim their words first."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import bound, normalize_text
+from sluice.sources.lexicon import MAX_ROWS
+from sluice.sources.store import bounded
 
 TIER = ("profile_id", "polarity", "tier")
 
@@ -19,24 +21,21 @@ def posts_text(jobs: DataFrame, key: str = "job_uuid") -> DataFrame:
     return jobs.select(key, normalize_text(F.concat(title, F.lit("\n"), body)).alias("norm"), F.when(name == "", 0).otherwise(F.size(F.split(name, " "))).alias("n_title"))
 
 
-def lexicon_occurrences(texts: DataFrame, lexicon: DataFrame, max_tokens: int = 4, key: str = "job_uuid") -> DataFrame:
-    """Every occurrence of every keyword of a compiled lexicon: key, profile, polarity, tier, ord, first word `pos`, `n_tokens`, `in_title`.
+def lexicon_occurrences(texts: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
+    """Every occurrence of every keyword of a compiled lexicon, whatever its number of words: key, profile, polarity, tier, ord, first word `pos`, `n_tokens`, `in_title`.
 
-    A word and the few behind it go through the explode; a broadcast join on the
-    first word leaves little, and only then the words behind are put together.
-    `max_tokens` is the most words a keyword has.
+    Each word of a text meets the keywords anchored at it, their rarest word, in
+    one broadcast join; where the anchor is there, the words around it are
+    compared with the keyword's.
     """
-    w, behind = F.col("w"), [f"w{k}" for k in range(1, max_tokens)]
-    # a filter on `norm` would be pushed below the parsing, which would be done twice; an empty text has one empty word, which no keyword has
+    # an inner explode would put a filter below the parsing, which would then be done twice; what an outer one adds meets no keyword
     each = texts.select(key, "n_title", F.split("norm", " ").alias("w"))
-    gram = F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), *(F.get(w, i + k + 1).alias(n) for k, n in enumerate(behind))))
-    each = each.select(key, "n_title", F.explode(gram).alias("g")).select(key, "n_title", "g.*")
-    first = F.substring_index("norm", " ", 1)
-    terms = lexicon.select(*TIER, "ord", "n_tokens", first.alias("first"), F.when(F.col("n_tokens") > 1, F.concat(F.substring(F.col("norm"), F.length(first) + 2, F.length("norm")), F.lit(" "))).otherwise("").alias("wanted"))
-    fits = (F.col("wanted") == "") | F.concat_ws(" ", *behind, F.lit("")).startswith(F.col("wanted"))
-    return each.join(F.broadcast(terms), "first").where(fits).select(
-        key, *TIER, "ord", "pos", "n_tokens", (F.col("pos") + F.col("n_tokens") <= F.col("n_title")).alias("in_title")
-    )
+    each = each.select(key, "n_title", "w", F.posexplode_outer("w").alias("spot", "anchor"))
+    terms = lexicon.select(*TIER, "ord", "n_tokens", "anchor", "offset", "words")
+    pos = F.col("spot") - F.col("offset")
+    fits = (F.col("n_tokens") == 1) | ((pos >= 0) & (pos + F.col("n_tokens") <= F.size("w")) & (F.slice("w", F.greatest(pos, F.lit(0)) + 1, F.col("n_tokens")) == F.col("words")))
+    met = each.join(bounded(terms, MAX_ROWS, "keywords"), "anchor").where(fits)
+    return met.select(key, *TIER, "ord", pos.alias("pos"), "n_tokens", (pos + F.col("n_tokens") <= F.col("n_title")).alias("in_title"))
 
 
 def keyword_counts(occurrences: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
@@ -47,7 +46,7 @@ def keyword_counts(occurrences: DataFrame, lexicon: DataFrame, key: str = "job_u
     counted = occurrences.groupBy(key, *TIER, "ord", "n_tokens").agg(
         F.count("*").cast("int").alias("n"), F.bool_or("in_title").alias("in_title"), F.collect_list(F.when(F.col("n_tokens") > 1, F.col("pos"))).alias("at")
     )
-    return counted.join(F.broadcast(lexicon.select(*TIER, "ord", "keyword", "weight", "group", "inner")), [*TIER, "ord"])
+    return counted.join(bounded(lexicon.select(*TIER, "ord", "keyword", "weight", "group", "inner"), MAX_ROWS, "keywords"), [*TIER, "ord"])
 
 
 ENTRY = ("ord", "keyword", "weight", "group", "n_tokens", "n", "at", "inner")
@@ -58,18 +57,20 @@ def _meets(a: Column, b: Column) -> Column:
     return (a["pos"] < b["pos"] + b["n_tokens"]) & (b["pos"] < a["pos"] + a["n_tokens"])
 
 
-def laid_out(spans: Column, max_tokens: int = 4) -> Column:
+def laid_out(spans: Column) -> Column:
     """Of `spans` those that stay when they are laid out by keyword order, then place, none over an earlier one.
 
-    Of one tier at most max_tokens - 1 phrases begin at a word, so a span that
-    meets another has it among its nearest neighbours by place. Only spans that
-    meet others are laid out one after the other.
+    Of one tier, whose longest phrase here has n words, at most n - 1 phrases
+    begin at a word, so a span that meets another has it among its nearest
+    neighbours by place. Only spans that meet others are laid out one after the
+    other.
     """
-    near = (max_tokens - 1) ** 2
+    longest = F.array_max(F.transform(spans, lambda x: x["n_tokens"]))
+    near = longest * (longest - 1)
     by_place = F.sort_array(F.transform(spans, lambda x: F.struct(x["pos"].alias("pos"), x["n_tokens"].alias("n_tokens"), x["ord"].alias("ord"), x["inner"].alias("inner"))))
 
     def split(p: Column) -> Column:
-        around = lambda i: F.slice(p, F.greatest(i - near, F.lit(0)) + 1, F.lit(2 * near + 1))
+        around = lambda i: F.slice(p, F.greatest(i - near, F.lit(0)) + 1, 2 * near + 1)
         met = lambda x, i: F.exists(around(i), lambda y: _meets(x, y) & ((x["pos"] != y["pos"]) | (x["ord"] != y["ord"])))
         told = F.transform(p, lambda x, i: F.struct(met(x, i).alias("met"), F.struct(x["ord"].alias("ord"), x["pos"].alias("pos"), x["n_tokens"].alias("n_tokens"), x["inner"].alias("inner")).alias("span")))
         of = lambda met: F.transform(F.filter(told, lambda t: t["met"] == met), lambda t: t["span"])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.text import csv_items, first_nonempty, lenient_bool, strip
 from sluice.operators.match import format_prompt_matches
+from sluice.sources.lexicon import MAX_PROFILES
+from sluice.sources.store import bounded
 
 #: Parts of error messages that are worth another try.
 TRANSIENT = ("429", "503", "resource_exhausted", "quota exceeded", "unavailable", "timeout", "timed out")
@@ -45,7 +47,7 @@ def arbitration_policy(candidates: DataFrame, policies: DataFrame, compact: bool
 
     `complete` is false where a candidate has no policy text.
     """
-    joined = candidates.join(F.broadcast(policies.select("profile_id", "policy")), "profile_id", "left")
+    joined = candidates.join(bounded(policies.select("profile_id", "policy"), MAX_PROFILES, "policies"), "profile_id", "left")
     body = F.concat(F.lit("SCOPE: "), F.col("scope")) if compact else F.coalesce(strip(F.col("policy")), F.lit(""))
     section = F.concat(F.lit("CATEGORY: "), F.col("name"), F.lit(" ("), F.col("profile_id"), F.lit(")\n"), body)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("profile_ord", section.alias("s")))), lambda x: x["s"])
@@ -126,7 +128,7 @@ def validate_guard(raw: Column) -> Column:
 
 def guard_results(attempts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Guard decisions of answers (job_uuid, profile_id, raw, error): an unknown profile, an error or an odd answer is `error`, which denies."""
-    known = attempts.join(F.broadcast(profiles.select(F.col("id").alias("profile_id"), F.lit(True).alias("known"))), "profile_id", "left")
+    known = attempts.join(bounded(profiles.select(F.col("id").alias("profile_id"), F.lit(True).alias("known")), MAX_PROFILES, "profiles"), "profile_id", "left")
     said = validate_guard(F.col("raw"))
     fine = F.col("known") & F.col("error").isNull() & said.isNotNull()
     return known.withColumn("guard_decision", F.when(fine & said, "notify").when(fine, "do_not_notify").otherwise("error")).drop("known")

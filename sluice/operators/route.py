@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.text import first_nonempty
 from sluice.operators.review import guard_gate
+from sluice.sources.lexicon import MAX_PROFILES
+from sluice.sources.store import bounded
 
 MAX_ATTEMPTS, BATCH, BASE_SECONDS, MAX_SECONDS = 5, 20, 5, 300
 #: Subscribers of up to this many rows are broadcast to the posts; more are dealt to so many parts of each category.
@@ -99,7 +101,7 @@ def subscription_summary(subscriptions: DataFrame, categories: DataFrame) -> Dat
     """A user's enabled categories in the order of selection (`seq` of the subscriptions, if there is one; ties by name)."""
     seq = F.col("seq") if "seq" in subscriptions.columns else F.lit(0)
     once = subscriptions.groupBy("user_id", "category_id").agg(F.min(seq).alias("seq"))
-    named = once.join(F.broadcast(categories.where("enabled").select("category_id", "name")), "category_id")
+    named = once.join(bounded(categories.where("enabled").select("category_id", "name"), MAX_PROFILES, "categories"), "category_id")
     return named.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("seq", "name"))), lambda x: x["name"]).alias("names"))
 
 

@@ -13,7 +13,8 @@ from sluice.operators import audit, claims, decide, match, parse, review, route
 from sluice.plans import adapters as a
 from sluice.plans import sql
 from sluice.sources import feeds
-from sluice.sources.store import cut, shared_dir
+from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
+from sluice.sources.store import bounded, cut, shared_dir
 from sluice.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,10 +117,23 @@ def legacy_job_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lexicon = a.profiles(spark)
     found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
-    named = match.tier_hits(found, "doc_id").join(F.broadcast(lexicon), [*match.TIER, "ord"])
+    named = match.tier_hits(found, "doc_id").join(bounded(lexicon, MAX_ROWS, "keywords"), [*match.TIER, "ord"])
     return named.select("doc_id", *match.TIER, "norm", "weight")
 
 
+@query(sql.LONG_KEYWORDS)
+def long_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of one to eight words, the beginnings of benchmark items, and the documents that hold them."""
+    start = F.slice(F.split(text.normalize_text(F.col("text")), " "), 1, (F.col("item_id") % 8 + 1).cast("int"))
+    rows = a.table(spark, sf_dir, "benchmark").select(
+        F.lit("items").alias("profile_id"), F.lit("positive").alias("polarity"), F.lit("core").alias("tier"), F.lit("starts").alias("group"),
+        F.array_join(start, " ").alias("keyword"), F.lit(1).alias("weight"), F.col("item_id").cast("int").alias("src_ord"),
+    )
+    lexicon = cut(compile_lexicon(rows), "long-keywords")
+    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id").join(bounded(lexicon.select("ord", "norm"), MAX_ROWS, "keywords"), "ord")
+    return found.groupBy("doc_id", "norm", F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.bool_or("in_title").alias("in_title"))
+
+
 @query(sql.CLASSIFIED)
 def classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ("doc_id", "profile_id", "decision", "reason", "core_positive_count", "core_negative_count", "supporting_positive_weight", "supporting_negative_weight", "title_core_positive", "title_core_negative", "hard_reject", "matched")

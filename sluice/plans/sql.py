@@ -79,6 +79,12 @@ HITS = f"""{JOBS}, {SPACED}, hits AS (
 TIER_HITS = f"WITH {HITS} SELECT * FROM hits"
 
 
+LONG_KEYWORDS = f"""WITH {JOBS}, {SPACED}, keywords AS (
+  SELECT DISTINCT array_to_string(w[:item_id % 8 + 1], ' ') AS norm, least(item_id % 8 + 1, len(w))::BIGINT AS n_tokens FROM (SELECT item_id, string_split({norm("text")}, ' ') AS w FROM benchmark)
+)
+SELECT doc_id, norm, n_tokens, contains(title, ' ' || norm || ' ') AS in_title FROM spaced JOIN keywords ON norm <> '' AND contains(n, ' ' || norm || ' ')"""
+
+
 def _any(column: str, profile: str, polarity: str, tier: str) -> str:
     return "(" + (" OR ".join(f"contains({column}, ' {k} ')" for k, _, _ in _ordered(profile, polarity, tier)) or "false") + ")"
 

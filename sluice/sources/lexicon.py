@@ -12,8 +12,8 @@ from sluice.functions.text import normalize_text
 
 PROFILES = "profile_ord int, id string, name string, description string, scope string, enabled boolean, t_min_support int, t_neg_downgrade int, t_lone_core int, t_title_neg int"
 LEXICON = "profile_id string, polarity string, tier string, group string, keyword string, weight int, src_ord int"
-#: Profiles and keywords are broadcast, so there may be at most this many.
-MAX_ROWS = 200_000
+#: Keywords, and profiles, are sent to every task, so there may be at most this many.
+MAX_ROWS, MAX_PROFILES = 200_000, 10_000
 
 #: Phrases of the driver's prose, by profile, polarity, tier and group.
 PROSE: Mapping[str, Mapping[str, Mapping[str, Mapping[str, Mapping[str, int]]]]] = {
@@ -54,8 +54,14 @@ def lexicon_table(spark: SparkSession, profiles: Mapping[str, Mapping] = PROSE)
     return spark.createDataFrame(rows, LEXICON)
 
 
-def compile_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Adds `norm`, `n_tokens`, `ord`, the longest-first order within profile, polarity and tier, and `inner`, for a phrase the ords of its words that are keywords of its tier.
+def compile_lexicon(lexicon: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Adds to keywords, of any number of words, what matching needs.
+
+    `norm` and its `words`, `n_tokens`; `ord`, the longest-first order within
+    profile, polarity and tier; `inner`, for a phrase the ords of its words that
+    are keywords of its tier; and `anchor`, its rarest word, with its place
+    `offset`. Rare are words that few keywords hold, and of those the longer;
+    with `counts` (word, n) of a corpus, the words with the lowest n there.
 
     Keywords that normalise to nothing go; of keywords of a tier that normalise
     alike only the first can ever hit, so the others go too.
@@ -65,11 +71,17 @@ def compile_lexicon(lexicon: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("profile_id", "polarity", "tier", "norm").orderBy("src_ord", "keyword"))
     first = norm.withColumn("rank", rank).where("rank = 1").drop("rank")
     order = (F.length("norm").desc(), F.when(F.col("polarity") == "hard_reject", F.col("keyword")), "src_ord", "keyword")
-    ranked = first.withColumn("n_tokens", F.size(F.split("norm", " "))).withColumn("ord", F.row_number().over(tier.orderBy(*order)).cast("int"))
+    split = F.split("norm", " ")
+    ranked = first.withColumns({"words": split, "n_tokens": F.size(split)}).withColumn("ord", F.row_number().over(tier.orderBy(*order)).cast("int"))
     words = ranked.where("n_tokens = 1").select("profile_id", "polarity", "tier", F.col("norm").alias("word"), F.col("ord").alias("word_ord"))
-    parts = ranked.where("n_tokens > 1").select("profile_id", "polarity", "tier", "ord", F.explode(F.split("norm", " ")).alias("word"))
-    inner = parts.join(words, ["profile_id", "polarity", "tier", "word"]).groupBy("profile_id", "polarity", "tier", "ord").agg(F.sort_array(F.collect_list("word_ord")).alias("inner"))
-    return ranked.join(inner, ["profile_id", "polarity", "tier", "ord"], "left").withColumn("inner", F.coalesce("inner", F.array().cast("array<int>")))
+    keyword = ["profile_id", "polarity", "tier", "ord"]
+    parts = ranked.select(*keyword, F.posexplode("words").alias("place", "word"))
+    inner = parts.join(ranked.where("n_tokens > 1").select(*keyword), keyword, "left_semi").join(words, ["profile_id", "polarity", "tier", "word"]).groupBy(*keyword).agg(F.sort_array(F.collect_list("word_ord")).alias("inner"))
+    known = parts.groupBy("word").agg(F.count("*").alias("held"))
+    known = known.withColumn("seen", F.lit(0)) if counts is None else known.join(counts.select("word", F.col("n").alias("seen")), "word", "left")
+    rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "held", (-F.length("word")).alias("less"), "place", "word")).alias("r")
+    anchors = parts.join(known, "word").groupBy(*keyword).agg(rarest).select(*keyword, F.col("r.word").alias("anchor"), F.col("r.place").alias("offset"))
+    return ranked.join(anchors, keyword).join(inner, keyword, "left").withColumn("inner", F.coalesce("inner", F.array().cast("array<int>")))
 
 
 def lexicon_conflicts(lexicon: DataFrame, noise: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -31,6 +32,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """`df` for every task of a join, once it was counted; more than `most` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)
+
+
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` to a new table in the shared folder and read it back: later steps start from the files, also after executors are lost.
 
