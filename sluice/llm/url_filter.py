@@ -68,20 +68,40 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def filed(antecedents: DataFrame, rows: DataFrame) -> DataFrame:
-    """`antecedents` with `item`, of their tokens the one that the fewest `rows` (items, n) have; those that none has are left out."""
+    """`antecedents` (with `members`) once for each token of one of their classes, as `item`: the class that the fewest `rows` (items, n) have; those that none has are left out."""
     spread = rows.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("spread"))
-    each = antecedents.select("antecedent", F.explode("antecedent").alias("item")).join(small_side(cut(spread, "url-spread"), BROADCAST_ROWS), "item")
-    rarest = each.groupBy("antecedent").agg(F.min_by("item", F.struct("spread", "item")).alias("item"))
-    return cut(antecedents.join(rarest, "antecedent"), "url-index")
+    each = antecedents.select("antecedent", F.posexplode("members").alias("place", "class")).select("antecedent", "place", F.explode("class").alias("item"))
+    held = each.join(small_side(cut(spread, "url-spread"), BROADCAST_ROWS), "item").groupBy("antecedent", "place").agg(F.sum("spread").alias("spread"))
+    rarest = held.groupBy("antecedent").agg(F.min_by("place", F.struct("spread", "place")).alias("place"))
+    return cut(antecedents.join(rarest, "antecedent").withColumn("item", F.explode(F.get("members", F.col("place")))).drop("place"), "url-index")
 
 
 def matched(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """`rows` with the entries of a `filed` index whose tokens they all have."""
-    return rows.withColumn("item", F.explode("items")).join(small_side(index, BROADCAST_ROWS), "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    """`rows` with the entries of a `filed` index of whose classes they all have a token."""
+    return rows.withColumn("item", F.explode("items")).join(small_side(index, BROADCAST_ROWS), "item").where(F.forall("members", lambda m: F.arrays_overlap(m, F.col("items"))))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """Classes of tokens of `rows` (items, n, n_bad; distinct items) that mining can't tell apart: `rep`, and `members`, its tokens.
+
+    Tokens of exactly the same rows are one class, so mining one of them is
+    mining all. Of classes that the same bad rows have, and so have equal n_bad
+    in any rule, the one that the fewest rows have stays (ties: the first), which
+    gives the highest confidence.
+    """
+    hashed = rows.select("n", "n_bad", F.xxhash64("items").alias("h"), F.xxhash64("items", F.lit(1)).alias("g"), F.explode("items").alias("item"))
+    of_bad = lambda c: F.bit_xor(F.when(F.col("n_bad") > 0, F.col(c)).otherwise(0))
+    seen = hashed.groupBy("item").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.sum("n").alias("n"), of_bad("h").alias("bad_h"), of_bad("g").alias("bad_g"), F.sum("n_bad").alias("n_bad"))
+    same = seen.where("n_bad > 0").groupBy("h", "g", "n", "bad_h", "bad_g", "n_bad").agg(F.sort_array(F.collect_list("item")).alias("members"))
+    return same.groupBy("bad_h", "bad_g", "n_bad").agg(F.min(F.struct("n", "members")).alias("least")).select(F.get("least.members", F.lit(0)).alias("rep"), "least.members")
 
 
 def mine(labelled: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT, margin: float = MARGIN) -> DataFrame:
-    """Rules (antecedent, n, n_bad, confidence, lift) "these tokens go with a bad label", from rows with `items`.
+    """Rules (antecedent, members, n, n_bad, confidence, lift) "these tokens go with a bad label", from rows with `items`.
+
+    An antecedent names one token of each of its classes; `members` are all
+    tokens of each, any of which will do (see `classes`). So a page that comes
+    many times, however long its url, is mined as one token.
 
     n and n_bad are the labelled rows with all tokens, and the bad ones of them.
     The confidence n_bad / n is at least `min_lift` times the share of bad rows,
@@ -99,14 +119,19 @@ def mine(labelled: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min
     everywhere = rows.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") == total["n"]).select(F.col("item").alias("common"))
     common = everywhere.agg(F.collect_list("common").alias("common")).first()["common"]  # at most as many as the shortest row has
     own = F.array_except("items", F.array(*map(F.lit, common)).cast("array<string>"))
-    told = rows.withColumn("items", own)
+    told = cut(rows.withColumn("items", own).groupBy("items").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-told")
+    of = cut(classes(told), "url-classes")
+    each = told.select("items", "n", "n_bad", F.explode("items").alias("rep")).join(small_side(of.select("rep"), BROADCAST_ROWS), "rep")
+    slim = cut(each.groupBy("items", "n", "n_bad").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select(F.col("reps").alias("items"), "n", "n_bad"), "url-slim")
     if total["n_bad"] < least:
         candidates = told.select(F.col("items").alias("antecedent"), F.col("n").alias("n_bad")).limit(0)
     else:
-        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total["n_bad"]).fit(learnt.where("bad").select(own.alias("items"))).freqItemsets
+        bad_rows = slim.where("n_bad > 0").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("n_bad").cast("int")))).select("items")
+        n_rows = bad_rows.count()
+        sets = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / max(n_rows, 1), 1.0)).fit(bad_rows).freqItemsets
         candidates = sets.where(F.col("freq") >= least).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n_bad"))
-    candidates = cut(candidates, "url-candidates")
-    counted = matched(told.select("items", "n"), filed(candidates, told)).groupBy("antecedent", "n_bad").agg(F.sum("n").alias("n"))
+    candidates = cut(candidates.withColumn("members", F.transform("antecedent", lambda x: F.array(x))), "url-candidates")
+    counted = matched(slim.select("items", "n"), filed(candidates, slim)).groupBy("antecedent", "n_bad").agg(F.sum("n").alias("n"))
     base = total["n_bad"] / max(total["n"], 1)
     share, z = F.col("n_bad") / F.col("n"), margin
     low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
@@ -114,7 +139,9 @@ def mine(labelled: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min
     rules = cut(rules, "url-rules")
     shorter = rules.where(F.size("antecedent") > 1).select("antecedent", "confidence", F.explode("antecedent").alias("item")).select("antecedent", "confidence", F.array_except("antecedent", F.array("item")).alias("part"))
     idle = shorter.join(rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("of_part")), "part").where("of_part >= confidence").select("antecedent")
-    return rules.join(idle.distinct(), "antecedent", "left_anti")
+    kept = rules.join(idle.distinct(), "antecedent", "left_anti")
+    listed = kept.select("antecedent", F.posexplode("antecedent").alias("place", "rep")).join(of, "rep").groupBy("antecedent").agg(F.sort_array(F.collect_list(F.struct("place", "members"))).alias("listed"))
+    return kept.join(listed.select("antecedent", F.transform("listed", lambda x: x["members"]).alias("members")), "antecedent")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=HOST_RULES) -> DataFrame:
@@ -134,7 +161,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=HOST_RULES) -> DataFra
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
     mined = cut(mine(seen.join(label, "page_id").select("items", "quality"), F.col("quality") == 0), "url-mined")
     open_ = seen.where("rule is null")
-    index = filed(mined.select("antecedent", "confidence"), open_.select("items", F.lit(1).alias("n")))
+    index = filed(mined.select("antecedent", "members", "confidence"), open_.select("items", F.lit(1).alias("n")))
     hits = matched(open_.dropDuplicates(["page_id", "key_url"]).select("page_id", "key_url", "items"), index)
     best = hits.groupBy("page_id", "key_url").agg(F.max("confidence").alias("confidence"))
     return join_by(seen, best, ["page_id", "key_url"]).select(

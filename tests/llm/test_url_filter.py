@@ -51,6 +51,24 @@ def test_mined_rules_are_those_of_brute_force(spark, seed, min_support):
     assert found
 
 
+def test_copies_of_long_urls_are_one_token(spark):
+    """Eight copies of a bad url with sixty parameters, and others that share some of them: mining ends, and any of the tokens blocks."""
+    trap = "http://trap.example/x?" + "&".join(f"p{k}={k}" for k in range(60))
+    urls = [trap] * 8 + [f"http://fine{k}.example/y" for k in range(90)] + ["http://other.example/z?p7=1", "http://other.example/z?q=1", None, "", "x" * 20_000, "http://long.example/" + "a/" * 5000]
+    pages = spark.createDataFrame([(k if k != 100 else None, u, "clash", "clash") for k, u in enumerate(urls)], "page_id long, url string, items string, members string")
+    labels = spark.createDataFrame([(k, int(k >= 8)) for k in range(98)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    out = {r.page_id: r.verdict for r in url_filter.url_filter(pages, labels).collect()}
+    assert all(out[k] == "block" for k in range(8)) and out[98] == "block"
+    assert {out[k] for k in [*range(8, 98), 99, 101, None, 102, 103]} == {"allow"}
+
+
+def test_classes(spark):
+    """Tokens of the same rows share a class; of those of the same bad rows only the one with the fewest rows is mined."""
+    rows = [(["a", "b", "c"], 3, 3), (["c", "d"], 2, 0), (["d"], 1, 1)]
+    got = url_filter.classes(spark.createDataFrame(rows, "items array<string>, n long, n_bad long")).collect()
+    assert sorted((r.rep, r.members) for r in got) == [("a", ["a", "b"]), ("d", ["d"])]
+
+
 def test_one_sided_or_few_labels_mine_nothing(spark):
     for rows in ([], [(["a"], True)] * 30, [(["a"], False)] * 30, [(["a", "b"], True)] * 2 + [(["a"], False)] * 9, [([], True)] * 9 + [(["a"], False)] * 9):
         assert url_filter.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), F.col("bad")).collect() == []
