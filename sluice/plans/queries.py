@@ -15,7 +15,7 @@ from sluice.plans import sql
 from sluice.sources import feeds
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
 from sluice.sources.store import bounded, cut, shared_dir
-from sluice.streaming import stream
+from sluice.streaming import delivery, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +408,29 @@ def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.apply_outcomes(queue, outcomes, F.expr(a.ORDERS_NOW)).select("notification_id", "status", "attempts", "last_error", "next_attempt_at", "deactivate")
 
 
+@query(sql.DELIVERED)
+def delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as notifications that land in two batches with the ends of their sends, up to six of which fail."""
+    home = f"{shared_dir(spark)}/delivery-{uuid4().hex}"
+    k, start, sends = F.col("o_orderkey"), F.lit(1704067200) + F.col("o_orderkey"), (0, 11, 32, 73, 154)
+    orders = a.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, s, outcome, error: orders.select("user_id", F.lit(kind).alias("kind"), k.alias("notification_id"), F.timestamp_seconds(start + s).alias("ts"), outcome.alias("outcome"), none("long").alias("retry_after_s"), error.alias("error"), none("boolean").alias("active"))
+    events = row("queued", 0, none("string"), none("string"))
+    for n, s in enumerate(sends):
+        sent = k % 7 == n
+        ends = row("outcome", s + 1, F.when(sent, "ok").otherwise("error"), F.when(~sent, "no"))
+        events = events.unionByName(ends.where(F.col("notification_id") % 7 >= n))
+    middle = orders.agg(F.coalesce(F.max("o_orderkey"), F.lit(0))).first()[0] // 2
+    early = F.unix_seconds("ts") < 1704067200 + middle
+    for part in (early, ~early):
+        events.where(part).repartition(8).write.mode("append").parquet(f"{home}/landing")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
+    changes = delivery.delivery_stream(arriving)
+    changes.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return delivery.queue_after(spark.read.schema(delivery.CHANGES).parquet(f"{home}/out"))
+
+
 @query(sql.RESET)
 def reset_sending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.reset_sending(a.queue(spark, sf_dir), F.expr(a.ORDERS_NOW)).select("notification_id", "status", "attempts", "next_attempt_at")

@@ -282,3 +282,9 @@ STREAM_CLAIMS = f"""WITH RECURSIVE posts AS (
 )
 SELECT d.doc_id, CASE WHEN f.owner = f.doc_id THEN d.final_decision ELSE 'Rejected' END AS final_decision, CASE WHEN f.owner = f.doc_id THEN d.decision_reason ELSE 'Duplicate project from another source' END AS decision_reason
 FROM ({FINAL}) d JOIN folded f ON f.doc_id = d.doc_id"""
+
+#: the queue that the query delivery_stream ends with: sends 1 to 5 are 0, 11, 32, 73 and 154 seconds after the first, each ends a second later.
+DELIVERED = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderkey % 7 AS fails, timestamp '2024-01-01' + to_seconds(o_orderkey) AS t FROM orders),
+a AS (SELECT *, least(fails + 1, 5) AS attempts, t + to_seconds([0, 11, 32, 73, 154][least(fails + 1, 5)]) AS last FROM o)
+SELECT u AS user_id, k AS notification_id, CASE WHEN fails < 5 THEN 'Sent' ELSE 'Failed' END AS status, attempts::INTEGER AS attempts, CASE WHEN fails < 5 THEN '' ELSE 'no' END AS last_error,
+  CASE WHEN fails >= 5 THEN last END AS next_attempt_at, last + interval 1 second AS updated_at FROM a"""
