@@ -9,6 +9,7 @@ costs time and changes no count.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -217,11 +218,26 @@ class Counter:
         yield from out
 
 
+#: The counter that a worker used last, by the job it is of.
+_counters: dict[str, Counter] = {}
+
+
+def worker_counter(job: str, size: int, words: bytes | None, phrases: bytes | None) -> Counter:
+    """The worker's counter for a job: it has no counts, but the words that earlier tasks have numbered."""
+    if job not in _counters:
+        _counters.clear()
+        _counters[job] = Counter(size, words, phrases)
+    counter = _counters[job]
+    counter.trie, counter.out = HatTrie(size), []
+    return counter
+
+
 def counted(texts: DataFrame, size: int, words=None, phrases=None) -> DataFrame:
     """`a`, the occurrences of each phrase of `size` words by `lang`; with bitmaps only of phrases whose words and shorter phrases may be frequent."""
+    job = uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(size, *(None if b is None else b.value for b in (words, phrases)))
+        counter = worker_counter(job, size, *(None if b is None else b.value for b in (words, phrases)))
         for batch in batches:
             langs, values = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             by: dict[str, list[bytes]] = {}
