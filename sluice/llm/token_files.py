@@ -29,51 +29,17 @@ from sluice.llm import bpe
 from sluice.llm.common import cut, small_side
 
 #: Ids of a block; a pair that occurs so often becomes a rule; a round that shortens the block by less than this share is the last.
-BLOCK_IDS, MIN_PAIRS, LEAST_GAIN = 2_000_000, 6, 0.02
+BLOCK_IDS, MIN_PAIRS, LEAST_GAIN = 2_000_000, 6, 0.03
+#: Slots that pairs are counted in.
+SLOTS = 1 << 19
 #: The id behind each document.
 END = 0
-#: Characters of a text that are encoded at once, chunks between blanks that a worker remembers, and their characters.
-SEGMENT_CHARS, CHUNKS, CHUNK_CHARS = 1_000_000, 1_000_000, 16_000_000
+#: Characters of a text that are encoded at once.
+SEGMENT_CHARS = 1_000_000
 #: Blocks that may be broadcast by number and start.
 SMALL_BLOCKS = 200_000
 
 
-class Encoder:
-    """Encodes texts by looking up what stands between blanks; a codec cuts up and encodes what is new, for many texts at once."""
-
-    def __init__(self, codec: bpe.Codec) -> None:
-        self.codec, self.known, self.chars = codec, {}, 0
-        self.special = [*codec.v["special"]]
-        self.apart = not any(" " in s for s in self.special)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remembers chunks with the blank before them. Those that touch other blanks or hold special tokens can't be cut off from the rest of the text."""
-        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace() and not any(s in c for s in self.special)]
-        for chunk, ids in zip(plain, self.codec.encode([f" {c}" for c in plain]), strict=True):
-            self.known[chunk] = ids.tobytes()
-            self.chars += len(chunk)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, or of each segment that begins with its blank."""
-        if not self.apart:
-            return self.codec.encode(texts)
-        if len(self.known) > CHUNKS or self.chars > CHUNK_CHARS:
-            self.known.clear()
-            self.chars = 0
-        parts = [t.split(" ") for t in texts]
-        self.learn(set().union(*(p[1:] for p in parts)) - self.known.keys())
-        out: list[np.ndarray | None] = []
-        for first, (head, *rest) in zip(self.codec.encode([p[0] for p in parts]), parts, strict=True):
-            try:
-                if rest and head[-1:].isspace():
-                    raise KeyError
-                out.append(np.concatenate([first, np.frombuffer(b"".join(map(self.known.__getitem__, rest)), np.int32)]))
-            except KeyError:
-                out.append(None)
-        whole = iter(self.codec.encode([t for t, ids in zip(texts, out, strict=True) if ids is None]))
-        return [next(whole) if ids is None else ids for ids in out]
-
-
 def segments(text: str) -> Iterator[str]:
     """A text in segments of SEGMENT_CHARS at most, cut before a blank between two characters that are none, where no token can lie; the rest of a text without such blanks stays whole."""
     at = 0
@@ -88,66 +54,62 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encoded(documents: Iterator[tuple[object, str]], encoder: Encoder) -> Iterator[tuple[object, np.ndarray, bool]]:
+def encoded(documents: Iterator[tuple[object, str]], codec: bpe.Codec) -> Iterator[tuple[object, np.ndarray, bool]]:
     """doc_id and ids of documents, segment by segment, and whether the document ends; texts are encoded in groups of about SEGMENT_CHARS characters."""
+    apart = not any(" " in s for s in codec.v["special"])
     group: list[tuple[object, str, bool]] = []
     chars = 0
     for doc_id, text in documents:
-        of = segments(text) if encoder.apart else iter([text])
+        of = segments(text) if apart else iter([text])
         here = next(of)
         while here is not None:
             after = next(of, None)
             group.append((doc_id, here, after is None))
             chars += len(here)
             if chars >= SEGMENT_CHARS:
-                yield from ((i, ids, end) for (i, _, end), ids in zip(group, encoder.encode([x[1] for x in group]), strict=True))
+                yield from ((i, ids, end) for (i, _, end), ids in zip(group, codec.encode([x[1] for x in group]), strict=True))
                 group, chars = [], 0
             here = after
-    yield from ((i, ids, end) for (i, _, end), ids in zip(group, encoder.encode([x[1] for x in group]), strict=True))
+    yield from ((i, ids, end) for (i, _, end), ids in zip(group, codec.encode([x[1] for x in group]), strict=True))
 
 
 def pairs_replaced(symbols: np.ndarray, inner: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """One round of Re-Pair: the shortened symbols, which of them have a neighbour in their document, and the new rules (left and right of symbols from `first` on); none if no pair is frequent.
 
-    Of overlapping pairs the more frequent is replaced; of a run of equal pairs every second.
+    Pairs are counted in slots by hash; of those in one slot one is counted, and
+    the others wait for a later round. Of overlapping pairs the more frequent is
+    replaced; of a run of equal pairs every second.
     """
-    at = np.flatnonzero(inner)
-    key = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
-    # a cheap bound on counts leaves most rare pairs out of the sort
-    slot = (key * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) & np.int64((1 << 22) - 1)
-    often = np.bincount(slot, minlength=1 << 22)[slot] >= MIN_PAIRS
-    at, key = at[often], key[often]
+    key = symbols[:-1] << 32 | symbols[1:]
+    slot = ((key * np.int64(0x9E3779B97F4A7C1)) >> np.int64(24) & np.int64(SLOTS - 1)).astype(np.int32)
+    of = np.full(SLOTS, -1, np.int64)
+    of[slot[inner[:-1]]] = key[inner[:-1]]
+    counted = (of[slot] == key) & inner[:-1]
+    counts = np.bincount(slot[counted], minlength=SLOTS)
+    # how much a pair comes first: by count, then by slot
+    rank = np.where(counts >= MIN_PAIRS, counts * SLOTS + np.arange(SLOTS), 0)
+    here = np.zeros(len(symbols) + 1, np.int64)
+    here[1:-1] = np.where(counted, rank[slot], 0)
+    before, here, after = here[:-2], here[1:-1], np.append(here[2:-1], 0)
+    at = np.flatnonzero((here > 0) & (here >= before) & (here >= after))
     if not len(at):
         return None
-    pairs, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank_of = np.full(len(pairs), -1, np.int64)
-    good = order[: int((counts >= MIN_PAIRS).sum())]
-    rank_of[good] = np.arange(len(good))
-    none = len(pairs)
-    rank = np.full(len(symbols) + 1, none, np.int64)
-    found = rank_of[which]
-    rank[at[found >= 0]] = found[found >= 0]
-    before = np.append(none, rank[:-2])
-    here, after = rank[:-1], rank[1:]
-    best = (here < none) & (here <= before) & (here <= after)
-    start = np.flatnonzero(best & ~np.append(False, best[:-1]))
-    run = np.zeros(len(symbols), np.int64)
-    run[start] = start
-    best &= (np.arange(len(symbols)) - np.maximum.accumulate(run)) % 2 == 0
-    used = np.bincount(here[best], minlength=len(good))
+    # neighbouring places are of one run of equal pairs
+    opens = np.diff(at, prepend=-2) != 1
+    start = np.maximum.accumulate(np.where(opens, at, 0))
+    at = at[(at - start) % 2 == 0]
+    used = np.bincount(slot[at], minlength=SLOTS)
     worth = used >= MIN_PAIRS
-    if not worth.any():
+    at = at[worth[slot[at]]]
+    if not len(at):
         return None
-    best[best] = worth[here[best]]
     number = np.cumsum(worth) - 1 + first
-    out = symbols.copy()
-    out[best] = number[here[best]]
-    keep = ~np.append(False, best[:-1])
+    out, joined, keep = symbols.copy(), inner.copy(), np.ones(len(symbols), bool)
+    out[at] = number[slot[at]]
     # a new symbol has a neighbour if its second half had one
-    joined = inner.copy()
-    joined[best] = inner[np.flatnonzero(best) + 1]
-    chosen = pairs[good[worth]]
+    joined[at] = inner[at + 1]
+    keep[at + 1] = False
+    chosen = of[worth]
     return out[keep], joined[keep], np.stack([chosen >> 32, chosen & 0xFFFFFFFF])
 
 
@@ -240,7 +202,7 @@ def files_schema(id_type) -> StructType:
     return out.add("doc_ids", ArrayType(id_type)).add("sizes", ArrayType(LongType())).add("ends", ArrayType(LongType())).add("pieces", ArrayType(LongType())).add("last", ArrayType(IntegerType()))
 
 
-def blocks(documents: Iterator[tuple[object, str]], encoder: Encoder, plain: int, most: int) -> Iterator[dict]:
+def blocks(documents: Iterator[tuple[object, str]], codec: bpe.Codec, plain: int, most: int) -> Iterator[dict]:
     """Blocks of at most `most` ids from documents (id, text) in order."""
     held, size, place = [], 0, 0  # doc_id, number of the piece, ids, whether the document ends
 
@@ -255,7 +217,7 @@ def blocks(documents: Iterator[tuple[object, str]], encoder: Encoder, plain: int
         }
 
     piece, kept, n_kept = 0, [], 0  # of the document under way
-    for doc_id, ids, end in encoded(documents, encoder):
+    for doc_id, ids, end in encoded(documents, codec):
         if end:
             ids = np.append(ids, np.int32(END))
         while n_kept + len(ids) + size > most:
@@ -288,9 +250,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(bpe.codec(shared)), TaskContext.get().partitionId()
+        codec, part = bpe.codec(shared), TaskContext.get().partitionId()
         documents = ((i.as_py(), t.as_py()) for batch in batches for i, t in zip(batch.column(0), batch.column(1), strict=True))
-        for row in blocks(documents, encoder, len(encoder.codec.v["bytes"]), block_ids):
+        for row in blocks(documents, codec, len(codec.v["bytes"]), block_ids):
             yield pa.RecordBatch.from_pylist([row | {"part": part}], schema=arrow)
 
     # parts follow each other in the order of ids

@@ -216,10 +216,10 @@ def test_no_documents(spark, tmp_path):
 def test_long_texts_are_cut(monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_CHARS", 40)
     encode = library()
-    encoder = token_files.Encoder(bpe.Codec(bpe.load(bpe.default_path())))
+    codec = bpe.Codec(bpe.load(bpe.default_path()))
     texts = ["one two  three \n four's five " * 30, "x" * 300, " " * 200, "a <|endoftext|> b " * 20, "é à ü 1 2 3, . ; " * 20]
     parts = collections.defaultdict(list)
-    for i, ids, _ in token_files.encoded(enumerate(texts), encoder):
+    for i, ids, _ in token_files.encoded(enumerate(texts), codec):
         parts[i] += ids.tolist()
     assert [[*parts[i], token_files.END] for i in range(len(texts))] == [encode(t) for t in texts]
 
