@@ -15,7 +15,7 @@ from sluice.plans import sql
 from sluice.sources import feeds
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
 from sluice.sources.store import bounded, cut, shared_dir
-from sluice.streaming import delivery, stream
+from sluice.streaming import delivery, stream, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +408,24 @@ def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.apply_outcomes(queue, outcomes, F.expr(a.ORDERS_NOW)).select("notification_id", "status", "attempts", "last_error", "next_attempt_at", "deactivate")
 
 
+@query(sql.SWEPT)
+def retry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as accepted posts whose sends fail up to three times; the guard holds back every fifth."""
+    home = f"{shared_dir(spark)}/sweep-{uuid4().hex}"
+    k, start = F.col("doc_id"), F.lit(1704067200) + 7 * F.col("doc_id")
+    docs = a.table(spark, sf_dir, "documents").select("doc_id")
+    row = lambda kind, s, ok, guard: docs.select(k.cast("string").alias("job_uuid"), F.lit(kind).alias("kind"), F.timestamp_seconds(start + s).alias("ts"), ok.alias("ok"), guard.alias("guard"), k)
+    no, silent = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    events = row("accepted", 0, no, silent).unionByName(row("guard", 50, no, F.lit("do_not_notify")).where(k % 5 == 0))
+    for n in range(4):
+        events = events.unionByName(row("sent", 400 * (n + 1), k % 4 == n, silent).where(k % 4 >= n))
+    events.drop("doc_id").repartition(8).write.parquet(f"{home}/landing")
+    arriving = spark.readStream.schema(events.drop("doc_id").schema).parquet(f"{home}/landing")
+    changes = sweep.sweep_stream(arriving)
+    changes.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return sweep.notifications_after(spark.read.schema(sweep.CHANGES).parquet(f"{home}/out")).select(F.col("job_uuid").cast("long").alias("doc_id"), "status", "sends")
+
+
 @query(sql.DELIVERED)
 def delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as notifications that land in two batches with the ends of their sends, up to six of which fail."""

@@ -288,3 +288,8 @@ DELIVERED = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderkey % 7
 a AS (SELECT *, least(fails + 1, 5) AS attempts, t + to_seconds([0, 11, 32, 73, 154][least(fails + 1, 5)]) AS last FROM o)
 SELECT u AS user_id, k AS notification_id, CASE WHEN fails < 5 THEN 'Sent' ELSE 'Failed' END AS status, attempts::INTEGER AS attempts, CASE WHEN fails < 5 THEN '' ELSE 'no' END AS last_error,
   CASE WHEN fails >= 5 THEN last END AS next_attempt_at, last + interval 1 second AS updated_at FROM a"""
+
+#: what the query retry_sweep ends with: a send ends every 400 seconds, sweeps are at multiples of 300.
+SWEPT = """WITH d AS (SELECT doc_id, doc_id % 4 AS fails, 1704067200 + 7 * doc_id AS t FROM documents),
+e AS (SELECT *, fails > 0 AND doc_id % 5 = 0 AS held, t + 400 * CASE WHEN fails > 0 AND doc_id % 5 = 0 THEN 1 ELSE fails + 1 END AS last FROM d)
+SELECT doc_id, CASE WHEN held THEN 'Suppressed' ELSE 'Complete' END AS status, (1 + last // 300 - t // 300)::BIGINT AS sends FROM e"""
