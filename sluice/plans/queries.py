@@ -14,6 +14,7 @@ from sluice.plans import adapters as a
 from sluice.plans import sql
 from sluice.sources import feeds
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
+from sluice.sources.lexicon import lexicon_conflicts as lexicon_conflicts_of
 from sluice.sources.store import bounded, cut, shared_dir
 from sluice.streaming import delivery, stream, sweep
 
@@ -271,6 +272,54 @@ def resume_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.resume_action(named, held).select("doc_id", "action")
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN nullif(url, '') END AS url FROM pages""")
+def button_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages in the second row of their posts' buttons, behind rows and buttons without one; every third has none."""
+    button = lambda c: F.struct(c.cast("string").alias("url"))
+    none, rows = button(F.lit(None)), F.lit(None).cast("array<struct<url:string>>")
+    linked = F.array(rows, F.array(none, button(F.lit(""))), F.array(none, button(F.col("url"))))
+    buttons = F.when(F.col("page_id") % 3 == 0, F.array(F.array(none))).otherwise(linked)
+    return a.table(spark, sf_dir, "pages").select("page_id", parse.button_url(buttons).alias("url"))
+
+
+@query("""SELECT o_orderkey AS job_uuid, '' AS title, o_comment AS description, o_clerk AS source, CASE WHEN o_orderstatus = 'P' THEN 'Accepted' ELSE o_orderstatus END AS decision, '' AS decision_reason,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS url, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus || ', ' || o_orderpriority END AS categories, '' AS category_id, o_orderkey % 4 < 2 AS ai_used
+FROM (SELECT *, 'of ' || o_orderkey AS o_comment, 'Clerk ' || o_custkey AS o_clerk FROM orders)""")
+def resume_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as stored posts that lack this and that."""
+    k = F.col("o_orderkey")
+    stored = a.table(spark, sf_dir, "orders").select(
+        k.alias("job_uuid"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("of "), k).alias("description"), F.concat(F.lit("Clerk "), F.col("o_custkey")).alias("source"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("final_decision"), F.lit("").alias("decision_reason"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("url"),
+        F.when(k % 3 != 0, F.concat(F.lit(" , "), F.col("o_orderstatus"), F.lit(" ,"), F.col("o_orderpriority"), F.lit(" ,,"))).alias("categories"), F.lit("").alias("category_id"),
+        F.when(k % 4 == 0, " Yes ").when(k % 4 == 1, "1").when(k % 4 == 2, "no").alias("needs_review"),
+    )
+    return _flat(review.resume_payload(stored))
+
+
+@query("""SELECT DISTINCT lang AS profile_id, source AS keyword FROM documents WHERE doc_id % 2 = 0 AND doc_id % 4 <> 0 AND (lang, source) IN (SELECT (lang, source) FROM documents WHERE doc_id % 3 = 0)""")
+def lexicon_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as keywords of the profiles of their documents' languages, and as noise words."""
+    k, docs = F.col("doc_id"), a.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("profile_id"), F.col("source").alias("keyword"))
+    scored = docs.where(k % 2 == 0).withColumn("polarity", F.when(k % 4 == 0, "hard_reject").otherwise("positive"))
+    return lexicon_conflicts_of(scored, docs.where(k % 3 == 0))
+
+
+@query(sql.POLICIES)
+def arbitration_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions on the candidates of each post; one profile has no policy text."""
+    profiles, _ = a.profiles(spark)
+    policies = profiles.select(F.col("id").alias("profile_id"), F.when(F.col("id") != "romance", F.concat(F.lit("  Wants "), F.col("id"), F.lit("\n"))).alias("policy"))
+    return review.arbitration_policy(_classified(spark, sf_dir).where("decision <> 'reject'"), policies, key="doc_id")
+
+
+@query(sql.EVIDENCE)
+def audit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each post and profile as text, as the audit tables hold them."""
+    lists = [f"{p}_{t}" for p, t in decide.LISTS]
+    return _classified(spark, sf_dir).select("doc_id", "profile_id", *(match.format_matches(F.col(f"{n}_matches")).alias(n) for n in lists))
+
+
 # --- feeds
 
 

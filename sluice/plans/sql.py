@@ -293,3 +293,13 @@ SELECT u AS user_id, k AS notification_id, CASE WHEN fails < 5 THEN 'Sent' ELSE
 SWEPT = """WITH d AS (SELECT doc_id, doc_id % 4 AS fails, 1704067200 + 7 * doc_id AS t FROM documents),
 e AS (SELECT *, fails > 0 AND doc_id % 5 = 0 AS held, t + 400 * CASE WHEN fails > 0 AND doc_id % 5 = 0 THEN 1 ELSE fails + 1 END AS last FROM d)
 SELECT doc_id, CASE WHEN held THEN 'Suppressed' ELSE 'Complete' END AS status, (1 + last // 300 - t // 300)::BIGINT AS sends FROM e"""
+
+_LISTED = ", ".join(f"('{p}', '{pol}', '{tier}', '{k}', {o}, '{g}')" for p in PROSE for pol, tier in LISTS for o, (k, _, g) in enumerate(_ordered(p, pol, tier)))
+#: the hits of each post and profile as the audit tables name them, in the order of the lexicon.
+EVIDENCE = f"""WITH {HITS}, listed (profile_id, polarity, tier, norm, ord, grp) AS (VALUES {_LISTED}), said AS (
+  SELECT doc_id, profile_id, polarity || '_' || tier AS list, string_agg(norm || '(' || weight || '/' || grp || ')', ', ' ORDER BY ord) AS text FROM hits JOIN listed USING (profile_id, polarity, tier, norm) GROUP BY ALL
+), every AS (SELECT doc_id, p.profile_id FROM documents, (SELECT DISTINCT profile_id FROM listed) p)
+SELECT e.doc_id, e.profile_id, {", ".join(f"coalesce(max(text) FILTER (WHERE list = '{p}_{t}'), '') AS {p}_{t}" for p, t in LISTS)} FROM every e LEFT JOIN said s USING (doc_id, profile_id) GROUP BY ALL"""
+POLICIES = f"""WITH {RESULTS}, told (profile_id, name, scope, policy) AS (VALUES {", ".join(f"('{p}', '{p.title()}', 'Texts mostly in {p}', {repr('Wants ' + p) if p != 'romance' else 'NULL'})" for p in PROSE)})
+SELECT doc_id, 'Judge by what the post wants delivered.' || chr(10) || chr(10) || string_agg('CATEGORY: ' || name || ' (' || profile_id || ')' || chr(10) || coalesce(policy, ''), chr(10) || chr(10) ORDER BY profile_ord) AS policy,
+  bool_and(policy IS NOT NULL) AS complete FROM results JOIN told USING (profile_id) WHERE decision <> 'reject' GROUP BY doc_id"""
