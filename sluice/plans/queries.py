@@ -16,7 +16,7 @@ from sluice.sources import feeds
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
 from sluice.sources.lexicon import lexicon_conflicts as lexicon_conflicts_of
 from sluice.sources.store import bounded, cut, shared_dir
-from sluice.streaming import delivery, stream, sweep
+from sluice.streaming import channels, delivery, stream, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +352,23 @@ def advance_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.advance_watermark(a.messages(spark, sf_dir), seen)
 
 
+@query("""WITH m AS (SELECT user_id AS chat_id, event_id AS id, event_type = 'error' AND event_id % 2 = 1 AS open FROM events),
+f AS (SELECT chat_id, min(id) AS bad FROM m WHERE open GROUP BY 1)
+SELECT chat_id, max(id) AS last_id FROM m LEFT JOIN f USING (chat_id) WHERE NOT open AND (bad IS NULL OR id < bad) GROUP BY 1""")
+def watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as messages of a stream: they land in two halves, then every second failure comes again and succeeds."""
+    home = f"{shared_dir(spark)}/channels-{uuid4().hex}"
+    results = a.messages(spark, sf_dir).select("chat_id", "msg_id", "ok")
+    middle = results.agg(F.coalesce(F.max("msg_id"), F.lit(0))).first()[0] // 2
+    again = results.where(~F.col("ok") & (F.col("msg_id") % 2 == 0)).withColumn("ok", F.lit(True))
+    for part in (results.where(F.col("msg_id") <= middle), results.where(F.col("msg_id") > middle), again):
+        part.repartition(8).write.mode("append").parquet(f"{home}/landing")
+    arriving = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
+    steps = channels.watermark_stream(arriving)
+    steps.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("chat_id long, last_id long, n_failed int").parquet(f"{home}/out").groupBy("chat_id").agg(F.max("last_id").alias("last_id"))
+
+
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.events(spark, sf_dir).select(F.concat("event_type", F.lit("-"), F.col("user_id") % 20).alias("poll_source"), F.col("event_id").cast("string").alias("uid"), (-F.col("event_id")).alias("posted_rank"))
 
