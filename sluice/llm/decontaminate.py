@@ -5,9 +5,12 @@ frequency over the whole corpus each window of test words picks its three
 rarest terms; postings (term, document, position) are stored for those terms
 only. The rarest term's postings, shifted by its offset, give the places where
 a window may start; a place stays if the postings of the second and third
-rarest terms hold the positions that it asks for, or ones a few words off them.
-What is left is compared word by word: an exact phrase, or one that a few words
-put in, left out or put for others make of it.
+rarest terms hold the positions that it asks for. What is left is compared word
+by word.
+
+For proximity matches a window is cut in one stretch more than words that may
+differ, so that one of them is whole in any match. Postings of stretches give
+the places where a window is compared with the words around by edit distance.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm.common import cut, join_by, row_key, small_side
 
@@ -62,24 +66,20 @@ def anchored(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     )
 
 
-def _placed(postings: DataFrame, filed: DataFrame) -> DataFrame:
-    """Places where windows may start: postings of their rarest term."""
+def _met(postings: DataFrame, filed: DataFrame, by: str) -> DataFrame:
+    """`postings` with the rows of `filed` under the same `by`."""
     if filed.count() <= BROADCAST_ROWS:
-        found = postings.join(F.broadcast(filed), "term")
-    else:  # a term may be very frequent
-        part = F.pmod(F.xxhash64("key_id", "key_text", "pos"), F.lit(PARTS)).cast("int")
-        dealt = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        found = postings.withColumn("part", part).join(dealt, ["term", "part"]).drop("part")
-    return found.withColumn("start", F.col("pos") - F.col("at"))
+        return postings.join(F.broadcast(filed), by)
+    part = F.pmod(F.xxhash64("key_id", "key_text", "pos"), F.lit(PARTS)).cast("int")  # a term may be very frequent
+    dealt = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return postings.withColumn("part", part).join(dealt, [by, "part"]).drop("part")
 
 
-def _holding(places: DataFrame, postings: DataFrame, term: str, apart: str, slop: int) -> DataFrame:
-    """The `places` with the term in column `term` at most `slop` words off its distance `apart`; `exact` stays if it is there itself."""
+def _holding(places: DataFrame, postings: DataFrame, term: str, apart: str) -> DataFrame:
+    """The `places` with the term in column `term` at its distance `apart`."""
     other = postings.select(F.col("key_id").alias("k"), F.col("key_text").alias("t"), F.col("term").alias("other"), F.col("pos").alias("other_pos"))
-    asked = places.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))) if slop else places.withColumn("off", F.lit(0))
-    on = F.col("key_id").eqNullSafe(F.col("k")) & (F.col("key_text") == F.col("t")) & (F.col(term) == F.col("other")) & (F.col("pos") + F.col(apart) + F.col("off") == F.col("other_pos"))
-    kept = [c for c in places.columns if c != "exact"]
-    return asked.join(other, on).groupBy(*kept).agg(F.bool_or(F.col("exact") & (F.col("off") == 0)).alias("exact"))
+    on = F.col("key_id").eqNullSafe(F.col("k")) & (F.col("key_text") == F.col("t")) & (F.col(term) == F.col("other")) & (F.col("pos") + F.col(apart) == F.col("other_pos"))
+    return places.join(other, on, "left_semi")
 
 
 def _edits(size: Column, slop: int) -> Column:
@@ -87,24 +87,52 @@ def _edits(size: Column, slop: int) -> Column:
     return F.least(F.lit(slop), F.floor(size / SLOP_WORDS).cast("int"))
 
 
-def _near(window: Column, text: Column, start: Column, size: Column, slop: int, most: int) -> Column:
-    """Whether words near `start` can be made the `window` by a few edits.
+def stretches(windows: DataFrame, slop: int) -> DataFrame:
+    """Windows cut in one stretch more than edits they may have: number `phrase`, words in it `long`, the stretch's place `shift`.
 
-    Words become letters, their number in the window, so that the distance of
-    strings is that of the word lists; it is taken for all stretches that begin
-    within `slop` of `start`.
+    So many edits leave one stretch whole. Windows that may have none are left out.
     """
-    letters = F.lit("-" + string.ascii_letters[:most])
-    spelt = lambda words: F.array_join(F.transform(words, lambda x: F.substring(letters, F.array_position(window, x).cast("int") + 1, F.lit(1))), "")
-    low = F.greatest(start - slop, F.lit(0))
-    around = F.slice(text, low + 1, F.greatest(start + size + slop - low, F.lit(0)))
-    edits = _edits(size, slop)
+    edits = _edits(F.size("w"), slop)
+    of = windows.where(edits > 0).withColumn("long", F.floor(F.size("w") / (edits + 1)).cast("int"))
+    each = of.withColumn("shift", F.explode(F.transform(F.sequence(F.lit(0), edits), lambda k: k * F.col("long"))))
+    return each.select(F.xxhash64(F.slice("w", F.col("shift") + 1, F.col("long"))).alias("phrase"), "long", "shift", "window")
+
 
-    def close(both: Column) -> Column:
-        fits = lambda at, n: F.levenshtein(both["a"], F.substring(both["b"], at + 1, n)) <= edits
-        return F.exists(F.sequence(F.lit(0), F.lit(2 * slop)), lambda at: F.exists(F.sequence(size - edits, size + edits), lambda n: fits(at, n)))
+def _near(windows: DataFrame, texts: DataFrame, slop: int, most: int) -> DataFrame:
+    """Proximity matches (key_id, key_text, window, item_set, at, size): texts that hold a stretch of a window are compared with it there.
 
-    return F.get(F.transform(F.array(F.struct(spelt(window).alias("a"), spelt(around).alias("b"))), lambda x: close(x)), 0)
+    A place is a run of neighbouring first words from which few enough edits
+    make the window; `at` is the one that takes the fewest, the first of those.
+    """
+    key = ["key_id", "key_text"]
+    filed = cut(stretches(windows, slop), "stretches")
+    phrases = cut(filed.select("phrase", "long").distinct(), "stretch-phrases")
+    longs = sorted(r["long"] for r in phrases.select("long").distinct().collect())  # as many as there are sizes up to the window's
+    whole = texts.where("words <> ''")
+    of_length = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(w, i, n)).alias("phrase")))
+    grams = lambda w: F.flatten(F.array(*(of_length(w, n) for n in longs)))
+    said = whole.select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), grams), 0))) if longs else whole.select(*key, F.lit(0).alias("pos"), F.lit(0).cast("long").alias("phrase")).limit(0)
+    met = cut(said.join(small_side(phrases.select("phrase").distinct(), BROADCAST_ROWS), "phrase", "left_semi"), "stretch-postings")
+    held = cut(met.groupBy(*key).agg(F.collect_set(F.struct("pos", "phrase")).alias("met")), "stretch-texts")
+    back, ahead = most + slop, most + 2 * slop  # the furthest that a match may begin before a stretch, and end after it
+    around = lambda w: F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["phrase"].alias("phrase"), F.slice(w, F.greatest(m["pos"] - back, F.lit(0)) + 1, F.lit(back + ahead)).alias("around")))
+    placed = join_by(whole, small_side(held, BROADCAST_ROWS), key, "inner").select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), around), 0)))
+    letters = F.lit("-" + string.ascii_letters[:most])
+    spelt = lambda words: F.array_join(F.transform(words, lambda x: F.substring(letters, F.array_position("w", x).cast("int") + 1, F.lit(1))), "")
+    full = small_side(cut(filed.join(windows.select("window", "w", "item_set"), "window"), "stretch-windows"), BROADCAST_ROWS)
+    edits = _edits(F.size("w"), slop)
+    # words of the window that are gone altogether need an edit each
+    both = placed.join(full, "phrase").where(F.size(F.array_except("w", "around")) <= edits)
+    compared = both.select(
+        *key, "window", "item_set", F.size("w").alias("size"), edits.alias("edits"), (F.col("pos") - F.col("shift")).alias("start"),
+        F.greatest(F.col("pos") - back, F.lit(0)).alias("low"), spelt(F.col("w")).alias("a"), spelt(F.col("around")).alias("b"),
+    ).withColumn("at", F.explode(F.sequence(F.col("start") - F.col("edits"), F.col("start") + F.col("edits")))).where("at >= 0")
+    # words become letters, so that the distance of strings is that of the word lists
+    cost = F.array_min(F.transform(F.sequence(F.col("size") - F.col("edits"), F.col("size") + F.col("edits")), lambda n: F.levenshtein(F.col("a"), F.substring(F.col("b"), F.col("at") - F.col("low") + 1, n))))
+    found = compared.withColumn("cost", cost).where("cost <= edits").groupBy(*key, "window", "item_set", "size", "at").agg(F.min("cost").alias("cost"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy(*key, "window").orderBy("at"))
+    best = found.withColumn("run", run).groupBy(*key, "window", "item_set", "size", "run").agg(F.min(F.struct("cost", "at")).alias("best"))
+    return cut(best.select(*key, "window", "item_set", F.col("best.at").alias("at"), "size"), "near")
 
 
 def positional_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,14 +153,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     n_words; n_hit, the words inside any occurrence of a test window; items,
     the ids of items with occurring windows (none: empty); hits, those places as
     `at` (first word, from 0) and `size`. With `slop` also proximity matches of
-    windows whose phrase isn't in the row: places where the three rarest terms
-    are at most `slop` words off their distances, and a stretch of words that
-    begins there, give or take `slop`, is made the window by putting in, leaving
-    out or changing one word for each SLOP_WORDS of the window, at most `slop`.
+    windows whose phrase isn't in the row: stretches of words that are made the
+    window by putting in, leaving out or changing one word for each SLOP_WORDS
+    of the window, at most `slop`. None is missed.
     They come as n_near (number of windows), near_items (ids) and near (places
-    as `at`, where the window would begin by its rarest term, and `size`). A
-    window of which one of the three rarest terms is gone isn't among them. An
-    item with fewer words than `size` is one window; null and empty texts and
+    as `at`, the first word of the closest stretch there, and `size`). An item with fewer words than `size` is one window; null and empty texts and
     items have no words, items without id are left out. Equal rows get equal
     results; an empty table on either side gives no hits. Columns of `docs` with
     the names of the results are replaced.
@@ -141,17 +166,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     key = ["key_id", "key_text"]
     windows = cut(test_windows(items.where(F.col("item_id").isNotNull()), size), "test-windows")
     texts, filed, postings = positional_index(own, windows)
-    begun = _placed(postings, filed).withColumn("exact", F.lit(True)).select(*key, "pos", "window", "start", "t2", "d2", "t3", "d3", "exact")
-    both = _holding(begun, postings, "t2", "d2", slop)
-    all3 = cut(_holding(both, postings, "t3", "d3", slop).withColumn("exact", F.col("exact") & (F.col("start") >= 0)), "places")
-    phrase = F.struct("start", F.array_join("w", " ").alias("words"), F.size("w").alias("size"), "item_set", "window", "exact")
+    begun = _met(postings, filed, "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").select(*key, "pos", "window", "start", "t2", "d2", "t3", "d3")
+    all3 = cut(_holding(_holding(begun, postings, "t2", "d2"), postings, "t3", "d3").select(*key, "window", "start"), "places")
+    phrase = F.struct("start", F.array_join("w", " ").alias("words"), F.size("w").alias("size"), "item_set", "window")
     maybe = cut(all3.join(small_side(windows, BROADCAST_ROWS), "window").groupBy(*key).agg(F.collect_set(phrase).alias("maybe")), "candidates")
     met = join_by(join_by(texts, small_side(maybe.select(*key), BROADCAST_ROWS), key, "left_semi"), maybe, key, "inner").withColumn("w", F.split("words", " "))
     place = lambda h: F.struct(h["start"].alias("at"), h["size"].alias("size"), h["item_set"].alias("item_set"), h["window"].alias("window"))
-    hits = F.filter("maybe", lambda h: h["exact"] & (F.array_join(F.slice("w", h["start"] + 1, h["size"]), " ") == h["words"]))
-    close = lambda h: (_edits(h["size"], slop) > 0) & F.get(F.transform(F.array(F.split(h["words"], " ")), lambda x: _near(x, F.col("w"), h["start"], h["size"], slop, size)), 0)
-    nears = F.filter("maybe", close) if slop else F.filter("maybe", lambda h: F.lit(False))
-    checked = cut(met.select(*key, F.array_sort(F.transform(hits, place)).alias("hits"), F.transform(nears, place).alias("nears")), "hits").dropDuplicates(key)
+    hits = F.filter("maybe", lambda h: F.array_join(F.slice("w", h["start"] + 1, h["size"]), " ") == h["words"])
+    checked = cut(met.select(*key, F.array_sort(F.transform(hits, place)).alias("hits")), "hits").dropDuplicates(key)
     found = checked.where(F.size("hits") > 0)
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
@@ -171,7 +193,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     if not slop:
         return unpacked(out.select(*columns))
     exact = found.select(*key, F.explode("hits.window").alias("window")).distinct()
-    loose = join_by(checked.select(*key, F.explode("nears").alias("n")).select(*key, "n.*"), exact, [*key, "window"], "left_anti")
+    loose = join_by(_near(windows, texts, slop, size), exact, [*key, "window"], "left_anti")
     near = loose.join(sets, "item_set").groupBy(*key).agg(
         F.countDistinct("window").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size")))).alias("near"),
@@ -196,27 +218,25 @@ WITH doc AS (
   SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS k FROM hit) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
-), word AS MATERIALIZED (
-  SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS pos FROM doc
-), term AS (
-  SELECT t, x, min(k) AS k FROM (SELECT t, unnest(string_split(t, ' ')) AS x, unnest(range(0, len(string_split(t, ' ')))) AS k FROM (SELECT DISTINCT t FROM win)) GROUP BY t, x
-), rare AS (
-  SELECT t, list({{'x': x, 'k': k}} ORDER BY coalesce(df, 0), x) AS r FROM term LEFT JOIN (SELECT x, count(DISTINCT doc_id) AS df FROM word GROUP BY x) USING (x) GROUP BY t
-), anchor AS MATERIALIZED (
-  SELECT t, r[1].x AS x1, r[1].k AS k1, coalesce(r[2], r[1]).x AS x2, coalesce(r[2], r[1]).k - r[1].k AS d2, coalesce(r[3], r[2], r[1]).x AS x3, coalesce(r[3], r[2], r[1]).k - r[1].k AS d3 FROM rare
+), test AS MATERIALIZED (
+  SELECT t, string_split(t, ' ') AS v, len(string_split(t, ' ')) AS n, least({SLOP}, len(string_split(t, ' ')) // {SLOP_WORDS}) AS e FROM (SELECT DISTINCT t FROM win)
+), test_pair AS (
+  SELECT t, n, e, k, v[k + 1] || ' ' || v[k + 2] AS g FROM (SELECT *, unnest(range(0, n - 1)) AS k FROM test WHERE e > 0)
+), pair AS (
+  SELECT doc_id, p, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS p FROM doc)
 ), begun AS MATERIALIZED (
-  SELECT a.*, p.doc_id, p.pos, unnest(range(-{SLOP}, {SLOP + 1})) AS off FROM anchor a JOIN word p ON p.x = a.x1
-), second AS MATERIALIZED (
-  SELECT t, doc_id, pos, k1, x3, d3, unnest(range(-{SLOP}, {SLOP + 1})) AS off FROM (SELECT DISTINCT t, b.doc_id, b.pos, k1, x3, d3 FROM begun b JOIN word q ON q.doc_id = b.doc_id AND q.x = b.x2 AND q.pos = b.pos + b.d2 + b.off)
-), start AS MATERIALIZED (
-  SELECT DISTINCT t, b.doc_id, b.pos - k1 AS s FROM second b JOIN word z ON z.doc_id = b.doc_id AND z.x = b.x3 AND z.pos = b.pos + b.d3 + b.off
+  SELECT doc_id, t, s FROM (SELECT doc_id, t, n, e, k, unnest(range(p - k - e, p - k + e + 1)) AS s FROM pair JOIN test_pair USING (g))
+  WHERE s >= 0 GROUP BY doc_id, t, s HAVING count(DISTINCT k) >= any_value(n - 1 - 2 * e)
 ), spelt AS MATERIALIZED (
-  SELECT t, s, doc_id, n, least({SLOP}, n // {SLOP_WORDS}) AS e, array_to_string(list_transform(v, lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS a,
-    array_to_string(list_transform(w[greatest(s - {SLOP}, 0) + 1:s + n + {SLOP}], lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS b
-  FROM (SELECT t, s, doc_id, w, string_split(t, ' ') AS v, len(string_split(t, ' ')) AS n FROM start JOIN doc USING (doc_id))
+  SELECT t, s, doc_id, n, e, array_to_string(list_transform(v, lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS a,
+    array_to_string(list_transform(w[s + 1:s + n + e], lambda x: substr('-{string.ascii_letters[:WINDOW]}', coalesce(list_position(v, x), 0)::INTEGER + 1, 1)), '') AS b
+  FROM begun JOIN test USING (t) JOIN doc USING (doc_id)
+), fits AS MATERIALIZED (
+  SELECT t, s, doc_id, n, min(levenshtein(a, substr(b, 1, l))) AS cost FROM (SELECT *, unnest(range(n - e, n + e + 1)) AS l FROM spelt)
+  GROUP BY t, s, doc_id, n, e HAVING min(levenshtein(a, substr(b, 1, l))) <= e
 ), near AS MATERIALIZED (
-  SELECT t, s, doc_id, n FROM (SELECT *, unnest(range(0, {2 * SLOP + 1})) AS o FROM (SELECT *, unnest(range(n - e, n + e + 1)) AS l FROM spelt WHERE e > 0)) x
-  WHERE levenshtein(a, substr(b, o + 1, l)) <= e AND (doc_id, t) NOT IN (SELECT doc_id, t FROM hit)
+  SELECT t, doc_id, n, arg_min(s, (cost, s)) AS s FROM (SELECT *, s - row_number() OVER (PARTITION BY doc_id, t ORDER BY s) AS run FROM fits)
+  WHERE (doc_id, t) NOT IN (SELECT doc_id, t FROM hit) GROUP BY t, doc_id, n, run
 ), nearby AS (
   SELECT doc_id, count(DISTINCT t) AS n FROM near GROUP BY doc_id
 ), near_named AS (

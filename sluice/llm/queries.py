@@ -75,8 +75,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of op10_decontamination (which has a SQL twin), and the proximity matches."""
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of op10_decontamination (which has a SQL twin) as lists."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
     return found.select("doc_id", "n_words", "n_hit", (F.col("n_hit") > 0).alias("contaminated"), "n_near", "near_items", "near")
 
@@ -99,7 +99,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_url_filter, op10_decontamination, op10_proximity, op11_phrase_mining, op12_spelling_variants, op13_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_url_filter, op10_decontamination, proximity_matches, op11_phrase_mining, op12_spelling_variants, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -396,6 +397,21 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
+def closest(w: list, windows: dict) -> tuple:
+    """Proximity matches in `w` by the edit distance of all its stretches to all windows that it doesn't have."""
+    near = set()
+    for v in windows:
+        n, edits = len(v), min(2, len(v) // 5)
+        if any(tuple(w[i : i + n]) == v for i in range(len(w))) or not edits:
+            continue
+        cost = {s: min(edit_distance(list(v), w[s : s + m]) for m in range(n - edits, n + edits + 1)) for s in range(len(w))}
+        fits = [s for s in cost if cost[s] <= edits]
+        for first in [s for s in fits if s - 1 not in fits]:
+            run = list(itertools.takewhile(lambda s: s in fits, range(first, len(w))))
+            near.add((v, min(run, key=lambda s: (cost[s], s))))
+    return len({v for v, _ in near}), sorted({windows[v] for v, _ in near}), sorted({(s, len(v)) for v, s in near})
+
+
 @pytest.mark.parametrize("parts", [False, True])
 def test_proximity_equals_brute_force(spark, monkeypatch, parts):
     if parts:
@@ -411,29 +427,29 @@ def test_proximity_equals_brute_force(spark, monkeypatch, parts):
             w = [w[:at] + w[at + 1 :], w[:at] + [rng.choice(vocabulary)] + w[at:], w[:at] + [rng.choice(vocabulary)] + w[at + 1 :]][rng.randrange(3)]
         rows.append((k, [rng.choice(vocabulary) for _ in range(rng.choice([0, 5]))] + w + [rng.choice(vocabulary) for _ in range(rng.choice([0, 5]))]))
     windows = {tuple(w[i : i + 10]): k for k, w in enumerate(items) for i in range(max(len(w) - 9, 1))}
-    df = collections.Counter(x for _, w in rows for x in set(w))
-    expected = {}
-    for k, w in rows:
-        near = set()
-        for v in windows:
-            n, edits = len(v), min(2, len(v) // 5)
-            if any(tuple(w[i : i + n]) == v for i in range(len(w))) or not edits:
-                continue
-            rare = sorted({x: v.index(x) for x in reversed(v)}.items(), key=lambda x: (df[x[0]], x[0]))[:3]
-            for pos in [i for i, x in enumerate(w) if x == rare[0][0]]:
-                start = pos - rare[0][1]
-                if all(any(0 <= start + at + d < len(w) and w[start + at + d] == x for d in range(-2, 3)) for x, at in rare[1:]):
-                    low = max(start - 2, 0)
-                    around = w[low : start + n + 2]
-                    if any(edit_distance(list(v), around[o : o + m]) <= edits for o in range(5) for m in range(n - edits, n + edits + 1)):
-                        near.add((v, start))
-        expected[k] = (len({v for v, _ in near}), sorted({windows[v] for v, _ in near}), sorted({(s, len(v)) for v, s in near}))
+    expected = {k: closest(w, windows) for k, w in rows}
     docs = frame(spark, [(k, " ".join(w)) for k, w in rows]).withColumn("near", F.lit("clash"))
     found = decontaminate.decontaminate(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"), slop=2)
     assert {r.doc_id: (r.n_near, r.near_items, [(x["at"], x["size"]) for x in r.near]) for r in found.collect()} == expected
     assert sum(n > 0 for n, _, _ in expected.values()) > 20 and any(n == 0 for n, _, _ in expected.values())
 
 
+def test_proximity_misses_no_change_of_one_or_two_words(spark):
+    """Whichever words of a window are changed, left out or put in, it is found."""
+    words = [f"b{k}" for k in range(10)]
+    rows = []
+    for at in range(10):
+        for other in range(at, 10):
+            for how in range(3):
+                w = [y for i, x in enumerate(words) for y in ([["new"], [], ["new", x]][how] if i in (at, other) else [x])]
+                rows.append((len(rows), ["some", "words", *w, "and", "more"]))
+    expected = {k: closest(w, {tuple(words): 1}) for k, w in rows}
+    found = decontaminate.decontaminate(frame(spark, [(k, " ".join(w)) for k, w in rows]), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), slop=2)
+    got = {r.doc_id: (r.n_near, r.near_items, [(x["at"], x["size"]) for x in r.near], r.n_hit) for r in found.collect()}
+    assert all(got[k][:3] == expected[k] for k in expected)
+    assert all(n == 1 or hit == 10 for n, _, _, hit in got.values()) and sum(n for n, *_ in got.values()) > 150
+
+
 def test_registered_query_finds_proximity(spark, tmp_path):
     from sluice.llm.queries import queries
 
@@ -442,7 +458,7 @@ def test_registered_query_finds_proximity(spark, tmp_path):
     rare_three = "bears x x x x x x x dogs fox"
     frame(spark, [(1, item), (2, put_in), (3, left_out), (4, "nothing like it"), (5, f"see {put_in} and on"), (6, rare_three), (7, None), (8, "jumps"), (10, "jumps")]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = {r.doc_id: (r.n_hit, r.contaminated, r.n_near, r.near_items, [x["size"] for x in r.near]) for r in queries()["op10_proximity"](spark, str(tmp_path)).collect()}
+    out = {r.doc_id: (r.n_hit, r.contaminated, r.n_near, r.near_items, [x["size"] for x in r.near]) for r in queries()["proximity_matches"](spark, str(tmp_path)).collect()}
     assert out[1] == (10, True, 0, [], [])
     assert all(out[k][:4] == (0, False, 1, [9]) and set(out[k][4]) == {10} for k in (2, 3, 5)), out
     same = {r.doc_id: (r.n_hit, r.n_near, r.near_items) for r in queries()["op10_decontamination"](spark, str(tmp_path)).collect()}
