@@ -106,23 +106,26 @@ def _near(windows: DataFrame, texts: DataFrame, slop: int, most: int) -> DataFra
     """
     key = ["key_id", "key_text"]
     filed = cut(stretches(windows, slop), "stretches")
-    phrases = cut(filed.select("phrase", "long").distinct(), "stretch-phrases")
-    longs = sorted(r["long"] for r in phrases.select("long").distinct().collect())  # as many as there are sizes up to the window's
-    whole = texts.where("words <> ''")
+    longs = sorted(r["long"] for r in filed.select("long").distinct().collect())  # as many as there are sizes up to the window's
+    full = cut(filed.join(windows.select("window", "w", "item_set"), "window"), "stretch-windows")
     of_length = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(w, i, n)).alias("phrase")))
-    grams = lambda w: F.flatten(F.array(*(of_length(w, n) for n in longs)))
-    said = whole.select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), grams), 0))) if longs else whole.select(*key, F.lit(0).alias("pos"), F.lit(0).cast("long").alias("phrase")).limit(0)
-    met = cut(said.join(small_side(phrases.select("phrase").distinct(), BROADCAST_ROWS), "phrase", "left_semi"), "stretch-postings")
-    held = cut(met.groupBy(*key).agg(F.collect_set(F.struct("pos", "phrase")).alias("met")), "stretch-texts")
+    grams = F.flatten(F.array(*(of_length(F.col("doc"), n) for n in longs))) if longs else F.array().cast("array<struct<pos:int,phrase:bigint>>")
     back, ahead = most + slop, most + 2 * slop  # the furthest that a match may begin before a stretch, and end after it
-    around = lambda w: F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["phrase"].alias("phrase"), F.slice(w, F.greatest(m["pos"] - back, F.lit(0)) + 1, F.lit(back + ahead)).alias("around")))
-    placed = join_by(whole, small_side(held, BROADCAST_ROWS), key, "inner").select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), around), 0)))
+    around = lambda w, pos: F.slice(w, F.greatest(pos - back, F.lit(0)) + 1, F.lit(back + ahead)).alias("around")
+    whole = texts.where("words <> ''").select(*key, F.split("words", " ").alias("doc"))
+    # the stretches are a column of their own first, so that a row of the text isn't copied for each
+    said = whole.withColumn("said", grams).select(*key, "doc", F.inline("said"))
+    if full.count() <= BROADCAST_ROWS:
+        met = said.join(F.broadcast(full), "phrase").select("*", around(F.col("doc"), F.col("pos"))).drop("doc")
+    else:  # only places and numbers are shuffled, and the words around them taken from the texts that have any
+        held = cut(_met(said.drop("doc"), cut(full.select("phrase").distinct(), "stretch-numbers"), "phrase").groupBy(*key).agg(F.collect_set(F.struct("pos", "phrase")).alias("met")), "stretch-places")
+        places = join_by(whole, held, key, "inner").withColumn("placed", F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["phrase"].alias("phrase"), around(F.col("doc"), m["pos"]))))
+        met = _met(places.select(*key, F.inline("placed")), full, "phrase")
     letters = F.lit("-" + string.ascii_letters[:most])
     spelt = lambda words: F.array_join(F.transform(words, lambda x: F.substring(letters, F.array_position("w", x).cast("int") + 1, F.lit(1))), "")
-    full = small_side(cut(filed.join(windows.select("window", "w", "item_set"), "window"), "stretch-windows"), BROADCAST_ROWS)
     edits = _edits(F.size("w"), slop)
     # words of the window that are gone altogether need an edit each
-    both = placed.join(full, "phrase").where(F.size(F.array_except("w", "around")) <= edits)
+    both = met.where(F.size(F.array_except("w", "around")) <= edits)
     compared = both.select(
         *key, "window", "item_set", F.size("w").alias("size"), edits.alias("edits"), (F.col("pos") - F.col("shift")).alias("start"),
         F.greatest(F.col("pos") - back, F.lit(0)).alias("low"), spelt(F.col("w")).alias("a"), spelt(F.col("around")).alias("b"),
@@ -155,10 +158,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     `at` (first word, from 0) and `size`. With `slop` also proximity matches of
     windows whose phrase isn't in the row: stretches of words that are made the
     window by putting in, leaving out or changing one word for each SLOP_WORDS
-    of the window, at most `slop`. None is missed.
-    They come as n_near (number of windows), near_items (ids) and near (places
-    as `at`, the first word of the closest stretch there, and `size`). An item with fewer words than `size` is one window; null and empty texts and
-    items have no words, items without id are left out. Equal rows get equal
+    of the window, at most `slop`. None is missed. They come as n_near (number
+    of windows), near_items (ids) and near (places as `at`, the first word of
+    the closest stretch there, and `size`). An item with fewer words than `size`
+    is one window; null and empty texts and items have no words, items without
+    id are left out. Equal rows get equal
     results; an empty table on either side gives no hits. Columns of `docs` with
     the names of the results are replaced.
     """
