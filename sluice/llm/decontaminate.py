@@ -29,7 +29,6 @@ SLOP = 2
 SLOP_WORDS = 5
 #: Windows up to this many are broadcast to the postings; of more, those of each term are dealt to so many parts.
 BROADCAST_ROWS, PARTS = 200_000, 16
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -116,7 +115,7 @@ def _near(windows: DataFrame, texts: DataFrame, slop: int, most: int) -> DataFra
     held = cut(met.groupBy(*key).agg(F.collect_set(F.struct("pos", "phrase")).alias("met")), "stretch-texts")
     back, ahead = most + slop, most + 2 * slop  # the furthest that a match may begin before a stretch, and end after it
     around = lambda w: F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["phrase"].alias("phrase"), F.slice(w, F.greatest(m["pos"] - back, F.lit(0)) + 1, F.lit(back + ahead)).alias("around")))
-    placed = join_by(whole, small_side(held, BROADCAST_ROWS), key, "inner").select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), around), 0)))
+    placed = join_by(whole, F.broadcast(held) if met.count() <= BROADCAST_ROWS else held, key, "inner").select(*key, F.inline(F.get(F.transform(F.array(F.split("words", " ")), around), 0)))
     letters = F.lit("-" + string.ascii_letters[:most])
     spelt = lambda words: F.array_join(F.transform(words, lambda x: F.substring(letters, F.array_position("w", x).cast("int") + 1, F.lit(1))), "")
     full = small_side(cut(filed.join(windows.select("window", "w", "item_set"), "window"), "stretch-windows"), BROADCAST_ROWS)
@@ -155,10 +154,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     `at` (first word, from 0) and `size`. With `slop` also proximity matches of
     windows whose phrase isn't in the row: stretches of words that are made the
     window by putting in, leaving out or changing one word for each SLOP_WORDS
-    of the window, at most `slop`. None is missed.
-    They come as n_near (number of windows), near_items (ids) and near (places
-    as `at`, the first word of the closest stretch there, and `size`). An item with fewer words than `size` is one window; null and empty texts and
-    items have no words, items without id are left out. Equal rows get equal
+    of the window, at most `slop`. None is missed. They come as n_near (number
+    of windows), near_items (ids) and near (places as `at`, the first word of
+    the closest stretch there, and `size`). An item with fewer words than `size`
+    is one window; null and empty texts and items have no words, items without
+    id are left out. Equal rows get equal
     results; an empty table on either side gives no hits. Columns of `docs` with
     the names of the results are replaced.
     """
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     named = found.select(*key, F.explode(F.array_distinct(F.col("hits.item_set"))).alias("item_set")).join(sets, "item_set").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     spans = F.array_distinct(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"))))
     result = join_by(found.select(*key, spans.alias("hits"), covered.cast("long").alias("n_hit")), named, key)
-    packed = own.select(F.struct("*").alias("row"), *row_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long").alias("n_words"))
+    packed = own.select(F.struct("*").alias("row"), *row_key(), F.size(terms(F.col("text"))).cast("long").alias("n_words"))
     out = join_by(packed, result, key)
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     ids = items.schema["item_id"].dataType.simpleString()
