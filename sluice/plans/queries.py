@@ -13,10 +13,11 @@ from sluice.operators import audit, claims, decide, match, parse, review, route
 from sluice.plans import adapters as a
 from sluice.plans import sql
 from sluice.sources import feeds
+from sluice.sources.keyed import KeyedTable
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
 from sluice.sources.lexicon import lexicon_conflicts as lexicon_conflicts_of
 from sluice.sources.store import bounded, cut, shared_dir
-from sluice.streaming import channels, delivery, stream, sweep
+from sluice.streaming import catchup, channels, delivery, stream, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,6 +404,25 @@ def feed_catchup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_catchup(feeds.paged_feed(every), seen).select("poll_source", "uid", "page", F.col("arrival").cast("long").alias("arrival"))
 
 
+@query(sql.CAUGHT_UP)
+def catchup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of events as a stream of polls: a first one seeds, the second finds projects, every third of which is processed, the third reads the same pages again."""
+    home = f"{shared_dir(spark)}/catchup-{uuid4().hex}"
+    page = cut(feeds.paged_feed(_projects(spark, sf_dir), 7), "pages")
+    listed = lambda rows: rows.groupBy("poll_source", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("feed_rank", "uid"))), lambda x: x["uid"]).alias("uids"))
+    polled = lambda rows, seq: listed(rows).groupBy("poll_source").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "uids"))), lambda x: x["uids"]).alias("pages")).select("poll_source", F.lit(seq).cast("long").alias("seq"), "pages", F.lit(None).cast("string").alias("uid"), F.lit(None).cast("boolean").alias("ok"))
+    seeds = page.where("uid % 5 = 0 and poll_source not like 'view%'").withColumn("page", F.lit(1))
+    stop = page.where("uid % 5 = 0").groupBy("poll_source").agg(F.min("page").alias("stop"))
+    # what is found of sources that were seeded, up to the first page with a seed
+    ended = page.join(stop, "poll_source").where("uid % 5 <> 0 and page <= stop and poll_source not like 'view%'").select("poll_source", (F.lit(2) + F.col("feed_rank")).cast("long").alias("seq"), F.lit(None).cast("array<array<string>>").alias("pages"), "uid", (F.col("uid") % 3 == 0).alias("ok"))
+    seeded = page.join(seeds.select("poll_source").distinct(), "poll_source", "left_semi")
+    for part in (polled(seeds, 1), polled(seeded, 2), ended, polled(seeded, 1000)):
+        part.repartition(8).write.mode("append").parquet(f"{home}/landing")
+    arriving = spark.readStream.schema(catchup.EVENTS).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
+    catchup.catchup_stream(arriving, 7).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(catchup.FOUND).parquet(f"{home}/out")
+
+
 @query("""SELECT user_id AS chat_id, event_id AS msg_id, 'm' || event_id AS text FROM events WHERE user_id IN (1, 3, 5, 8)""")
 def read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of some channels, from a landing folder of JSON files that events are written to."""
@@ -657,6 +677,23 @@ def apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.apply_updates(held, news.unionByName(news.limit(0)), "c_custkey")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'again' WHEN o_orderkey % 3 = 0 THEN 'moved' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 0 ELSE o_totalprice END AS o_totalprice, (o_orderkey % 7 = 0)::BIGINT AS made
+FROM orders""")
+def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of orders that takes batches: updates of all, of which some aren't there yet, then those as inserts, one batch twice, folded in between."""
+    o = a.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    held = KeyedTable(f"{shared_dir(spark)}/orders-{uuid4().hex}", "o_orderkey", o.withColumn("made", F.lit(0).cast("long")).schema, once=("made",))
+    late = F.col("o_orderkey") % 7 == 0
+    held.create(o.where(~late).withColumn("made", F.lit(0)))
+    held.put(o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("moved").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice")), 1, inserts=False)
+    held.compact(spark, 1)
+    inserted = o.where(late).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "moved").otherwise(F.col("o_orderstatus"))).withColumn("made", F.lit(1))
+    held.put(inserted, 2)
+    held.put(o.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("again").alias("o_orderstatus"), F.lit(9).alias("made")), 3)
+    held.put(inserted, 2)
+    return held.read(spark)
+
+
 @query("""SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_acctbal < 0""")
 def absent_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table lacks customers in the red."""

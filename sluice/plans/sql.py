@@ -162,6 +162,15 @@ stop AS (SELECT poll_source, min(page) AS stop FROM page JOIN seen USING (poll_s
 SELECT poll_source, event_id::VARCHAR AS uid, page, row_number() OVER (PARTITION BY poll_source ORDER BY k DESC) AS arrival FROM page LEFT JOIN stop USING (poll_source)
 WHERE page <= least(coalesce(stop, 10), 10) AND (poll_source, event_id) NOT IN (SELECT poll_source, event_id FROM seen) AND poll_source IN (SELECT poll_source FROM seen)"""
 
+#: Two polls of the same pages: between them every third project found was processed.
+CAUGHT_UP = f"""WITH {FEED}, seeds AS (SELECT poll_source, event_id FROM page WHERE event_id % 5 = 0 AND poll_source NOT LIKE 'view%'),
+stop AS (SELECT poll_source, min(page) AS stop FROM page JOIN seeds USING (poll_source, event_id) GROUP BY 1),
+new AS (SELECT poll_source, event_id, page, k, 2 AS seq FROM page JOIN stop USING (poll_source) WHERE page <= stop AND (poll_source, event_id) NOT IN (SELECT * FROM seeds)),
+seen AS (SELECT * FROM seeds UNION ALL SELECT poll_source, event_id FROM new WHERE event_id % 3 = 0),
+again AS (SELECT poll_source, min(page) AS stop FROM page JOIN seen USING (poll_source, event_id) GROUP BY 1),
+every AS (SELECT * FROM new UNION ALL SELECT poll_source, event_id, page, k, 1000 FROM page JOIN again USING (poll_source) WHERE page <= stop AND (poll_source, event_id) NOT IN (SELECT * FROM seen))
+SELECT poll_source, seq::BIGINT AS seq, event_id::VARCHAR AS uid, row_number() OVER (PARTITION BY poll_source, seq ORDER BY k DESC) AS arrival FROM every"""
+
 QUEUE = """queue AS (SELECT o_orderkey AS seq, o_custkey AS user_id, CASE WHEN o_orderstatus = 'O' THEN 'Pending' WHEN o_orderkey % 3 = 0 THEN 'Sending' WHEN o_orderstatus = 'F' THEN 'Failed' ELSE 'Sent' END AS status,
   (o_orderkey % 6)::INTEGER AS attempts, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS next_at FROM orders)"""
 CLAIM_BATCH = f"""WITH {QUEUE} SELECT seq AS notification_id, user_id, 'Sending' AS status, attempts + 1 AS attempts FROM queue

@@ -60,14 +60,14 @@ def feed_catchup(pages: DataFrame, seen: DataFrame, max_pages: int = MAX_PAGES,
     """New projects since the last poll: pages are walked while all is unseen, up to the first with a seen id or the last allowed.
 
     A source never polled before is only seeded: nothing of it is new. Rows come
-    with `arrival`, oldest first.
+    with `arrival`, oldest first; an id on several pages counts at its oldest place.
     """
     known = seen.select(F.col(source), "uid").distinct().withColumn("seen", F.lit(True))
     joined = pages.join(known, [source, "uid"], "left")
     stop = joined.where("seen").groupBy(source).agg(F.min("page").alias("stop"))
     new = joined.where("seen is null").join(known.select(source).distinct(), source, "left_semi").join(stop, source, "left")
     walked = new.where(F.col("page") <= F.least(F.coalesce("stop", F.lit(max_pages)), F.lit(max_pages)))
-    once = walked.groupBy(source, "uid").agg(F.min("feed_rank").alias("feed_rank"), F.min("page").alias("page"))
+    once = walked.groupBy(source, "uid").agg(F.max("feed_rank").alias("feed_rank"), F.max("page").alias("page"))
     rank = F.row_number().over(Window.partitionBy(source).orderBy(F.col("feed_rank").desc(), "uid"))
     return once.withColumn("arrival", rank)
 

@@ -64,7 +64,7 @@ def _open_scopes() -> list[list[str]]:
     return _scopes.open
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> int:
+def delete_paths(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -78,11 +78,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _delete(spark, _open_scopes().pop())
+        delete_paths(spark, _open_scopes().pop())
 
 
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this thread has cut outside of `scratch` blocks, but for those to keep, once no frame that reads them is needed any more; their number."""
     outer = _open_scopes()[0]
     paths, outer[:] = [*outer], []
-    return _delete(spark, paths)
+    return delete_paths(spark, paths)
