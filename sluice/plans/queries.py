@@ -17,7 +17,7 @@ from sluice.sources.keyed import KeyedTable
 from sluice.sources.lexicon import MAX_ROWS, compile_lexicon
 from sluice.sources.lexicon import lexicon_conflicts as lexicon_conflicts_of
 from sluice.sources.store import bounded, cut, shared_dir
-from sluice.streaming import catchup, channels, delivery, stream, sweep
+from sluice.streaming import catchup, channels, delivery, rocksdb_state, stream, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.array_join(c, ", ").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes))
 
 
+def _run_stateful(changes: DataFrame, home: str) -> None:
+    """Runs the stream `changes`, of stateful processors, to its end, into the folder `out`."""
+    with rocksdb_state(changes.sparkSession):
+        changes.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.classify_all(a.jobs(spark, sf_dir), *a.profiles(spark), key="doc_id")
 
@@ -366,7 +372,7 @@ def watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.repartition(8).write.mode("append").parquet(f"{home}/landing")
     arriving = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
     steps = channels.watermark_stream(arriving)
-    steps.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    _run_stateful(steps, home)
     return spark.read.schema("chat_id long, last_id long, n_failed int").parquet(f"{home}/out").groupBy("chat_id").agg(F.max("last_id").alias("last_id"))
 
 
@@ -419,7 +425,7 @@ def catchup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (polled(seeds, 1), polled(seeded, 2), ended, polled(seeded, 1000)):
         part.repartition(8).write.mode("append").parquet(f"{home}/landing")
     arriving = spark.readStream.schema(catchup.EVENTS).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
-    catchup.catchup_stream(arriving, 7).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    _run_stateful(catchup.catchup_stream(arriving, 7), home)
     return spark.read.schema(catchup.FOUND).parquet(f"{home}/out")
 
 
@@ -508,7 +514,7 @@ def retry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.drop("doc_id").repartition(8).write.parquet(f"{home}/landing")
     arriving = spark.readStream.schema(events.drop("doc_id").schema).parquet(f"{home}/landing")
     changes = sweep.sweep_stream(arriving)
-    changes.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    _run_stateful(changes, home)
     return sweep.notifications_after(spark.read.schema(sweep.CHANGES).parquet(f"{home}/out")).select(F.col("job_uuid").cast("long").alias("doc_id"), "status", "sends")
 
 
@@ -531,7 +537,7 @@ def delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.where(part).repartition(8).write.mode("append").parquet(f"{home}/landing")
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{home}/landing")
     changes = delivery.delivery_stream(arriving)
-    changes.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    _run_stateful(changes, home)
     return delivery.queue_after(spark.read.schema(delivery.CHANGES).parquet(f"{home}/out"))
 
 

@@ -66,7 +66,7 @@ class Source(StatefulProcessor):
 
 
 def catchup_stream(events: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
-    """New projects by poll in a stream of `events` (EVENTS): poll_source, seq, uid, arrival (oldest first, from 1); needs the RocksDB state store.
+    """New projects by poll in a stream of `events` (EVENTS): poll_source, seq, uid, arrival (oldest first, from 1); needs the RocksDB state store (`rocksdb_state`).
 
     A source's first poll with a project only seeds it: the ids of its first page
     are seen, and nothing is new. Later polls are walked while all is unseen, up

@@ -16,6 +16,7 @@ from sluice.operators.claims import TTL_SECONDS, claim_projects, mark_duplicates
 from sluice.operators.decide import classify_all, final_decision, select_category
 from sluice.operators.parse import parse_posts
 from sluice.sources.store import cut, scratch
+from sluice.streaming import rocksdb_state
 
 
 #: How far posts of a stream may be out of order before the time of their arrival counts as theirs.
@@ -80,7 +81,9 @@ def run_stream(
     if "ts" in posts.columns:
         jobs = claim_stream(jobs, ttl_seconds, claim_delay if delay is None else None)
     writer = jobs.writeStream.foreachBatch(triage_batch(profiles, lexicon, path))
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with rocksdb_state(posts.sparkSession):
+        return writer.start()
 
 
 def dedup_stream(jobs: DataFrame, delay: str = "1 day", time: str = "ts") -> DataFrame:
@@ -130,7 +133,7 @@ class Claims(StatefulProcessor):
 
 
 def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str | None = CLAIM_DELAY) -> DataFrame:
-    """`claims` (project_id, job_uuid, ts, maybe others) of a stream with `claimed`; needs the RocksDB state store.
+    """`claims` (project_id, job_uuid, ts, maybe others) of a stream with `claimed`; needs the RocksDB state store (`rocksdb_state`).
 
     The first to arrive owns a project, whatever its ts. A claim's time is its
     ts, but never before the watermark, which follows the latest ts by `delay`;

@@ -91,7 +91,7 @@ class Sweep(StatefulProcessor):
 
 
 def sweep_stream(events: DataFrame, every_seconds: int = SWEEP_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """Every change of state, and every send to make, of the posts of a stream of `events` (EVENTS), numbered by post; needs the RocksDB state store.
+    """Every change of state, and every send to make, of the posts of a stream of `events` (EVENTS), numbered by post; needs the RocksDB state store (`rocksdb_state`).
 
     An accepted post is Pending and sent at once. A send that succeeds completes
     it; one that fails suppresses it if the guard's latest word since it was
