@@ -21,7 +21,7 @@ class Channel(StatefulProcessor):
         self.state = handle.getValueState("channel", "last_id long, failed array<long>, done array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, failed, done = self.state.get() if self.state.exists() else (0, [], [])
+        last, failed, done = self.state.get() if self.state.exists() else (None, [], [])
         failed, done, before = [*failed], [*done], last
         batch = pd.concat(list(rows)).sort_values(["msg_id", "ok"])
         for i, ok in zip(batch["msg_id"].tolist(), batch["ok"].tolist(), strict=True):
@@ -33,8 +33,8 @@ class Channel(StatefulProcessor):
             if ok and at:
                 done[at - 1] = max(done[at - 1], i)
             elif ok:
-                last = max(last, i)
-            elif not known and i > last:
+                last = i if last is None else max(last, i)
+            elif not known and (last is None or i > last):
                 failed.insert(at, i)
                 # what was done behind the failure before may lie behind this one
                 behind = done[at - 1] if at and done[at - 1] > i else 0
@@ -50,10 +50,10 @@ class Channel(StatefulProcessor):
 
 
 def watermark_stream(results: DataFrame) -> DataFrame:
-    """The steps of each channel's watermark in a stream of `results` (chat_id, msg_id, ok): chat_id, last_id, n_failed; needs the RocksDB state store.
+    """The steps of each channel's watermark in a stream of `results` (chat_id, msg_id, ok): chat_id, last_id, n_failed; needs the RocksDB state store (`rocksdb_state`).
 
-    `last_id` is the highest id done below the lowest open failure, 0 at first,
-    and never falls: a failure at or below it is late and holds nothing. A
+    `last_id` is the highest id done below the lowest open failure, none at first
+    (an id of 0 is a step too), and never falls: a failure at or below it is late and holds nothing. A
     message may come again; once it succeeds its failure is closed. Where
     messages first come in the order of ids, as feeds send them, the last step
     equals `advance_watermark` on all results with each message's success, if it
