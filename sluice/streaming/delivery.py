@@ -23,25 +23,40 @@ class Delivery(StatefulProcessor):
     Events are taken by time; before each, the sends that fall due up to its time
     are made, so the result doesn't depend on how the stream is cut into batches.
     A user's clock never runs back: an event from before counts as happening now.
-    Timers make the sends that no event precedes.
+    Timers make the sends that no event precedes. A user's rows are one value,
+    read and written once a batch, with one timer: for the row that is due next.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.user = handle.getValueState("user", "active boolean, clock_ms long, change long")
-        self.rows = handle.getMapState("rows", "notification_id long", "status string, attempts int, last_error string, next_ms long")
-        self.due = handle.getMapState("due", "ms long", "ids array<long>")
-        self.waiting = handle.getMapState("waiting", "notification_id long", "since_ms long")
+        self.user = handle.getValueState(
+            "user", "active boolean, clock_ms long, change long, timer_ms long, ids array<long>, status array<string>, attempts array<int>, last_error array<string>, next_ms array<long>, due_ms array<long>, waits array<boolean>"
+        )
 
     def load(self, key) -> None:
         self.id = int(key[0])
-        self.active, self.clock, self.change = self.user.get() if self.user.exists() else (True, 0, 0)
-        self.times = [k[0] for k in self.due.keys()]  # noqa: SIM118
+        self.active, self.clock, self.change, self.timer, ids, *columns = self.user.get() if self.user.exists() else (True, 0, 0, None, [], *([] for _ in range(6)))
+        self.rows, self.due, self.waiting = {}, {}, set()
+        for i, status, attempts, error, next_ms, due, waits in zip(ids, *columns, strict=True):
+            self.rows[i] = (status, attempts, error, next_ms)
+            if due is not None:
+                self.due.setdefault(due, []).append(i)
+            if waits:
+                self.waiting.add(i)
+        self.times = [*self.due]
         heapq.heapify(self.times)
         self.out: list[tuple] = []
 
     def save(self) -> Iterator[pd.DataFrame]:
-        self.user.update((self.active, self.clock, self.change))
+        first = self.times[0] if self.times else None
+        if self.timer != first:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        due = {i: at for at, ids in self.due.items() for i in ids}
+        rows = [(i, *row, due.get(i), i in self.waiting) for i, row in self.rows.items()]
+        self.user.update((self.active, self.clock, self.change, first, *([r[k] for r in rows] for k in range(7))))
         if self.out:
             columns = [c.split(" ")[0] for c in CHANGES.split(", ")]
             yield pd.DataFrame(self.out, columns=columns).astype({"next_ms": "Int64", "attempts": "int32"})
@@ -51,31 +66,28 @@ class Delivery(StatefulProcessor):
         self.change += 1
         self.out.append((self.id, i, self.change, status, attempts, error, next_ms, now, self.active))
         if waits:
-            self.rows.updateValue((i,), (status, attempts, error, next_ms))
+            self.rows[i] = (status, attempts, error, next_ms)
         else:
-            self.rows.removeKey((i,))
+            self.rows.pop(i, None)
 
     def send(self, i: int, now: int) -> None:
-        _, attempts, error, next_ms = self.rows.getValue((i,))
+        _, attempts, error, next_ms = self.rows[i]
         self.put(i, "Sending", attempts + 1, error, next_ms, now)
 
     def plan(self, i: int, at: int) -> None:
-        known = [*self.due.getValue((at,))[0]] if self.due.containsKey((at,)) else []
-        if not known:
+        if at not in self.due:
             heapq.heappush(self.times, at)
-            self.handle.registerTimer(at)
-        self.due.updateValue((at,), ([*known, i],))
+        self.due.setdefault(at, []).append(i)
 
     def run_due(self, until: int) -> None:
         while self.times and self.times[0] <= until:
             at = heapq.heappop(self.times)
-            for i in sorted(self.due.getValue((at,))[0]):
+            for i in sorted(self.due.pop(at)):
                 if self.active:
                     self.send(i, at)
                 else:
-                    self.waiting.updateValue((i,), (at,))
-            self.due.removeKey((at,))
-        self.clock = max(self.clock, until)
+                    self.waiting.add(i)
+            self.clock = max(self.clock, at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.load(key)
@@ -83,24 +95,25 @@ class Delivery(StatefulProcessor):
         for e in batch.itertuples(index=False):
             now = max(int(e.ts_ms), self.clock)
             self.run_due(now)
+            self.clock = now
             i = None if pd.isna(e.notification_id) else int(e.notification_id)
-            if e.kind == "queued" and not self.rows.containsKey((i,)):
+            if e.kind == "queued" and i not in self.rows:
                 self.put(i, "Pending", 0, "", None, now)
                 if self.active:
                     self.send(i, now)
                 else:
-                    self.waiting.updateValue((i,), (now,))
-            elif e.kind == "outcome" and self.rows.containsKey((i,)):
+                    self.waiting.add(i)
+            elif e.kind == "outcome" and i in self.rows:
                 self.ended(i, e, now)
             elif e.kind == "active":
                 self.active = bool(e.active)
-                for w in sorted(k[0] for k in self.waiting.keys()) if self.active else []:  # noqa: SIM118
-                    self.waiting.removeKey((w,))
+                for w in sorted(self.waiting) if self.active else []:
+                    self.waiting.discard(w)
                     self.send(w, now)
         yield from self.save()
 
     def ended(self, i: int, e, now: int) -> None:
-        status, attempts, _, next_ms = self.rows.getValue((i,))
+        status, attempts, _, next_ms = self.rows[i]
         if status != "Sending":
             return
         again = attempts < MAX_ATTEMPTS
@@ -110,7 +123,7 @@ class Delivery(StatefulProcessor):
             self.active = False
             self.put(i, "Failed", attempts, e.error, next_ms, now, waits=again)
             if again:
-                self.waiting.updateValue((i,), (now,))
+                self.waiting.add(i)
         else:
             limited = e.outcome == "rate_limited"
             at = now + 1000 * (int(e.retry_after_s) if limited else min(MAX_SECONDS, BASE_SECONDS * 2**attempts))
@@ -120,7 +133,8 @@ class Delivery(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.load(key)
-        self.run_due(expiredTimerInfo.getExpiryTimeInMs())
+        self.timer = None  # this one has gone off
+        self.run_due(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
         yield from self.save()
 
     def close(self) -> None:
@@ -128,7 +142,7 @@ class Delivery(StatefulProcessor):
 
 
 def delivery_stream(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Every change of the queue rows of a stream of `events` (EVENTS), numbered by user; needs the RocksDB state store.
+    """Every change of the queue rows of a stream of `events` (EVENTS), numbered by user; needs the RocksDB state store (`rocksdb_state`).
 
     A queued row is sent at once if its user is active, else when the user comes
     back. Sends end as in `apply_outcomes`: failed ones fall due after the retry
