@@ -11,8 +11,10 @@ from sluice.sources.lexicon import MAX_PROFILES
 from sluice.sources.store import bounded
 
 MAX_ATTEMPTS, BATCH, BASE_SECONDS, MAX_SECONDS = 5, 20, 5, 300
-#: Subscribers of up to this many rows are broadcast to the posts; more are dealt to so many parts of each category.
-BROADCAST_ROWS, PARTS = 200_000, 32
+#: Subscribers of up to this many rows are broadcast to the posts.
+BROADCAST_ROWS = 200_000
+#: A category with more posts or subscribers than these is dealt to a grid of parts that have no more of either.
+PART_POSTS, PART_TAKERS = 20_000, 2_000
 
 
 def category_subscribers(users: DataFrame, subscriptions: DataFrame, category_id: str | None = None) -> DataFrame:
@@ -26,24 +28,46 @@ def fanout(jobs: DataFrame, users: DataFrame, subscriptions: DataFrame, queue: D
 
     With a `guard` log only posts that its gate allows are sent on: denied ones,
     and those still to be evaluated, are not. Few categories hold all posts, so
-    posts aren't shuffled by category: subscribers are broadcast if they were
-    counted to be few, else each category is dealt to PARTS parts by user.
+    posts aren't shuffled by category alone: subscribers are broadcast if they were
+    counted to be few, else large categories are dealt to parts (`_dealt`). Only
+    posts of several categories can reach a user twice, so only their rows are
+    made distinct.
     """
     ready = jobs.where(first_nonempty("category_id") != "")
     if guard is not None:
         gated = ready if "reviewed" in ready.columns else ready.withColumn("reviewed", F.lit(False))
         ready = guard_gate(gated, guard).where("gate = 'allow'")
-    ready = ready.select("job_uuid", "category_id").distinct()
-    takers = category_subscribers(users, subscriptions).select("user_id", "external_id", "category_id")
-    if takers.count() <= broadcast_rows:
-        rows = ready.join(F.broadcast(takers), "category_id")
-    else:
-        dealt = ready.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        rows = dealt.join(takers.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int")), ["category_id", "part"]).drop("part")
-    rows = rows.dropDuplicates(["job_uuid", "user_id"])
+    filed = ready.groupBy("job_uuid").agg(F.collect_set("category_id").alias("categories"))
+    takers = category_subscribers(users, subscriptions).select("user_id", "external_id", "category_id").dropDuplicates(["category_id", "user_id"])
+    few = takers.count() <= broadcast_rows
+
+    def met(some: DataFrame) -> DataFrame:
+        posts = some.select("job_uuid", F.explode("categories").alias("category_id"))
+        return posts.join(F.broadcast(takers), "category_id") if few else _dealt(posts, takers)
+
+    many = met(filed.where(F.size("categories") > 1)).dropDuplicates(["job_uuid", "user_id"])
+    rows = met(filed.where(F.size("categories") == 1)).unionByName(many)
     return rows if queue is None else rows.join(queue.select("job_uuid", "user_id").distinct(), ["job_uuid", "user_id"], "left_anti")
 
 
+def _dealt(posts: DataFrame, takers: DataFrame, part_posts: int = PART_POSTS, part_takers: int = PART_TAKERS) -> DataFrame:
+    """`posts` with the `takers` of their category; those of large categories meet in a grid of parts.
+
+    A post is sent once for each part of its category's takers and a taker once
+    for each part of its posts, so what is shuffled grows with posts, takers and
+    a small share of the result. Large categories are at most one for each
+    `part_posts` posts and `part_takers` takers, so they are broadcast.
+    """
+    counted = lambda df, n: df.groupBy("category_id").agg(F.count("*").alias(n))
+    sizes = counted(posts, "n_posts").join(counted(takers, "n_takers"), "category_id").where((F.col("n_posts") > part_posts) | (F.col("n_takers") > part_takers))
+    grid = F.broadcast(sizes.select("category_id", F.ceil(F.col("n_posts") / part_posts).cast("int").alias("across"), F.ceil(F.col("n_takers") / part_takers).cast("int").alias("down")))
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    left = posts.join(grid, "category_id", "left").select(*posts.columns, F.pmod(F.xxhash64("job_uuid"), one("across")).cast("int").alias("post_part"), every("down").alias("taker_part"))
+    right = takers.join(grid, "category_id", "left").select(*takers.columns, every("across").alias("post_part"), F.pmod(F.xxhash64("user_id"), one("down")).cast("int").alias("taker_part"))
+    return left.join(right, ["category_id", "post_part", "taker_part"]).drop("post_part", "taker_part")
+
+
 def fanout_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("job_uuid").agg(F.count("*").alias("n_queued"))
 
