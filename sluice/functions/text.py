@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode blanks, and the separators that count as blank besides: one by one, and as a class, also without the line feed.
+#: Unicode blanks, and the separators that count as blank besides: one by one, and as a class.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"[\p{Z}\s\x{1c}-\x{1f}\x{85}]"
-IN_LINE = r"[\p{Z}\t\x0B\f\r\x{1c}-\x{1f}\x{85}]"
 #: What a line doesn't hold when a text is split into lines for its title.
 LINE_END = r"\n\r\x0B\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
 #: Arabic letter forms that are folded, one to one.
 FOLD_FROM, FOLD_TO = "أإآٱىؤئة", "اااايويه"
 #: Fixed value: Arabic diacritics and tatweel.
 MARKS = r"[\x{64B}-\x{65F}\x{670}\x{640}]"
+#: A range around all these, which is quickly looked for.
+FOLDED = r"[\x{622}-\x{671}]"
 #: Fixed value: characters that are trimmed from the end of a link.
 TRAILING = ".,;:!?)]}\"'"
 #: Fixed value: what stands in the place of the text that a request leaves out.
@@ -39,19 +40,22 @@ def strip_end(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, Arabic forms folded, marks dropped; letters, digits and single spaces are left. Null is empty."""
-    folded = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO), MARKS, "")
+    low = F.lower(F.coalesce(c, F.lit("")))
+    arabic = F.regexp_replace(F.translate(low, FOLD_FROM, FOLD_TO), MARKS, "")
+    folded = F.when(F.octet_length(low) == F.length(low), low).when(low.rlike(FOLDED), arabic).otherwise(low)
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
 def first_line_title(c: Column) -> Column:
     """First line that isn't blank, stripped; empty if there is none."""
-    return strip_end(F.regexp_extract(F.coalesce(c, F.lit("")), rf"\A{BLANK}*+([^{LINE_END}]*+)", 1))
+    line = F.substring_index(F.ltrim(F.coalesce(c, F.lit("")), F.lit(BLANKS)), "\n", 1)
+    return strip_end(F.regexp_replace(line, rf"(?s)[{LINE_END}].*+", ""))
 
 
 def unix_lines(c: Column) -> Column:
     """The text with line feeds for all line ends."""
-    text = F.coalesce(c, F.lit(""))
-    return F.when(F.instr(text, "\r") > 0, F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    feed = F.lit("\n")
+    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), feed), F.lit("\r"), feed)
 
 
 def after_title(c: Column) -> Column:
@@ -61,8 +65,8 @@ def after_title(c: Column) -> Column:
 
 def normalize_paragraphs(c: Column) -> Column:
     """Stripped lines; runs of blank lines become one, single line ends a space, runs of spaces one."""
-    text = F.regexp_replace(unix_lines(c), rf"(?<!{IN_LINE}){IN_LINE}*+\n{IN_LINE}*+", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?<!\n)\n(?!\n)", " ")
+    text = F.array_join(F.transform(F.split(unix_lines(c), "\n"), strip), "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"\n(?<!\n\n)(?!\n)", " ")
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 

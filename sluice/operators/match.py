@@ -16,9 +16,9 @@ TIER = ("profile_id", "polarity", "tier")
 
 def posts_text(jobs: DataFrame, key: str = "job_uuid") -> DataFrame:
     """Normalised words of title and description (`norm`), and how many are the title's."""
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
-    name = normalize_text(title)
-    return jobs.select(key, normalize_text(F.concat(title, F.lit("\n"), body)).alias("norm"), F.when(name == "", 0).otherwise(F.size(F.split(name, " "))).alias("n_title"))
+    # they are normalised apart, each once: the line feed between them parts words
+    both = jobs.select(key, normalize_text(F.col("title")).alias("name"), normalize_text(F.col("description")).alias("body"))
+    return both.select(key, F.trim(F.concat_ws(" ", "name", "body")).alias("norm"), F.size(F.array_remove(F.split("name", " "), "")).alias("n_title"))
 
 
 def lexicon_occurrences(texts: DataFrame, lexicon: DataFrame, key: str = "job_uuid") -> DataFrame:
