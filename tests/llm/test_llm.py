@@ -434,6 +434,22 @@ def test_proximity_equals_brute_force(spark, monkeypatch, parts):
     assert sum(n > 0 for n, _, _ in expected.values()) > 20 and any(n == 0 for n, _, _ in expected.values())
 
 
+def test_words_are_counted_and_stretches_hashed_without_copies(spark, monkeypatch):
+    """Words aren't extracted to count them, and stretches aren't gathered in lists of the length of a text."""
+    plans, cut = {}, decontaminate.cut
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(decontaminate, "cut", noted)
+    text = "a B-c \u00c9D 1e\n" * 4
+    found = decontaminate.decontaminate(frame(spark, [(1, text), (2, "--"), (3, None)]), spark.createDataFrame([(1, text), (2, "b c \u00c9d 1e a")], "item_id long, text string"), slop=2)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plans["stretch-postings"]
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near) for r in found.collect()} == {1: (20, 20, [1, 2], 0), 2: (0, 0, [], 0), 3: (0, 0, [], 0)}
+
+
 def test_proximity_misses_no_change_of_one_or_two_words(spark):
     """Whichever words of a window are changed, left out or put in, it is found."""
     words = [f"b{k}" for k in range(10)]
