@@ -25,7 +25,11 @@ class Labels:
 ARABIC = Labels(sources=("labelled",), title="عنوان المشروع", description="تفاصيل المشروع", budget="الميزانية")
 
 
-def parse_labelled(text: Column, labels: Labels = ARABIC) -> dict[str, Column]:
+def _laid(description: Column, paragraphs: bool) -> Column:
+    return normalize_paragraphs(description) if paragraphs else description
+
+
+def parse_labelled(text: Column, labels: Labels = ARABIC, paragraphs: bool = True) -> dict[str, Column]:
     """Title, description and budget after their labels; a missing title is the first line, a missing description the whole text."""
     text = F.coalesce(text, F.lit(""))
     title = rf"(?Uid){labels.title}\s*:\s*(.+)"
@@ -34,7 +38,7 @@ def parse_labelled(text: Column, labels: Labels = ARABIC) -> dict[str, Column]:
     found = lambda p: strip(F.regexp_extract(text, p, 1))
     return {
         "title": F.when(text.rlike(title), found(title)).otherwise(first_line_title(text)),
-        "description": normalize_paragraphs(F.when(text.rlike(description), F.regexp_extract(text, description, 1)).otherwise(text)),
+        "description": _laid(F.when(text.rlike(description), F.regexp_extract(text, description, 1)).otherwise(text), paragraphs),
         "budget": F.when(text.rlike(budget), found(budget)).otherwise(""),
     }
 
@@ -44,18 +48,20 @@ def button_url(buttons: Column) -> Column:
     return F.get(F.filter(F.transform(F.flatten(F.filter(buttons, lambda r: r.isNotNull())), lambda b: b["url"]), lambda u: u.isNotNull() & (u != "")), 0)
 
 
-def parse_posts(posts: DataFrame, labels: Labels = ARABIC) -> DataFrame:
+def parse_posts(posts: DataFrame, labels: Labels = ARABIC, paragraphs: bool = True) -> DataFrame:
     """`posts` (source, text, maybe buttons) with title, description, budget, url and raw_text.
 
     Sources whose name contains a marker of `labels` have the labelled layout;
-    others take the first line as title and the rest as description.
+    others take the first line as title and the rest as description. Without
+    `paragraphs` the blanks of descriptions stay as they are: their words are the
+    same, so this is enough, and cheaper, where only words are looked at.
     """
     source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
     named = F.lit(False)
     for marker in labels.sources:
         named = named | F.lower(source).contains(marker) | source.contains(marker)
-    labelled = parse_labelled(text, labels)
-    generic = {"title": first_line_title(text), "description": normalize_paragraphs(after_title(text)), "budget": F.lit("")}
+    labelled = parse_labelled(text, labels, paragraphs)
+    generic = {"title": first_line_title(text), "description": _laid(after_title(text), paragraphs), "budget": F.lit("")}
     parsed = {k: F.when(named, labelled[k]).otherwise(generic[k]) for k in generic}
     link = first_nonempty(extract_url(text), button_url(F.col("buttons"))) if "buttons" in posts.columns else extract_url(text)
     return posts.withColumns({**parsed, "url": link, "raw_text": text})

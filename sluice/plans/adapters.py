@@ -33,9 +33,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("identity"), F.col("turn").cast("string").alias("job_id"), F.col("role").alias("source"), "text")
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title and description of documents."""
-    return parse_posts(posts(spark, sf_dir)).select("doc_id", "title", "description")
+def jobs(spark: SparkSession, sf_dir: str, paragraphs: bool = True) -> DataFrame:
+    """doc_id, title and description of documents; without `paragraphs` for their words only."""
+    return parse_posts(posts(spark, sf_dir), paragraphs=paragraphs).select("doc_id", "title", "description")
 
 
 @functools.cache

@@ -46,7 +46,7 @@ def _run_stateful(changes: DataFrame, home: str) -> None:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.classify_all(a.jobs(spark, sf_dir), *a.profiles(spark), key="doc_id")
+    return decide.classify_all(a.jobs(spark, sf_dir, paragraphs=False), *a.profiles(spark), key="doc_id")
 
 
 # --- text and identity
@@ -124,7 +124,7 @@ def legacy_job_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.TIER_HITS)
 def tier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lexicon = a.profiles(spark)
-    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
+    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir, paragraphs=False), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
     named = match.tier_hits(found, "doc_id").join(bounded(lexicon, MAX_ROWS, "keywords"), [*match.TIER, "ord"])
     return named.select("doc_id", *match.TIER, "norm", "weight")
 
@@ -138,7 +138,7 @@ def long_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(start, " ").alias("keyword"), F.lit(1).alias("weight"), F.col("item_id").cast("int").alias("src_ord"),
     )
     lexicon = cut(compile_lexicon(rows), "long-keywords")
-    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id").join(bounded(lexicon.select("ord", "norm"), MAX_ROWS, "keywords"), "ord")
+    found = match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir, paragraphs=False), "doc_id"), lexicon, key="doc_id").join(bounded(lexicon.select("ord", "norm"), MAX_ROWS, "keywords"), "ord")
     return found.groupBy("doc_id", "norm", F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.bool_or("in_title").alias("in_title"))
 
 
@@ -168,7 +168,7 @@ def final_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def no_enabled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts when no profile is enabled."""
     profiles, lexicon = a.profiles(spark)
-    jobs = a.jobs(spark, sf_dir)
+    jobs = a.jobs(spark, sf_dir, paragraphs=False)
     found = decide.classify_all(jobs, profiles.withColumn("enabled", F.lit(False)), lexicon, key="doc_id")
     return decide.final_decision(found, decide.select_category(found, "doc_id"), "doc_id", jobs).select("doc_id", "final_decision", "decision_reason", "needs_arbitration")
 
@@ -192,7 +192,7 @@ def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.HARD)
 def hard_reject_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lexicon = a.profiles(spark)
-    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
+    found = match.keyword_counts(match.lexicon_occurrences(match.posts_text(a.jobs(spark, sf_dir, paragraphs=False), "doc_id"), lexicon, key="doc_id"), lexicon, "doc_id")
     return _flat(match.hard_reject_hits(found, "doc_id"))
 
 

@@ -87,3 +87,16 @@ def test_tables_for_every_task_are_counted(spark):
     assert store.bounded(spark.range(3), 3, "rows").count() == 3
     with pytest.raises(ValueError, match="more than 2 rows"):
         store.bounded(spark.range(3), 2, "rows")
+
+
+def test_words_of_posts_need_no_paragraphs(spark):
+    """Titles and descriptions that keep their blanks have the words of those that are laid out in paragraphs."""
+    from sluice.operators.parse import ARABIC, parse_posts
+
+    texts = [
+        "  \n Title one \r\n a\x85b\xa0c \r d\n\n\n\ne  \t f", "ΟΔΟΣ\nΟΔΟΣ\nΣ Σ\x1cΣ x　", "T\x0bgone\nline\x1f\n \n\x1d two", "", None, "one line", "\n\n", "é\nـً أب\n\tآ ",
+        f"{ARABIC.title} : t 1\n{ARABIC.description}:  a \n\n\n b\x1e\nc \n{ARABIC.budget}: 5", f"x\n{ARABIC.description}:",
+    ]
+    posts = spark.createDataFrame([(2 * k + n, source, t) for k, t in enumerate(texts) for n, source in enumerate(("feed", "a labelled feed"))], "job_uuid int, source string, text string")
+    laid, plain = (match.posts_text(parse_posts(posts, paragraphs=p)).orderBy("job_uuid").collect() for p in (True, False))
+    assert laid == plain and sum(r["norm"] != "" for r in plain) > 10
