@@ -8,7 +8,9 @@ costs time and changes no count.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -86,13 +88,19 @@ class HatTrie:
         first, rest = keys >> self.shift, (keys & ((1 << self.shift) - 1)).tolist()
         start, counts = np.flatnonzero(np.diff(first, prepend=-1)), counts.tolist()
         at = start.tolist()
+        top, may_burst = self.top, self.size > 2
         for a, b, w in zip(at, [*at[1:], len(rest)], first[start].tolist(), strict=True):
-            node = self.top.get(w)
+            node = top.get(w)
             if node is None:
-                node = self.top[w] = Container()
-            self.entries -= node.entries
-            node.add(rest[a:b], counts[a:b], self.size > 2)
-            self.entries += node.entries
+                node = top[w] = Container()
+            before = node.entries
+            if b - a == 1 and not node.burst:  # as most words in a block are followed by one
+                r = rest[a]
+                node.table[r] = node.table.get(r, 0) + counts[a]
+                node.entries = len(node.table)
+            else:
+                node.add(rest[a:b], counts[a:b], may_burst)
+            self.entries += node.entries - before
 
     def spill(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Takes out the largest subtrees until at most `most` entries are left; their sequences and counts."""
@@ -102,8 +110,10 @@ class HatTrie:
                 break
             gone.append((w, self.top.pop(w)))
             self.entries -= gone[-1][1].entries
-        keys = np.fromiter((w << self.shift | r for w, node in gone for r in node.rests()), np.int64)
-        return keys, np.fromiter((n for _, node in gone for n in node.counts()), np.int64)
+        size = np.array([node.entries for _, node in gone], np.int64)
+        first = np.repeat(np.array([w for w, _ in gone], np.int64) << self.shift, size)
+        rests, counts = (np.fromiter(chain.from_iterable(map(of, [node for _, node in gone])), np.int64, len(first)) for of in (Container.rests, Container.counts))
+        return first | rests, counts
 
 
 class Container:
@@ -151,7 +161,7 @@ class Counter:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.langs, self.hashes, self.of = [], [], [], {}
+        self.words, self.langs, self.hashes, self.of = [], [], array("Q"), {}
         self.trie = HatTrie(self.size)
 
     def add(self, lang: str, texts: list[bytes]) -> None:
@@ -183,7 +193,7 @@ class Counter:
         for k in range(1, self.size):
             whole &= ids[k : n + k] >= 0
         if self.size > 2 and whole.any():
-            h = np.array(self.hashes, np.uint64)
+            h = np.array(self.hashes)  # a copy: the array can't grow while it is looked into
             inner = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
             good = np.zeros(len(ids) - 1, bool)
             good[inner] = holds(self.frequent_phrases, h[ids[inner]] ^ (h[ids[inner + 1]] >> np.uint64(7)))
@@ -204,9 +214,15 @@ class Counter:
         if not len(keys):
             return
         words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
-        rank = np.empty(len(words), np.int64)
-        rank[np.array(sorted(range(len(words)), key=lambda i: (self.langs[i], self.words[i])))] = np.arange(len(words))
         ids = [keys >> (WORD_BITS * (self.size - 1 - k)) & WORD_MASK for k in range(self.size)]
+        # only the words of this run are sorted: the worker may have numbered many more
+        used = np.zeros(len(words), bool)
+        for i in ids:
+            used[i] = True
+        own = np.flatnonzero(used)
+        named = pa.table({"lang": langs.take(pa.array(own)), "word": words.take(pa.array(own))})
+        rank = np.zeros(len(words), np.int64)
+        rank[own[pc.sort_indices(named, [("lang", "ascending"), ("word", "ascending")]).to_numpy()]] = np.arange(len(own))
         order = np.lexsort([rank[i] for i in reversed(ids)])
         for at in range(0, len(order), RUN_ROWS):
             some = [i[order[at : at + RUN_ROWS]] for i in ids]
@@ -239,13 +255,11 @@ def counted(texts: DataFrame, size: int, words=None, phrases=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(job, size, *(None if b is None else b.value for b in (words, phrases)))
         for batch in batches:
-            langs, values = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            by: dict[str, list[bytes]] = {}
-            for lang, text in zip(langs, values, strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, some in by.items():
-                counter.add(lang, some)
-            yield from counter.take()
+            langs, texts_of = batch.column(0), batch.column(1).cast(pa.binary())
+            for lang in langs.unique():
+                # what a language has spilled leaves, and its texts go, before the next is counted
+                counter.add(lang.as_py(), texts_of.filter(pc.equal(langs, lang)).to_pylist())
+                yield from counter.take()
         counter.spill(0)
         yield from counter.take()
 

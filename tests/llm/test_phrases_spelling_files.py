@@ -260,3 +260,13 @@ def test_token_query(spark):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, queries.op13_token_files(spark, str(DATA)).collect())) == want
+
+
+def test_a_run_of_phrases_looks_at_its_own_words_only():
+    """A worker numbers many words; those that a run doesn't hold aren't sorted for it (here one could not be)."""
+    counter = phrases.Counter(2, b"\xff" * (phrases.FILTER_BITS // 8), None)
+    counter.add("en", [b"b a b a c. z b a"])
+    counter.words.append(b"unused")
+    counter.langs.append(None)
+    counter.spill(0)
+    assert [r for b in counter.out for r in b.to_pylist()] == [{"lang": "en", "phrase": p, "a": n} for p, n in (("a b", 1), ("a c", 1), ("b a", 3), ("z b", 1))]
