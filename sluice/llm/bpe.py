@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds.
 
 Texts are cut into pre-tokens; the distinct ones of a batch lie in one flat
-array of symbols. A round looks up all neighbouring pairs by binary search over
-the sorted pair keys, finds the lowest rank of each word, and merges it
+array of symbols. A round looks up all neighbouring pairs in a hash table of the
+pair keys, finds the lowest rank of each word, and merges it
 everywhere in the word; words without a known pair are finished.
 """
 
@@ -65,12 +65,46 @@ def load(path: str) -> dict:
     return {"bytes": of, "keys": keys[order], "rank": order.astype(np.int64), "made": made[order], "single": single, "special": special}
 
 
+class Pairs:
+    """Places of pair keys in their sorted list, by hashing with open addresses: few of the looked up keys need a second probe."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 8).bit_length())
+        self.keys, self.place = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[first]], self.place[slot[first]] = keys[left[first]], left[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key (any, if it isn't there), and whether it is there."""
+        slot = self.slot(keys)
+        held = self.keys.take(slot)
+        there = held == keys
+        again = np.flatnonzero(~there & (held >= 0))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            held = self.keys.take(slot[again])
+            hit = held == keys[again]
+            there[again[hit]] = True
+            again = again[~hit & (held >= 0)]
+        return self.place.take(slot), there
+
+
 class Codec:
     """Encodes and decodes texts; remembers words it has seen."""
 
     def __init__(self, vocabulary: dict) -> None:
         self.v = vocabulary
         self.cut = regex.compile(PATTERN).findall
+        self.pairs = Pairs(vocabulary["keys"])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary["special"], key=len, reverse=True))) + ")") if vocabulary["special"] else None
         self.known: dict[str, bytes] = {}
         self.chars = 0
@@ -83,16 +117,15 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word starts in it (with the end)."""
-        keys, rank, made = self.v["keys"], self.v["rank"], self.v["made"]
+        rank, made = self.v["rank"], self.v["made"]
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.v["single"][np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            at, there = self.pairs.find(sym[:-1] << 32 | sym[1:])
             r = np.full(len(sym), NO_RANK)
-            r[:-1] = np.where((keys[at] == key) & (word[:-1] == word[1:]), rank[at], NO_RANK)
+            r[:-1] = np.where(there & (word[:-1] == word[1:]), rank[at], NO_RANK)
             first = np.flatnonzero(np.diff(word, prepend=-1))
             low = np.repeat(np.minimum.reduceat(r, first), np.diff(first, append=len(sym)))
             over = low == NO_RANK

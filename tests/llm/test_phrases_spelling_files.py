@@ -270,3 +270,18 @@ def test_a_run_of_phrases_looks_at_its_own_words_only():
     counter.langs.append(None)
     counter.spill(0)
     assert [r for b in counter.out for r in b.to_pylist()] == [{"lang": "en", "phrase": p, "a": n} for p, n in (("a b", 1), ("a c", 1), ("b a", 3), ("z b", 1))]
+
+
+def test_pairs_are_found_by_hash():
+    """Every pair key has its place, also where many share slots; other keys have none."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 16, 5000) << 32 | rng.integers(0, 1 << 16, 5000))
+    pairs = bpe.Pairs(keys)
+    pairs_of_one_slot = bpe.Pairs.__new__(bpe.Pairs)
+    pairs_of_one_slot.slot = lambda k: np.zeros(len(k), np.int64)
+    pairs_of_one_slot.__init__(keys[:200])
+    for p, of in ((pairs, keys), (pairs_of_one_slot, keys[:200])):
+        asked = rng.permutation(np.append(of, of + 1))
+        place, there = p.find(asked)
+        assert (there == np.isin(asked, of)).all() and (of[place[there]] == asked[there]).all()
+    assert not bpe.Pairs(keys[:0]).find(keys)[1].any()
