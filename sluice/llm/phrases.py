@@ -11,6 +11,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
@@ -77,6 +78,7 @@ class HatTrie:
 
     The top is a trie by first word; below hang hash containers of the words
     that follow, which burst into a further level of the trie when they grow.
+    Where only one sequence follows a word, it hangs there itself with its count.
     """
 
     def __init__(self, size: int) -> None:
@@ -91,8 +93,18 @@ class HatTrie:
         top, may_burst = self.top, self.size > 2
         for a, b, w in zip(at, [*at[1:], len(rest)], first[start].tolist(), strict=True):
             node = top.get(w)
-            if node is None:
-                node = top[w] = Container()
+            if b - a == 1 and node is None:  # as most words are followed by one: it needs no table
+                top[w] = rest[a], counts[a]
+                self.entries += 1
+                continue
+            if node is None or type(node) is tuple:
+                self.entries -= node is not None
+                node, one = Container(), node
+                top[w] = node
+                if one:
+                    node.table[one[0]] = one[1]
+                    self.entries += 1
+                    node.entries = 1
             before = node.entries
             if b - a == 1 and not node.burst:  # as most words in a block are followed by one
                 r = rest[a]
@@ -105,14 +117,22 @@ class HatTrie:
     def spill(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Takes out the largest subtrees until at most `most` entries are left; their sequences and counts."""
         gone: list[tuple[int, Container]] = []
-        for w in sorted(self.top, key=lambda w: -self.top[w].entries):
+        ones, large = [], []
+        for w, node in self.top.items():
+            (ones if type(node) is tuple else large).append(w)
+        for w in sorted(large, key=lambda w: -self.top[w].entries):
             if self.entries <= most:
                 break
             gone.append((w, self.top.pop(w)))
             self.entries -= gone[-1][1].entries
+        ones = ones[: max(self.entries - most, 0)]
+        self.entries -= len(ones)
+        single = [self.top.pop(w) for w in ones]
         size = np.array([node.entries for _, node in gone], np.int64)
-        first = np.repeat(np.array([w for w, _ in gone], np.int64) << self.shift, size)
-        rests, counts = (np.fromiter(chain.from_iterable(map(of, [node for _, node in gone])), np.int64, len(first)) for of in (Container.rests, Container.counts))
+        first = np.append(np.repeat(np.array([w for w, _ in gone], np.int64), size), np.array(ones, np.int64)) << self.shift
+        rests, counts = (
+            np.fromiter(chain(chain.from_iterable(map(of, [node for _, node in gone])), map(itemgetter(k), single)), np.int64, len(first)) for k, of in enumerate((Container.rests, Container.counts))
+        )
         return first | rests, counts
 
 
@@ -228,6 +248,8 @@ class Counter:
             some = [i[order[at : at + RUN_ROWS]] for i in ids]
             phrase = pc.binary_join_element_wise(*(words.take(pa.array(i)) for i in some), b" ")
             self.out.append(pa.RecordBatch.from_arrays([langs.take(pa.array(some[0])), phrase.cast(pa.string()), pa.array(counts[order[at : at + RUN_ROWS]])], names=["lang", "phrase", "a"]))
+        del words, langs, named
+        pa.default_memory_pool().release_unused()
 
     def take(self) -> Iterator[pa.RecordBatch]:
         out, self.out = self.out, []

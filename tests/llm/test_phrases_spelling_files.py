@@ -285,3 +285,21 @@ def test_pairs_are_found_by_hash():
         place, there = p.find(asked)
         assert (there == np.isin(asked, of)).all() and (of[place[there]] == asked[there]).all()
     assert not bpe.Pairs(keys[:0]).find(keys)[1].any()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_trie_keeps_counts_over_spills(size):
+    """Words that one sequence follows need no table; counts add up however often subtrees leave."""
+    rng, trie, want, got = np.random.default_rng(size), phrases.HatTrie(size), collections.Counter(), collections.Counter()
+    for k in range(30):
+        ids = rng.geometric(0.02, (400, size))
+        keys, counts = np.unique(sum(ids[:, j] << (phrases.WORD_BITS * (size - 1 - j)) for j in range(size)), return_counts=True)
+        want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        trie.add(keys, counts)
+        if k == 0 and size > 1:
+            assert any(type(node) is tuple for node in trie.top.values())
+        if k % 4 == 3 or k == 29:
+            for key, n in zip(*(x.tolist() for x in trie.spill(0 if k == 29 else 100)), strict=True):
+                got[key] += n
+            assert trie.entries <= (0 if k == 29 else 100)
+    assert got == want and not trie.top
