@@ -40,7 +40,8 @@ def test_all_windows_take_part(spark, texts):
         assert (sums.pairs[k] == secrets.pair_counts(x[free & (s.label == k)])).all()
     assert {bytes(r.around) for r in sums.secrets.collect()} == {r.tobytes() for r in s.raw[s.label == secrets.SECRET]}
     # a step's gradients are those of all windows at once, on any number of tasks
-    step = [secrets.step_gradients(frame(spark, texts, n), sums, net, 2, 400, 3)[0] for n in (1, 5)]
+    shares = dict.fromkeys(sums.windows, 1 / 3)
+    step = [secrets.step_gradients(frame(spark, texts, n), sums, net, 2, 400, shares)[0] for n in (1, 5)]
     want, loss = {k: 0.0 for k in step[0]}, 0.0
     for label, n in sums.windows.items():
         w = secrets.STEPS / (6 * n)
@@ -48,7 +49,7 @@ def test_all_windows_take_part(spark, texts):
         own = own[secrets.unusual(net.pairs, own)[:, 1] < net.doubt]
         of = net.gradients(own, lambda z, w=w: w * np.maximum(secrets.MARGIN + z, 0))
         want = {k: want[k] + of[k] for k in want}
-    alone = secrets.step_gradients(frame(spark, texts, 2).where("false"), sums, net, 2, 400, 3)[0]  # the secrets' part
+    alone = secrets.step_gradients(frame(spark, texts, 2).where("false"), sums, net, 2, 400, shares)[0]  # the secrets' part
     for k in want:
         assert np.allclose(step[0][k], step[1][k], atol=1e-6) and np.allclose(step[0][k], want[k] + alone[k], atol=1e-5), k
     assert np.abs(alone["out"]).sum() > 0
