@@ -16,7 +16,7 @@ from sluice.operators.claims import TTL_SECONDS, claim_projects, mark_duplicates
 from sluice.operators.decide import classify_all, final_decision, select_category
 from sluice.operators.parse import parse_posts
 from sluice.sources.store import cut, scratch
-from sluice.streaming import rocksdb_state
+from sluice.streaming import BUCKETS, bucket, rocksdb_state
 
 
 #: How far posts of a stream may be out of order before the time of their arrival counts as theirs.
@@ -92,11 +92,12 @@ def dedup_stream(jobs: DataFrame, delay: str = "1 day", time: str = "ts") -> Dat
 
 
 class Claims(StatefulProcessor):
-    """Who owns a project, in order of arrival; the rows of one batch arrive by time, then id.
+    """Who owns the projects of a bucket, in order of arrival; the rows of one batch arrive by time, then id.
 
-    The state is one row for a project whose claim is alive: a timer deletes it
-    when the watermark has passed its end. A project's rows of one batch are held
-    at once, so the trigger bounds them.
+    The state holds the projects whose claim is alive, in one value with one
+    timer: for the claim that runs out next. Claims whose end the watermark has
+    passed go. A bucket's rows of one batch are held at once, so the trigger
+    bounds them.
     """
 
     def __init__(self, ttl_seconds: int) -> None:
@@ -104,35 +105,59 @@ class Claims(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("owner", "job_uuid string, claimed_ms long")
+        self.state = handle.getValueState("claims", "timer_ms long, projects array<string>, owners array<string>, since_ms array<long>")
+
+    def load(self) -> None:
+        self.timer, *columns = self.state.get() if self.state.exists() else (None, [], [], [])
+        self.claims = {project: (owner, since) for project, owner, since in zip(*columns, strict=True)}
+
+    def save(self, watermark: int) -> None:
+        rows = [(project, owner, since) for project, (owner, since) in self.claims.items() if since + self.ttl >= watermark]
+        first = min((since for _, _, since in rows), default=None)
+        first = None if first is None else first + self.ttl + 1
+        if self.timer != first:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if rows:
+            self.state.update((first, *([r[k] for r in rows] for k in range(3))))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        owner, since = self.state.get() if self.state.exists() else (None, None)
-        held = since
+        self.load()
         batch = pd.concat(list(rows)).sort_values(["ts_ms", "job_uuid"])
         arrived = max(timerValues.getCurrentWatermarkInMs(), 0)
         claimed = []
-        for uuid, ts in zip(batch["job_uuid"], batch["ts_ms"].tolist(), strict=True):
+        for project, uuid, ts in zip(batch["claim_key"].tolist(), batch["job_uuid"].tolist(), batch["ts_ms"].tolist(), strict=True):
+            if project is None:
+                claimed.append(True)
+                continue
             now = max(ts, arrived)
+            owner, since = self.claims.get(project, (None, None))
             if owner is None or now > since + self.ttl:
-                owner, since = uuid, now
+                owner, since = self.claims[project] = uuid, now
             claimed.append(owner == uuid)
-        if since != held and batch["project_id"].notna().all():
-            if held is not None:
-                self.handle.deleteTimer(held + self.ttl + 1)
-            self.state.update((owner, since))
-            self.handle.registerTimer(since + self.ttl + 1)
+        self.save(arrived)
         yield batch.assign(claimed=claimed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        self.load()
+        self.timer = None  # this one has gone off
+        self.save(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str | None = CLAIM_DELAY) -> DataFrame:
+#: How columns go through pandas that it can't hold: times outside of 1677 to 2262, and whole numbers of 17 digits beside nulls.
+TO_TEXT = {"timestamp": lambda c: F.unix_micros(c).cast("string"), "bigint": lambda c: F.col(c).cast("string")}
+FROM_TEXT = {"timestamp": lambda c: F.timestamp_micros(F.col(c).cast("long")), "bigint": lambda c: F.col(c).cast("long")}
+
+
+def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str | None = CLAIM_DELAY, buckets: int = BUCKETS) -> DataFrame:
     """`claims` (project_id, job_uuid, ts, maybe others) of a stream with `claimed`; needs the RocksDB state store (`rocksdb_state`).
 
     The first to arrive owns a project, whatever its ts. A claim's time is its
@@ -142,10 +167,14 @@ def claim_stream(claims: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str |
     passed between the two times, and the state of a claim is deleted when the
     watermark has passed that end, which changes no result. No row is dropped for
     being late. Rows without project are claimed; rows without ts count as
-    arriving now. `delay` None: the rows have a watermark already.
+    arriving now. `delay` None: the rows have a watermark already. Projects are
+    kept by `buckets` (see `sluice.streaming`).
     """
     timed = claims if delay is None else claims.withColumn("clock", F.col("ts")).withWatermark("clock", delay).drop("clock")
-    # as a number, ts carries no watermark that would drop late rows
-    keyed = timed.withColumns({"claim_key": F.coalesce("project_id", F.concat(F.lit("job "), F.col("job_uuid"))), "ts_ms": F.coalesce(F.unix_millis("ts"), F.lit(0))}).withColumn("ts", F.timestamp_millis(F.unix_millis("ts")))
+    text = {c: kind for c, kind in claims.dtypes if kind in TO_TEXT}
+    added = {"claim_key": F.col("project_id").cast("string"), "ts_ms": F.coalesce(F.unix_millis("ts"), F.lit(0)), "bucket": bucket(F.coalesce("project_id", "job_uuid"), buckets)}
+    # as text, ts carries no watermark that would drop late rows
+    keyed = timed.withColumns(added).withColumns({c: TO_TEXT[kind](c) for c, kind in text.items()})
     schema = StructType([*keyed.schema.fields, StructField("claimed", BooleanType())])
-    return keyed.groupBy("claim_key").transformWithStateInPandas(Claims(ttl_seconds), schema, "append", "eventTime").drop("claim_key", "ts_ms")
+    marked = keyed.groupBy("bucket").transformWithStateInPandas(Claims(ttl_seconds), schema, "append", "eventTime")
+    return marked.withColumns({c: FROM_TEXT[kind](c) for c, kind in text.items()}).drop(*added)

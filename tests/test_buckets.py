@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 from test_stream_state import Clock, started
 
-from sluice.streaming import delivery
+from sluice.streaming import delivery, stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -57,3 +58,33 @@ def test_long_ids_keep_their_digits_beside_nulls(spark, tmp_path):
     got = {(r.user_id, r.notification_id, r.status) for r in delivery.queue_after(spark.read.schema(delivery.CHANGES).parquet(f"{tmp_path}/out")).collect()}
     assert got == {(u, big + u, "Sending") for u in range(40)}
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_claims_of_times_past_2262_and_long_ids_beside_nulls(spark, tmp_path):
+    """What pandas' times and floats can't hold comes back as it went; projects of a bucket are told apart, and claims that ran out go."""
+    at = lambda year: dt.datetime(year, 5, 6, 7, 8, 9, 123456)
+    schema = "project_id string, job_uuid string, ts timestamp, seq long, seen timestamp"
+    batches = [[("1", "a", at(2400), 2**60 + 1, None), ("2", "b", at(1500), None, at(2401)), (None, "n", None, 7, at(9999))], [("1", "c", at(2400), None, None), ("2", "d", at(2400), 2**60 + 3, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    marked = stream.claim_stream(arriving, ttl_seconds=3600, buckets=2)
+    assert [f.simpleString() for f in marked.schema] == [f.strip().replace(" ", ":").replace("long", "bigint") for f in schema.split(",")] + ["claimed:boolean"]
+    marked.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(marked.schema).parquet(f"{tmp_path}/out")
+    text = lambda df, *more: {tuple(r) for r in df.select("project_id", "job_uuid", F.col("ts").cast("string"), "seq", F.col("seen").cast("string"), *more).collect()}
+    assert text(out) == text(spark.read.schema(schema).parquet(f"{tmp_path}/in"))
+    assert {r.job_uuid: r.claimed for r in out.collect()} == {"a": True, "b": True, "n": True, "c": False, "d": True}
+
+
+def test_one_call_serves_the_projects_of_a_bucket():
+    processor, n = stream.Claims(10), 200
+    handle = started(processor)
+    handle.value.clear = lambda: handle.value.update(None)
+    claims = pd.DataFrame({"claim_key": [str(k % n) for k in range(2 * n)] + [None], "job_uuid": [f"j{k:03}" for k in range(2 * n)] + ["n"], "ts_ms": range(2 * n + 1)})
+    out = pd.concat(processor.handleInputRows((7,), iter([claims]), Clock())).sort_index()
+    assert out.claimed.tolist() == [True] * n + [False] * n + [True]
+    assert handle.value.calls <= 3 and handle.timers == {10_001}
+    handle.timers.clear()
+    list(processor.handleExpiredTimer((7,), Clock(), Gone(10_001)))
+    assert len(handle.value.held[1]) == n - 1 and handle.timers == {10_002}
