@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluice.operators.route import BASE_SECONDS, MAX_ATTEMPTS, MAX_SECONDS
-from sluice.streaming import BUCKETS, bucket
+from sluice.streaming import AT_ONCE, BUCKETS, bucket
 
 #: What happens to a user's rows: one is queued, a send of it ends, or the user comes back or leaves.
 EVENTS = "user_id long, kind string, notification_id long, ts timestamp, outcome string, retry_after_s long, error string, active boolean"
 #: Kinds of events in the order in which those of one time are taken.
 KINDS = {"active": 0, "outcome": 1, "queued": 2}
 LAST = 2**63 - 1
-#: So many changes of a bucket go out at a time.
-AT_ONCE = 10_000
 CHANGES = "user_id long, notification_id long, change long, status string, attempts int, last_error string, next_ms long, updated_ms long, active boolean"
 TYPES = {"notification_id": "Int64", "status": object, "attempts": "int32", "last_error": object, "next_ms": "Int64", "active": bool}
 

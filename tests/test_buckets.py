@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from test_stream_state import Clock, started
 
-from sluice.streaming import delivery, stream
+from sluice.streaming import delivery, stream, sweep
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -88,3 +88,18 @@ def test_one_call_serves_the_projects_of_a_bucket():
     handle.timers.clear()
     list(processor.handleExpiredTimer((7,), Clock(), Gone(10_001)))
     assert len(handle.value.held[1]) == n - 1 and handle.timers == {10_002}
+
+
+def test_one_call_serves_the_posts_of_a_bucket():
+    processor, n = sweep.Sweep(300), 200
+    handle = started(processor)
+    handle.value.clear = lambda: handle.value.update(None)
+    rows = [(f"j{k}", "accepted", None, None, 1000) for k in range(n)] + [(f"j{k}", "guard", None, "do_not_notify", 2000) for k in range(0, n, 4)] + [(f"j{k}", "sent", k % 2 == 1, None, 3000) for k in range(n)]
+    events = pd.DataFrame(rows, columns=["job_uuid", "kind", "ok", "guard", "ts_ms"])
+    changes = pd.concat(processor.handleInputRows((7,), iter([events[250:], events[:250]]), Clock()))
+    last = changes[changes.kind == "status"].groupby("job_uuid").status.last()
+    assert last.value_counts().to_dict() == {"Complete": n // 2, "Suppressed": n // 4, f"{sweep.LEG}: Failed": n // 4}
+    assert handle.value.calls <= 3 and handle.timers == {300_000} and len(handle.value.held[1]) == n // 4
+    handle.timers.clear()
+    again = pd.concat(processor.handleExpiredTimer((7,), Clock(), Gone(300_000)))
+    assert sorted(again.job_uuid) == sorted(f"j{k}" for k in range(2, n, 4)) and handle.timers == {600_000}
